@@ -1,10 +1,12 @@
 """The ten operators' queries over the standard tables, and SQL for those that SQL can express."""
 
-from . import substrings
+from . import neardup, substrings
 
 QUERIES = {
+    "op1_minhash_dedup": neardup.op1_minhash_dedup,
     "op6_substring_dedup": substrings.op6_substring_dedup,
 }
 ORACLES = {
+    "op1_minhash_dedup": neardup.OP1_SQL,
     "op6_substring_dedup": substrings.OP6_SQL,
 }
