@@ -1,12 +1,14 @@
 """The ten operators' queries over the standard tables, and SQL for those that SQL can express."""
 
-from . import neardup, substrings
+from . import neardup, substrings, suffixes
 
 QUERIES = {
     "op1_minhash_dedup": neardup.op1_minhash_dedup,
     "op6_substring_dedup": substrings.op6_substring_dedup,
+    "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 ORACLES = {
     "op1_minhash_dedup": neardup.OP1_SQL,
     "op6_substring_dedup": substrings.OP6_SQL,
+    "op10_suffix_dedup": suffixes.OP10_SQL,
 }
