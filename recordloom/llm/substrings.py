@@ -16,12 +16,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hashing import Anchors, signed, slices, values_of, word_hashes, words_of
+from .hashing import Anchors, signed, slices, word_hashes, words_of
 from .sketches import PartSketch, merged
-from .stages import partitions, stored
+from .stages import stored
 
 WINDOW = 35
 GRAM = 12
@@ -75,9 +75,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # one place of each string is enough where an anchor has several; it stands for all n of them
     several = wholes.groupBy("key").agg(F.count("*").alias("strings")).where("strings > 1").select("key")
     open_ = wholes.join(several, "key", "left_semi").select("key", "whole", "n", F.col("at.id").alias("id"), F.col("at.first").alias("first"))
-    single = stored(found.join(open_, ["key", "whole", "id", "first"]).select("id", "key", "first", "n", F.posexplode("windows").alias("place", "hash")), "open")
-    twice = single.groupBy("key", "hash").agg(F.sum("n").alias("times")).where("times > 1")
-    more = single.where("n = 1").join(twice, ["key", "hash"], "left_semi").select("id", (F.col("first") + F.col("place")).alias("first"), F.lit(window).alias("length"))
+    single = found.join(open_, ["key", "whole", "id", "first"]).select("id", "key", "first", "n", F.posexplode("windows").alias("place", "hash"))
+    times = F.sum("n").over(Window.partitionBy("key", "hash"))
+    more = single.withColumn("times", times).where("times > 1 AND n = 1").select("id", (F.col("first") + F.col("place")).alias("first"), F.lit(window).alias("length"))
     return spans.unionAll(more)
 
 
