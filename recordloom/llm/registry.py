@@ -1,14 +1,20 @@
 """The ten operators' queries over the standard tables, and SQL for those that SQL can express."""
 
-from . import neardup, substrings, suffixes
+from . import decontaminate, neardup, sharding, substrings, suffixes, urlrules
 
 QUERIES = {
     "op1_minhash_dedup": neardup.op1_minhash_dedup,
     "op6_substring_dedup": substrings.op6_substring_dedup,
+    "op2_sharding": sharding.op2_sharding,
+    "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_url_filter": urlrules.op8_url_filter,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 ORACLES = {
     "op1_minhash_dedup": neardup.OP1_SQL,
     "op6_substring_dedup": substrings.OP6_SQL,
+    "op2_sharding": sharding.OP2_SQL,
+    "op7_decontamination": decontaminate.OP7_SQL,
+    "op8_url_filter": urlrules.OP8_SQL,
     "op10_suffix_dedup": suffixes.OP10_SQL,
 }
