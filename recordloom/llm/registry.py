@@ -1,11 +1,13 @@
 """The ten operators' queries over the standard tables, and SQL for those that SQL can express."""
 
-from . import decontaminate, neardup, sharding, substrings, suffixes, urlrules
+from . import decontaminate, neardup, ogg, preferences, sharding, substrings, suffixes, urlrules
 
 QUERIES = {
     "op1_minhash_dedup": neardup.op1_minhash_dedup,
     "op6_substring_dedup": substrings.op6_substring_dedup,
     "op2_sharding": sharding.op2_sharding,
+    "op3_ogg_media": ogg.op3_ogg_media,
+    "op5_preference_format": preferences.op5_preference_format,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_url_filter": urlrules.op8_url_filter,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
@@ -14,6 +16,7 @@ ORACLES = {
     "op1_minhash_dedup": neardup.OP1_SQL,
     "op6_substring_dedup": substrings.OP6_SQL,
     "op2_sharding": sharding.OP2_SQL,
+    "op5_preference_format": preferences.OP5_SQL,
     "op7_decontamination": decontaminate.OP7_SQL,
     "op8_url_filter": urlrules.OP8_SQL,
     "op10_suffix_dedup": suffixes.OP10_SQL,
