@@ -26,6 +26,19 @@ def cells(keys: np.ndarray, row: int, log2_width: int) -> np.ndarray:
     return (keys * np.uint64(_MULTIPLIERS[row])) >> np.uint64(64 - log2_width)
 
 
+def _gaps(low: np.ndarray) -> bytes:
+    """Ascending cells of a block as gaps of one byte; 255 means go on by 255 without a cell."""
+    gap = np.diff(low.astype(np.int64), prepend=0)
+    ends = np.cumsum(gap // 255 + 1)
+    out = np.full(int(ends[-1]), 255, np.uint8)
+    out[ends - 1] = gap % 255
+    return out.tobytes()
+
+
+def _cells_of(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 255]
+
+
 class PartSketch:
     """One task's counts, kept as its cells; a cell's third and later counts are not needed."""
 
@@ -50,7 +63,7 @@ class PartSketch:
             low = at.astype(np.uint16)
             ends = np.append(heads[1:], len(at))
             ids = block[heads].astype(np.int64) + (row << (self.log2_width - _BLOCK))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([low[s:e].tobytes() for s, e in zip(heads, ends)], pa.binary())], schema=_PARTS)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([_gaps(low[s:e]) for s, e in zip(heads, ends)], pa.binary())], schema=_PARTS)
         self.kept, self.size = [[] for _ in range(self.rows)], 0
 
 
@@ -65,7 +78,7 @@ def merged(parts: DataFrame, rows: int, log2_width: int, least: int = 2) -> "Ske
                     yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.packbits(count >= least, bitorder="little").tobytes()])], schema=_BITS)
                     count[:] = 0
                 now = block
-                at = np.frombuffer(data.as_buffer(), np.uint16)
+                at = _cells_of(np.frombuffer(data.as_buffer(), np.uint8))
                 first = np.append([True], at[1:] != at[:-1])
                 once, twice = at[first], at[~first]
                 count[once] = np.minimum(count[once] + 1, 2)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -73,5 +74,34 @@ def groups_of(batches, keys: list[str]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
-def arrow(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def squeezed(df: DataFrame, text_col: str) -> DataFrame:
+    """df with its text column compressed row by row (null stays null), for a shuffle that texts have to take; see `unsqueezed`."""
+    names = df.columns
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts = [None if x is None else press.compress(x) for x in batch.column(at).cast(pa.binary()).to_pylist()]
+            arrays = [pa.array(texts, pa.binary()) if i == at else batch.column(i) for i in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    fields = ", ".join(f"`{f.name}` {'binary' if f.name == text_col else f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, fields)
+
+
+def unsqueezed(batches, text_col: str, limit: int = 8 << 20):
+    """Batches with the text column's texts again, some `limit` bytes of them at a time."""
+    press = zstandard.ZstdDecompressor()
+    for batch in batches:
+        at = batch.schema.get_field_index(text_col)
+        texts, size, begin = [], 0, 0
+        for row, x in enumerate(batch.column(at)):
+            data = x.as_py()
+            texts.append(None if data is None else press.decompress(data))
+            size += len(texts[-1] or b"")
+            if size >= limit or row + 1 == batch.num_rows:
+                part = batch.slice(begin, row + 1 - begin)
+                arrays = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else part.column(i) for i in range(part.num_columns)]
+                yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+                texts, size, begin = [], 0, row + 1

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .hashing import Anchors, signed, slices, word_hashes, words_of
 from .sketches import PartSketch, merged
-from .stages import stored
+from .stages import squeezed, stored, unsqueezed
 
 WINDOW = 35
 GRAM = 12
@@ -88,12 +88,12 @@ def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     """
     names = [f.name for f in docs.schema if f.name not in _KEPT.names[1:]]
     packed = spans.groupBy("id").agg(F.collect_list(F.struct("first", "length")).alias("__spans"))
-    work = docs.select(*[F.col(f"`{n}`") for n in names]).join(packed.withColumnRenamed("id", "__id"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+    work = squeezed(docs.select(*[F.col(f"`{n}`") for n in names]), text_col).join(packed.withColumnRenamed("id", "__id"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
     work = work.withColumn("__first", F.col("__spans.first")).withColumn("__length", F.col("__spans.length")).drop("__spans")
     out = "n_words long, n_removed long, kept_text string, kept_sha256 string"
 
     def cut(batches):
-        for batch, data, at in slices(batches, text_col):
+        for batch, data, at in slices(unsqueezed(batches, text_col), text_col):
             starts, ends, begins = words_of(data, at)
             first, length = batch.column(batch.schema.get_field_index("__first")), batch.column(batch.schema.get_field_index("__length"))
             n_words, n_removed, texts, shas = [], [], [], []

@@ -17,8 +17,11 @@ Round 1 ranks the sampled suffixes by `gram` bytes (24); a sketch of those
 ranks drops most unique ones before anything is sorted.  Round 2 sorts what is
 left by (rank, name of the bytes that all windows of that suffix cover, about
 50 to 76): behind the first of equal ones stand the repeats.  Round 3 ranks
-every window of 50 bytes of the suffixes that share round 1 but not round 2.
-Sorted runs are read once, front to back, so a rank of any size takes no memory.
+every window of 50 bytes of the suffixes that share round 1 but not round 2:
+those of a round 1 rank that few suffixes share travel as one string each and
+are sorted together in a task, those of a very common one are sorted by Spark,
+window by window.  Elsewhere, sorted runs are read once, front to back, so a
+rank of any size takes no memory.
 """
 
 from __future__ import annotations
@@ -30,19 +33,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import Anchors, mix, signed, slices, symbols
+from .hashing import Anchors, Runs, mix, signed, slices, symbols, values_of
 from .sketches import PartSketch, merged
-from .stages import partitions, stored
+from .stages import groups_of, partitions, squeezed, stored, unsqueezed
 
 LENGTH = 50
 GRAM = 24
 LOG2_WIDTH = 28
 ROWS = 2
 OPEN_WIDTH = 26
+#: Open suffixes of one rank that a task sorts by itself; Spark sorts those of larger ranks.
+FEW = 256
 
 _RANK = pa.schema([("key", pa.int64()), ("whole", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32())])
 _MARK = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32())])
 _PLACE = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("id", pa.int64()), ("first", pa.int32())])
+_STRING = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("string", pa.binary())])
 _SPAN = pa.schema([("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32())])
 _CUT = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
 
@@ -106,7 +112,7 @@ def _compare(batches):
             lead_key = key[s]
         rows = np.concatenate([np.flatnonzero(again), opened])
         kinds = np.concatenate([np.zeros(int(again.sum()), np.int32), np.ones(len(opened), np.int32)])
-        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(key[rows]), pa.array(ids[rows]), pa.array(first[rows]), pa.array(count[rows])], schema=_MARK)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(key[rows] * kinds), pa.array(ids[rows]), pa.array(first[rows]), pa.array(count[rows])], schema=_MARK)
         seen, key0, whole0, least = True, key[-1], whole[-1], leasts[-1]
 
 
@@ -168,17 +174,62 @@ def earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield from opened.batches()
         yield from opened.batches()
 
-    opened = merged(marks.where("kind = 1").select("id", "first").mapInArrow(note, "block long, cells binary"), 1, OPEN_WIDTH, least=1)
+    open_ = marks.where("kind = 1")
+    opened = merged(open_.select("id", "first").mapInArrow(note, "block long, cells binary"), 1, OPEN_WIDTH, least=1)
 
-    def windows(batches):
+    def note_key(batches):
+        common = PartSketch(1, OPEN_WIDTH)
+        for batch in batches:
+            common.add(batch.column(0).to_numpy().view(np.uint64))
+        yield from common.batches()
+
+    large = stored(open_.groupBy("key").count().where(F.col("count") > FEW).select("key"), "common")
+    common = merged(large.mapInArrow(note_key, "block long, cells binary"), 1, OPEN_WIDTH, least=1)
+
+    def opened_anchors(batches, in_common: bool):
         for batch, data, at in slices(batches):
             a = _anchors(data, at, length, gram)
             ids = batch.column(0).fill_null(0).to_numpy()
             first = a.first - at[a.row]
             hit = np.flatnonzero(sketch.reaches(a.key))
             hit = hit[opened.reaches(_occurrence(ids[a.row[hit]], first[hit]))]
-            if not len(hit):
-                continue
+            hit = hit[common.reaches(a.key[hit]) == in_common]
+            if len(hit):
+                yield batch, data, at, a, hit
+
+    def strings(batches):
+        for batch, data, at, a, hit in opened_anchors(batches, False):
+            raw, row = data.tobytes(), a.row[hit]
+            lo = a.first[hit]
+            found = [raw[s:e] for s, e in zip(lo.tolist(), (lo + a.count[hit] - 1 + length).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(a.key[hit])), batch.column(0).take(pa.array(row)), pa.array((lo - at[row]).astype(np.int32)), pa.array(found, pa.binary())], schema=_STRING)
+
+    def rank_strings(batches):
+        for table in groups_of(batches, ["key"]):
+            key, ids, first = (table.column(n).to_numpy() for n in ("key", "id", "first"))
+            data, at = values_of(table.column("string"))
+            n = np.diff(at) - length + 1
+            ends = np.cumsum(n)
+            place = np.arange(ends[-1]) - np.repeat(ends - n, n)
+            start = place + np.repeat(at[:-1], n)
+            hash_ = Runs(symbols(3)[data]).of(start, start + length)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((ids[row], hash_, key[row]))
+            row, hash_, place = row[order], hash_[order], place[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (hash_[1:] != hash_[:-1]) | (key[row[1:]] != key[row[:-1]])
+            least = ids[row][np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))]
+            again = least < ids[row]
+            found = row[again]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array((first[found] + place[again]).astype(np.int32)), pa.array(np.ones(len(found), np.int32))], schema=_SPAN)
+
+    few = rows.mapInArrow(strings, "key long, id long, first int, string binary").where("id IS NOT NULL").repartition(p, "key").sortWithinPartitions("key")
+    spans = spans.unionAll(few.mapInArrow(rank_strings, "id long, first int, count int"))
+    if large.isEmpty():
+        return spans
+
+    def windows(batches):
+        for batch, data, at, a, hit in opened_anchors(batches, True):
             n = a.count[hit]
             ends = np.cumsum(n)
             start = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(a.first[hit], n)
@@ -195,10 +246,10 @@ def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     """docs with n_bytes, n_removed, n_spans, kept (binary) and kept_sha256; columns of these names are replaced."""
     names = [f.name for f in docs.schema if f.name not in _CUT]
     packed = spans.groupBy(F.col("id").alias("__id")).agg(F.collect_list("first").alias("__first"), F.collect_list("count").alias("__count"))
-    work = docs.select(*[F.col(f"`{n}`") for n in names]).join(packed, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    work = squeezed(docs.select(*[F.col(f"`{n}`") for n in names]), text_col).join(packed, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
 
     def cut(batches):
-        for batch, data, at in slices(batches, text_col):
+        for batch, data, at in slices(unsqueezed(batches, text_col), text_col):
             first, count = (batch.column(batch.schema.get_field_index(n)) for n in ("__first", "__count"))
             n_removed, n_spans, kept, shas = [], [], [], []
             for i in range(batch.num_rows):
