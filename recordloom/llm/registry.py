@@ -1,15 +1,17 @@
 """The ten operators' queries over the standard tables, and SQL for those that SQL can express."""
 
-from . import decontaminate, neardup, ogg, preferences, sharding, substrings, suffixes, urlrules
+from . import decontaminate, neardup, ogg, packing, preferences, quality, sharding, substrings, suffixes, urlrules
 
 QUERIES = {
     "op1_minhash_dedup": neardup.op1_minhash_dedup,
     "op6_substring_dedup": substrings.op6_substring_dedup,
     "op2_sharding": sharding.op2_sharding,
     "op3_ogg_media": ogg.op3_ogg_media,
+    "op4_quality": quality.op4_quality,
     "op5_preference_format": preferences.op5_preference_format,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_url_filter": urlrules.op8_url_filter,
+    "op9_packing": packing.op9_packing,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 ORACLES = {
