@@ -16,7 +16,7 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text that are hashed at once; only the work space depends on it.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 WHITESPACE = np.zeros(256, bool)
 WHITESPACE[[0x20, *range(0x09, 0x0E)]] = True
