@@ -1,4 +1,6 @@
 """All queries over the standard tables, and the SQL that each must equal."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import decisions, history, reads, texts
+from .tables import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "decisions", "history", "reads", "texts"]
