@@ -75,7 +75,7 @@ def _scan(shared, text_col: str, first: bool):
                 words = normalised(raw[at[i] : at[i + 1]])
                 n_words.append(len(words))
                 text = b" " + b" ".join(words) + b" "
-                found = list(automaton.iter(text.decode("latin-1"))) if words else []
+                found = list(automaton.iter(text.decode("latin-1"))) if words and owners else []
                 if not found:
                     hits.append([])
                     items.append([])
