@@ -53,13 +53,16 @@ def preference_segments(conversations: DataFrame, pairs: DataFrame) -> DataFrame
     first, null roles and texts count as empty, rows without a conversation
     and pairs with an unknown or null side add nothing of that side.
     """
-    turns = _turns(conversations).withColumn("turn_order", F.coalesce("turn", F.lit(-(1 << 62))))
+    turns = stored(_turns(conversations).withColumn("turn_order", F.coalesce("turn", F.lit(-(1 << 62)))), "turns")
     pairs = pairs.select("chosen", "rejected").distinct()
-    sides = [turns.join(pairs.withColumn("conv_id", F.col(side)), "conv_id").withColumn("side", F.lit(side)).drop("conv_id") for side in ("chosen", "rejected")]
-    both = sides[0].unionAll(sides[1]).withColumn("same", F.sha2(F.to_json(F.array("role", "text")), 256))
-    at = both.groupBy("chosen", "rejected", "turn_order", "place").agg(F.count("*").alias("n"), F.min("same").alias("one"), F.max("same").alias("other"))
-    ends = at.where("n < 2 OR one <> other").groupBy("chosen", "rejected").agg(F.min(F.struct("turn_order", "place")).alias("end"))
-    rows = both.join(ends, ["chosen", "rejected"], "left")
+    sided = pairs.select("*", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("conv_id")) for s in ("chosen", "rejected")])).alias("s")).select("chosen", "rejected", "s.*")
+    # the prefix is found on hashes; texts move once, to the pairs whose ends are known
+    heads = turns.select("conv_id", "turn_order", "place", F.xxhash64("role", "text").alias("h1"), F.crc32(F.concat_ws("\n", "role", "text").cast("binary")).alias("h2"))
+    at = heads.join(sided, "conv_id").groupBy("chosen", "rejected", "turn_order", "place")
+    at = at.agg(F.count("*").alias("n"), F.min("h1").alias("a1"), F.max("h1").alias("b1"), F.min("h2").alias("a2"), F.max("h2").alias("b2"))
+    ends = at.where("n < 2 OR a1 <> b1 OR a2 <> b2").groupBy("chosen", "rejected").agg(F.min(F.struct("turn_order", "place")).alias("end"))
+    ended = sided.join(ends, ["chosen", "rejected"], "left")
+    rows = turns.join(ended, "conv_id")
     before = F.col("end").isNull() | (F.struct("turn_order", "place") < F.col("end"))
     rows = rows.withColumn("part", F.when(before, F.lit("prompt")).otherwise(F.col("side"))).where("part <> 'prompt' OR side = 'chosen'")
     loss = (F.col("part") != "prompt") & (F.col("role") == ANSWERING)
