@@ -295,7 +295,8 @@ def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH hx AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
-win AS (SELECT doc_id, p, hash(x[2 * p + 1:2 * p + 100]) AS h FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS p FROM hx WHERE n >= 50)),
+part AS (SELECT doc_id, c, n, substr(x, 2 * c + 1, 354) AS y FROM (SELECT doc_id, x, n, unnest(range(0, n - 49, 128)) AS c FROM hx WHERE n >= 50)),
+win AS (SELECT doc_id, c + o AS p, hash(substr(y, 2 * o + 1, 100)) AS h FROM (SELECT doc_id, c, y, unnest(range(0, least(128, n - 49 - c))) AS o FROM part)),
 least_ AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h HAVING count(*) > 1),
 rep AS (SELECT doc_id, p FROM win JOIN least_ USING (h) WHERE m < doc_id),
 edge AS (SELECT doc_id, p, max(p + 50) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM rep),
