@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as ECMAScript has it; Java's \s lacks the last ones.
 SPACE = r"[\s   -     　﻿]"
@@ -20,7 +21,7 @@ MUNICIPALITIES = {"北京市": "北京", "上海市": "上海", "天津市": "
 CITIES = ["北京", "上海", "深圳", "广州", "武汉", "杭州", "南京", "成都", "重庆", "天津", "西安", "长沙", "苏州", "厦门", "青岛", "无锡", "全国"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))
 
@@ -92,9 +93,15 @@ def html_text(html: Column) -> Column:
     return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
 
 
+@F.pandas_udf(T.StringType())
+def _gbk(data: pd.Series) -> pd.Series:
+    return data.map(lambda b: None if b is None else bytes(b).decode("gb18030", "replace"))
+
+
 def decoded(data: Column, charset: Column) -> Column:
-    """Text of bytes: GBK where the charset says so, else UTF-8, null where that is not valid."""
-    return F.when(F.lower(charset).isin("gbk", "gb2312", "gb18030"), F.decode(data, "GBK")).otherwise(F.try_validate_utf8(data.cast("string")))
+    """Text of bytes: GBK (which Spark's decode lacks) where the charset says so, else UTF-8, null where that is not valid."""
+    wide = F.coalesce(F.lower(charset).isin("gbk", "gb2312", "gb18030"), F.lit(False))
+    return F.when(wide, _gbk(F.when(wide, data))).otherwise(F.try_validate_utf8(F.when(~wide, data).cast("string")))
 
 
 def clauses(text: Column) -> Column:
@@ -140,7 +147,7 @@ def split_outside(text: Column, protected: tuple[str, ...] = ()) -> Column:
     """Items of a list between `, ， 、 /`, but not within parentheses or the protected phrases."""
     whole = tuple(sorted(protected, key=len, reverse=True))
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _split_outside(t, whole))
 
