@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .hashing import Anchors, Runs, mix, signed, slices, symbols, values_of
 from .sketches import PartSketch, merged
-from .stages import groups_of, partitions, squeezed, stored, unsqueezed
+from .stages import groups_of, new_groups, partitions, squeezed, stored, unsqueezed
 
 LENGTH = 50
 GRAM = 24
@@ -45,7 +45,7 @@ OPEN_WIDTH = 26
 #: Open suffixes of one rank that a task sorts by itself; Spark sorts those of larger ranks.
 FEW = 256
 
-_RANK = pa.schema([("key", pa.int64()), ("whole", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32())])
+_RANK = pa.schema([("key", pa.int64()), ("whole", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32()), ("more", pa.list_(pa.int32()))])
 _MARK = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32())])
 _PLACE = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("id", pa.int64()), ("first", pa.int32())])
 _STRING = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("string", pa.binary())])
@@ -62,31 +62,30 @@ def _occurrence(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + first.astype(np.uint64))
 
 
-class _Carry:
-    """The last row of one batch, for the first of the next."""
-
-    def __init__(self, *start):
-        self.row = start
-
-    def before(self, *columns: np.ndarray) -> list[np.ndarray]:
-        out = [np.concatenate([np.array([v], c.dtype), c[:-1]]) for v, c in zip(self.row, columns)]
-        self.row = tuple(c[-1] for c in columns)
-        return out
+def _marks(batch: pa.RecordBatch, rows: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
+    """All places of the given rows."""
+    key, ids, first, count = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
+    more = batch.column(5).take(pa.array(rows))
+    again = np.repeat(np.arange(len(rows)), more.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    first = np.concatenate([first[rows], more.flatten().to_numpy()])
+    rows, kinds = np.concatenate([rows, rows[again]]), np.concatenate([kinds, kinds[again]])
+    return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(key[rows] * kinds), pa.array(ids[rows]), pa.array(first, pa.int32()), pa.array(count[rows])], schema=_MARK)
 
 
 def _compare(batches):
     """Of rows sorted by key, whole and id: repeats (kind 0) and, where a key has more than one whole, places to open (kind 1).
 
-    A whole's place to open is its first one: it holds the least id.
+    A whole's places to open are those in the text of the least id.  `more`
+    holds a row's further places in the same text, null for none.
     """
     seen = False
     key0 = whole0 = id0 = 0  # the row before
-    lead = lead_key = None  # the first place of the first whole of the last key, until its key is known to be shared
+    lead = lead_key = None  # the first row of the last key's first whole, until its key is known to be shared
     least = 0  # least id of the last whole
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, whole, ids, first, count = (batch.column(i).to_numpy() for i in range(5))
+        key, whole, ids = (batch.column(i).to_numpy() for i in range(3))
         new_key = np.ones(len(key), bool)
         new_whole = np.ones(len(key), bool)
         new_key[1:] = key[1:] != key[:-1]
@@ -104,15 +103,15 @@ def _compare(batches):
         shared = starts[np.unique(owner[owner >= 0])] if len(starts) else starts
         opened = np.concatenate([later, shared])
         if lead is not None and len(later) and (owner < 0).any() and lead_key == key[later[0]]:
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *(pa.array([v], f.type) for v, f in zip(lead, list(_MARK)[1:]))], schema=_MARK)
+            yield _marks(lead, np.zeros(1, int), np.ones(1, np.int32))
             lead = None
         if len(starts):
             s = int(starts[-1])
-            lead = None if s in shared else (key[s], ids[s], first[s], count[s])
+            lead = None if s in shared else batch.slice(s, 1)
             lead_key = key[s]
         rows = np.concatenate([np.flatnonzero(again), opened])
         kinds = np.concatenate([np.zeros(int(again.sum()), np.int32), np.ones(len(opened), np.int32)])
-        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(key[rows] * kinds), pa.array(ids[rows]), pa.array(first[rows]), pa.array(count[rows])], schema=_MARK)
+        yield _marks(batch, rows, kinds)
         seen, key0, whole0, least = True, key[-1], whole[-1], leasts[-1]
 
 
@@ -157,11 +156,18 @@ def earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch, data, at in slices(batches):
             a = _anchors(data, at, length, gram)
             hit = np.flatnonzero(sketch.reaches(a.key))
-            row = a.row[hit]
+            # the places of one string in one text go together, so that text which runs in a circle makes no hot key
+            hit = hit[np.lexsort((a.first[hit], a.whole[hit], a.key[hit], a.row[hit]))]
+            row, key, whole, first = a.row[hit], a.key[hit], a.whole[hit], (a.first[hit] - at[a.row[hit]]).astype(np.int32)
+            heads = np.flatnonzero(new_groups(row, key, whole))
+            sizes = np.diff(np.append(heads, len(hit)))
+            rest = np.ones(len(hit), bool)
+            rest[heads] = False
+            more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes - 1)), pa.int32(), mask=np.append(sizes == 1, False)), pa.array(first[rest]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(a.key[hit])), pa.array(signed(a.whole[hit])), batch.column(0).take(pa.array(row)), pa.array((a.first[hit] - at[row]).astype(np.int32)), pa.array(a.count[hit].astype(np.int32))], schema=_RANK)
+                [pa.array(signed(key[heads])), pa.array(signed(whole[heads])), batch.column(0).take(pa.array(row[heads])), pa.array(first[heads]), pa.array(a.count[hit[heads]].astype(np.int32)), more], schema=_RANK)
 
-    ranked = rows.mapInArrow(rank, "key long, whole long, id long, first int, count int")
+    ranked = rows.mapInArrow(rank, "key long, whole long, id long, first int, count int, more array<int>")
     ranked = ranked.where("id IS NOT NULL").repartition(p, "key").sortWithinPartitions("key", "whole", "id")
     marks = stored(ranked.mapInArrow(_compare, "kind int, key long, id long, first int, count int"), "marks")
     spans = marks.where("kind = 0").select("id", "first", "count")

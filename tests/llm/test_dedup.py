@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -85,6 +86,15 @@ def test_repeated_windows_equal_brute_force(spark, seed, width):
     assert found == windows_by_hand(rows, 8)
 
 
+def test_repeated_windows_of_poor_texts(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice("ab") for _ in range(r.randint(0, 90)))) for i in range(40)] + [(50, "a b " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = substrings.repeated_windows(docs, window=9, gram=3)
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.without(docs, spans).collect()}
+    assert found == windows_by_hand(rows, 9)
+
+
 def test_repeated_windows_of_nothing_and_of_equal_rows(spark):
     assert substrings.remove_repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     text = " ".join(f"w{i}" for i in range(40))
@@ -119,6 +129,18 @@ def test_earlier_strings_equal_brute_force(spark, monkeypatch, few, width):
     assert found == strings_by_hand(rows, 20)
 
 
+@pytest.mark.parametrize("few", [256, 1])
+def test_earlier_strings_of_poor_texts(spark, monkeypatch, few):
+    monkeypatch.setattr(suffixes, "FEW", few)
+    r = random.Random(8)
+    rows = [(i, "".join(r.choice("ab") for _ in range(r.randint(0, 150))) + r.choice(["", "ab" * 20, "abb" * 15]) * 2) for i in range(60)]
+    rows += [(70, "xyz" + rows[3][1][:30] + "q" + rows[3][1][:30] + "w" + rows[3][1][5:40])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = suffixes.earlier_strings(docs, length=14, gram=6)
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.without(docs, spans, length=14).collect()}
+    assert found == strings_by_hand(rows, 14)
+
+
 def test_earlier_strings_of_nothing_and_of_equal_rows(spark):
     assert suffixes.remove_earlier(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     text = "".join(f"{i}," for i in range(40))
