@@ -12,15 +12,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
     here = spark.conf.get(CHECKPOINT_DIR, None)
     if not here:
-        here = tempfile.mkdtemp(prefix="recordloom-")
-        spark.conf.set(CHECKPOINT_DIR, here)
-    return here
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="recordloom-")
+        here = _own[app]
+    return here.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
