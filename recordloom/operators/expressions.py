@@ -95,6 +95,8 @@ def tree_nodes(expression: Column) -> Column:
 
 def trees(rows: DataFrame, id_col: str, expression: str) -> tuple[DataFrame, DataFrame]:
     """(nodes as tree_levels takes them, with leaf; ids of unresolved expressions)."""
-    made = rows.select(F.col(id_col).alias("tree"), tree_nodes(F.col(expression)).alias("nodes"))
+    # each expression is parsed once, however many rows have it
+    parsed = rows.select(F.col(expression).alias("__e")).distinct().withColumn("nodes", tree_nodes(F.col("__e")))
+    made = rows.select(F.col(id_col).alias("tree"), F.col(expression).alias("__x")).join(parsed, F.col("__x").eqNullSafe(F.col("__e"))).select("tree", "nodes")
     nodes = made.where("nodes IS NOT NULL").select("tree", F.inline("nodes"))
     return nodes, made.where("nodes IS NULL").select("tree")

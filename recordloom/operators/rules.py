@@ -103,22 +103,27 @@ def resolved(evidence: DataFrame, keys: list[str], value: str, confirmed: str, e
 
 
 def tree_levels(nodes: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
-    """tree, node, level of every node of boolean trees, from the leaves up, one join and aggregation for each of `depth` storeys.
+    """tree, node, level of every node of boolean trees, from the leaves up through `depth` storeys.
 
     nodes: tree, node, parent (null at the root), operator (AND, OR, NOT, LEAF);
-    leaves: tree, node, level.  Missing leaves are UNKNOWN.
+    leaves: tree, node, level.  Missing leaves are UNKNOWN.  A tree is small, so
+    its nodes meet in one row and are folded there.
     """
-    known = nodes.where("operator = 'LEAF'").join(leaves, ["tree", "node"], "left").select("tree", "node", F.coalesce("level", F.lit(kleene.UNKNOWN)).alias("level"))
-    inner = nodes.where("operator <> 'LEAF'").select("tree", F.col("node").alias("up"), "operator")
-    sizes = nodes.where("parent IS NOT NULL").groupBy("tree", F.col("parent").alias("up")).agg(F.count("*").alias("children"))
-    parents = nodes.select("tree", "node", F.col("parent").alias("up"))
-    for _ in range(depth):
-        below = known.join(parents, ["tree", "node"]).where("up IS NOT NULL")
-        made = below.groupBy("tree", "up").agg(F.count("*").alias("have"), F.min("level").alias("least"), F.max("level").alias("most"))
-        made = made.join(sizes, ["tree", "up"]).where("have = children").join(inner, ["tree", "up"])
-        level = F.when(F.col("operator") == "AND", F.col("least")).when(F.col("operator") == "OR", F.col("most")).otherwise(kleene.negated(F.col("least")))
-        known = known.unionByName(made.select("tree", F.col("up").alias("node"), level.alias("level"))).groupBy("tree", "node").agg(F.min("level").alias("level"))
-    return known
+    at_leaf = F.when(F.col("operator") == "LEAF", F.coalesce("level", F.lit(kleene.UNKNOWN)))
+    rows = nodes.select("tree", "node", "parent", "operator").join(leaves.select("tree", "node", F.col("level").cast("int").alias("level")), ["tree", "node"], "left")
+    whole = rows.groupBy("tree").agg(F.collect_list(F.struct("node", "parent", "operator", at_leaf.alias("level"))).alias("all"))
+
+    def storey(known: Column) -> Column:
+        def one(n: Column) -> Column:
+            below = F.transform(F.filter(known, lambda c: c["parent"] == n["node"]), lambda c: c["level"])
+            ready = (F.size(below) > 0) & ~F.exists(below, lambda v: v.isNull())
+            made = F.when(n["operator"] == "AND", F.array_min(below)).when(n["operator"] == "OR", F.array_max(below)).otherwise(kleene.negated(F.array_min(below)))
+            return F.struct(n["node"].alias("node"), n["parent"].alias("parent"), n["operator"].alias("operator"), F.coalesce(n["level"], F.when(ready, made)).alias("level"))
+
+        return F.transform(known, one)
+
+    folded = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.col("all"), lambda known, _: storey(known))
+    return whole.select("tree", F.inline(folded)).where("level IS NOT NULL").select("tree", "node", "level")
 
 
 def connector(token: Column, context: Column, table: list[tuple[str, str, str]], otherwise: str = "UNRESOLVED") -> Column:
