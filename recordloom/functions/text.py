@@ -10,16 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import fixed
+
 #: White space as ECMAScript has it; Java's \s lacks the last ones.
 SPACE = r"[\s   -     　﻿]"
 
-# Full-width punctuation and what it is folded to, after NFKC.
-PUNCTUATION = {"（": "(", "）": ")", "：": ":", "；": ";", "，": ",", "！": "!", "？": "?"}
-# Municipalities with and without the suffix.
-MUNICIPALITIES = {"北京市": "北京", "上海市": "上海", "天津市": "天津", "重庆市": "重庆"}
-# Cities looked for, in this order.
-CITIES = ["北京", "上海", "深圳", "广州", "武汉", "杭州", "南京", "成都", "重庆", "天津", "西安", "长沙", "苏州", "厦门", "青岛", "无锡", "全国"]
-
 
 @F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
@@ -28,38 +23,37 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 def stable_text(text: Column) -> Column:
     """NFKC, punctuation folded, runs of white space one space, trimmed. NFKC is the one step Spark lacks."""
-    folded = F.translate(_nfkc(text), "".join(PUNCTUATION), "".join(PUNCTUATION.values()))
+    folded = F.translate(_nfkc(text), "".join(fixed.PUNCTUATION), "".join(fixed.PUNCTUATION.values()))
     return F.trim(F.regexp_replace(folded, f"{SPACE}+", " "))
 
 
 def location_name(text: Column) -> Column:
     """stable_text without white space, municipalities by their short names."""
     compact = F.regexp_replace(stable_text(text), f"{SPACE}+", "")
-    names = F.create_map(*[F.lit(x) for pair in MUNICIPALITIES.items() for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in fixed.MUNICIPALITIES.items() for x in pair])
     return F.coalesce(names[compact], compact)
 
 
 def iso_date(text: Column) -> Column:
     """YYYY-MM-DD of the first year, month, day in the text, as text: the calendar isn't asked. Null if there is none."""
-    pattern = r"(?<!\d)(\d{4})[-/.年](\d{1,2})[-/.月](\d{1,2})日?(?!\d)"
-    part = lambda i: F.regexp_extract(text, pattern, i)
+    part = lambda i: F.regexp_extract(text, fixed.DATE, i)
     found = F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))
     return F.when(part(1) != "", found)
 
 
 def year_of(text: Column) -> Column:
     """The first 20xx that is not part of a longer number."""
-    found = F.regexp_extract(text, r"(?<!\d)(20\d{2})(?!\d)", 1)
+    found = F.regexp_extract(text, fixed.YEAR, 1)
     return F.when(found != "", found.cast("int"))
 
 
-def labelled_date(text: Column, labels: list[str], reach: int = 28) -> Column:
+def labelled_date(text: Column, labels: list[str], reach: int = fixed.LABEL_REACH) -> Column:
     """iso_date of the up to `reach` characters of one clause that follow the first of the labels."""
     context = F.regexp_extract(text, "(?:" + "|".join(map(re.escape, labels)) + f")[：:\\s]*([^，。；;\\n]{{0,{reach}}})", 1)
     return iso_date(context)
 
 
-def cities_in(text: Column, cities: list[str] = CITIES, most: int = 4, otherwise: str = "全国/未注明") -> Column:
+def cities_in(text: Column, cities: list[str] = fixed.CITIES, most: int = 4, otherwise: str = "全国/未注明") -> Column:
     """Up to `most` of the listed cities, in list order."""
     found = F.filter(F.array(*map(F.lit, cities)), lambda c: F.contains(text, c))
     return F.when(F.size(found) > 0, F.array_join(F.slice(found, 1, most), "、")).otherwise(F.lit(otherwise))
@@ -78,7 +72,7 @@ def first_listed(text: Column, terms: list[str], otherwise: Column | None = None
 
 
 def mail_link(text: Column) -> Column:
-    found = F.regexp_extract(text, r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", 0)
+    found = F.regexp_extract(text, fixed.MAIL, 0)
     return F.when(found != "", F.concat(F.lit("mailto:"), found))
 
 
@@ -201,10 +195,8 @@ def detail_url(url: Column) -> Column:
     """Whether a URL leads to one posting: list pages are none, whatever else they match."""
     path = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1))
     keys = F.transform(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda p: F.lower(F.substring_index(p, "=", 1)))
-    listing = path.rlike(r"(^|/)(index|list|recruiting)\.html?$") | path.rlike(r"/(campus|recruit|jobs?)/?$")
-    detail = path.rlike(r"/(detail|jobdetail|post|positions?|jobs?|vacancy)(/|$)") | path.rlike(r"/job(_z)?-?\d[\d-]*\.html?$")
-    detail = detail | path.rlike(r"/(news|content)/\d+(\.html?)?$") | path.rlike(r"/content/id/\d+")
-    keyed = F.arrays_overlap(keys, F.array(*map(F.lit, ["jobadid", "jobid", "positionid", "position_id"])))
+    listing, detail = path.rlike("|".join(fixed.LIST_PATHS)), path.rlike("|".join(fixed.DETAIL_PATHS))
+    keyed = F.arrays_overlap(keys, F.array(*map(F.lit, fixed.DETAIL_NAMES)))
     return F.coalesce(~listing & (detail | keyed), F.lit(False))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kleene
+from ..functions import fixed, kleene
+from ..functions.text import first_class, first_listed
 
 #: Rules in one broadcast table.
 MOST_RULES = 10_000
@@ -141,3 +142,28 @@ def score(weight: Column, excluded: Column, rejected: Column, bonus: list[Column
     for c in malus:
         out = out - F.coalesce(c, F.lit(False)).cast("int")
     return F.when(excluded, 0).when(rejected, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(5), out))).cast("int")
+
+
+def _compact(text: Column) -> Column:
+    return F.regexp_replace(text, r"\s+", "")
+
+
+def direction(text: Column) -> Column:
+    """The first listed direction in a text, else what its job label names, else the direction of others."""
+    named = F.trim(F.regexp_extract(_compact(text), fixed.DIRECTION_LABEL, 1))
+    return first_listed(_compact(text), fixed.DIRECTIONS, F.coalesce(F.when(named != "", named), F.lit(fixed.DIRECTION_OTHERWISE)))
+
+
+def major_rule(text: Column) -> Column:
+    """What a text says about applicants of other majors."""
+    return first_class(_compact(text), fixed.MAJOR_RULES, fixed.MAJOR_OTHERWISE)
+
+
+def match_score(unit_name: Column, industry: Column, unit_type: Column, title: Column, body: Column) -> Column:
+    """0 to 5 for a posting; nulls count as empty."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    weights = F.create_map(*[F.lit(x) for pair in fixed.UNIT_WEIGHTS.items() for x in pair])
+    about, rule = F.concat_ws(" ", text(title), text(body)), major_rule(text(body))
+    return score(
+        F.coalesce(weights[unit_type], F.lit(fixed.WEIGHT_OTHERWISE)), excluded_by_term(F.concat_ws(" ", text(unit_name), text(industry), text(title)), fixed.EXCLUDED_TERMS), rule.isin(fixed.REJECTING),
+        [direction(about).isin(fixed.RAISED_DIRECTIONS), rule == fixed.ACCEPTING], [rule == fixed.MAJOR_OTHERWISE])

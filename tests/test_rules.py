@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.operators import clauses, gates
+from recordloom.functions import fixed
+from recordloom.operators import clauses, gates, rules
 
 CASES = [
     ("具有中华人民共和国国籍", "GENERAL_ELIGIBILITY", "GAP", []),
@@ -109,3 +110,27 @@ def test_major_scopes_and_credentials(spark):
     people = spark.createDataFrame([([("BACHELOR", 1), ("MASTER", 2)],)], "c array<struct<level:string,rank:int>>")
     pick = lambda s: [c.level for c in people.select(gates.credentials(F.col("c"), F.lit(s)).alias("x")).first().x or []]
     assert [pick(s) for s in ("UNDERGRADUATE", "GRADUATE", "HIGHEST", "ALL", "OTHER")] == [["BACHELOR"], ["MASTER"], ["MASTER"], ["BACHELOR", "MASTER"], []]
+
+
+def test_match_scores(spark):
+    rows_ = [
+        ("甲公司", "能源", "央企", "法务岗", "法律硕士（非法学）可报", 5),
+        ("中铁一局", "基建", "央企", "法务岗", "", 0),
+        ("甲公司", None, "律所", "律师助理", "不接受法律硕士（非法学）", 1),
+        ("甲公司", None, "其他企业", "助理", "", 2),
+        ("甲公司", None, "没有", "内控岗", "法学专业", 3),
+        ("甲公司", None, "其他企业", "合规管理", "法学专业", 4),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows_)], "i int, u string, n string, t string, j string, b string, want int")
+    out = df.select("i", "want", rules.match_score(F.col("u"), F.col("n"), F.col("t"), F.col("j"), F.col("b")).alias("got")).orderBy("i").collect()
+    assert [r.got for r in out] == [r.want for r in out]
+    named = spark.createDataFrame([("岗位名称：行 政 专员，其他",), ("无",), ("数据合规与法务",)], "t string").select(rules.direction(F.col("t")).alias("d")).collect()
+    assert [r.d for r in named] == ["行政专员", fixed.DIRECTION_OTHERWISE, "法务"]
+
+
+def test_legal_findings(spark):
+    df = spark.createDataFrame([(1, "负责合同起草与诉讼，合同管理"), (2, "软件开发"), (3, None)], "i int, t string")
+    found = rules.findings(df, "i", "t", fixed.RELEVANCE_RULES)
+    assert rows(found, "i", "rule") == [(1, "CONTRACT_MANAGEMENT"), (1, "DISPUTE_RESOLUTION"), (1, "LEGAL_DOCUMENT_DRAFTING"), (2, "SOFTWARE_ENGINEERING")]
+    covered = df.withColumn("c", F.lit(True))
+    assert rows(rules.relevance(found, covered, "i", "c"), "i", "relevance") == [(1, "RELEVANT"), (2, "NOT_RELEVANT"), (3, "REVIEW")]
