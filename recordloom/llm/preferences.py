@@ -37,7 +37,11 @@ def pairs_of(conversations: DataFrame) -> DataFrame:
     ranges that may split a very common first turn, and meet their neighbours
     by number; so pairs are fewer than conversations, whatever the turns.
     """
-    turns = _turns(conversations).withColumn("opening", F.sha2(F.to_json(F.array("role", "text")), 256))
+    return _neighbours(_turns(conversations))
+
+
+def _neighbours(turns: DataFrame) -> DataFrame:
+    turns = turns.withColumn("opening", F.sha2(F.to_json(F.array("role", "text")), 256))
     first = turns.groupBy("conv_id").agg(F.min(F.struct(F.coalesce("turn", F.lit(-(1 << 62))), "place", "opening")).alias("first"))
     convs = numbered(first.select(F.col("first.opening").alias("opening"), "conv_id"), ["opening", "conv_id"])
     after = convs.select((F.col("row_number") - 1).alias("row_number"), F.col("opening").alias("next_opening"), F.col("conv_id").alias("rejected"))
@@ -53,7 +57,11 @@ def preference_segments(conversations: DataFrame, pairs: DataFrame) -> DataFrame
     first, null roles and texts count as empty, rows without a conversation
     and pairs with an unknown or null side add nothing of that side.
     """
-    turns = stored(_turns(conversations).withColumn("turn_order", F.coalesce("turn", F.lit(-(1 << 62)))), "turns")
+    return _segments(stored(_turns(conversations), "turns"), pairs)
+
+
+def _segments(turns: DataFrame, pairs: DataFrame) -> DataFrame:
+    turns = turns.withColumn("turn_order", F.coalesce("turn", F.lit(-(1 << 62))))
     pairs = pairs.select("chosen", "rejected").distinct()
     sided = pairs.select("*", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("conv_id")) for s in ("chosen", "rejected")])).alias("s")).select("chosen", "rejected", "s.*")
     # the prefix is found on hashes; texts move once, to the pairs whose ends are known
@@ -77,7 +85,11 @@ def borrowed_answers(conversations: DataFrame) -> DataFrame:
     real ids (0 and up) don't use.  The last conversation that has an answer,
     and those without one, get no counterpart.
     """
-    turns = _turns(conversations).withColumn("turn_order", F.coalesce("turn", F.lit(-(1 << 62))))
+    return _borrowed(_turns(conversations))
+
+
+def _borrowed(turns: DataFrame) -> DataFrame:
+    turns = turns.withColumn("turn_order", F.coalesce("turn", F.lit(-(1 << 62))))
     last = turns.where(F.col("role") == ANSWERING).groupBy("conv_id").agg(F.max(F.struct("turn_order", "place", "turn", "text")).alias("last"))
     last = numbered(last, ["conv_id"])
     other = last.select((F.col("row_number") - 1).alias("row_number"), F.col("last.text").alias("text"))
@@ -88,9 +100,10 @@ def borrowed_answers(conversations: DataFrame) -> DataFrame:
 
 def op5_preference_format(spark, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    borrowed = stored(borrowed_answers(conversations), "borrowed")
+    turns = stored(_turns(conversations), "turns")
+    borrowed = stored(_turns(_borrowed(turns)), "borrowed")
     opposed = borrowed.select((-1 - F.col("conv_id")).alias("chosen"), F.col("conv_id").alias("rejected")).distinct()
-    return preference_segments(conversations.unionByName(borrowed), pairs_of(conversations).unionByName(opposed))
+    return _segments(turns.unionByName(borrowed), _neighbours(turns).unionByName(opposed))
 
 
 OP5_SQL = r"""
