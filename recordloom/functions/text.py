@@ -53,6 +53,19 @@ def labelled_date(text: Column, labels: list[str], reach: int = fixed.LABEL_REAC
     return iso_date(context)
 
 
+def deadline(text: Column) -> Column:
+    return labelled_date(text, fixed.DEADLINE_LABELS)
+
+
+def start_date(text: Column) -> Column:
+    return labelled_date(text, fixed.START_LABELS)
+
+
+def education(text: Column) -> Column:
+    """The education class of the first wording that the text holds."""
+    return first_class(text, fixed.EDUCATION, fixed.EDUCATION_OTHERWISE)
+
+
 def cities_in(text: Column, cities: list[str] = fixed.CITIES, most: int = 4, otherwise: str = "全国/未注明") -> Column:
     """Up to `most` of the listed cities, in list order."""
     found = F.filter(F.array(*map(F.lit, cities)), lambda c: F.contains(text, c))

@@ -45,7 +45,9 @@ def test_dates(spark, text, date, year):
 
 
 def test_labelled_date(spark):
-    f = tx.labelled_date(F.col("v"), ["截止", "报名至"])
+    f = tx.deadline(F.col("v"))
+    assert one(spark, tx.start_date(F.col("v")), v="发布日期：2026.1.2，截止2026-05-06") == "2026-01-02"
+    assert [one(spark, tx.education(F.col("v")), v=v) for v in ("博士优先", "硕士", "本科", "x")] == ["硕士及以上", "硕士研究生", "本科及以上", "学历要求待核验"]
     assert one(spark, f, v="发布 2026-01-01；截止：2026年5月6日") == "2026-05-06"
     assert one(spark, f, v="截止：待定。2026-05-06") is None
 
