@@ -271,24 +271,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed_ = stored(rows.mapInArrow(_sign, "id long, n long, set1 long, set2 long, bands array<long>, sketch binary"), "signatures")
-    classes = stored(signed_.where("n > 0").groupBy("set1", "set2", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = signed_.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    signatures = stored(rows.mapInArrow(_sign, "id long, n long, set1 long, set2 long, bands array<long>, sketch binary"), "signatures")
+    classes = stored(signatures.where("n > 0").groupBy("set1", "set2", "n").agg(F.min("id").alias("rep")), "classes")
+    reps = signatures.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
     banded = stored(reps.select(F.col("id").alias("rep"), "bands"), "bands").select("rep", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     members = banded.join(buckets, "key")
     members = _blocked(members, "key", F.ceil(F.col("m") / BUCKET_BLOCK).cast("int"), "rep")
-    members = members.join(signed_.select(F.col("id").alias("rep"), "n", "sketch").dropDuplicates(["rep"]), "rep")
+    members = members.join(signatures.select(F.col("id").alias("rep"), "n", "sketch").dropDuplicates(["rep"]), "rep")
     p = partitions(spark)
     dealt = members.select("key", "i", "j", "rep", "n", "sketch").repartition(p, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     families = stored(components(dealt.mapInArrow(_sift(percent), "a long, b long")), "families")
-    weights = families.join(signed_.select(F.col("id").alias("node"), "n").dropDuplicates(["node"]), "node").withColumnsRenamed({"label": "family", "node": "rep"})
+    weights = families.join(signatures.select(F.col("id").alias("node"), "n").dropDuplicates(["node"]), "node").withColumnsRenamed({"label": "family", "node": "rep"})
     totals = weights.groupBy("family").agg(F.sum("n").alias("total"))
     placed = _blocked(weights.join(totals, "family"), "family", F.ceil(F.col("total") / FAMILY_BLOCK).cast("int"), "rep")
     texts = rows.join(families.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "rep")
     whole = placed.join(texts, "rep").select("family", "i", "j", "rep", "text").repartition(p, "family", "i", "j").sortWithinPartitions("family", "i", "j")
     labels = stored(components(whole.mapInArrow(_confirm(percent), "a long, b long")), "labels")
-    out = signed_.select("id", "n", "set1", "set2").join(classes, ["set1", "set2", "n"], "left")
+    out = signatures.select("id", "n", "set1", "set2").join(classes, ["set1", "set2", "n"], "left")
     out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     label = F.coalesce("label", "rep", "id")
     return out.select("id", F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("id") == label, F.lit(True)).alias("kept"))
