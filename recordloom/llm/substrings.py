@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 
 from .hashing import Anchors, signed, slices, word_hashes, words_of
 from .sketches import PartSketch, merged
-from .stages import squeezed, stored, unsqueezed
+from .stages import new_groups, squeezed, stored, unsqueezed
 
 WINDOW = 35
 GRAM = 12
 LOG2_WIDTH = 27
 ROWS = 2
 
-_FOUND = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("whole", pa.int64()), ("first", pa.int32()), ("count", pa.int32()), ("windows", pa.list_(pa.int64()))])
+_FOUND = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("whole", pa.int64()), ("firsts", pa.list_(pa.int32())), ("count", pa.int32()), ("windows", pa.list_(pa.int64()))])
 _KEPT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
 
 
@@ -38,7 +38,7 @@ def _anchors(data, at, window, gram):
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, log2_width: int = LOG2_WIDTH) -> DataFrame:
-    """Word spans covered by windows that start in more than one place: id, first (word), length.
+    """Word spans covered by windows that start in more than one place: id, firsts (words at which such a span begins), length.
 
     Ids must be unique, but for repeated equal rows, which count as copies.  Null and empty texts, and texts of fewer words than a window, have none.
     """
@@ -60,24 +60,30 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             hit = np.flatnonzero(sketch.reaches(a.key))
             if not len(hit):
                 continue
-            row, first, n = a.row[hit], a.first[hit], a.count[hit]
+            # the places of one string in one text go together, so that text which runs in a circle makes no hot key
+            hit = hit[np.lexsort((a.first[hit], a.whole[hit], a.key[hit], a.row[hit]))]
+            heads = np.flatnonzero(new_groups(a.row[hit], a.key[hit], a.whole[hit]))
+            firsts = pa.ListArray.from_arrays(pa.array(np.append(heads, len(hit)).astype(np.int32)), pa.array((a.first[hit] - begins[a.row[hit]]).astype(np.int32)))
+            one = hit[heads]
+            n = a.count[one]
             ends = np.cumsum(n)
-            start = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(first, n)
+            start = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(a.first[one], n)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(signed(a.runs.of(start, start + window))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(signed(a.key[hit])), pa.array(signed(a.whole[hit])), pa.array((first - begins[row]).astype(np.int32)), pa.array(n.astype(np.int32)), lists], schema=_FOUND)
+                [batch.column(0).take(pa.array(a.row[one])), pa.array(signed(a.key[one])), pa.array(signed(a.whole[one])), firsts, pa.array(n.astype(np.int32)), lists], schema=_FOUND)
 
-    found = stored(rows.mapInArrow(find, "id long, key long, whole long, first int, count int, windows array<long>"), "windows")
-    wholes = found.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "first")).alias("at"))
+    found = stored(rows.mapInArrow(find, "id long, key long, whole long, firsts array<int>, count int, windows array<long>"), "windows")
+    found = found.withColumn("first", F.col("firsts")[0])
+    wholes = found.groupBy("key", "whole").agg(F.sum(F.size("firsts")).alias("n"), F.min(F.struct("id", "first")).alias("at"))
     wholes = stored(wholes, "wholes")
-    spans = found.select("id", "key", "whole", "first", "count").join(wholes.where("n > 1").select("key", "whole"), ["key", "whole"], "left_semi")
-    spans = spans.select("id", "first", (F.col("count") + (window - 1)).alias("length"))
+    spans = found.select("id", "key", "whole", "firsts", "count").join(wholes.where("n > 1").select("key", "whole"), ["key", "whole"], "left_semi")
+    spans = spans.select("id", "firsts", (F.col("count") + (window - 1)).alias("length"))
     # one place of each string is enough where an anchor has several; it stands for all n of them
     several = wholes.groupBy("key").agg(F.count("*").alias("strings")).where("strings > 1").select("key")
     open_ = wholes.join(several, "key", "left_semi").select("key", "whole", "n", F.col("at.id").alias("id"), F.col("at.first").alias("first"))
     single = found.join(open_, ["key", "whole", "id", "first"]).select("id", "key", "first", "n", F.posexplode("windows").alias("place", "hash"))
     times = F.sum("n").over(Window.partitionBy("key", "hash"))
-    more = single.withColumn("times", times).where("times > 1 AND n = 1").select("id", (F.col("first") + F.col("place")).alias("first"), F.lit(window).alias("length"))
+    more = single.withColumn("times", times).where("times > 1 AND n = 1").select("id", F.array(F.col("first") + F.col("place")).alias("firsts"), F.lit(window).alias("length"))
     return spans.unionAll(more)
 
 
@@ -87,9 +93,9 @@ def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     Other columns stay; columns of docs with one of these names are replaced.
     """
     names = [f.name for f in docs.schema if f.name not in _KEPT.names[1:]]
-    packed = spans.groupBy("id").agg(F.collect_list(F.struct("first", "length")).alias("__spans"))
+    packed = spans.groupBy("id").agg(F.collect_list(F.struct("firsts", "length")).alias("__spans"))
     work = squeezed(docs.select(*[F.col(f"`{n}`") for n in names]), text_col).join(packed.withColumnRenamed("id", "__id"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
-    work = work.withColumn("__first", F.col("__spans.first")).withColumn("__length", F.col("__spans.length")).drop("__spans")
+    work = work.withColumn("__first", F.col("__spans.firsts")).withColumn("__length", F.col("__spans.length")).drop("__spans")
     out = "n_words long, n_removed long, kept_text string, kept_sha256 string"
 
     def cut(batches):
@@ -102,7 +108,8 @@ def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
                 lo, hi = int(begins[i]), int(begins[i + 1])
                 keep = np.ones(hi - lo, bool)
                 if first[i].is_valid:
-                    f, n = first[i].values.to_numpy(), length[i].values.to_numpy()
+                    places = first[i].values
+                    f, n = places.flatten().to_numpy(), np.repeat(length[i].values.to_numpy(), places.value_lengths().to_numpy())
                     edge = np.zeros(hi - lo + 1, np.int64)
                     np.add.at(edge, f, 1)
                     np.add.at(edge, f + n, -1)
