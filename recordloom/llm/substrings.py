@@ -16,7 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import Anchors, signed, slices, word_hashes, words_of
@@ -28,7 +28,7 @@ GRAM = 12
 LOG2_WIDTH = 27
 ROWS = 2
 
-_FOUND = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("whole", pa.int64()), ("firsts", pa.list_(pa.int32())), ("count", pa.int32()), ("windows", pa.list_(pa.int64()))])
+_FOUND = pa.schema([("id", pa.int64()), ("bare", pa.int64()), ("key", pa.int64()), ("whole", pa.int64()), ("firsts", pa.list_(pa.int32())), ("count", pa.int32()), ("windows", pa.list_(pa.int64()))])
 _KEPT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
 
 
@@ -37,12 +37,20 @@ def _anchors(data, at, window, gram):
     return Anchors(word_hashes(data, starts, ends), begins, window, gram), begins
 
 
+def _owner(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """The key of a row, never null: its id and 0, or without an id two hashes of its text, the second one odd."""
+    id_, text = F.col(id_col).cast("long"), F.col(text_col)
+    return F.coalesce(id_, F.xxhash64(text)), F.when(id_.isNull(), F.xxhash64(F.lit(1), text).bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("long")
+
+
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, log2_width: int = LOG2_WIDTH) -> DataFrame:
-    """Word spans covered by windows that start in more than one place: id, firsts (words at which such a span begins), length.
+    """Word spans covered by windows that start in more than one place: id, bare, firsts (words at which such a span begins), length.
 
-    Ids must be unique, but for repeated equal rows, which count as copies.  Null and empty texts, and texts of fewer words than a window, have none.
+    id and bare are the key that `_owner` gives a row.  Ids must be unique, but
+    for repeated equal rows, which count as copies.  Null and empty texts, and texts of fewer words than a window, have none.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    id_, bare = _owner(id_col, text_col)
+    rows = docs.select(id_.alias("id"), bare.alias("bare"), F.col(text_col).alias("text"))
 
     def count(batches):
         sketch = PartSketch(ROWS, log2_width)
@@ -70,20 +78,20 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             start = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(a.first[one], n)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(signed(a.runs.of(start, start + window))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(a.row[one])), pa.array(signed(a.key[one])), pa.array(signed(a.whole[one])), firsts, pa.array(n.astype(np.int32)), lists], schema=_FOUND)
+                [*(batch.column(i).take(pa.array(a.row[one])) for i in (0, 1)), pa.array(signed(a.key[one])), pa.array(signed(a.whole[one])), firsts, pa.array(n.astype(np.int32)), lists], schema=_FOUND)
 
-    found = stored(rows.mapInArrow(find, "id long, key long, whole long, firsts array<int>, count int, windows array<long>"), "windows")
+    found = stored(rows.mapInArrow(find, "id long, bare long, key long, whole long, firsts array<int>, count int, windows array<long>"), "windows")
     found = found.withColumn("first", F.col("firsts")[0])
-    wholes = found.groupBy("key", "whole").agg(F.sum(F.size("firsts")).alias("n"), F.min(F.struct("id", "first")).alias("at"))
+    wholes = found.groupBy("key", "whole").agg(F.sum(F.size("firsts")).alias("n"), F.min(F.struct("id", "bare", "first")).alias("at"))
     wholes = stored(wholes, "wholes")
-    spans = found.select("id", "key", "whole", "firsts", "count").join(wholes.where("n > 1").select("key", "whole"), ["key", "whole"], "left_semi")
-    spans = spans.select("id", "firsts", (F.col("count") + (window - 1)).alias("length"))
+    spans = found.select("id", "bare", "key", "whole", "firsts", "count").join(wholes.where("n > 1").select("key", "whole"), ["key", "whole"], "left_semi")
+    spans = spans.select("id", "bare", "firsts", (F.col("count") + (window - 1)).alias("length"))
     # one place of each string is enough where an anchor has several; it stands for all n of them
     several = wholes.groupBy("key").agg(F.count("*").alias("strings")).where("strings > 1").select("key")
-    open_ = wholes.join(several, "key", "left_semi").select("key", "whole", "n", F.col("at.id").alias("id"), F.col("at.first").alias("first"))
-    single = found.join(open_, ["key", "whole", "id", "first"]).select("id", "key", "first", "n", F.posexplode("windows").alias("place", "hash"))
+    open_ = wholes.join(several, "key", "left_semi").select("key", "whole", "n", "at.*")
+    single = found.join(open_, ["key", "whole", "id", "bare", "first"]).select("id", "bare", "key", "first", "n", F.posexplode("windows").alias("place", "hash"))
     times = F.sum("n").over(Window.partitionBy("key", "hash"))
-    more = single.withColumn("times", times).where("times > 1 AND n = 1").select("id", F.array(F.col("first") + F.col("place")).alias("firsts"), F.lit(window).alias("length"))
+    more = single.withColumn("times", times).where("times > 1 AND n = 1").select("id", "bare", F.array(F.col("first") + F.col("place")).alias("firsts"), F.lit(window).alias("length"))
     return spans.unionAll(more)
 
 
@@ -93,8 +101,10 @@ def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     Other columns stay; columns of docs with one of these names are replaced.
     """
     names = [f.name for f in docs.schema if f.name not in _KEPT.names[1:]]
-    packed = spans.groupBy("id").agg(F.collect_list(F.struct("firsts", "length")).alias("__spans"))
-    work = squeezed(docs.select(*[F.col(f"`{n}`") for n in names]), text_col).join(packed.withColumnRenamed("id", "__id"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+    packed = spans.groupBy(F.col("id").alias("__id"), F.col("bare").alias("__bare")).agg(F.collect_list(F.struct("firsts", "length")).alias("__spans"))
+    id_, bare = _owner(id_col, text_col)
+    keyed = docs.select(*[F.col(f"`{n}`") for n in names], id_.alias("__id"), bare.alias("__bare"))
+    work = squeezed(keyed, text_col).join(packed, ["__id", "__bare"], "left").drop("__id", "__bare")
     work = work.withColumn("__first", F.col("__spans.firsts")).withColumn("__length", F.col("__spans.length")).drop("__spans")
     out = "n_words long, n_removed long, kept_text string, kept_sha256 string"
 
@@ -134,8 +144,10 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are maximal runs outside ASCII white space.  Windows are judged on
     the input.  Null texts count as no words; equal rows are copies of each
-    other, so all their windows go; one id must not stand for different texts;
-    an empty table stays empty.  Columns named like the added ones are replaced.
+    other, so all their windows go; one id must not stand for different texts.
+    Each row without an id is a document of its own, searched and cut as those
+    with ids are (OP6_SQL, which joins on ids, counts its windows but leaves it
+    whole); an empty table stays empty.  Columns named like the added ones are replaced.
     """
     return without(docs, repeated_windows(docs, id_col, text_col, window), id_col, text_col)
 

@@ -102,6 +102,19 @@ def test_repeated_windows_of_nothing_and_of_equal_rows(spark):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in rows) == [(1, 40, 40, ""), (1, 40, 40, ""), (2, 0, 0, "")]
 
 
+def test_repeated_windows_of_rows_without_an_id(spark):
+    passage = " ".join(f"p{i}" for i in range(9))
+    own = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    texts = [f"{own('a', 30)} {passage}", f"{passage} {own('b', 3)}", own("c", 50), own("d", 12), own("d", 12), "short", None]
+    # an id whose only repeat lies in a text without an id, in other words around it, so that it is judged window by window
+    rows = [(None, t) for t in texts] + [(5, f"{own('e', 4)} {passage} {own('f', 6)}"), (6, f"{own('g', 20)} {own('c', 50).split(' c20 ')[0]} {own('h', 3)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cut = substrings.without(docs, substrings.repeated_windows(docs, window=8, gram=3))
+    found = sorted((r.doc_id or 0, r.text or "", r.n_words, r.n_removed, r.kept_sha256) for r in cut.collect())
+    by_hand = windows_by_hand([(k, t) for k, (_, t) in enumerate(rows)], 8)
+    assert found == sorted((i or 0, t or "", *by_hand[k]) for k, (i, t) in enumerate(rows))
+
+
 def strings_by_hand(rows, size):
     docs = {i: (t or "").encode() for i, t in rows}
     least = {}
