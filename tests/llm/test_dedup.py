@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -57,6 +58,19 @@ def test_near_duplicates_of_nothing_and_of_equal_rows(spark):
     assert [r.n_shingles for r in rows if r.id is None] == [4]
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_sketches_lose_less_than_bands(similarity):
+    samples, bits = neardup.BANDS * neardup.BAND_ROWS, neardup.SKETCH_BITS
+    most = neardup.most_ones(similarity)
+    ones = [1.0] + [0.0] * bits  # how likely so many ones are after so many flips of random bits
+    sifted = 0.0
+    for differ in range(samples + 1):
+        sifted += math.comb(samples, differ) * (1 - similarity) ** differ * similarity ** (samples - differ) * sum(ones[most + 1 :])
+        for _ in range(2):
+            ones = [(ones[k - 1] * (bits - k + 1) if k else 0) / bits + (ones[k + 1] * (k + 1) if k < bits else 0) / bits for k in range(bits + 1)]
+    assert sifted < 0.1 * (1 - similarity**neardup.BAND_ROWS) ** neardup.BANDS
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r.node: r.label for r in components(edges).collect()}
