@@ -1,10 +1,10 @@
-"""Removal of byte strings that an earlier document holds, by prefix doubling over sampled suffixes.
+"""Removal of byte strings that an earlier document holds, by hashes of sampled suffixes at three lengths.
 
-Method.  A suffix array ranks suffixes by ever longer prefixes: Spark sorts
-(rank, position) pairs, positions whose rank is unique drop out, and those
-that are left are ranked by pairs of ranks at a doubled offset until the prefix
-reaches the threshold.  Two things differ from the textbook so that it fits a
-cluster's disks:
+Method.  A suffix array by prefix doubling ranks suffixes by ever longer
+prefixes: Spark sorts (rank, position) pairs, positions whose rank is unique
+drop out, and those that are left are ranked by pairs of ranks at a doubled
+offset until the prefix reaches the threshold.  That is replaced here by
+anchors, as in substrings.py, over bytes; nothing is doubled:
 
 * Ranks are names (64-bit hashes of the prefix), which sort and compare for
   equality as ranks do and which a task can form for any length by itself, as
