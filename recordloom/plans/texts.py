@@ -115,6 +115,6 @@ SELECT o_custkey, sha256('{"keys":[' || string_agg(DISTINCT '"' || o_orderpriori
 """)
 def q_semantic_hash(spark, d):
     """Content hashes in which set-like fields have one form."""
-    lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("p"))
+    lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("p"))
     fields = {"owner": F.col("o_custkey"), "keys": F.col("p"), "spare": F.lit(None).cast("string")}
     return lists.select("o_custkey", canon.semantic_hash(fields, sets=("keys",)).alias("content_hash"))

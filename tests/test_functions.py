@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import itertools
 import json
 
@@ -130,3 +131,14 @@ def test_identity_bases_depend_on_their_order(spark):
     choices = [("id", {"id": F.lit("7")}), ("url", {"url": F.lit("/u")})]
     assert one(spark, canon.first_basis(*choices)["kind"], v="") == "id" and one(spark, canon.first_basis(*choices[::-1])["kind"], v="") == "url"
     assert one(spark, canon.identity_hash(F.lit("s"), canon.first_basis(("id", {"id": F.lit(None).cast("string")}))), v="") is None
+
+
+def test_semantic_hash_query_keeps_one_of_each_value(spark, tmp_path):
+    from recordloom.plans import texts
+
+    spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (1, None), (2, "a")], "o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    out = texts.q_semantic_hash(spark, str(tmp_path))
+    assert {r.o_custkey: r.content_hash for r in out.collect()} == {
+        k: hashlib.sha256(('{"keys":[' + v + f'],"owner":{k},"spare":null}}').encode()).hexdigest() for k, v in [(1, '"a","b"'), (2, '"a"')]}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" in plan and "collect_list" not in plan
