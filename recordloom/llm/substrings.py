@@ -16,7 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Anchors, signed, slices, word_hashes, words_of
@@ -90,8 +90,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     several = wholes.groupBy("key").agg(F.count("*").alias("strings")).where("strings > 1").select("key")
     open_ = wholes.join(several, "key", "left_semi").select("key", "whole", "n", "at.*")
     single = found.join(open_, ["key", "whole", "id", "bare", "first"]).select("id", "bare", "key", "first", "n", F.posexplode("windows").alias("place", "hash"))
-    times = F.sum("n").over(Window.partitionBy("key", "hash"))
-    more = single.withColumn("times", times).where("times > 1 AND n = 1").select("id", "bare", F.array(F.col("first") + F.col("place")).alias("firsts"), F.lit(window).alias("length"))
+    # sums are combined before the shuffle, and the join back may be split, so that a window of very many texts makes no hot task
+    again = single.groupBy("key", "hash").agg(F.sum("n").alias("times")).where("times > 1").select("key", "hash")
+    more = single.where("n = 1").join(again, ["key", "hash"], "left_semi").select("id", "bare", F.array(F.col("first") + F.col("place")).alias("firsts"), F.lit(window).alias("length"))
     return spans.unionAll(more)
 
 

@@ -116,6 +116,15 @@ def test_repeated_windows_of_nothing_and_of_equal_rows(spark):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in rows) == [(1, 40, 40, ""), (1, 40, 40, ""), (2, 0, 0, "")]
 
 
+def test_repeated_window_of_many_texts_is_summed_before_the_shuffle(spark):
+    passage = " ".join(f"p{i}" for i in range(9))
+    rows = [(i, f"a{i} b{i} {passage} c{i} d{i}") for i in range(50)]
+    spans = substrings.repeated_windows(spark.createDataFrame(rows, "doc_id long, text string"), window=8, gram=3)
+    plan = spans._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [" not in plan and "Aggregate [key" in plan
+    assert sorted((r.id, r.firsts[0]) for r in spans.collect()) == [(i, p) for i in range(50) for p in (2, 3)]
+
+
 def test_repeated_windows_of_rows_without_an_id(spark):
     passage = " ".join(f"p{i}" for i in range(9))
     own = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
