@@ -2,16 +2,20 @@
 
 Each task sketches its own keys; the tasks' cells meet in Spark by block of
 cells and are added there, in work space that does not depend on the rows.
-What is left of it, `rows * 2**log2_width` bits, is of a size that is fixed
-before any row is read, so it can be broadcast.  An estimate is never below
-the count: a key that occurs twice has all its cells counted twice.  With more
-keys than cells the sketch only filters less.
+What is left of it, `rows * 2**log2_width` bits at most, is of a size that is
+fixed before any row is read, so it can be broadcast, compressed and without
+the blocks that hold no bit.  An estimate is never below the count: a key that
+occurs twice has all its cells counted twice.  With more keys than cells the
+sketch only filters less, so what follows it must not rely on it for its size.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from .stages import partitions
@@ -20,6 +24,7 @@ _BLOCK = 16
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 _PARTS = pa.schema([("block", pa.int64()), ("cells", pa.binary())])
 _BITS = pa.schema([("block", pa.int64()), ("bits", pa.binary())])
+_opened: dict[str, np.ndarray] = {}
 
 
 def cells(keys: np.ndarray, row: int, log2_width: int) -> np.ndarray:
@@ -70,12 +75,16 @@ class PartSketch:
 def merged(parts: DataFrame, rows: int, log2_width: int, least: int = 2) -> "Sketch":
     """Add the tasks' cells and keep, for each cell, whether its count reaches `least`."""
 
+    def bits_of(block, count):
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([zstandard.compress(np.packbits(count >= least, bitorder="little").tobytes(), 1)])], schema=_BITS)
+
     def add(batches):
         count, now = np.zeros(1 << _BLOCK, np.uint8), None
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if block != now and now is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.packbits(count >= least, bitorder="little").tobytes()])], schema=_BITS)
+                if block != now:
+                    if (count >= least).any():
+                        yield bits_of(now, count)
                     count[:] = 0
                 now = block
                 at = _cells_of(np.frombuffer(data.as_buffer(), np.uint8))
@@ -83,28 +92,40 @@ def merged(parts: DataFrame, rows: int, log2_width: int, least: int = 2) -> "Ske
                 once, twice = at[first], at[~first]
                 count[once] = np.minimum(count[once] + 1, 2)
                 count[twice] = 2
-        if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.packbits(count >= least, bitorder="little").tobytes()])], schema=_BITS)
+        if (count >= least).any():
+            yield bits_of(now, count)
 
     spark = parts.sparkSession
     dealt = parts.repartition(partitions(spark), "block").sortWithinPartitions("block")
-    bits = np.zeros((rows << log2_width) >> 3, np.uint8)
-    step = (1 << _BLOCK) >> 3
-    for block, data in dealt.mapInArrow(add, "block long, bits binary").toLocalIterator():
-        bits[block * step : (block + 1) * step] = np.frombuffer(data, np.uint8)
-    return Sketch(spark.sparkContext.broadcast(bits), rows, log2_width)
+    blocks = [(r.block, bytes(r.bits)) for r in dealt.mapInArrow(add, "block long, bits binary").collect()]
+    return Sketch(spark.sparkContext.broadcast(blocks), rows, log2_width)
 
 
 class Sketch:
-    """The merged sketch on the executors."""
-
-    def __init__(self, bits, rows: int, log2_width: int):
-        self.bits, self.rows, self.log2_width = bits, rows, log2_width
+    """The merged sketch on the executors: blocks that hold a bit, compressed, opened once in each worker."""
+
+    def __init__(self, blocks, rows: int, log2_width: int):
+        self.blocks, self.rows, self.log2_width, self.name = blocks, rows, log2_width, uuid.uuid4().hex
+
+    def bits(self) -> np.ndarray:
+        if self.name not in _opened:
+            while len(_opened) > 1:
+                del _opened[next(iter(_opened))]
+            # pages without a bit are never touched, so they take no memory
+            bits, step = np.zeros((self.rows << self.log2_width) >> 3, np.uint8), (1 << _BLOCK) >> 3
+            for block, data in self.blocks.value:
+                bits[block * step : (block + 1) * step] = np.frombuffer(zstandard.decompress(data), np.uint8)
+            _opened[self.name] = bits
+        return _opened[self.name]
 
     def reaches(self, keys: np.ndarray) -> np.ndarray:
         """Where the estimated count reaches the limit that the sketch was merged with."""
-        bits, out = self.bits.value, np.ones(len(keys), bool)
+        bits, out = self.bits(), np.ones(len(keys), bool)
         for row in range(self.rows):
             at = cells(keys, row, self.log2_width) + np.uint64(row << self.log2_width)
             out &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return out
+
+    def free(self) -> None:
+        """To be called when the last query that reads the sketch has run."""
+        self.blocks.destroy()

@@ -1,27 +1,31 @@
-"""Removal of byte strings that an earlier document holds, by hashes of sampled suffixes at three lengths.
-
-Method.  A suffix array by prefix doubling ranks suffixes by ever longer
-prefixes: Spark sorts (rank, position) pairs, positions whose rank is unique
-drop out, and those that are left are ranked by pairs of ranks at a doubled
-offset until the prefix reaches the threshold.  That is replaced here by
-anchors, as in substrings.py, over bytes; nothing is doubled:
-
-* Ranks are names (64-bit hashes of the prefix), which sort and compare for
-  equality as ranks do and which a task can form for any length by itself, as
-  the hash of two halves; so no round sends positions back and forth.
-* Only sampled suffixes are ranked at first: of the `length - gram + 1` suffixes
-  that start inside a window of `length` bytes, the one whose first `gram`
-  bytes hash least.  Equal windows sample equal suffixes.
-
-Round 1 ranks the sampled suffixes by `gram` bytes (24); a sketch of those
-ranks drops most unique ones before anything is sorted.  Round 2 sorts what is
-left by (rank, name of the bytes that all windows of that suffix cover, about
-50 to 76): behind the first of equal ones stand the repeats.  Round 3 ranks
-every window of 50 bytes of the suffixes that share round 1 but not round 2:
-those of a round 1 rank that few suffixes share travel as one string each and
-are sorted together in a task, those of a very common one are sorted by Spark,
-window by window.  Elsewhere, sorted runs are read once, front to back, so a
-rank of any size takes no memory.
+"""Removal of byte strings that an earlier document holds, by prefix doubling over the suffixes that may repeat.
+
+Method.  Positions of the texts stand for their suffixes.  Spark sorts them by
+the names of their first START bytes; the number of the first of equal ones in
+the sorted order becomes their rank, and positions whose rank is theirs alone
+drop out.  Then, until ranks tell `length` bytes apart, a position's rank is
+paired with the rank of the position that lies an offset further in the same
+text, Spark sorts the pairs, equal pairs get a new rank, and unique ones drop
+out.  The offset doubles with the ranked length; the last one is cut so that
+ranks stand for exactly `length` bytes.  Behind the least id of equal ranks
+stand the repeats.
+
+Sorting every position of every text at each offset would write the input some
+thirty times over, so two steps before it take out, without loss, what need not
+be ranked:
+
+* Of the `length - GRAM + 1` suffixes that start inside a window of `length`
+  bytes, the one whose first GRAM bytes hash least is the window's anchor.  A
+  window never occurs more often than its anchor, so windows whose anchor a
+  count-min sketch counts once are unique.
+* Spark sorts what is left by anchor and by the name of the bytes that all
+  windows of an anchor cover.  Where these are equal, all windows repeat: one
+  place is enough for the rest.  Where all of an anchor's are equal, nothing is
+  left to rank.
+
+The sketches have a fixed width.  On a corpus with far more anchors than cells
+they let all of them through, and the sort by anchor takes about three times the
+input.
 """
 
 from __future__ import annotations
@@ -30,26 +34,24 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hashing import Anchors, Runs, mix, signed, slices, symbols, values_of
+from .hashing import Anchors, Runs, mix, signed, slices, symbols
 from .sketches import PartSketch, merged
-from .stages import groups_of, new_groups, partitions, squeezed, stored, unsqueezed
+from .stages import forget, new_groups, partitions, squeezed, stored, unsqueezed
 
 LENGTH = 50
-GRAM = 24
+GRAM = 32
+#: Bytes that the first ranks stand for.
+START = 25
 LOG2_WIDTH = 28
 ROWS = 2
 OPEN_WIDTH = 26
-#: Open suffixes of one rank that a task sorts by itself; Spark sorts those of larger ranks.
-FEW = 256
 
 _RANK = pa.schema([("key", pa.int64()), ("whole", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32()), ("more", pa.list_(pa.int32()))])
-_MARK = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32())])
-_PLACE = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("id", pa.int64()), ("first", pa.int32())])
-_STRING = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("string", pa.binary())])
-_SPAN = pa.schema([("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32())])
+_MARK = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32())])
+_NAME = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("name", pa.int64())])
 _CUT = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
 
 
@@ -64,12 +66,12 @@ def _occurrence(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _marks(batch: pa.RecordBatch, rows: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
     """All places of the given rows."""
-    key, ids, first, count = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
+    ids, first, count = (batch.column(i).to_numpy() for i in (2, 3, 4))
     more = batch.column(5).take(pa.array(rows))
     again = np.repeat(np.arange(len(rows)), more.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
     first = np.concatenate([first[rows], more.flatten().to_numpy()])
     rows, kinds = np.concatenate([rows, rows[again]]), np.concatenate([kinds, kinds[again]])
-    return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(key[rows] * kinds), pa.array(ids[rows]), pa.array(first, pa.int32()), pa.array(count[rows])], schema=_MARK)
+    return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(ids[rows]), pa.array(first, pa.int32()), pa.array(count[rows])], schema=_MARK)
 
 
 def _compare(batches):
@@ -115,31 +117,45 @@ def _compare(batches):
         seen, key0, whole0, least = True, key[-1], whole[-1], leasts[-1]
 
 
-def _repeats(batches):
-    """Of rows sorted by key, hash and id: the places behind the least id."""
-    seen, key0, hash0, least = False, 0, 0, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, hash_, ids, first = (batch.column(i).to_numpy() for i in range(4))
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (hash_[1:] != hash_[:-1])
-        if seen:
-            new[0] = key[0] != key0 or hash_[0] != hash0
-        head = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        leasts = np.where(head >= 0, ids[np.maximum(head, 0)], least)
-        again = leasts < ids
-        yield pa.RecordBatch.from_arrays([pa.array(ids[again]), pa.array(first[again]), pa.array(np.ones(int(again.sum()), np.int32))], schema=_SPAN)
-        seen, key0, hash0, least = True, key[-1], hash_[-1], leasts[-1]
+def reranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that are not alone with their keys, with rank (the first of equal ones, by number in the sorted order) and least (id)."""
+    equal = Window.partitionBy(*keys)
+    ordered = rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    ranks = ordered.select("id", "pos", F.min("__at").over(equal).alias("rank"), F.min("id").over(equal).alias("least"), F.count("*").over(equal).alias("__n"))
+    return ranks.where("__n > 1").drop("__n")
+
+
+def paired(ranks: DataFrame, offset: int) -> DataFrame:
+    """Ranks with the rank that the position `offset` further has; positions without one drop out."""
+    ahead = Window.partitionBy("id").orderBy("pos").rangeBetween(offset, offset)
+    return ranks.select("id", "pos", "rank", F.max("rank").over(ahead).alias("next")).where("next IS NOT NULL")
 
 
-def earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, log2_width: int = LOG2_WIDTH) -> DataFrame:
+def doubled(names: DataFrame, start: int, length: int) -> DataFrame:
+    """Prefix doubling: id and pos of strings of `length` bytes that a smaller id has too.
+
+    names: id, pos, name of the `start` bytes from there.  Each round is
+    written before the next one, so a lost executor costs no earlier round.
+    """
+    now = stored(reranked(names, ["name"]), "ranks")
+    while start < length:
+        offset = min(start, length - start)
+        pairs = stored(paired(now, offset), "pairs")
+        ranks = stored(reranked(pairs, ["rank", "next"]), "ranks")
+        forget(now, pairs)
+        now, start = ranks, start + offset
+    return now.where("id > least").select("id", "pos")
+
+
+def earlier_strings(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, start: int = START, log2_width: int = LOG2_WIDTH, open_width: int = OPEN_WIDTH
+) -> DataFrame:
     """Places of `length`-byte strings that also start in a row of a smaller id: id, first (byte), count (of starts).
 
-    Texts count as UTF-8; null and shorter ones have none.  Rows of one id
-    count as one document.
+    Texts count as UTF-8; null and shorter ones have none, nor has a null id.
+    Rows of one id count as one document; they must be equal.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     p = partitions(docs.sparkSession)
 
     def count(batches):
@@ -152,7 +168,7 @@ def earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sketch = merged(rows.mapInArrow(count, "block long, cells binary"), ROWS, log2_width)
 
-    def rank(batches):
+    def sample(batches):
         for batch, data, at in slices(batches):
             a = _anchors(data, at, length, gram)
             hit = np.flatnonzero(sketch.reaches(a.key))
@@ -167,85 +183,43 @@ def earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(key[heads])), pa.array(signed(whole[heads])), batch.column(0).take(pa.array(row[heads])), pa.array(first[heads]), pa.array(a.count[hit[heads]].astype(np.int32)), more], schema=_RANK)
 
-    ranked = rows.mapInArrow(rank, "key long, whole long, id long, first int, count int, more array<int>")
-    ranked = ranked.where("id IS NOT NULL").repartition(p, "key").sortWithinPartitions("key", "whole", "id")
-    marks = stored(ranked.mapInArrow(_compare, "kind int, key long, id long, first int, count int"), "marks")
-    spans = marks.where("kind = 0").select("id", "first", "count")
+    sampled = rows.mapInArrow(sample, "key long, whole long, id long, first int, count int, more array<int>")
+    sampled = sampled.repartition(p, "key").sortWithinPartitions("key", "whole", "id")
+    marks = stored(sampled.mapInArrow(_compare, "kind int, id long, first int, count int"), "marks")
 
     def note(batches):
-        opened = PartSketch(1, OPEN_WIDTH)
+        opened = PartSketch(1, open_width)
         for batch in batches:
             opened.add(_occurrence(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
             if opened.size > 4 << 20:
                 yield from opened.batches()
         yield from opened.batches()
 
-    open_ = marks.where("kind = 1")
-    opened = merged(open_.select("id", "first").mapInArrow(note, "block long, cells binary"), 1, OPEN_WIDTH, least=1)
-
-    def note_key(batches):
-        common = PartSketch(1, OPEN_WIDTH)
-        for batch in batches:
-            common.add(batch.column(0).to_numpy().view(np.uint64))
-        yield from common.batches()
+    opened = merged(marks.where("kind = 1").select("id", "first").mapInArrow(note, "block long, cells binary"), 1, open_width, least=1)
+    begin = min(start, length)
 
-    large = stored(open_.groupBy("key").count().where(F.col("count") > FEW).select("key"), "common")
-    common = merged(large.mapInArrow(note_key, "block long, cells binary"), 1, OPEN_WIDTH, least=1)
-
-    def opened_anchors(batches, in_common: bool):
+    def name(batches):
         for batch, data, at in slices(batches):
             a = _anchors(data, at, length, gram)
-            ids = batch.column(0).fill_null(0).to_numpy()
-            first = a.first - at[a.row]
+            ids = batch.column(0).to_numpy()
             hit = np.flatnonzero(sketch.reaches(a.key))
-            hit = hit[opened.reaches(_occurrence(ids[a.row[hit]], first[hit]))]
-            hit = hit[common.reaches(a.key[hit]) == in_common]
-            if len(hit):
-                yield batch, data, at, a, hit
-
-    def strings(batches):
-        for batch, data, at, a, hit in opened_anchors(batches, False):
-            raw, row = data.tobytes(), a.row[hit]
-            lo = a.first[hit]
-            found = [raw[s:e] for s, e in zip(lo.tolist(), (lo + a.count[hit] - 1 + length).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(a.key[hit])), batch.column(0).take(pa.array(row)), pa.array((lo - at[row]).astype(np.int32)), pa.array(found, pa.binary())], schema=_STRING)
-
-    def rank_strings(batches):
-        for table in groups_of(batches, ["key"]):
-            key, ids, first = (table.column(n).to_numpy() for n in ("key", "id", "first"))
-            data, at = values_of(table.column("string"))
-            n = np.diff(at) - length + 1
-            ends = np.cumsum(n)
-            place = np.arange(ends[-1]) - np.repeat(ends - n, n)
-            start = place + np.repeat(at[:-1], n)
-            hash_ = Runs(symbols(3)[data]).of(start, start + length)
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((ids[row], hash_, key[row]))
-            row, hash_, place = row[order], hash_[order], place[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (hash_[1:] != hash_[:-1]) | (key[row[1:]] != key[row[:-1]])
-            least = ids[row][np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))]
-            again = least < ids[row]
-            found = row[again]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array((first[found] + place[again]).astype(np.int32)), pa.array(np.ones(len(found), np.int32))], schema=_SPAN)
-
-    few = rows.mapInArrow(strings, "key long, id long, first int, string binary").where("id IS NOT NULL").repartition(p, "key").sortWithinPartitions("key")
-    spans = spans.unionAll(few.mapInArrow(rank_strings, "id long, first int, count int"))
-    if large.isEmpty():
-        return spans
-
-    def windows(batches):
-        for batch, data, at, a, hit in opened_anchors(batches, True):
-            n = a.count[hit]
-            ends = np.cumsum(n)
-            start = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(a.first[hit], n)
-            row = np.repeat(a.row[hit], n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(np.repeat(a.key[hit], n))), pa.array(signed(a.runs.of(start, start + length))), batch.column(0).take(pa.array(row)), pa.array((start - at[row]).astype(np.int32))], schema=_PLACE)
-
-    places = rows.mapInArrow(windows, "key long, hash long, id long, first int").where("id IS NOT NULL")
-    places = places.repartition(p, "key", "hash").sortWithinPartitions("key", "hash", "id")
-    return spans.unionAll(places.mapInArrow(_repeats, "id long, first int, count int"))
+            hit = hit[opened.reaches(_occurrence(ids[a.row[hit]], a.first[hit] - at[a.row[hit]]))]
+            if not len(hit):
+                continue
+            # every position whose rank a window of these places takes part with, in one text once
+            edge = np.zeros(len(data) + 1, np.int32)
+            np.add.at(edge, a.first[hit], 1)
+            np.add.at(edge, a.first[hit] + a.count[hit] + (length - begin), -1)
+            pos = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+            row = np.searchsorted(at, pos, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array((pos - at[row]).astype(np.int32)), pa.array(signed(a.runs.of(pos, pos + begin)))], schema=_NAME)
+
+    found = doubled(rows.mapInArrow(name, "id long, pos int, name long"), begin, length)
+    spans = stored(marks.where("kind = 0").select("id", "first", "count").unionAll(found.select("id", F.col("pos").alias("first"), F.lit(1).alias("count"))), "spans")
+    forget(marks)
+    sketch.free()
+    opened.free()
+    return spans
 
 
 def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -264,8 +238,8 @@ def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
                 if first[i].is_valid:
                     f, n = first[i].values.to_numpy(), count[i].values.to_numpy()
                     edge = np.zeros(len(text) + 1, np.int32)
-                    np.add.at(edge, f, 1)
-                    np.add.at(edge, f + n + (length - 1), -1)
+                    np.add.at(edge, f[f < len(text)], 1)
+                    np.add.at(edge, np.minimum(f + n + (length - 1), len(text))[f < len(text)], -1)
                     gone = np.cumsum(edge)[:-1] > 0
                     removed = int(gone.sum())
                     spanned = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
@@ -290,6 +264,8 @@ def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts as empty.  Rows of one id are one document and don't match each
     other.  A null id is neither searched nor found.  Kept bytes may cut
     characters in two, so they are binary.  An empty table stays empty.
+    Where rows of one id hold different texts, a place found in one of them is
+    cut from all.  Columns named like the added ones are replaced.
     """
     return without(docs, earlier_strings(docs, id_col, text_col, length), id_col, text_col, length)
 

@@ -155,28 +155,47 @@ def strings_by_hand(rows, size):
     return out
 
 
-@pytest.mark.parametrize("few,width", [(256, 28), (1, 28), (2, 16)])
-def test_earlier_strings_equal_brute_force(spark, monkeypatch, few, width):
-    monkeypatch.setattr(suffixes, "FEW", few)
+@pytest.mark.parametrize("start,width", [(8, 28), (3, 28), (20, 28), (2, 16)])
+def test_earlier_strings_equal_brute_force(spark, start, width):
     rows = corpus(4, 90) + [(500, "-" * 70), (501, "é" * 40), (502, "-" * 30 + "x" + "-" * 33)]
     docs = spark.createDataFrame([(i, t, b"x") for i, t in rows], "doc_id long, text string, kept binary")
-    spans = suffixes.earlier_strings(docs, length=20, gram=8, log2_width=width)
+    spans = suffixes.earlier_strings(docs, length=20, gram=8, start=start, log2_width=width)
     found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.without(docs, spans, length=20).collect()}
     assert found == strings_by_hand(rows, 20)
 
 
-@pytest.mark.parametrize("few", [256, 1])
-def test_earlier_strings_of_poor_texts(spark, monkeypatch, few):
-    monkeypatch.setattr(suffixes, "FEW", few)
+@pytest.mark.parametrize("start", [1, 6, 25])
+def test_earlier_strings_of_poor_texts(spark, start):
     r = random.Random(8)
     rows = [(i, "".join(r.choice("ab") for _ in range(r.randint(0, 150))) + r.choice(["", "ab" * 20, "abb" * 15]) * 2) for i in range(60)]
     rows += [(70, "xyz" + rows[3][1][:30] + "q" + rows[3][1][:30] + "w" + rows[3][1][5:40])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    spans = suffixes.earlier_strings(docs, length=14, gram=6)
+    spans = suffixes.earlier_strings(docs, length=14, gram=6, start=start)
     found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.without(docs, spans, length=14).collect()}
     assert found == strings_by_hand(rows, 14)
 
 
+@pytest.mark.parametrize("start", [2, 5, 13])
+def test_prefix_doubling_of_every_position(spark, start):
+    r = random.Random(6)
+    texts = {i: bytes(r.choice(b"abc") for _ in range(r.randint(0, 70))) for i in range(20)}
+    names = [(i, p, int.from_bytes(t[p : p + start], "little", signed=True) if start < 8 else hash(t[p : p + start])) for i, t in texts.items() for p in range(len(t) - start + 1)]
+    found = {(x.id, x.pos) for x in suffixes.doubled(spark.createDataFrame(names, "id long, pos int, name long"), start, 13).collect()}
+    seen = {}
+    for i, t in texts.items():
+        for p in range(len(t) - 12):
+            seen.setdefault(t[p : p + 13], []).append((i, p))
+    assert found == {(i, p) for places in seen.values() for i, p in places if i > places[0][0]}
+
+
+def test_earlier_strings_of_one_id_and_clashing_names(spark):
+    text = "".join(f"{i}," for i in range(40))
+    rows = [(1, text, 7), (2, text, 8), (2, "short", 9), (None, None, None)]
+    cut = suffixes.remove_earlier(spark.createDataFrame(rows, "doc_id long, text string, n_removed int"))
+    assert cut.columns == ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in cut.collect()) == [(0, 0, 0, 0), (1, len(text), 0, 0), (2, 5, 5, 1), (2, len(text), len(text), 1)]
+
+
 def test_earlier_strings_of_nothing_and_of_equal_rows(spark):
     assert suffixes.remove_earlier(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     text = "".join(f"{i}," for i in range(40))
