@@ -47,7 +47,7 @@ GRAM = 32
 START = 25
 LOG2_WIDTH = 28
 ROWS = 2
-OPEN_WIDTH = 26
+OPEN_WIDTH = 27
 
 _RANK = pa.schema([("key", pa.int64()), ("whole", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32()), ("more", pa.list_(pa.int32()))])
 _MARK = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32())])
@@ -117,12 +117,21 @@ def _compare(batches):
         seen, key0, whole0, least = True, key[-1], whole[-1], leasts[-1]
 
 
+def _sorted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
 def reranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows that are not alone with their keys, with rank (the first of equal ones, by number in the sorted order) and least (id)."""
+    """id, pos, rank of rows that are not alone with their keys; a rank is the first of equal rows, by number in the sorted order."""
+    equal = Window.partitionBy(*keys)
+    numbered = _sorted(rows, keys).withColumn("__at", F.monotonically_increasing_id())
+    return numbered.select("id", "pos", F.min("__at").over(equal).alias("rank"), F.max("__at").over(equal).alias("__last")).where("rank < __last").drop("__last")
+
+
+def repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """id, pos of rows whose keys a row of a smaller id has too: the last round's ranks need no numbers."""
     equal = Window.partitionBy(*keys)
-    ordered = rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
-    ranks = ordered.select("id", "pos", F.min("__at").over(equal).alias("rank"), F.min("id").over(equal).alias("least"), F.count("*").over(equal).alias("__n"))
-    return ranks.where("__n > 1").drop("__n")
+    return _sorted(rows, keys).select("id", "pos", F.min("id").over(equal).alias("__least")).where("__least < id").drop("__least")
 
 
 def paired(ranks: DataFrame, offset: int) -> DataFrame:
@@ -134,17 +143,22 @@ def paired(ranks: DataFrame, offset: int) -> DataFrame:
 def doubled(names: DataFrame, start: int, length: int) -> DataFrame:
     """Prefix doubling: id and pos of strings of `length` bytes that a smaller id has too.
 
-    names: id, pos, name of the `start` bytes from there.  Each round is
-    written before the next one, so a lost executor costs no earlier round.
+    names: id, pos, name of the `start` bytes from there.  Each round's ranks
+    are written before the next one, so a lost executor costs no earlier round.
     """
+    if start == length:
+        return repeats(names, ["name"])
     now = stored(reranked(names, ["name"]), "ranks")
-    while start < length:
+    while True:
         offset = min(start, length - start)
-        pairs = stored(paired(now, offset), "pairs")
+        pairs, start = paired(now, offset), start + offset
+        if start == length:
+            found = stored(repeats(pairs, ["rank", "next"]), "repeats")
+            forget(now)
+            return found
         ranks = stored(reranked(pairs, ["rank", "next"]), "ranks")
-        forget(now, pairs)
-        now, start = ranks, start + offset
-    return now.where("id > least").select("id", "pos")
+        forget(now)
+        now = ranks
 
 
 def earlier_strings(
@@ -188,14 +202,14 @@ def earlier_strings(
     marks = stored(sampled.mapInArrow(_compare, "kind int, id long, first int, count int"), "marks")
 
     def note(batches):
-        opened = PartSketch(1, open_width)
+        opened = PartSketch(ROWS, open_width)
         for batch in batches:
             opened.add(_occurrence(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
             if opened.size > 4 << 20:
                 yield from opened.batches()
         yield from opened.batches()
 
-    opened = merged(marks.where("kind = 1").select("id", "first").mapInArrow(note, "block long, cells binary"), 1, open_width, least=1)
+    opened = merged(marks.where("kind = 1").select("id", "first").mapInArrow(note, "block long, cells binary"), ROWS, open_width, least=1)
     begin = min(start, length)
 
     def name(batches):
