@@ -7,8 +7,11 @@ window) with a space on either side.  A match ends at a space, whose rank among
 the text's spaces is the number of words before it; words lead back to offsets
 in the original text.
 
-The automaton goes to every task, so its size is checked first: windows beyond
-BLOCK_BYTES are dealt into more automata, by hash, and each text passes all of them.
+The automaton goes to every task, so its size is checked first: windows (and
+their item ids) beyond BLOCK_BYTES are dealt into more automata, by hash, and each
+text passes all of them, one after the other: what one has found is written before
+the next one is built, so that a worker holds one automaton, and the driver the
+windows of one.  8 MiB make an automaton of about 180 MB.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import slices
-from .stages import stored
+from .stages import forget, stored
 
 WINDOW = 10
 #: Bytes of distinct windows in one automaton.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 _WORD = bytes(c | 0x20 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _COLUMNS = ["n_words", "n_hit", "hits", "items"]
@@ -105,21 +108,28 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
     Null texts have no words; items of null id hit but aren't listed; repeated
     items count once; no items, no hits.  Columns of docs with the new names
-    are replaced.  Rows and their other columns stay as they are.
+    are replaced.  Rows and their other columns stay as they are; an empty table stays empty.
     """
     spark = docs.sparkSession
     listed = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).mapInArrow(_windows(window), "item string, window binary")
     listed = stored(listed.groupBy("window").agg(F.collect_set("item").alias("items")), "benchmark")
-    total = listed.agg(F.sum(F.length("window") + 48)).first()[0] or 0
+    total = listed.agg(F.sum(F.length("window") + 48 + F.aggregate("items", F.lit(0), lambda n, i: n + F.length(i) + 56))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     names = [f for f in docs.schema if f.name not in _COLUMNS]
     out = docs.select(*[F.col(f"`{f.name}`") for f in names])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names)
+    held = None
     for block in range(blocks):
         rows = listed.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).orderBy("window").collect()
         windows = [bytes(r.window) for r in rows]
         shared = spark.sparkContext.broadcast({"digest": hashlib.sha256(b"\n".join(windows)).hexdigest(), "windows": windows, "items": [r["items"] for r in rows]})
         out = out.mapInArrow(_scan(shared, text_col, block == 0), f"{fields}, __n long, __hits array<int>, __items array<string>")
+        if block + 1 < blocks:
+            out = stored(out, "scanned")
+            shared.destroy()
+            if held is not None:
+                forget(held)
+            held = out
     hits, ids = F.array_sort(F.array_distinct("__hits")), F.array_sort(F.array_distinct("__items"))
     return out.select(*[F.col(f"`{f.name}`") for f in names], F.col("__n").alias("n_words"), F.size(hits).cast("long").alias("n_hit"), hits.alias("hits"), ids.alias("items"))
 

@@ -36,10 +36,12 @@ _coders: dict = {}
 
 
 def coder(vocabulary: str | None = None, ranks: str | None = None):
-    """texts -> arrays of ids, as the tokenizer file `vocabulary` gives them without special tokens.
+    """texts -> arrays of ids, as encode(text, add_special_tokens=False) of the tokenizer file `vocabulary` gives them.
 
     With a file of the same vocabulary as `ranks`, a faster library does texts
-    of characters on which the two libraries' splitting agrees.
+    of characters on which the two libraries' splitting agrees.  A text that
+    holds an added token of the file, such as an end marker, gets that token's
+    id there, so it goes to the tokenizer itself.
     """
     key = (vocabulary, ranks)
     if key not in _coders:
@@ -48,7 +50,7 @@ def coder(vocabulary: str | None = None, ranks: str | None = None):
         from tokenizers import Tokenizer
 
         exact = Tokenizer.from_file(vocabulary or public_tokenizers.path(VOCABULARY))
-        exact.encode_special_tokens = True
+        added = [t.content for t in exact.get_added_tokens_decoder().values()]
         path = ranks or public_tokenizers.path(RANKS)
         with open(path, "rb") as lines:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -56,7 +58,7 @@ def coder(vocabulary: str | None = None, ranks: str | None = None):
         plain = regex.compile(r"[\t\n\r\x20-\x7E¡-¬®-ɏ]*")
 
         def encode(text: str) -> np.ndarray:
-            if plain.fullmatch(text):
+            if plain.fullmatch(text) and not any(t in text for t in added):
                 return np.array(fast.encode_ordinary(text), np.uint32)
             return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -189,13 +191,17 @@ def planned(counts: np.ndarray) -> Plan:
 def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces with sequence_id and offset; length must be 1 to capacity, other columns stay.
 
-    Equal rows each get a place of their own; an empty table stays empty.
+    Equal rows each get a place of their own; an empty table stays empty.  A
+    length that is null or outside 1 to capacity is an error.
     """
     pieces = pieces.drop("sequence_id", "offset")
     counts = np.zeros(capacity + 1, np.int64)
     kept = stored(pieces, "pieces")
-    for row in kept.groupBy("length").count().collect():
-        counts[row.length] = row["count"]
+    lengths = {r.length: r["count"] for r in kept.groupBy("length").count().where("length BETWEEN 1 AND %d" % capacity).collect()}
+    if sum(lengths.values()) != kept.count():
+        raise ValueError(f"pieces must be 1 to {capacity} long")
+    for length, n in lengths.items():
+        counts[length] = n
     plan = planned(counts)
     rows = np.array(sorted(plan.rows), np.int64).reshape(-1, 5)
     before = np.cumsum(counts) - counts

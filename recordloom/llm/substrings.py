@@ -81,6 +81,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 [*(batch.column(i).take(pa.array(a.row[one])) for i in (0, 1)), pa.array(signed(a.key[one])), pa.array(signed(a.whole[one])), firsts, pa.array(n.astype(np.int32)), lists], schema=_FOUND)
 
     found = stored(rows.mapInArrow(find, "id long, bare long, key long, whole long, firsts array<int>, count int, windows array<long>"), "windows")
+    sketch.free()
     found = found.withColumn("first", F.col("firsts")[0])
     wholes = found.groupBy("key", "whole").agg(F.sum(F.size("firsts")).alias("n"), F.min(F.struct("id", "bare", "first")).alias("at"))
     wholes = stored(wholes, "wholes")

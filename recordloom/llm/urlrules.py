@@ -3,8 +3,8 @@
 A rule is (verdict, host, path).  It fits its host and all subdomains of it
 where the URL's path starts with the rule's.  Of the rules that fit, the one of
 the most host labels wins, then the one of the longest path, then block before
-allow.  The trie goes to every task, so the number of rules in one is bounded;
-more rules make more tries, and each URL passes all of them.
+allow.  The trie goes to every task, so the rules in one are bounded, by number
+and by characters; more rules make more tries, and each URL passes all of them.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rules in one trie.
-BLOCK_RULES = 200_000
+#: Rules in one trie, and their characters.
+BLOCK_RULES, BLOCK_CHARACTERS = 200_000, 16 << 20
 DEFAULT = "allow"
 
 #: The rules that the query applies.
@@ -37,7 +37,7 @@ def host_and_path(url: str | None) -> tuple[str, str]:
 
 
 def trie(rules: Iterable[tuple[str, str, str]]) -> dict:
-    """Nodes are dicts: by host label, then under None by whole path segment, and under "" by what a segment starts with."""
+    """Nodes are dicts: by host label, then under None by whole path segment, and under "" by what a segment starts with, with the lengths of these under 0."""
     root: dict = {}
     for verdict, host, path in rules:
         node = root
@@ -50,6 +50,7 @@ def trie(rules: Iterable[tuple[str, str, str]]) -> dict:
         ends = node.setdefault("", {})
         if ends.get(start, ("", "allow"))[1] == "allow":
             ends[start] = (host + path, verdict)
+            node.setdefault(0, set()).add(len(start))
     return root
 
 
@@ -65,14 +66,28 @@ def match(root: dict, host: str, path: str) -> tuple[int, int, str | None, str |
         for i, segment in enumerate(segments):
             if at is None:
                 break
-            for start, (rule, verdict) in at.get("", {}).items():
-                if segment.startswith(start) and (depth, length + len(start)) > best[:2]:
-                    best = (depth, length + len(start), rule, verdict)
+            # one look-up for each length that a rule has here, however many rules there are
+            ends = at.get("")
+            for n in at.get(0, ()):
+                if n <= len(segment) and (depth, length + n) > best[:2] and (end := ends.get(segment[:n])):
+                    best = (depth, length + n, *end)
             at = at.get("/" + segment) if i + 1 < len(segments) else None
             length += len(segment) + 1
     return best
 
 
+def _blocks(rules: list[tuple[str, str, str]], most: int) -> list[list[tuple[str, str, str]]]:
+    out: list[list] = [[]]
+    size = 0
+    for rule in rules:
+        size += len(rule[1]) + len(rule[2]) + 64
+        if len(out[-1]) == most or (out[-1] and size > BLOCK_CHARACTERS):
+            out.append([])
+            size = len(rule[1]) + len(rule[2]) + 64
+        out[-1].append(rule)
+    return out
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, url_col: str = "url", default: str = DEFAULT, block_rules: int = BLOCK_RULES) -> DataFrame:
     """pages with host, path, rule (null if none fits) and verdict; columns of these names are replaced.
 
@@ -84,10 +99,10 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = Non
     names = [f for f in pages.schema if f.name not in _COLUMNS]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names)
     out = pages.select(*[F.col(f"`{f.name}`") for f in names])
-    for begin in range(0, max(1, len(rules)), block_rules):
-        shared = spark.sparkContext.broadcast(trie(rules[begin : begin + block_rules]))
+    for number, block in enumerate(_blocks(rules, block_rules)):
+        shared = spark.sparkContext.broadcast(trie(block))
 
-        def judge(batches, shared=shared, first=begin == 0):
+        def judge(batches, shared=shared, first=number == 0):
             for batch in batches:
                 kept = [n for n in batch.schema.names if not n.startswith("__")]
                 urls = [host_and_path(u) for u in batch.column(batch.schema.get_field_index(url_col)).to_pylist()]

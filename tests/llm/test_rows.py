@@ -198,8 +198,8 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    exact.encode_special_tokens = True
-    rows = [*corpus(6, 120), (200, "word " * 5000), (201, "日本語 <|endoftext|>\x85 mixed"), (202, None), (203, "a" * 30000)]
+    rows = [*corpus(6, 120), (200, "word " * 5000), (201, "日本語 <|endoftext|>\x85 mixed"), (202, None), (203, "a" * 30000), (204, "a <|endoftext|> b"), (205, "<|endoftext|>")]
+    assert exact.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
     found = packing.packed(packing.pieces_of(docs)).collect()
     texts = dict(rows)
@@ -220,6 +220,13 @@ def test_packing_round_trip(spark):
     assert packing.packed(packing.pieces_of(docs.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize("length", [0, 2049, None])
+def test_packing_of_wrong_lengths(spark, length):
+    pieces = spark.createDataFrame([(1, 0, 5), (2, 0, length)], "id long, piece int, length long")
+    with pytest.raises(ValueError, match="1 to 2048"):
+        packing.packed(pieces)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_place_every_piece_once(seed):
     r = np.random.default_rng(seed)

@@ -1,22 +1,35 @@
+import os
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from recordloom.llm import hashing, sketches, stages
+from recordloom.llm import hashing, sharding, sketches, stages
 
 
-class Session:  # stands for one that names no folder
+class Session:  # stands for one that names no checkpoint folder
     class conf:
         @staticmethod
-        def get(name, default):
-            return default
+        def get(name, *default):
+            return {"spark.sql.warehouse.dir": "file:/shared/warehouse/"}[name] if not default else default[0]
+
 
-    class sparkContext:
-        applicationId = "app"
+def test_shared_folder_falls_back_to_the_warehouse():
+    assert stages.shared_dir(Session) == "file:/shared/warehouse"
 
 
-def test_shared_folder_falls_back_once():
-    assert stages.shared_dir(Session) == stages.shared_dir(Session)
+def test_stored_tables_hold_a_partition_in_a_file_and_go_when_forgotten(spark):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)
+    try:
+        df = stages.stored(spark.range(100).repartition(2), "t")
+        assert len(df.inputFiles()) == 2 and df.count() == 100
+        found = sharding.numbered(spark.range(50).select((F.col("id") * 3).alias("k")), ["k"]).collect()
+        assert sorted((r.row_number, r.k) for r in found) == [(i, 3 * i) for i in range(50)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    stages.forget(df)
+    assert not os.path.exists(df.stored_at.removeprefix("file://"))
 
 
 @pytest.mark.parametrize("size", [1, 3, 100])
