@@ -1,4 +1,4 @@
-"""Clauses to typed facts: an ordered table of rules, the first that matches decides."""
+"""Clauses to flat facts by a table of patterns, the first that matches deciding; `requirements` has the full cascade with typed values."""
 
 from __future__ import annotations
 
@@ -31,7 +31,7 @@ class Rule(NamedTuple):
 _LEVEL = "(博士研究生|硕士研究生|研究生|博士|硕士|本科|大专|专科)"
 _DEGREE = "(博士|硕士|学士)学位"
 
-# Requirement wording, in the order in which it is tried. White space and list marks are gone by then.
+# A table of its own for short, loose wordings, wider than the cascade in `requirements`. White space and list marks are gone by then.
 RULES = [
     Rule("GENERAL_ELIGIBILITY", "中华人民共和国国籍|遵守(宪法|法律)|品行(端正|良好)|政治素质|身体健康|良好的(道德|职业)", status="GAP"),
     Rule("EDUCATION_AT_LEAST", f"^(?:具有|具备)?(?:国家承认的)?(?:全日制)?(?:普通高等教育)?(?:大学)?{_LEVEL}(?:研究生)?(?:学历)?(?:及)?以上(?:学历)?$", (Fact("EDUCATION", "AT_LEAST", 1),)),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canon import canonical_json, sha256
+
 
 def record_diff(previous: DataFrame, current: DataFrame, pair: list[str], identity: str, content: str, failed: DataFrame | None = None) -> DataFrame:
     """pair columns, identity, change: NEW, UPDATED, UNCHANGED, MISSING_OBSERVED or IDENTITY_UNCERTAIN.
@@ -51,21 +53,27 @@ def page_diff(pages: DataFrame, keys: list[str], order: list[str], hash_col: str
 
 
 def empty_reasons(v: str) -> Column:
-    """What keeps a run without rows from counting as proven empty; `v` is a struct column, null if nothing was validated."""
+    """What keeps a run without rows from counting as proven empty; `v` is a struct column, null if nothing was validated.
+
+    A null flag proves nothing: a required one counts as false, a detection as true, a comparison as unavailable.
+    """
     c = lambda f: F.col(f"{v}.{f}")
+    lacks = lambda f: ~F.coalesce(c(f), F.lit(False))
+    found = lambda f: F.coalesce(c(f), F.lit(True))
+    history = F.coalesce(c("historical_comparison"), F.lit("UNAVAILABLE"))
     tests = [
-        (~c("response_structure_valid"), "EMPTY_RESPONSE_STRUCTURE_INVALID"),
-        (~c("pagination_complete"), "EMPTY_PAGINATION_INCOMPLETE"),
-        (~c("explicit_empty_signal") & ~c("official_result_count").eqNullSafe(0), "EMPTY_SIGNAL_MISSING"),
-        (c("authentication_wall_detected"), "EMPTY_AUTHENTICATION_WALL_DETECTED"),
-        (c("captcha_detected"), "EMPTY_CAPTCHA_DETECTED"),
-        (c("error_page_detected"), "EMPTY_ERROR_PAGE_DETECTED"),
-        (c("structure_drift_detected"), "EMPTY_STRUCTURE_DRIFT_DETECTED"),
-        (c("historical_comparison") == "ANOMALOUS", "EMPTY_HISTORY_ANOMALOUS"),
-        (c("historical_comparison") == "UNAVAILABLE", "EMPTY_HISTORY_UNAVAILABLE"),
+        (lacks("response_structure_valid"), "EMPTY_RESPONSE_STRUCTURE_INVALID"),
+        (lacks("pagination_complete"), "EMPTY_PAGINATION_INCOMPLETE"),
+        (lacks("explicit_empty_signal") & ~c("official_result_count").eqNullSafe(0), "EMPTY_SIGNAL_MISSING"),
+        (found("authentication_wall_detected"), "EMPTY_AUTHENTICATION_WALL_DETECTED"),
+        (found("captcha_detected"), "EMPTY_CAPTCHA_DETECTED"),
+        (found("error_page_detected"), "EMPTY_ERROR_PAGE_DETECTED"),
+        (found("structure_drift_detected"), "EMPTY_STRUCTURE_DRIFT_DETECTED"),
+        (history == "ANOMALOUS", "EMPTY_HISTORY_ANOMALOUS"),
+        (history == "UNAVAILABLE", "EMPTY_HISTORY_UNAVAILABLE"),
     ]
-    found = F.filter(F.array(*[F.when(t, F.lit(r)) for t, r in tests]), lambda r: r.isNotNull())
-    return F.when(F.col(v).isNull(), F.array(F.lit("ZERO_RESULT_REQUIRES_VALIDATION"))).otherwise(found)
+    named = F.filter(F.array(*[F.when(t, F.lit(r)) for t, r in tests]), lambda r: r.isNotNull())
+    return F.when(F.col(v).isNull(), F.array(F.lit("ZERO_RESULT_REQUIRES_VALIDATION"))).otherwise(named)
 
 
 def run_status(snapshots: Column, failed: Column, completeness: Column, not_modified: Column, observed: Column, empty_proof: Column) -> Column:
@@ -99,6 +107,24 @@ def missing_streaks(grid: DataFrame, keys: list[str], order: list[str], counts:
     return out.withColumn("streak", F.sum("__missed").over(island).cast("int")).withColumn("missing_event", F.col("__missed") == 1).drop("__seen", "__missed")
 
 
+def missing_event(run: Column, occurrence: Column, status: Column) -> Column:
+    """struct(event_id, kind, reason) of an occurrence that a run did not see (G6): the id follows from what it is about."""
+    basis = canonical_json({"event_kind": F.lit("MISSING_OBSERVED"), "source_occurrence_id": occurrence, "source_run_id": run})
+    return F.struct(F.concat(F.lit("lifecycle-event:"), sha256(basis)).alias("event_id"), F.lit("MISSING_OBSERVED").alias("kind"), F.concat(F.lit("SOURCE_RUN_"), status).alias("reason"))
+
+
+def explicit_empty(json: Column, items: str = "jobs") -> Column:
+    """Whether a JSON text says outright that there is nothing (G9): exactly the keys items, next and total, an empty list, total 0 and next null.
+
+    Texts that are no JSON object are not empty lists: false, as null is.
+    """
+    parsed = F.try_parse_json(json)
+    keys = F.array_sort(F.json_object_keys(json))
+    listed, total, following = (F.get_json_object(json, f"$.{k}") for k in (items, "total", "next"))
+    same = (keys == F.array_sort(F.array(F.lit(items), F.lit("next"), F.lit("total")))) & (F.regexp_replace(listed, r"\s", "") == "[]") & (total.try_cast("double") == 0) & following.isNull()
+    return parsed.isNotNull() & F.coalesce(same, F.lit(False))
+
+
 def acquisition(current: DataFrame, previous: DataFrame, run: str, position: str, locator: str, hash_col: str) -> DataFrame:
     """run, status: NOT_MODIFIED where every page has the locator and hash of the page at its place before, and none is missing."""
     a = current.select(run, position, F.struct(locator, hash_col).alias("now"))

@@ -25,15 +25,84 @@ def admission(decision: Column, scope: Column, level: Column, canary_reviewed: C
 
 
 def authorization_faults(runs: DataFrame, permits: DataFrame, key: str, same: list[str], at: str, valid_from: str, valid_to: str) -> DataFrame:
-    """key, faults: what keeps a run from its permit; runs without a fault have an empty list."""
+    """key, faults: what keeps a run from its permit; runs without a fault have an empty list.
+
+    What is null on either side agrees with nothing: DIFFERS, or TIME_UNKNOWN for instants and limits.
+    """
     other = permits.select(key, *[F.col(c).alias(f"__{c}") for c in same], F.col(valid_from).alias("__from"), F.col(valid_to).alias("__to"), F.lit(True).alias("__there"))
     found = runs.join(other, key, "left")
-    tests = [(F.col("__there").isNull(), "NO_PERMIT")] + [(F.col("__there") & (F.col(c) != F.col(f"__{c}")), f"{c.upper()}_DIFFERS") for c in same]
+    tests = [(F.col("__there").isNull(), "NO_PERMIT")] + [(F.col("__there") & ~F.coalesce(F.col(c) == F.col(f"__{c}"), F.lit(False)), f"{c.upper()}_DIFFERS") for c in same]
+    tests += [(F.col("__there") & (F.col(at).isNull() | F.col("__from").isNull() | F.col("__to").isNull()), "TIME_UNKNOWN")]
     tests += [(F.col("__there") & (F.col(at) < F.col("__from")), "NOT_YET_VALID"), (F.col("__there") & (F.col(at) > F.col("__to")), "EXPIRED")]
     named = F.filter(F.array(*[F.when(t, F.lit(r)) for t, r in tests]), lambda r: r.isNotNull())
     return found.select(key, named.alias("faults"))
 
 
+# What an endpoint may be for.
+PURPOSES = ("JOB_LIST", "JOB_DETAIL", "RECRUITMENT_NOTICE", "RECRUITMENT_ATTACHMENT")
+
+
+def admission_faults(url: Column, endpoint: Column, purpose: Column, method: Column, evidence: Column, reviews: Column, decision: Column, level: Column, purposes: tuple[str, ...] = PURPOSES) -> Column:
+    """What is wrong with an admission (P2), all of it: its endpoint, what that is for, its method, its evidence, its reviews, its level.
+
+    evidence and reviews are numbers of rows; an approved admission needs both
+    and level A or B.  Nulls count as faults.
+    """
+    approved = F.coalesce(decision == "APPROVED", F.lit(False))
+    return reasons([
+        (~F.coalesce(url.rlike("^https://[^/?#@]+"), F.lit(False)), "ENDPOINT_INVALID"),
+        (F.coalesce(F.trim(endpoint), F.lit("")) == "", "ENDPOINT_REFERENCE_MISSING"),
+        (~purpose.isin(*purposes), "PURPOSE_UNSUPPORTED"),
+        (method != "GET", "METHOD_NOT_ALLOWED"),
+        (F.coalesce(evidence, F.lit(0)) < 1, "EVIDENCE_MISSING"),
+        (approved & (F.coalesce(reviews, F.lit(0)) < 1), "REVIEW_MISSING"),
+        (approved & ~F.coalesce(level.isin("A", "B"), F.lit(False)), "LEVEL_DENIED"),
+    ])
+
+
+def discovery_state(same_scope: Column, success: Column, complete: Column, content: Column, hash_: Column, length: Column, declared_type: Column, content_type: Column, authority: Column, references: Column, known: Column) -> Column:
+    """struct(state, reason) of a discovery's evidence (P6): REVIEW_REQUIRED for an unknown extension, else EVIDENCE_BLOCKED by the first thing that fails, else SUPPORTED.
+
+    references: hashes of the four things that the evidence rests on.
+    """
+    false = F.lit(False)
+    steps = [
+        (~F.coalesce(known, false), "REVIEW_REQUIRED", "EXTENSION_UNPROVEN"),
+        (~F.coalesce(same_scope & success & complete, false), "EVIDENCE_BLOCKED", "SCOPE_OR_ACQUISITION"),
+        (~F.coalesce((F.sha2(content, 256) == hash_) & (F.octet_length(content) == length) & (declared_type == content_type), false), "EVIDENCE_BLOCKED", "BYTES_DIFFER"),
+        (~F.coalesce(authority.isin("OFFICIAL", "AUTHORIZED"), false), "EVIDENCE_BLOCKED", "AUTHORITY"),
+        (~F.coalesce((F.size(references) == 4) & F.forall(references, lambda r: F.coalesce(r.rlike("^[a-f0-9]{64}$"), false)), false), "EVIDENCE_BLOCKED", "REFERENCES_MISSING"),
+    ]
+    made = [F.when(t, F.struct(F.lit(s).alias("state"), F.lit(r).alias("reason"))) for t, s, r in steps]
+    return F.coalesce(*made, F.struct(F.lit("SUPPORTED").alias("state"), F.lit(None).cast("string").alias("reason")))
+
+
+def issued_evidence(manifests: DataFrame, items: DataFrame, manifest: str, evidence_class: str, provenance: str, payload: Column) -> tuple[DataFrame, DataFrame]:
+    """(sealed items, faults by manifest) of an issuance of evidence.
+
+    A manifest needs an item, and items that state where they are from must
+    state the manifest's class; one that does not holds back all of its
+    manifest.  A sealed item is named by the hash of its content and manifest.
+    """
+    known = manifests.select(manifest, evidence_class)
+    rows = items.withColumn("__payload", payload).join(known, manifest)
+    g = known.join(rows.groupBy(manifest).agg(F.count("*").alias("__n"), F.count_if(F.col(provenance) != F.col(evidence_class)).alias("__bad")), manifest, "left")
+    fault = F.when(F.col("__n").isNull(), "NO_ITEMS").when(F.col("__bad") > 0, "PROVENANCE_DIFFERS")
+    faults = g.select(manifest, fault.alias("fault")).where("fault IS NOT NULL")
+    seal = F.concat(F.lit("evidence:"), sha256(canonical_json({"class": F.col(evidence_class), "manifest": F.col(manifest).cast("string"), "payload": F.col("__payload")})))
+    return rows.join(faults, manifest, "left_anti").withColumn("evidence_id", seal).drop("__payload"), faults
+
+
+def bound_campaigns(details: DataFrame, evidence: DataFrame, ids: list[str], claims: list[str]) -> DataFrame:
+    """details with binding (P11): BOUND where the retained evidence of the same ids states the same claims, else UNBOUND, MISMATCH or AMBIGUOUS."""
+    g = evidence.groupBy(*ids).agg(F.countDistinct(F.struct(*claims)).alias("__n"), F.min(F.struct(*claims)).alias("__claims"))
+    same = F.lit(True)
+    for c in claims:
+        same = same & F.col(c).eqNullSafe(F.col(f"__claims.{c}"))
+    state = F.when(F.col("__n").isNull(), "UNBOUND").when(F.col("__n") > 1, "AMBIGUOUS").when(same, "BOUND").otherwise("MISMATCH")
+    return details.join(g, ids, "left").withColumn("binding", state).drop("__n", "__claims")
+
+
 def approved_query(query: Column, approved: Column) -> Column:
     """Whether a URL query is one of the approved ones: no repeated names, no plus signs, pairs compared in any order."""
     pairs = lambda q: F.array_sort(F.split(q, "&"))
@@ -42,9 +111,12 @@ def approved_query(query: Column, approved: Column) -> Column:
     return F.coalesce(plain & F.exists(approved, lambda a: pairs(a) == pairs(query)), F.lit(False))
 
 
-def registry_faults(sources: DataFrame, publishers: DataFrame, id_col: str, revision: str, publisher: str, kinds: list[str], kind: str) -> DataFrame:
-    """id, revision, fault: DUPLICATE, PUBLISHER_UNKNOWN, PUBLISHER_CHANGED or KIND_UNSUPPORTED."""
-    w = Window.partitionBy(id_col).orderBy(revision)
+def registry_faults(sources: DataFrame, publishers: DataFrame, id_col: str, revision: str, publisher: str, kinds: list[str], kind: str, ties: list[str] | None = None) -> DataFrame:
+    """id, revision, fault: DUPLICATE, PUBLISHER_UNKNOWN, PUBLISHER_CHANGED (against the first revision's) or KIND_UNSUPPORTED.
+
+    ties: columns that tell rows of one revision apart, for the first one's sake.
+    """
+    w = Window.partitionBy(id_col).orderBy(revision, *(ties or []))
     known = publishers.select(F.col(publisher)).distinct().withColumn("__known", F.lit(True))
     df = sources.withColumn("__n", F.count("*").over(Window.partitionBy(id_col, revision))).withColumn("__first", F.first(publisher).over(w)).join(known, publisher, "left")
     faults = reasons([(F.col("__n") > 1, "DUPLICATE"), (F.col("__known").isNull(), "PUBLISHER_UNKNOWN"), (~F.col(publisher).eqNullSafe(F.col("__first")), "PUBLISHER_CHANGED"), (~F.col(kind).isin(kinds), "KIND_UNSUPPORTED")])

@@ -57,6 +57,17 @@ def page(df: DataFrame, order: list, offset: int = 0, limit: int = 20, most: int
     return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
 
 
+def page_in(df: DataFrame, order: list, parameters: dict[str, str], prefix: str = "", default: int = 20, most: int = 100) -> DataFrame:
+    """A page by the parameters `<prefix>offset` and `<prefix>limit` as text, for pages within a page."""
+    offset = page_parameter(parameters.get(f"{prefix}offset"), 0, 0, 10**9)
+    return page(df, order, offset, page_parameter(parameters.get(f"{prefix}limit"), default, 1, most), most)
+
+
+def bounded(df: DataFrame, order: list, most: int) -> DataFrame:
+    """The first `most` rows of a total order: a scan with a stated bound."""
+    return df.orderBy(*order).limit(most)
+
+
 def mapped(value: Column, names: dict[str, str], what: str) -> Column:
     """An enum by another's names; an unknown value is an error, null stays null."""
     out = F.when(value.isNull(), F.lit(None).cast("string"))
@@ -91,16 +102,21 @@ def valid_at(at: Column, observed: Column, begins: Column, ends: Column) -> Colu
 
 
 def validity_join(facts: DataFrame, events: DataFrame, key: str, begins: str, ends: str, at: str, width_s: int) -> DataFrame:
-    """events with the facts of their key that hold at their instant, both ends included.
+    """events with the facts of their key that hold at their instant, both ends included; a null begin or end is open.
 
     A plain range join would pair all facts and events of a key.  Facts are
     dealt out by the stretches of width_s seconds that they touch, events by
-    their own, so a key's rows spread over its stretches.
+    their own, so a key's rows spread over its stretches.  Facts are clipped to
+    the stretches that events have, so an open one makes no more rows than that.
     """
     stretch = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / width_s)
-    dealt = facts.withColumn("__stretch", F.explode(F.sequence(stretch(begins), stretch(ends))))
+    low, high = events.agg(F.min(stretch(at)), F.max(stretch(at))).first()
+    if low is None:
+        low, high = 0, -1
+    dealt = facts.withColumns({"__low": F.greatest(stretch(begins), F.lit(low)), "__high": F.least(stretch(ends), F.lit(high))}).where("__low <= __high")
+    dealt = dealt.withColumn("__stretch", F.explode(F.sequence("__low", "__high"))).drop("__low", "__high")
     found = events.withColumn("__stretch", stretch(at)).join(dealt, [key, "__stretch"])
-    return found.where((F.col(begins) <= F.col(at)) & (F.col(at) <= F.col(ends))).drop("__stretch")
+    return found.where((F.col(begins).isNull() | (F.col(begins) <= F.col(at))) & (F.col(ends).isNull() | (F.col(at) <= F.col(ends)))).drop("__stretch")
 
 
 def nested(parents: DataFrame, children: DataFrame, key: str, order: list[str], fields: list[str], name: str) -> DataFrame:
@@ -122,6 +138,13 @@ def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return children.where(F.col(key).isNotNull()).join(parents.select(key), key, "left_anti")
 
 
+def sources_with_endpoints(sources: DataFrame, organizations: DataFrame, endpoints: DataFrame, health: DataFrame, source: str, organization: str, endpoint: str) -> DataFrame:
+    """sources with their organisation and a list of their endpoints, each with its health or null (E4): one join where a query for each source would be."""
+    known = endpoints.join(health, endpoint, "left")
+    fields = [c for c in known.columns if c not in (source, endpoint)]
+    return nested(sources.join(organizations, organization), known, source, [endpoint], fields, "endpoints")
+
+
 def coverage(expected: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
     """Blockers: the expected keys that nothing covers, and one NOTHING_EXPECTED row if nothing was expected."""
     missing = expected.select(*keys).distinct().join(observed.select(*keys), keys, "left_anti").withColumn("blocker", F.lit("NOT_COVERED"))

@@ -69,3 +69,110 @@ def best_by_authority(rows: DataFrame, group: str, authority: str, id_col: str,
     rest = [c for c in rows.columns if c != group]
     picked = rows.groupBy(group).agg(F.min_by(F.struct(*rest), F.struct(rank, F.col(id_col))).alias("__row"))
     return picked.select(group, *[F.col(f"__row.`{c}`").alias(c) for c in rest])
+
+
+CLAIM = "struct<state:string,key:string>"
+
+
+def reconciled_pairs(pairs: DataFrame, references: DataFrame, reconciliations: DataFrame) -> DataFrame:
+    """pairs (l, r) with reconciled: whether a confirmed reconciliation with evidence leads from one to the other.
+
+    references: id, ref, one row for each name that a candidate goes by;
+    reconciliations: from_refs, to_refs, state, kind, evidence (arrays).  Names
+    meet by equality, in either direction; no pairs are made beside the given ones.
+    """
+    sure = reconciliations.where((F.col("state") == "CONFIRMED") & F.col("kind").isin("MERGE", "CORRECTION") & (F.size("evidence") > 0))
+    moves = sure.select(F.monotonically_increasing_id().alias("__m"), "from_refs", "to_refs")
+    side = lambda c: moves.select("__m", F.explode(c).alias("ref")).join(references, "ref").select("__m", "id").distinct()
+    asked = pairs.select("l", "r")
+    start, end = side("from_refs"), side("to_refs")
+    found = None
+    for a, b in (("l", "r"), ("r", "l")):
+        one = asked.join(start.withColumnRenamed("id", a), a).join(end.withColumnRenamed("id", b), ["__m", b]).select("l", "r")
+        found = one if found is None else found.unionByName(one)
+    return pairs.join(found.distinct().withColumn("reconciled", F.lit(True)), ["l", "r"], "left").withColumn("reconciled", F.coalesce("reconciled", F.lit(False)))
+
+
+def _claim_steps(name: str, left: Column, right: Column) -> list[tuple[Column, str]]:
+    """What stops two claims from matching, in order; the last entry is what a match is called."""
+    return [
+        ((left["state"] == "PROVISIONAL") | (right["state"] == "PROVISIONAL"), f"{name}_PROVISIONAL"),
+        (~F.coalesce((left["state"] == "CONFIRMED") & (right["state"] == "CONFIRMED"), F.lit(False)), f"{name}_UNRESOLVED"),
+        (F.lit(None).cast("boolean"), f"{name}_MATCH"),
+    ]
+
+
+def contextual_decision(left: Column, right: Column, reconciled: Column) -> Column:
+    """struct(outcome, reasons) of two candidates that each know their recruitment context.
+
+    A side is a struct: separated, valid, opportunity, position, plan, batch
+    (claims: state, key), applicability (of the batch), employer, locations.
+    Proof of separation and invalid proof come first, then a reconciliation,
+    then all conflicts together, then an equal confirmed opportunity; else
+    position, plan, batch, employer and locations must each be confirmed equal,
+    and the reasons run up to the first that is not.
+    """
+    both = lambda c: (left[c]["state"] == "CONFIRMED") & (right[c]["state"] == "CONFIRMED")
+    differ = lambda c: both(c) & (left[c]["key"] != right[c]["key"])
+    settled = lambda s: s["applicability"] != "UNRESOLVED"
+    found = conflicts([
+        (differ("opportunity"), "OPPORTUNITY_IDENTITY_CONFLICT"),
+        (differ("position"), "POSITION_IDENTITY_CONFLICT"),
+        (differ("plan"), "RECRUITMENT_PLAN_IDENTITY_CONFLICT"),
+        (settled(left) & settled(right) & (left["applicability"] != right["applicability"]), "RECRUITMENT_BATCH_APPLICABILITY_CONFLICT"),
+        (differ("batch"), "RECRUITMENT_BATCH_IDENTITY_CONFLICT"),
+        (left["employer"] != right["employer"], "EMPLOYER_IDENTITY_CONFLICT"),
+        ((F.size(left["locations"]) > 0) & (F.size(right["locations"]) > 0) & (left["locations"] != right["locations"]), "LOCATION_IDENTITY_DISCRIMINATOR_CONFLICT"),
+    ])
+    none, false = F.lit(None).cast("boolean"), F.lit(False)
+    unsettled = ~F.coalesce(settled(left) & settled(right), false)
+    batch = [(unsettled, "RECRUITMENT_BATCH_IDENTITY_UNRESOLVED"), (left["applicability"] != right["applicability"], "RECRUITMENT_BATCH_APPLICABILITY_CONFLICT")]
+    batch += [(F.coalesce(left["applicability"] != "NOT_APPLICABLE", false) & F.coalesce(t, false), r) for t, r in _claim_steps("RECRUITMENT_BATCH_IDENTITY", left["batch"], right["batch"])[:2]] + [(none, "RECRUITMENT_BATCH_IDENTITY_MATCH")]
+    unequal = left["locations"].isNull() | right["locations"].isNull() | ((F.size(left["locations"]) == 0) != (F.size(right["locations"]) == 0))
+    steps = [
+        *_claim_steps("POSITION_IDENTITY", left["position"], right["position"]), *_claim_steps("RECRUITMENT_PLAN_IDENTITY", left["plan"], right["plan"]), *batch,
+        (left["employer"].isNull() | right["employer"].isNull(), "EMPLOYER_IDENTITY_UNRESOLVED"), (none, "EMPLOYER_IDENTITY_MATCH"),
+        (unequal, "LOCATION_IDENTITY_DISCRIMINATOR_UNRESOLVED"), (none, "LOCATION_IDENTITY_DISCRIMINATOR_MATCH"),
+    ]
+    # stop: the first step that stops; reasons: what matched before it, and its own name
+    stop = F.coalesce(*[F.when(F.coalesce(t, false), F.lit(i)) for i, (t, _) in enumerate(steps)], F.lit(len(steps)))
+    named = [(i, t, r) for i, (t, r) in enumerate(steps)]
+    match = lambda i, r: (stop > i) & (F.size(left["locations"]) > 0) if r.startswith("LOCATION") else stop > i
+    reasons = conflicts([(match(i, r) if r.endswith("_MATCH") else stop == i, r) for i, _, r in named])
+    through = stop == len(steps)
+    official = F.coalesce(both("opportunity") & (left["opportunity"]["key"] == right["opportunity"]["key"]), false)
+    answer = lambda outcome, *codes: F.struct(F.lit(outcome).alias("outcome"), F.array(*map(F.lit, codes)).alias("reasons"))
+    return (
+        F.when(F.coalesce(left["separated"] | right["separated"], false), answer("SEPARATE", "IDENTITY_EVIDENCE_CONFLICT"))
+        .when(~F.coalesce(left["valid"] & right["valid"], false), answer("SEPARATE", "IDENTITY_EVIDENCE_INSUFFICIENT"))
+        .when(reconciled, answer("MERGE", "EXPLICIT_RECONCILIATION_MATCH"))
+        .when(F.size(found) > 0, F.struct(F.lit("SEPARATE").alias("outcome"), found.alias("reasons")))
+        .when(official, answer("MERGE", "OPPORTUNITY_IDENTITY_MATCH", "RECRUITMENT_CONTEXT_MATCH"))
+        .otherwise(F.struct(F.when(through, "MERGE").otherwise("SEPARATE").alias("outcome"), F.when(through, F.array_append(reasons, F.lit("RECRUITMENT_CONTEXT_MATCH"))).otherwise(reasons).alias("reasons")))
+    )
+
+
+def candidate_decision(left: Column, right: Column, left_context: Column, right_context: Column, reconciled: Column, plain: Column) -> Column:
+    """struct(outcome, reasons): by context where both sides have one, by reconciliation alone where one has (J3), else as `plain` says."""
+    mixed = F.struct(F.when(reconciled, "MERGE").otherwise("SEPARATE").alias("outcome"), F.array(F.when(reconciled, "EXPLICIT_RECONCILIATION_MATCH").otherwise("LEGACY_CONTEXT_RECONCILIATION_MISSING")).alias("reasons"))
+    return F.when(left_context & right_context, contextual_decision(left, right, reconciled)).when(left_context | right_context, mixed).otherwise(plain)
+
+
+def canonical_rows(members: DataFrame, group: str, id_col: str, version: str, authority: str, ranks: list[str], basis: Column, confirmed: Column, observed: str) -> DataFrame:
+    """A row for each group (J5): identity_hash, the member of the highest authority, all versions in order, and when it was first seen.
+
+    The identity is the hash of the basis of that member; a group of one whose
+    identity is not confirmed mixes in its own id, so that two of them never
+    fall together by chance.
+    """
+    from ..functions.canon import canonical_json, sha256, unique_sorted
+
+    rank = F.coalesce(*[F.when(F.col(authority) == a, F.lit(i)) for i, a in enumerate(ranks)], F.lit(len(ranks)))
+    rows = members.withColumns({"__basis": basis, "__confirmed": confirmed})
+    g = rows.groupBy(group).agg(
+        F.min_by(F.struct(id_col, "__basis", "__confirmed"), F.struct(rank, F.col(id_col))).alias("p"), F.count("*").alias("n"),
+        F.min(observed).alias("first_seen"), unique_sorted(F.collect_set(version)).alias("versions"))
+    base = sha256(F.col("p.__basis"))
+    single = sha256(canonical_json({"canonical_basis_hash": base, "source_occurrence_id": F.col(f"p.{id_col}")}))
+    identity = F.when((F.col("n") > 1) | F.coalesce(F.col("p.__confirmed"), F.lit(False)), base).otherwise(single)
+    return g.select(group, identity.alias("identity_hash"), F.col(f"p.{id_col}").alias("selected"), F.when(F.col("p.__confirmed"), "CONFIRMED").otherwise("PROVISIONAL").alias("state"), F.col("n").alias("members"), "versions", "first_seen")

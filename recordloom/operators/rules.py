@@ -13,15 +13,15 @@ MOST_RULES = 10_000
 
 
 def findings(texts: DataFrame, id_col: str, text_col: str, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """id, category, rule: every rule (category, name, pattern) that a text matches, once.
+    """id, category, rule: every rule (category, name, pattern) that a text matches, once for each row.
 
-    The rules are literals of one expression, so each text is read once and no join is made.
+    The rules are literals of one expression, so each text is read once and nothing is shuffled.
     """
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules: deal them out")
     hits = F.array(*[F.when(F.col(text_col).rlike(p), F.struct(F.lit(c).alias("category"), F.lit(n).alias("rule"))) for c, n, p in rules])
     found = F.array_distinct(F.filter(hits, lambda h: h.isNotNull()))
-    return texts.select(id_col, F.inline(found)).distinct()
+    return texts.select(id_col, F.inline(found))
 
 
 def relevance(found: DataFrame, texts: DataFrame, id_col: str, covered: str) -> DataFrame:

@@ -28,3 +28,14 @@ def assertion_status(rows: DataFrame, keys: list[str], status: str, value: str)
     g = rows.groupBy(*keys).agg(F.count(status).alias("n"), F.count_if(F.col(status) == "REVIEW").alias("review"), F.countDistinct(value).alias("values"), F.count_if(F.col(status) == "UNKNOWN").alias("unknown"))
     state = F.when((F.col("review") > 0) | (F.col("values") > 1), "REVIEW").when((F.col("unknown") > 0) | (F.col("n") == 0), "INSUFFICIENT").otherwise("COMPLETE")
     return g.select(*keys, state.alias("state"))
+
+
+def sync_totals(crawled: DataFrame, existing: DataFrame, run: str, key: str, closes: Column) -> DataFrame:
+    """run, discovered, added, updated, closed of a synchronisation (F3): what a crawl found, by whether the table had it; and what the table closes by itself.
+
+    A key that a run finds twice is discovered twice, and added or updated as often.
+    """
+    held = existing.select(key).distinct().withColumn("__held", F.lit(True))
+    g = crawled.join(held, key, "left").groupBy(run).agg(F.count("*").alias("discovered"), F.count_if(F.col("__held").isNull()).alias("added"), F.count("__held").alias("updated"))
+    # one row, since the table is one
+    return g.crossJoin(F.broadcast(existing.agg(F.count_if(closes).alias("closed"))))

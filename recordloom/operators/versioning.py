@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canon import canonical_json, sha256
+
 
 def _w(keys: list[str], order: list) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -52,6 +54,34 @@ def versions_latest(df: DataFrame, keys: list[str], content: str, order: list[st
     return out.withColumn("revision", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__new")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """df with the rows' numbers within their key, from 1."""
+    return df.withColumn(name, F.row_number().over(_w(keys, order)))
+
+
+def first_seen(df: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """keys, first_seen: the least instant of each (F8)."""
+    return df.groupBy(*keys).agg(F.min(at).alias("first_seen"))
+
+
+def snapshots(versions: DataFrame, keys: list[str], revision: str, id_col: str, fields: dict[str, str], order: list[str]) -> DataFrame:
+    """keys, revision, current (id), snapshot (hash of the fields and the revision) of each key's current version.
+
+    The current version is the one of the greatest revision; of its rows, the first in order stands for it.
+    """
+    first = F.min_by(F.struct(id_col, *fields.values()), F.struct(*order)).alias("__row")
+    one = versions.groupBy(*keys, revision).agg(first)
+    last = one.groupBy(*keys).agg(F.max(revision).alias(revision), F.max_by("__row", revision).alias("__row"))
+    content = canonical_json({revision: F.col(revision), **{n: F.col(f"__row.`{c}`") for n, c in fields.items()}})
+    return last.select(*keys, revision, F.col(f"__row.`{id_col}`").alias("current"), sha256(content).alias("snapshot"))
+
+
+def graph_versions(edges: DataFrame, keys: list[str], at: str, edge: str) -> DataFrame:
+    """keys, at, graph, revision (H7): a graph is the set of its edges at an instant, its version counts up where that set differs from the one before."""
+    graphs = edges.groupBy(*keys, at).agg(sha256(F.to_json(F.array_sort(F.collect_set(edge)))).alias("graph"))
+    return versions_latest(graphs, keys, "graph", [at])
+
+
 def superseding(df: DataFrame, keys: list[str], id_col: str, order: list[str]) -> DataFrame:
     """df with supersedes: the id of the revision before."""
     return df.withColumn("supersedes", F.lag(id_col).over(_w(keys, order)))

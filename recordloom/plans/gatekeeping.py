@@ -108,7 +108,7 @@ SELECT conv_id, turn, CASE WHEN regexp_matches(c, '^([^.,]{1,12})\.$') THEN 'ONE
 FROM u GROUP BY ALL
 """)
 def q_clause_rules(spark, d):
-    """Clauses to typed facts, the first rule that matches deciding (K1, K2)."""
+    """Clauses to flat facts by a table of patterns (K1); q_requirement_facts runs the cascade K2."""
     turns = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
     found = clauses.parsed(turns, "id", "text", PROSE_RULES)
     facts = F.array_join(F.transform("facts", lambda f: F.concat_ws("=", f["dimension"], f["value"])), ";")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..sources.stored import shared_dir
 from ..streaming import health
 from .history import q_health
 from .tables import ORACLES, query
@@ -15,8 +15,7 @@ from .tables import ORACLES, query
 def _drained(stream, name: str):
     """What a stream writes for the input that is there now; state and output lie in the folder that the session shares."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recordloom-")
-    out = f"{base}/recordloom/{name}-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/recordloom/{name}-{uuid.uuid4().hex}"
     job = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")

@@ -234,3 +234,16 @@ def table_records(cells: DataFrame, headers: list[str], required: list[str], she
     return body.withColumn("missing", missing).withColumn("empty", F.forall(F.array(*[F.col(f"`{h}`") for h in headers]), lambda v: v.isNull()))
 
 
+def cell_evidence(cells: DataFrame, records: DataFrame, facts: dict[str, str]) -> DataFrame:
+    """id, sheet, row, name, state, cell, dimension: where each field of each record is from, and which fact it may state.
+
+    state: PRESENT, or MISSING for a field without a value, which is evidence of
+    nothing.  facts: what dimension a field bears on; other fields have none.
+    """
+    names = [c for c in records.columns if c not in ("id", "sheet", "row", "missing", "empty")]
+    dimension = F.coalesce(*[F.when(F.col("name") == n, F.lit(d)) for n, d in facts.items()], F.lit(None).cast("string"))
+    heads = cells.where(F.trim("value").isin(names)).groupBy("id", "sheet", "row").agg(F.map_from_entries(F.collect_set(F.struct(F.trim("value"), "column"))).alias("at")).where(F.size("at") == len(names)).select("id", "sheet", "at")
+    fields = records.select("id", "sheet", "row", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("value")) for n in names])).alias("f")).select("id", "sheet", "row", "f.*")
+    letter = F.when(F.col("column") <= 26, F.char(F.col("column") + 64)).otherwise(F.concat(F.char(F.floor((F.col("column") - 1) / 26) + 64), F.char((F.col("column") - 1) % 26 + 65)))
+    placed = fields.join(heads, ["id", "sheet"]).withColumn("column", F.col("at")[F.col("name")])
+    return placed.select("id", "sheet", "row", "name", F.when(F.col("value").isNull(), "MISSING").otherwise("PRESENT").alias("state"), F.concat(letter, "row").alias("cell"), dimension.alias("dimension"))
