@@ -6,10 +6,15 @@ samples folded into a bitmap where each sample flips one bit, so that the
 number of ones in the XOR of two sketches estimates how many samples differ,
 precisely where few do.  Equal sets are one class from here on.  Inside a band
 bucket, sketches decide in blocks which members may be similar, and what leaves
-a block is a forest over those, never its pairs.  The forests' components
-(families) hold every possible link, so the exact comparison runs inside
-families, again in blocks, over full sets; its forests' components are the
-answer.
+a block is a forest over those, never its pairs.  Full sets then decide on each
+edge of the forests: an edge's star, a few members to a task, compares its
+centre with them, so this grows with the documents.  What the true edges tie
+together is settled.  Only where an edge proved false may a link have been left
+out for it; there, the groups that false edges connect (a family) are compared
+over full sets, in blocks and between groups alone.  The components of all true
+links are the answer.  A family of S shingles takes (S / FAMILY_BLOCK)**2 / 2
+blocks: large ones need many false edges, that is texts which are similar, but
+mostly less so than asked for.
 
 Recall: a pair at the limit shares a band with probability 1 - (1 - s**6)**40,
 which is 1 - 6e-9 at 0.85 and 1 - 5.2e-6 at 0.8.  All its bands share one
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import LOWER, Runs, mix, signed, slices, word_hashes, words_of
-from .stages import groups_of, partitions, stored
+from .stages import groups_of, new_groups, partitions, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -36,6 +41,8 @@ SKETCH_BITS = 512
 MARGIN = 0.2
 #: Members of a bucket that one task compares with as many others.
 BUCKET_BLOCK = 2048
+#: Shingles of a star's members that one task compares with the centre.
+STAR_BLOCK = 1 << 16
 #: Shingles of a family that one task compares with as many others.
 FAMILY_BLOCK = 1 << 18
 SLICE = 1 << 19
@@ -199,10 +206,13 @@ def _sift(percent: int):
     return run
 
 
-def confirmed(sets: np.ndarray, offsets: np.ndarray, percent: int) -> Forest:
-    """Which sets hang together by links of 100 * |intersection| >= percent * |union|, over every pair."""
+def confirmed(sets: np.ndarray, offsets: np.ndarray, percent: int, group: np.ndarray | None = None) -> Forest:
+    """Which sets hang together by links of 100 * |intersection| >= percent * |union|, over every pair; those of one group do from the start."""
     m, sizes = len(offsets) - 1, np.diff(offsets)
     forest = Forest(m)
+    if group is not None:
+        _, first, at = np.unique(group, return_index=True, return_inverse=True)
+        forest.of, forest.trees = first[at], len(first)
     owner = np.repeat(np.arange(m), sizes)
     order = np.argsort(sets, kind="stable")
     ranked, owners = sets[order], owner[order]
@@ -228,26 +238,47 @@ def confirmed(sets: np.ndarray, offsets: np.ndarray, percent: int) -> Forest:
     return forest
 
 
+def _sets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle sets of rows, end to end, and their offsets, worked through by slices."""
+    parts, sizes = [], [np.zeros(0, np.int64)]
+    for _, data, at in slices([pa.RecordBatch.from_arrays([texts], ["text"])]):
+        s, o = shingle_sets(data, at)
+        parts.append(s)
+        sizes.append(np.diff(o))
+    return np.concatenate(parts), np.append(0, np.cumsum(np.concatenate(sizes)))
+
+
+def _judge(percent: int):
+    """Edges of stars, and whether they are links: rows of one centre and block, the centre first."""
+
+    def run(batches):
+        for table in groups_of(batches, ["centre", "block"]):
+            key = [table.column(c).to_numpy() for c in ("centre", "block")]
+            ids = table.column("rep").to_numpy()
+            heads = np.flatnonzero(new_groups(*key))
+            out = []
+            for h, e in zip(heads.tolist(), np.append(heads[1:], len(ids)).tolist()):
+                sets, offsets = _sets_of(table.column("text").slice(h, e - h).combine_chunks())
+                sizes = np.diff(offsets)
+                shared = np.isin(sets, sets[: sizes[0]], kind="sort")
+                both = np.add.reduceat(shared.astype(np.int64), offsets[:-1])[1:]
+                out.append((np.full(e - h - 1, ids[h]), ids[h + 1 : e], 100 * both >= percent * (sizes[0] + sizes[1:] - both)))
+            columns = [np.concatenate(c) for c in zip(*out)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "link"])
+
+    return run
+
+
 def _confirm(percent: int):
     def run(batches):
         for table in groups_of(batches, ["family", "i", "j"]):
             key = [table.column(c).to_numpy() for c in ("family", "i", "j")]
-            ids = table.column("rep").to_numpy()
-            new = np.ones(len(ids), bool)
-            new[1:] = False
-            for k in key:
-                new[1:] |= k[1:] != k[:-1]
-            heads = np.flatnonzero(new)
+            ids, group = table.column("rep").to_numpy(), table.column("group").to_numpy()
+            heads = np.flatnonzero(new_groups(*key))
             out = []
             for h, e in zip(heads.tolist(), np.append(heads[1:], len(ids)).tolist()):
-                batch = pa.RecordBatch.from_arrays([table.column("text").slice(h, e - h).combine_chunks()], ["text"])
-                parts, sizes = [], []
-                for _, data, at in slices([batch]):
-                    s, o = shingle_sets(data, at)
-                    parts.append(s)
-                    sizes.append(np.diff(o))
-                offsets = np.append(0, np.cumsum(np.concatenate(sizes)))
-                out.append(confirmed(np.concatenate(parts), offsets, percent).edges(ids[h:e]))
+                sets, offsets = _sets_of(table.column("text").slice(h, e - h).combine_chunks())
+                out.append(confirmed(sets, offsets, percent, group[h:e]).edges(group[h:e]))
             yield _edge_batch(out)
 
     return run
@@ -269,7 +300,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     outside ASCII white space; fewer than five form one shingle.  Null and
     empty texts have empty sets and link with nothing.  Ids must be unique;
     equal repeated rows come out as often as they went in, and a null id is a
-    component of its own (null, kept).  An empty table stays empty.
+    component of its own (null, kept).  An empty table stays empty.  No other
+    columns come out, so none can clash; of different texts under one id, one
+    stands for the id where links are confirmed.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -282,17 +315,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = _blocked(members, "key", F.ceil(F.col("m") / BUCKET_BLOCK).cast("int"), "rep")
     members = members.join(signatures.select(F.col("id").alias("rep"), "n", "sketch").dropDuplicates(["rep"]), "rep")
     p = partitions(spark)
-    dealt = members.select("key", "i", "j", "rep", "n", "sketch").repartition(p, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    families = stored(components(dealt.mapInArrow(_sift(percent), "a long, b long")), "families")
-    weights = families.join(signatures.select(F.col("id").alias("node"), "n").dropDuplicates(["node"]), "node").withColumnsRenamed({"label": "family", "node": "rep"})
-    totals = weights.groupBy("family").agg(F.sum("n").alias("total"))
-    placed = _blocked(weights.join(totals, "family"), "family", F.ceil(F.col("total") / FAMILY_BLOCK).cast("int"), "rep")
-    texts = rows.join(families.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "rep")
-    whole = placed.join(texts, "rep").select("family", "i", "j", "rep", "text").repartition(p, "family", "i", "j").sortWithinPartitions("family", "i", "j")
-    labels = stored(components(whole.mapInArrow(_confirm(percent), "a long, b long")), "labels")
+    dealt = members.select("key", "i", "j", "rep", "n", "sketch").repartition(p, "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    sifted = dealt.mapInArrow(_sift(percent), "a long, b long").select(F.least("a", "b").alias("centre"), F.greatest("a", "b").alias("rep")).distinct()
+    sifted = stored(sifted, "sifted")
+    sizes = signatures.select(F.col("id").alias("rep"), "n").dropDuplicates(["rep"])
+    texts = rows.withColumnRenamed("id", "rep").dropDuplicates(["rep"])
+
+    # every edge against full sets
+    stars = sifted.join(sizes, "rep")
+    stars = stars.join(stars.groupBy("centre").agg(F.ceil(F.sum("n") / STAR_BLOCK).cast("int").alias("blocks")), "centre")
+    stars = stars.select("centre", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep")
+    placed = stars.withColumn("place", F.lit(1)).unionAll(stars.select("centre", "block", F.col("centre").alias("rep"), F.lit(0).alias("place")).distinct())
+    needed = texts.join(placed.select("rep").distinct(), "rep", "left_semi")
+    whole = placed.join(needed, "rep").select("centre", "block", "place", "rep", "text").repartition(p, "centre", "block").sortWithinPartitions("centre", "block", "place")
+    judged = stored(whole.mapInArrow(_judge(percent), "a long, b long, link boolean"), "judged")
+    groups = stored(components(judged.where("link")), "groups")
+
+    # groups that false edges connect, against each other
+    grouped = lambda c: F.coalesce(f"{c}_label", c)
+    side = lambda c: groups.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    doubts = judged.where("NOT link").join(side("a"), "a", "left").join(side("b"), "b", "left").select(grouped("a").alias("a"), grouped("b").alias("b"))
+    families = stored(components(doubts), "families").withColumnsRenamed({"node": "group", "label": "family"})
+    members = sifted.select("rep").unionAll(sifted.select(F.col("centre").alias("rep"))).distinct()
+    members = members.join(groups.withColumnsRenamed({"node": "rep", "label": "group"}), "rep", "left").withColumn("group", F.coalesce("group", "rep")).join(families, "group").join(sizes, "rep")
+    totals = members.groupBy("family").agg(F.sum("n").alias("total"))
+    blocks = _blocked(members.join(totals, "family"), "family", F.ceil(F.col("total") / FAMILY_BLOCK).cast("int"), "rep")
+    needed = texts.join(members.select("rep").distinct(), "rep", "left_semi")
+    whole = blocks.join(needed, "rep").select("family", "i", "j", "rep", "group", "text").repartition(p, "family", "i", "j").sortWithinPartitions("family", "i", "j")
+    ties = stored(components(whole.mapInArrow(_confirm(percent), "a long, b long")), "ties").withColumnsRenamed({"node": "group", "label": "tied"})
+
     out = signatures.select("id", "n", "set1", "set2").join(classes, ["set1", "set2", "n"], "left")
-    out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    label = F.coalesce("label", "rep", "id")
+    out = out.join(groups.withColumnsRenamed({"node": "rep", "label": "own"}), "rep", "left").withColumn("group", F.coalesce("own", "rep")).join(ties, "group", "left")
+    label = F.coalesce("tied", "group", "id")
     return out.select("id", F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("id") == label, F.lit(True)).alias("kept"))
 
 

@@ -1,8 +1,7 @@
-"""Writing intermediate tables where every executor can read them, and reading sorted partitions in groups."""
+"""Reading sorted partitions in groups, and texts that travel compressed; intermediate tables come from sources.stored."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,42 +9,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-WAREHOUSE_DIR = "spark.sql.warehouse.dir"
-#: Spark removes a query's shuffle files when it ends; what is stored is not read through them again.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from ..sources.stored import forget, shared_dir, stored
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the checkpoint folder, or the warehouse where the session names none."""
-    return (spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get(WAREHOUSE_DIR)).rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of `df`, written once as Parquet in the shared folder and read back.
-
-    This cuts the lineage and survives the loss of any executor.  The table
-    stays until `forget` is called for it.  A file holds a whole partition.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/recordloom/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP)
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes tables that `stored` has written and that nothing reads any more."""
-    for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+__all__ = ["forget", "groups_of", "new_groups", "partitions", "shared_dir", "squeezed", "stored", "unsqueezed"]
 
 
 def partitions(spark: SparkSession) -> int:

@@ -44,12 +44,29 @@ def test_near_duplicates_equal_brute_force(spark, seed, percent):
 def test_near_duplicates_split_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BUCKET_BLOCK", 3)
     monkeypatch.setattr(neardup, "FAMILY_BLOCK", 150)
+    monkeypatch.setattr(neardup, "STAR_BLOCK", 200)
     base = [f"w{i}" for i in range(80)]
     rows = [(k, " ".join([*base[:k], f"new{k}", *base[k + 1 :]])) for k in range(30)] + [(99, "quite another text of its own here")]
     found = {r.id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()}
     assert found == {i: c for i, (_, c) in near_duplicates_by_hand(rows, 80).items()}
 
 
+@pytest.mark.parametrize("blocks", [(1 << 16, 1 << 18), (60, 200)])
+def test_near_duplicates_of_chains_below_and_above_the_limit(spark, monkeypatch, blocks):
+    monkeypatch.setattr(neardup, "STAR_BLOCK", blocks[0])
+    monkeypatch.setattr(neardup, "FAMILY_BLOCK", blocks[1])
+    r = random.Random(3)
+    rows, words = [], [f"w{i}" for i in range(60)]
+    for k in range(60):  # each text is some words away from the one before, now less and now more than the limit allows
+        for _ in range(r.choice([1, 1, 2, 3])):
+            words[r.randrange(60)] = f"n{k}x{r.randint(0, 9999)}"
+        rows.append((k, " ".join(words)))
+    for percent in (70, 80):
+        found = {x.id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+        by_hand = {i: c for i, (_, c) in near_duplicates_by_hand(rows, percent).items()}
+        assert found == by_hand and 1 < len(set(by_hand.values())) < 60
+
+
 def test_near_duplicates_of_nothing_and_of_equal_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(none).count() == 0
