@@ -151,7 +151,8 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with ids are (OP6_SQL, which joins on ids, counts its windows but leaves it
     whole); an empty table stays empty.  Columns named like the added ones are replaced.
     """
-    return without(docs, repeated_windows(docs, id_col, text_col, window), id_col, text_col)
+    # written first, so that the files of its joins are gone before texts are shuffled
+    return without(docs, stored(repeated_windows(docs, id_col, text_col, window), "spans"), id_col, text_col)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

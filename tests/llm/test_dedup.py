@@ -3,6 +3,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from recordloom.llm import neardup, substrings, suffixes
@@ -88,6 +89,30 @@ def test_sketches_lose_less_than_bands(similarity):
     assert sifted < 0.1 * (1 - similarity**neardup.BAND_ROWS) ** neardup.BANDS
 
 
+def lost_pairs(similarity, pairs, seed):
+    """Random pairs of sets just at a similarity: how many share no band, and how many of the others the sketches sift out."""
+    r = np.random.default_rng(seed)
+    bands = sifted = 0
+    for _ in range(pairs):
+        n = int(r.integers(60, 600))
+        shared = int(np.ceil(similarity * 2 * n / (1 + similarity)))
+        pool = np.sort(r.integers(0, 1 << 64, 2 * n - shared, np.uint64, endpoint=False))
+        order = r.permutation(len(pool))
+        a, b = np.sort(pool[order[:n]]), np.sort(pool[order[n - shared :]])
+        values = neardup.minhashes(np.concatenate([a, b]), np.array([0, len(a)]))
+        keys, sketches = neardup.band_keys(values), neardup.odd_sketches(values)
+        if not (keys[0] == keys[1]).any():
+            bands += 1
+        elif np.bitwise_count(sketches[0] ^ sketches[1]).sum() > neardup.most_ones(similarity):
+            sifted += 1
+    return bands, sifted
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_pairs_at_the_limit_are_found(similarity):
+    assert lost_pairs(similarity, 1500, 17) == (0, 0)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r.node: r.label for r in components(edges).collect()}
