@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 #: Presentation statuses that can be read, and the others.
 READABLE = ("DISPLAY", "DISPLAY_WITH_REVIEW", "EVIDENCE_BLOCKED")
 HIDDEN = ("NOT_DISPLAY",)
@@ -50,9 +52,13 @@ def page_parameter(text: str | None, default: int, low: int, high: int) -> int:
 
 
 def page(df: DataFrame, order: list, offset: int = 0, limit: int = 20, most: int = 100) -> DataFrame:
-    """Rows offset to offset + limit in a total order, each with `total`, the number of rows before the cut."""
+    """Rows offset to offset + limit in a total order, each with `total`, the number of rows before the cut.
+
+    The rows are written once, and counted and cut from there.
+    """
     if not 1 <= limit <= most or offset < 0:
         raise ValueError(f"limit must be 1 to {most}, offset 0 or more")
+    df = stored(df, "page")
     total = df.agg(F.count("*").alias("total")).scalar()
     return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
 

@@ -7,12 +7,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a block, or of a component, that are compared each with each.
+MOST_ROWS = 5000
+
+
+def _bounded(rows: DataFrame, block: list[str], what: str) -> None:
+    """An error if a block holds more than MOST_ROWS rows: blocks that large need another key, not a longer wait."""
+    most = rows.groupBy(*block).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > MOST_ROWS:
+        raise ValueError(f"a {what} of {most} rows: the most is {MOST_ROWS}")
+
+
 def blocked_pairs(rows: DataFrame, id_col: str, block: list[str]) -> DataFrame:
     """Pairs l < r of rows that agree in the block columns, as columns l_* and r_*.
 
     Pairs outside a block differ in a block column, which already separates
-    them; blocks must be chosen small, since all pairs of one are compared.
+    them.  All pairs of a block are compared, so one of more than MOST_ROWS rows is an error.
     """
+    _bounded(rows.where(F.expr(" AND ".join(f"`{b}` IS NOT NULL" for b in block))), block, "block")
     left = rows.select(*[F.col(c).alias(f"l_{c}") for c in rows.columns])
     right = rows.select(*[F.col(c).alias(f"r_{c}") for c in rows.columns])
     on = F.col(f"l_{id_col}") < F.col(f"r_{id_col}")
@@ -39,10 +51,10 @@ def complete_link(rows: DataFrame, merges: DataFrame, id_col: str, component: st
     """id, group_id: in id order, each row joins the first group all of whose members it merges with.
 
     merges: l, r pairs that may merge.  Whether a row may join depends on who
-    joined before, so a component (of merge pairs) is decided in one task;
-    components must be small, as blocks of exact keys are.  group_id is the
-    group's least id.
+    joined before, so a component (of merge pairs) is decided in one task; one
+    of more than MOST_ROWS rows is an error.  group_id is the group's least id.
     """
+    _bounded(rows, [component], "component")
 
     def decide(ids: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         friends: dict = {}

@@ -12,6 +12,10 @@ from .history import q_health
 from .tables import ORACLES, query
 
 
+#: Files of one micro-batch: what bounds the rows of a key that are in memory at once.
+FILES = 8
+
+
 def _drained(stream, name: str):
     """What a stream writes for the input that is there now; state and output lie in the folder that the session shares."""
     spark = stream.sparkSession
@@ -26,6 +30,6 @@ def q_stream_health(spark, d):
     """q_health as a stream over the same events (M1)."""
     path = f"{d}/events.parquet"
     # a pattern, since a stream takes a plain path for a folder
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    events = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", FILES).parquet(path + "*")
     out = _drained(health.stream_health(events, "user_id", "ts", "event_id", F.col("event_type") != "error", "props", F.col("value") > 200), "health")
     return out.select(F.col("key").alias("user_id"), F.col("run").alias("event_id"), "consecutive_success", "consecutive_failure", "last_hash", "status")

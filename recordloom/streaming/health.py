@@ -14,8 +14,10 @@ def stream_health(runs: DataFrame, key: str, at: str, run: str, success: Column,
     """A streaming frame of runs to their health.
 
     Each key keeps two counters and the last hash.  A key's runs of one
-    micro-batch, whose size the trigger bounds, are taken in order of time and
-    id; a run that comes in a later batch than a younger one counts when it comes.
+    micro-batch are taken in order of time and id, so they are in memory
+    together: the source must bound a micro-batch, by maxFilesPerTrigger or the
+    like, with files in the order of time.  A run that comes in a later batch
+    than a younger one counts when it comes.
     """
     rows = runs.select(
         F.col(key).cast("long").alias("key"), F.col(at).cast("timestamp").alias("at"), F.col(run).cast("long").alias("run"),

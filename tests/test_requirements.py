@@ -163,3 +163,11 @@ def test_sets_with_a_cycle(spark):
     nodes = spark.createDataFrame([("t", "r", None, "AND", "o", 0), ("t", "a", "b", "OR", "o", 1), ("t", "b", "a", "OR", "o", 2), ("t", "x", "r", "LEAF", "o", 3)], "tree string, node string, parent string, operator string, owner string, position int")
     held = spark.createDataFrame([("x", "o")], "node string, owner string")
     assert sorted((r.node, r.fault) for r in structured.set_faults(nodes, held).collect()) == [("a", "CYCLE_OR_DEPTH"), ("a", "ORDER"), ("b", "CYCLE_OR_DEPTH")]
+
+
+def test_blocks_that_are_too_large_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "MOST_ROWS", 3)
+    rows = spark.createDataFrame([(i, "a" if i < 4 else None) for i in range(9)], "id long, b string")
+    with pytest.raises(ValueError, match="a block of 4 rows"):
+        resolve.blocked_pairs(rows, "id", ["b"])
+    assert resolve.blocked_pairs(rows.where("id > 0"), "id", ["b"]).count() == 3
