@@ -74,6 +74,14 @@ def bounded(df: DataFrame, order: list, most: int) -> DataFrame:
     return df.orderBy(*order).limit(most)
 
 
+def scan(table: DataFrame, columns: list[str], equal: dict[str, object], order: list, most: int) -> DataFrame:
+    """Some columns of the rows that equal the given values, in order, no more than `most` (A16); filters and columns reach the scan of any source."""
+    rows = table
+    for name, value in equal.items():
+        rows = rows.where(F.col(name).isNull() if value is None else F.col(name) == value)
+    return rows.orderBy(*order).limit(most).select(*columns)
+
+
 def mapped(value: Column, names: dict[str, str], what: str) -> Column:
     """An enum by another's names; an unknown value is an error, null stays null."""
     out = F.when(value.isNull(), F.lit(None).cast("string"))

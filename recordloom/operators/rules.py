@@ -134,6 +134,29 @@ def connector(token: Column, context: Column, table: list[tuple[str, str, str]],
     return F.coalesce(*exact, *general, F.lit(otherwise))
 
 
+# Connecting words and marks by meaning, and the context in which marks stand between alternatives.
+AND_WORDS = ["AND", "且", "并且", "同时", "同时具备", "同时具有", "兼具"]
+OR_WORDS = ["OR", "或", "任一", "任一项", "任选其一", "之一", "均可"]
+ALSO, LABEL_MARKS, LIST_MARKS, CLAUSE_MARKS = "以及", [":", "："], [",", "，", "、", "/"], [";", "；"]
+MAJOR_LIST, PROTECTED = "MAJOR_CANDIDATE_LIST", "PROTECTED_ATOMIC_SPAN"
+
+
+def clause_connector(token: Column, context: Column, protected: Column) -> Column:
+    """struct(status, kind) of what stands between two parts of a clause (K5); marks join alternatives only in a list of majors."""
+    word, listed = F.trim(token), F.coalesce(context == MAJOR_LIST, F.lit(False))
+    made = lambda status, kind: F.struct((status if isinstance(status, Column) else F.lit(status)).alias("status"), (kind if isinstance(kind, Column) else F.lit(kind).cast("string")).alias("kind"))
+    return (
+        F.when(F.coalesce(protected, F.lit(False)) | F.coalesce(context == PROTECTED, F.lit(False)), made("NON_BOOLEAN", "PROTECTED_CONTENT"))
+        .when(word.isin(AND_WORDS), made("RESOLVED", "AND"))
+        .when(word.isin(OR_WORDS), made("RESOLVED", "OR"))
+        .when(word == ALSO, made("RESOLVED", F.when(listed, "OR").otherwise("AND")))
+        .when(word.isin(LABEL_MARKS), made("NON_BOOLEAN", "LABEL_DELIMITER"))
+        .when(word.isin(LIST_MARKS + CLAUSE_MARKS) & listed, made("RESOLVED", "OR"))
+        .when(word.isin(CLAUSE_MARKS), made("CLAUSE_BOUNDARY", None))
+        .otherwise(made("UNRESOLVED", None))
+    )
+
+
 def score(weight: Column, excluded: Column, rejected: Column, bonus: list[Column], malus: list[Column]) -> Column:
     """0 if excluded, 1 if a rule rejects, else the weight and the adjustments that hold, within 1 to 5."""
     out = weight

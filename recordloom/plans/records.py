@@ -32,6 +32,25 @@ def q_html_records(spark, d):
     return found.select("id", "place", text.alias("record"))
 
 
+@query("""
+SELECT o_orderkey AS id, 0 AS place, 'RECORDS' AS fault FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, 1, 'MISSING_state' FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey % 10 <> 0
+""")
+def q_page_shapes(spark, d):
+    """Pages that don't have the shape that their site is known for."""
+    html = F.concat(F.lit('<div data-record><b data-field="title">t'), "o_custkey", F.lit("</b>"), F.when(F.col("o_orderkey") % 6 != 0, F.lit('<i data-field="state">open</i>')).otherwise('<i data-field="state"> </i>'), F.lit("</div>"))
+    pages = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, html).alias("html"))
+    found = records.records_of(records.html_fields(pages, "o_orderkey", "html"), ["title", "state"])
+    return records.shape_faults(pages, found, "o_orderkey", ["title", "state"])
+
+
+@query("""
+SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100
+""")
+def q_table_scan(spark, d):
+    """A scan by equality, in order, with a bound."""
+    return q.scan(table(spark, d, "orders"), ["o_orderkey", "o_totalprice"], {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"}, [F.col("o_orderdate").desc(), "o_orderkey"], 100)
+
+
 @query("""
 WITH c AS (SELECT page_id, len(regexp_extract_all(html, '<a href=')) AS n FROM pages)
 SELECT page_id, CASE WHEN n > 0 THEN 1 ELSE 0 END AS has_links, page_id % 7 AS wide, CASE WHEN page_id % 7 <= 4 THEN 'near ' || page_id || ' l0' || CASE WHEN page_id % 7 > 1 THEN ' l1' ELSE '' END || CASE WHEN page_id % 7 > 2 THEN ' l2' ELSE '' END || CASE WHEN page_id % 7 > 3 THEN ' l3' ELSE '' END ELSE 'l0' END AS context FROM c WHERE page_id % 7 > 0

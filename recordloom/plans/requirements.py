@@ -332,3 +332,19 @@ def q_major_scopes(spark, d):
     flags = clauses.degree_flags(F.col("text"), "the", "th")
     out = docs.select("doc_id", F.array_join(F.transform(chosen, lambda c: c["level"]), "+").alias("selected"), ((F.length("text") > 100) & flags["explicit"]).alias("explicit"), (~flags["ambiguous"]).alias("plain"))
     return out.join(levels.select("doc_id", F.col("level").cast("int").alias("level")), "doc_id")
+
+
+#: Connecting words and marks by number: meaning outside a list of majors, and within one.
+CONNECTORS = [("且", "RESOLVED/AND", "RESOLVED/AND"), (" 或 ", "RESOLVED/OR", "RESOLVED/OR"), ("以及", "RESOLVED/AND", "RESOLVED/OR"), ("：", "NON_BOOLEAN/LABEL_DELIMITER", "NON_BOOLEAN/LABEL_DELIMITER"), ("、", "UNRESOLVED", "RESOLVED/OR"), ("；", "CLAUSE_BOUNDARY", "RESOLVED/OR"), ("和", "UNRESOLVED", "UNRESOLVED")]
+_CONNECTOR_ROWS = ", ".join(f"({i}, {', '.join(map(_quoted, c[1:]))})" for i, c in enumerate(CONNECTORS))
+
+
+@query(f"""
+WITH t(k, plain, listed) AS (VALUES {_CONNECTOR_ROWS})
+SELECT c_custkey, CASE WHEN c_nationkey % 5 = 4 THEN 'NON_BOOLEAN/PROTECTED_CONTENT' WHEN c_nationkey % 2 = 0 THEN listed ELSE plain END AS meaning FROM customer JOIN t ON k = c_custkey % 7
+""")
+def q_clause_connectors(spark, d):
+    """What connects two parts of a clause, by word and context (K5)."""
+    token = F.element_at(F.array(*[F.lit(c[0]) for c in CONNECTORS]), (F.col("c_custkey") % 7 + 1).cast("int"))
+    found = rules.clause_connector(token, F.when(F.col("c_nationkey") % 2 == 0, rules.MAJOR_LIST).otherwise("REQUIREMENT"), F.col("c_nationkey") % 5 == 4)
+    return table(spark, d, "customer").select("c_custkey", F.concat_ws("/", found["status"], found["kind"]).alias("meaning"))

@@ -85,6 +85,25 @@ def records_of(fields: DataFrame, scalars: list[str], lists: list[str] = []) ->
     return fields.groupBy("id", "place").agg(*one, *many)
 
 
+def shape_faults(pages: DataFrame, found: DataFrame, id_col: str, required: list[str], least: int = 1) -> DataFrame:
+    """id, place, fault: pages that don't have the shape their site's parameters expect.
+
+    found: what records_of gives for them.  RECORDS (place 0) for a page of
+    fewer than `least` records, MISSING_<field> for a record without a required one.
+    """
+    n = found.groupBy("id").agg(F.count("*").alias("n"))
+    few = pages.select(F.col(id_col).cast("long").alias("id")).join(n, "id", "left").where(F.coalesce("n", F.lit(0)) < least).select("id", F.lit(0).alias("place"), F.lit("RECORDS").alias("fault"))
+    lacks = F.filter(F.array(*[F.when(F.coalesce(F.col(f"`{r}`"), F.lit("")) == "", F.lit(f"MISSING_{r}")) for r in required]), lambda f: f.isNotNull())
+    return few.unionByName(found.select("id", "place", F.explode(lacks).alias("fault")))
+
+
+def shape_checked(pages: DataFrame, found: DataFrame, id_col: str, required: list[str], least: int = 1) -> DataFrame:
+    """found as it is; a page of another shape is an error, not an empty result. The check is one pass that ends at the first fault."""
+    if fault := shape_faults(pages, found, id_col, required, least).first():
+        raise ValueError(f"page {fault.id} has another shape: {fault.fault}")
+    return found
+
+
 def links_of(pages: DataFrame, id_col: str, html_col: str, most_text: int = 14_000, most_links: int = 4) -> DataFrame:
     """id, href, label, context: anchors with the text of the nearest block around them that holds no more than most_links different links."""
 

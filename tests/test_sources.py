@@ -105,3 +105,11 @@ def test_streams_equal_batches(spark, tmp_path):
     columns = ["consecutive_success", "consecutive_failure", "last_hash", "status"]
     batch = ledger.source_health(events, ["user_id"], ["ts", "event_id"], F.col("event_type") != "error", "props", F.col("value") > 200)
     assert sorted(tuple(r) for r in spark.table("health").select("run", *columns).collect()) == sorted(tuple(r) for r in batch.select("event_id", *columns).collect())
+
+
+def test_another_shape_is_an_error(spark):
+    pages = spark.createDataFrame([(1, '<p data-record><b data-field="title">x</b></p>'), (2, "<p>gone</p>")], "id long, html string")
+    found = records.records_of(records.html_fields(pages, "id", "html"), ["title"])
+    with pytest.raises(ValueError, match="page 2 has another shape: RECORDS"):
+        records.shape_checked(pages, found, "id", ["title"])
+    assert records.shape_checked(pages.where("id = 1"), found, "id", ["title"]).count() == 1
