@@ -319,15 +319,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sifted = dealt.mapInArrow(_sift(percent), "a long, b long").select(F.least("a", "b").alias("centre"), F.greatest("a", "b").alias("rep")).distinct()
     sifted = stored(sifted, "sifted")
     sizes = signatures.select(F.col("id").alias("rep"), "n").dropDuplicates(["rep"])
-    texts = rows.withColumnRenamed("id", "rep").dropDuplicates(["rep"])
+    texts_of = lambda ids: rows.withColumnRenamed("id", "rep").join(ids.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
 
     # every edge against full sets
     stars = sifted.join(sizes, "rep")
     stars = stars.join(stars.groupBy("centre").agg(F.ceil(F.sum("n") / STAR_BLOCK).cast("int").alias("blocks")), "centre")
     stars = stars.select("centre", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep")
     placed = stars.withColumn("place", F.lit(1)).unionAll(stars.select("centre", "block", F.col("centre").alias("rep"), F.lit(0).alias("place")).distinct())
-    needed = texts.join(placed.select("rep").distinct(), "rep", "left_semi")
-    whole = placed.join(needed, "rep").select("centre", "block", "place", "rep", "text").repartition(p, "centre", "block").sortWithinPartitions("centre", "block", "place")
+    whole = placed.join(texts_of(placed), "rep").select("centre", "block", "place", "rep", "text").repartition(p, "centre", "block").sortWithinPartitions("centre", "block", "place")
     judged = stored(whole.mapInArrow(_judge(percent), "a long, b long, link boolean"), "judged")
     groups = stored(components(judged.where("link")), "groups")
 
@@ -340,8 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.join(groups.withColumnsRenamed({"node": "rep", "label": "group"}), "rep", "left").withColumn("group", F.coalesce("group", "rep")).join(families, "group").join(sizes, "rep")
     totals = members.groupBy("family").agg(F.sum("n").alias("total"))
     blocks = _blocked(members.join(totals, "family"), "family", F.ceil(F.col("total") / FAMILY_BLOCK).cast("int"), "rep")
-    needed = texts.join(members.select("rep").distinct(), "rep", "left_semi")
-    whole = blocks.join(needed, "rep").select("family", "i", "j", "rep", "group", "text").repartition(p, "family", "i", "j").sortWithinPartitions("family", "i", "j")
+    whole = blocks.join(texts_of(members), "rep").select("family", "i", "j", "rep", "group", "text").repartition(p, "family", "i", "j").sortWithinPartitions("family", "i", "j")
     ties = stored(components(whole.mapInArrow(_confirm(percent), "a long, b long")), "ties").withColumnsRenamed({"node": "group", "label": "tied"})
 
     out = signatures.select("id", "n", "set1", "set2").join(classes, ["set1", "set2", "n"], "left")
