@@ -23,9 +23,9 @@ be ranked:
   place is enough for the rest.  Where all of an anchor's are equal, nothing is
   left to rank.
 
-The sketches have a fixed width.  On a corpus with far more anchors than cells
-they let all of them through, and the sort by anchor takes about three times the
-input.
+The sketch has a fixed width.  On a corpus with far more anchors than cells it
+lets all of them through, and the sort by anchor takes about three times the
+input; what is ranked after that sort does not depend on the sketch.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hashing import Anchors, Runs, mix, signed, slices, symbols
+from .hashing import Anchors, Runs, signed, slices, symbols
 from .sketches import PartSketch, merged
 from .stages import forget, new_groups, partitions, squeezed, stored, unsqueezed
 
@@ -47,10 +47,10 @@ GRAM = 32
 START = 25
 LOG2_WIDTH = 28
 ROWS = 2
-OPEN_WIDTH = 27
 
 _RANK = pa.schema([("key", pa.int64()), ("whole", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32()), ("more", pa.list_(pa.int32()))])
 _MARK = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32())])
+_STRING = pa.schema([("id", pa.int64()), ("first", pa.int32()), ("string", pa.binary())])
 _NAME = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("name", pa.int64())])
 _CUT = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
 
@@ -59,11 +59,6 @@ def _anchors(data, at, length, gram):
     return Anchors(symbols(3)[data], at, length, gram)
 
 
-def _occurrence(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A hash of a place in the corpus."""
-    return mix(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + first.astype(np.uint64))
-
-
 def _marks(batch: pa.RecordBatch, rows: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
     """All places of the given rows."""
     ids, first, count = (batch.column(i).to_numpy() for i in (2, 3, 4))
@@ -162,7 +157,7 @@ def doubled(names: DataFrame, start: int, length: int) -> DataFrame:
 
 
 def earlier_strings(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, start: int = START, log2_width: int = LOG2_WIDTH, open_width: int = OPEN_WIDTH
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, start: int = START, log2_width: int = LOG2_WIDTH
 ) -> DataFrame:
     """Places of `length`-byte strings that also start in a row of a smaller id: id, first (byte), count (of starts).
 
@@ -200,39 +195,46 @@ def earlier_strings(
     sampled = rows.mapInArrow(sample, "key long, whole long, id long, first int, count int, more array<int>")
     sampled = sampled.repartition(p, "key").sortWithinPartitions("key", "whole", "id")
     marks = stored(sampled.mapInArrow(_compare, "kind int, id long, first int, count int"), "marks")
+    sketch.free()
 
-    def note(batches):
-        opened = PartSketch(ROWS, open_width)
-        for batch in batches:
-            opened.add(_occurrence(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            if opened.size > 4 << 20:
-                yield from opened.batches()
-        yield from opened.batches()
+    # where nothing is settled, the strings that the open windows cover, each byte once; the texts' rows meet them by id
+    open_ = marks.where("kind = 1").groupBy("id").agg(F.collect_list("first").alias("__first"), F.collect_list("count").alias("__count"))
+    texts = squeezed(rows, "text").join(open_, "id")
 
-    opened = merged(marks.where("kind = 1").select("id", "first").mapInArrow(note, "block long, cells binary"), ROWS, open_width, least=1)
+    def cover(batches):
+        for batch, data, at in slices(unsqueezed(batches, "text")):
+            first, count = (batch.column(batch.schema.get_field_index(n)) for n in ("__first", "__count"))
+            ids, begins, strings = [], [], []
+            for i, id_ in enumerate(batch.column(batch.schema.get_field_index("id")).to_pylist()):
+                text = data[at[i] : at[i + 1]]
+                f = first[i].values.to_numpy()
+                e = np.minimum(f + count[i].values.to_numpy() + (length - 1), len(text))
+                edge = np.zeros(len(text) + 2, np.int32)
+                np.add.at(edge, f[f < e] + 1, 1)
+                np.add.at(edge, e[f < e] + 1, -1)
+                turn = np.flatnonzero(np.diff((np.cumsum(edge) > 0).view(np.int8)))
+                for s, t in turn.reshape(-1, 2).tolist():
+                    ids.append(id_)
+                    begins.append(s)
+                    strings.append(text[s:t].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(begins, pa.int32()), pa.array(strings, pa.binary())], schema=_STRING)
+
+    covered = stored(texts.mapInArrow(cover, "id long, first int, string binary"), "covered")
     begin = min(start, length)
 
     def name(batches):
-        for batch, data, at in slices(batches):
-            a = _anchors(data, at, length, gram)
-            ids = batch.column(0).to_numpy()
-            hit = np.flatnonzero(sketch.reaches(a.key))
-            hit = hit[opened.reaches(_occurrence(ids[a.row[hit]], a.first[hit] - at[a.row[hit]]))]
-            if not len(hit):
-                continue
-            # every position whose rank a window of these places takes part with, in one text once
-            edge = np.zeros(len(data) + 1, np.int32)
-            np.add.at(edge, a.first[hit], 1)
-            np.add.at(edge, a.first[hit] + a.count[hit] + (length - begin), -1)
-            pos = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
-            row = np.searchsorted(at, pos, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array((pos - at[row]).astype(np.int32)), pa.array(signed(a.runs.of(pos, pos + begin)))], schema=_NAME)
-
-    found = doubled(rows.mapInArrow(name, "id long, pos int, name long"), begin, length)
+        for batch, data, at in slices(batches, "string"):
+            n = np.maximum(np.diff(at) - begin + 1, 0)
+            ends = np.cumsum(n)
+            place = np.arange(ends[-1]) - np.repeat(ends - n, n)
+            byte = place + np.repeat(at[:-1], n)
+            row = np.repeat(np.arange(len(n)), n)
+            names = Runs(symbols(3)[data]).of(byte, byte + begin)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array((batch.column(1).to_numpy()[row] + place).astype(np.int32)), pa.array(signed(names))], schema=_NAME)
+
+    found = doubled(covered.mapInArrow(name, "id long, pos int, name long"), begin, length)
     spans = stored(marks.where("kind = 0").select("id", "first", "count").unionAll(found.select("id", F.col("pos").alias("first"), F.lit(1).alias("count"))), "spans")
-    forget(marks)
-    sketch.free()
-    opened.free()
+    forget(marks, covered)
     return spans
 
 
