@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stages import stored
+from .stages import forget, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,7 +19,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round replaces a node's edges by edges to its least neighbour; only
     minima are aggregated, no neighbourhood is gathered.  Rounds grow with the
     logarithm of the longest path.  Nulls and loops are dropped; an empty table
-    gives an empty table.
+    gives an empty table.  The result is a stored table; those of the rounds are deleted.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = stored(now, "edges")
@@ -27,13 +27,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while state[0]:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written first, so that the join below may split the edges of a node that very many share
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        nearest = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = both.where("v > u").join(nearest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stored(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        done = now
         now = stored(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        forget(done, nearest, large)
         before, state = state, _state(now)
         if before == state:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    labels = stored(now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "labels")
+    forget(now)
+    return labels

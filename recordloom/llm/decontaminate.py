@@ -130,6 +130,7 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
             if held is not None:
                 forget(held)
             held = out
+    forget(listed)
     hits, ids = F.array_sort(F.array_distinct("__hits")), F.array_sort(F.array_distinct("__items"))
     return out.select(*[F.col(f"`{f.name}`") for f in names], F.col("__n").alias("n_words"), F.size(hits).cast("long").alias("n_hit"), hits.alias("hits"), ids.alias("items"))
 

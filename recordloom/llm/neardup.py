@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import LOWER, Runs, mix, signed, slices, word_hashes, words_of
-from .stages import groups_of, new_groups, partitions, stored
+from .stages import forget, groups_of, new_groups, partitions, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -309,7 +309,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signatures = stored(rows.mapInArrow(_sign, "id long, n long, set1 long, set2 long, bands array<long>, sketch binary"), "signatures")
     classes = stored(signatures.where("n > 0").groupBy("set1", "set2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = signatures.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    banded = stored(reps.select(F.col("id").alias("rep"), "bands"), "bands").select("rep", F.explode("bands").alias("key"))
+    bands = stored(reps.select(F.col("id").alias("rep"), "bands"), "bands")
+    banded = bands.select("rep", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     members = banded.join(buckets, "key")
     members = _blocked(members, "key", F.ceil(F.col("m") / BUCKET_BLOCK).cast("int"), "rep")
@@ -328,19 +329,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = stars.withColumn("place", F.lit(1)).unionAll(stars.select("centre", "block", F.col("centre").alias("rep"), F.lit(0).alias("place")).distinct())
     whole = placed.join(texts_of(placed), "rep").select("centre", "block", "place", "rep", "text").repartition(p, "centre", "block").sortWithinPartitions("centre", "block", "place")
     judged = stored(whole.mapInArrow(_judge(percent), "a long, b long, link boolean"), "judged")
-    groups = stored(components(judged.where("link")), "groups")
+    groups = components(judged.where("link"))
 
     # groups that false edges connect, against each other
     grouped = lambda c: F.coalesce(f"{c}_label", c)
     side = lambda c: groups.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
     doubts = judged.where("NOT link").join(side("a"), "a", "left").join(side("b"), "b", "left").select(grouped("a").alias("a"), grouped("b").alias("b"))
-    families = stored(components(doubts), "families").withColumnsRenamed({"node": "group", "label": "family"})
+    connected = components(doubts)
+    families = connected.withColumnsRenamed({"node": "group", "label": "family"})
     members = sifted.select("rep").unionAll(sifted.select(F.col("centre").alias("rep"))).distinct()
     members = members.join(groups.withColumnsRenamed({"node": "rep", "label": "group"}), "rep", "left").withColumn("group", F.coalesce("group", "rep")).join(families, "group").join(sizes, "rep")
     totals = members.groupBy("family").agg(F.sum("n").alias("total"))
     blocks = _blocked(members.join(totals, "family"), "family", F.ceil(F.col("total") / FAMILY_BLOCK).cast("int"), "rep")
     whole = blocks.join(texts_of(members), "rep").select("family", "i", "j", "rep", "group", "text").repartition(p, "family", "i", "j").sortWithinPartitions("family", "i", "j")
-    ties = stored(components(whole.mapInArrow(_confirm(percent), "a long, b long")), "ties").withColumnsRenamed({"node": "group", "label": "tied"})
+    ties = components(whole.mapInArrow(_confirm(percent), "a long, b long")).withColumnsRenamed({"node": "group", "label": "tied"})
+    forget(bands, sifted, judged, connected)
 
     out = signatures.select("id", "n", "set1", "set2").join(classes, ["set1", "set2", "n"], "left")
     out = out.join(groups.withColumnsRenamed({"node": "rep", "label": "own"}), "rep", "left").withColumn("group", F.coalesce("own", "rep")).join(ties, "group", "left")

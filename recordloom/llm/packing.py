@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .hashing import slices
 from .sharding import numbered
-from .stages import stored
+from .stages import forget, stored
 
 CAPACITY = 2048
 END = 0
@@ -209,6 +209,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shared = kept.sparkSession.sparkContext.broadcast((before[rows[:, 0]] + rows[:, 1], rows[:, 3], rows[:, 4]))
     ordered = numbered(kept, ["length", "id", "piece"], "__number")
     names = kept.columns
+    forget(kept)
 
     def find(batches):
         begin, sequence, offset = shared.value

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .hashing import Anchors, signed, slices, word_hashes, words_of
 from .sketches import PartSketch, merged
-from .stages import new_groups, squeezed, stored, unsqueezed
+from .stages import forget, new_groups, squeezed, stored, unsqueezed
 
 WINDOW = 35
 GRAM = 12
@@ -46,7 +46,7 @@ def _owner(id_col: str, text_col: str) -> tuple[Column, Column]:
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, log2_width: int = LOG2_WIDTH) -> DataFrame:
     """Word spans covered by windows that start in more than one place: id, bare, firsts (words at which such a span begins), length.
 
-    id and bare are the key that `_owner` gives a row.  Ids must be unique, but
+    Its attribute `reads` names the stored tables that it reads.  id and bare are the key that `_owner` gives a row.  Ids must be unique, but
     for repeated equal rows, which count as copies.  Null and empty texts, and texts of fewer words than a window, have none.
     """
     id_, bare = _owner(id_col, text_col)
@@ -82,7 +82,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     found = stored(rows.mapInArrow(find, "id long, bare long, key long, whole long, firsts array<int>, count int, windows array<long>"), "windows")
     sketch.free()
-    found = found.withColumn("first", F.col("firsts")[0])
+    found_, found = found, found.withColumn("first", F.col("firsts")[0])
     wholes = found.groupBy("key", "whole").agg(F.sum(F.size("firsts")).alias("n"), F.min(F.struct("id", "bare", "first")).alias("at"))
     wholes = stored(wholes, "wholes")
     spans = found.select("id", "bare", "key", "whole", "firsts", "count").join(wholes.where("n > 1").select("key", "whole"), ["key", "whole"], "left_semi")
@@ -94,7 +94,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # sums are combined before the shuffle, and the join back may be split, so that a window of very many texts makes no hot task
     again = single.groupBy("key", "hash").agg(F.sum("n").alias("times")).where("times > 1").select("key", "hash")
     more = single.where("n = 1").join(again, ["key", "hash"], "left_semi").select("id", "bare", F.array(F.col("first") + F.col("place")).alias("firsts"), F.lit(window).alias("length"))
-    return spans.unionAll(more)
+    out = spans.unionAll(more)
+    out.reads = found_, wholes
+    return out
 
 
 def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,7 +154,10 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole); an empty table stays empty.  Columns named like the added ones are replaced.
     """
     # written first, so that the files of its joins are gone before texts are shuffled
-    return without(docs, stored(repeated_windows(docs, id_col, text_col, window), "spans"), id_col, text_col)
+    found = repeated_windows(docs, id_col, text_col, window)
+    spans = stored(found, "spans")
+    forget(*found.reads)
+    return without(docs, spans, id_col, text_col)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
