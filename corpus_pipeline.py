@@ -13,7 +13,7 @@ from recordloom.llm.decontaminate import contamination
 from recordloom.llm.neardup import near_duplicates
 from recordloom.llm.packing import packed, pieces_of
 from recordloom.llm.quality import LIMIT, scored, trained
-from recordloom.llm.stages import stored
+from recordloom.llm.stages import forget, stored
 from recordloom.llm.substrings import remove_repeated
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -56,6 +56,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        if k:
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
