@@ -80,9 +80,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i).take(pa.array(a.row[one])) for i in (0, 1)), pa.array(signed(a.key[one])), pa.array(signed(a.whole[one])), firsts, pa.array(n.astype(np.int32)), lists], schema=_FOUND)
 
-    found = stored(rows.mapInArrow(find, "id long, bare long, key long, whole long, firsts array<int>, count int, windows array<long>"), "windows")
+    written = stored(rows.mapInArrow(find, "id long, bare long, key long, whole long, firsts array<int>, count int, windows array<long>"), "windows")
     sketch.free()
-    found_, found = found, found.withColumn("first", F.col("firsts")[0])
+    found = written.withColumn("first", F.col("firsts")[0])
     wholes = found.groupBy("key", "whole").agg(F.sum(F.size("firsts")).alias("n"), F.min(F.struct("id", "bare", "first")).alias("at"))
     wholes = stored(wholes, "wholes")
     spans = found.select("id", "bare", "key", "whole", "firsts", "count").join(wholes.where("n > 1").select("key", "whole"), ["key", "whole"], "left_semi")
@@ -95,7 +95,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     again = single.groupBy("key", "hash").agg(F.sum("n").alias("times")).where("times > 1").select("key", "hash")
     more = single.where("n = 1").join(again, ["key", "hash"], "left_semi").select("id", "bare", F.array(F.col("first") + F.col("place")).alias("firsts"), F.lit(window).alias("length"))
     out = spans.unionAll(more)
-    out.reads = found_, wholes
+    out.reads = written, wholes
     return out
 
 
