@@ -320,14 +320,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sifted = dealt.mapInArrow(_sift(percent), "a long, b long").select(F.least("a", "b").alias("centre"), F.greatest("a", "b").alias("rep")).distinct()
     sifted = stored(sifted, "sifted")
     sizes = signatures.select(F.col("id").alias("rep"), "n").dropDuplicates(["rep"])
-    texts_of = lambda ids: rows.withColumnRenamed("id", "rep").join(ids.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
+    members = stored(sifted.select("rep").unionAll(sifted.select(F.col("centre").alias("rep"))).distinct(), "members")
+    # the few texts that full sets are needed of, once for both comparisons
+    texts = stored(rows.withColumnRenamed("id", "rep").join(members, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
 
     # every edge against full sets
     stars = sifted.join(sizes, "rep")
     stars = stars.join(stars.groupBy("centre").agg(F.ceil(F.sum("n") / STAR_BLOCK).cast("int").alias("blocks")), "centre")
     stars = stars.select("centre", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep")
     placed = stars.withColumn("place", F.lit(1)).unionAll(stars.select("centre", "block", F.col("centre").alias("rep"), F.lit(0).alias("place")).distinct())
-    whole = placed.join(texts_of(placed), "rep").select("centre", "block", "place", "rep", "text").repartition(p, "centre", "block").sortWithinPartitions("centre", "block", "place")
+    whole = placed.join(texts, "rep").select("centre", "block", "place", "rep", "text").repartition(p, "centre", "block").sortWithinPartitions("centre", "block", "place")
     judged = stored(whole.mapInArrow(_judge(percent), "a long, b long, link boolean"), "judged")
     groups = components(judged.where("link"))
 
@@ -337,13 +339,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doubts = judged.where("NOT link").join(side("a"), "a", "left").join(side("b"), "b", "left").select(grouped("a").alias("a"), grouped("b").alias("b"))
     connected = components(doubts)
     families = connected.withColumnsRenamed({"node": "group", "label": "family"})
-    members = sifted.select("rep").unionAll(sifted.select(F.col("centre").alias("rep"))).distinct()
-    members = members.join(groups.withColumnsRenamed({"node": "rep", "label": "group"}), "rep", "left").withColumn("group", F.coalesce("group", "rep")).join(families, "group").join(sizes, "rep")
-    totals = members.groupBy("family").agg(F.sum("n").alias("total"))
-    blocks = _blocked(members.join(totals, "family"), "family", F.ceil(F.col("total") / FAMILY_BLOCK).cast("int"), "rep")
-    whole = blocks.join(texts_of(members), "rep").select("family", "i", "j", "rep", "group", "text").repartition(p, "family", "i", "j").sortWithinPartitions("family", "i", "j")
+    placed = members.join(groups.withColumnsRenamed({"node": "rep", "label": "group"}), "rep", "left").withColumn("group", F.coalesce("group", "rep")).join(families, "group").join(sizes, "rep")
+    totals = placed.groupBy("family").agg(F.sum("n").alias("total"))
+    blocks = _blocked(placed.join(totals, "family"), "family", F.ceil(F.col("total") / FAMILY_BLOCK).cast("int"), "rep")
+    whole = blocks.join(texts, "rep").select("family", "i", "j", "rep", "group", "text").repartition(p, "family", "i", "j").sortWithinPartitions("family", "i", "j")
     ties = components(whole.mapInArrow(_confirm(percent), "a long, b long")).withColumnsRenamed({"node": "group", "label": "tied"})
-    forget(bands, sifted, judged, connected)
+    forget(bands, sifted, members, texts, judged, connected)
 
     out = signatures.select("id", "n", "set1", "set2").join(classes, ["set1", "set2", "n"], "left")
     out = out.join(groups.withColumnsRenamed({"node": "rep", "label": "own"}), "rep", "left").withColumn("group", F.coalesce("own", "rep")).join(ties, "group", "left")
