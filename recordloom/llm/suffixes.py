@@ -197,7 +197,8 @@ def earlier_strings(
     marks = stored(sampled.mapInArrow(_compare, "kind int, id long, first int, count int"), "marks")
     sketch.free()
 
-    # where nothing is settled, the strings that the open windows cover, each byte once; the texts' rows meet them by id
+    begin = min(start, length)
+    # where nothing is settled, runs of the positions whose ranks the open windows take part with; the texts' rows meet them by id
     open_ = marks.where("kind = 1").groupBy("id").agg(F.collect_list("first").alias("__first"), F.collect_list("count").alias("__count"))
     texts = squeezed(rows, "text").join(open_, "id")
 
@@ -208,7 +209,7 @@ def earlier_strings(
             for i, id_ in enumerate(batch.column(batch.schema.get_field_index("id")).to_pylist()):
                 text = data[at[i] : at[i + 1]]
                 f = first[i].values.to_numpy()
-                e = np.minimum(f + count[i].values.to_numpy() + (length - 1), len(text))
+                e = np.minimum(f + count[i].values.to_numpy() + (length - begin), max(len(text) - begin + 1, 0))
                 edge = np.zeros(len(text) + 2, np.int32)
                 np.add.at(edge, f[f < e] + 1, 1)
                 np.add.at(edge, e[f < e] + 1, -1)
@@ -216,11 +217,10 @@ def earlier_strings(
                 for s, t in turn.reshape(-1, 2).tolist():
                     ids.append(id_)
                     begins.append(s)
-                    strings.append(text[s:t].tobytes())
+                    strings.append(text[s : t + begin - 1].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(begins, pa.int32()), pa.array(strings, pa.binary())], schema=_STRING)
 
     covered = stored(texts.mapInArrow(cover, "id long, first int, string binary"), "covered")
-    begin = min(start, length)
 
     def name(batches):
         for batch, data, at in slices(batches, "string"):
