@@ -38,16 +38,17 @@ def _anchors(data, at, window, gram):
 
 
 def _owner(id_col: str, text_col: str) -> tuple[Column, Column]:
-    """The key of a row, never null: its id and 0, or without an id two hashes of its text, the second one odd."""
+    """The key of a row, never null: its id, or another hash of its text without one, and a hash of its text, even with an id and odd without."""
     id_, text = F.col(id_col).cast("long"), F.col(text_col)
-    return F.coalesce(id_, F.xxhash64(text)), F.when(id_.isNull(), F.xxhash64(F.lit(1), text).bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("long")
+    bare = F.shiftleft(F.xxhash64(text), 1)
+    return F.coalesce(id_, F.xxhash64(F.lit(1), text)), F.when(id_.isNull(), bare + 1).otherwise(bare)
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, log2_width: int = LOG2_WIDTH) -> DataFrame:
     """Word spans covered by windows that start in more than one place: id, bare, firsts (words at which such a span begins), length.
 
-    Its attribute `reads` names the stored tables that it reads.  id and bare are the key that `_owner` gives a row.  Ids must be unique, but
-    for repeated equal rows, which count as copies.  Null and empty texts, and texts of fewer words than a window, have none.
+    Its attribute `reads` names the stored tables that it reads.  id and bare are the key that `_owner` gives a row, so texts that share an
+    id are documents of their own, and equal rows count as copies.  Null and empty texts, and texts of fewer words than a window, have none.
     """
     id_, bare = _owner(id_col, text_col)
     rows = docs.select(id_.alias("id"), bare.alias("bare"), F.col(text_col).alias("text"))
@@ -148,8 +149,8 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are maximal runs outside ASCII white space.  Windows are judged on
     the input.  Null texts count as no words; equal rows are copies of each
-    other, so all their windows go; one id must not stand for different texts.
-    Each row without an id is a document of its own, searched and cut as those
+    other, so all their windows go; each of several texts of one id is searched
+    and cut by itself.  Each row without an id is a document of its own, searched and cut as those
     with ids are (OP6_SQL, which joins on ids, counts its windows but leaves it
     whole); an empty table stays empty.  Columns named like the added ones are replaced.
     """

@@ -108,7 +108,8 @@ def test_stages_take_rows_of_every_kind(spark, stage):
     few = docs.limit(12)
     passage = " ".join(f"w{i}" for i in range(60))
     odd = spark.createDataFrame(
-        [(None, None, None, None, None), (None, "a text without an id", "en", "s", 20), (9001, "", "en", "s", 0), (9002, None, "en", "s", None), (9003, passage, "en", "s", 9), (9004, f"before {passage} after", None, None, None), (9005, "long " * 60000, "en", "s", 300000)],
+        [(None, None, None, None, None), (None, "a text without an id", "en", "s", 20), (9001, "", "en", "s", 0), (9002, None, "en", "s", None), (9003, passage, "en", "s", 9), (9004, f"before {passage} after", None, None, None), (9005, "long " * 60000, "en", "s", 300000),
+         (9006, " ".join(f"v{i}" for i in range(90)) + f" {passage}", "en", "s", 9), (9006, "another text of this id", "en", "s", 9)],
         docs.schema)
     table = few.unionByName(odd).unionByName(odd.where("doc_id = 9003"))
     name, function = corpus_pipeline.STAGES[stage]
@@ -119,9 +120,10 @@ def test_stages_take_rows_of_every_kind(spark, stage):
     if name != "packing":
         assert out.columns == docs.columns
     if name == "near_dedup":
-        assert sorted(r.doc_id for r in rows if (r.doc_id or 0) > 9000) == [9001, 9002, 9003, 9003, 9005]
+        assert sorted(r.doc_id for r in rows if (r.doc_id or 0) > 9000) == [9001, 9002, 9003, 9003, 9005, 9006, 9006]
     if name == "substring_dedup":
         assert {r.text for r in rows if r.doc_id == 9003} == {""} and [r.text for r in rows if r.doc_id == 9004] == ["before after"]
+        assert sorted(r.text for r in rows if r.doc_id == 9006) == ["another text of this id", " ".join(f"v{i}" for i in range(90))]
     if name == "packing":
         assert sum(r.length for r in rows if r.doc_id == 9005) > 60000 and sorted(r.length for r in rows if r.doc_id in (9001, 9002)) == [1, 1]
     if name == "decontamination":

@@ -180,6 +180,17 @@ def test_repeated_windows_of_rows_without_an_id(spark):
     assert found == sorted((i or 0, t or "", *by_hand[k]) for k, (i, t) in enumerate(rows))
 
 
+def test_repeated_windows_of_texts_that_share_an_id(spark):
+    passage = " ".join(f"p{i}" for i in range(9))
+    own = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, f"{own('a', 30)} {passage}"), (1, "short"), (1, f"{passage} {own('b', 3)}"), (2, passage), (2, None), (None, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cut = substrings.without(docs, substrings.repeated_windows(docs, window=8, gram=3))
+    found = sorted((r.doc_id or 0, r.text or "", r.n_words, r.n_removed, r.kept_sha256) for r in cut.collect())
+    by_hand = windows_by_hand([(k, t) for k, (_, t) in enumerate(rows)], 8)
+    assert found == sorted((i or 0, t or "", *by_hand[k]) for k, (i, t) in enumerate(rows))
+
+
 def strings_by_hand(rows, size):
     docs = {i: (t or "").encode() for i, t in rows}
     least = {}
