@@ -32,6 +32,7 @@ def numbered(df: DataFrame, keys: list[str], name: str = "row_number") -> DataFr
     The rows are dealt out by range, sorted and written; a row's number is its
     place in its file plus the rows in the files before.  A key that many rows
     share should be followed by others that tell them apart, so that ranges can.
+    The result's attribute `reads` names the stored table that it reads.
     """
     order = [F.col(f"`{k}`").asc_nulls_first() for k in keys]
     written = stored(df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order), "ranges")
@@ -40,7 +41,9 @@ def numbered(df: DataFrame, keys: list[str], name: str = "row_number") -> DataFr
     # one row for each file, of which there are as many as ranges
     files = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = counts.select("__file", (F.sum("__n").over(files) - F.col("__n")).alias("__before"))
-    return rows.join(F.broadcast(before), "__file").withColumn(name, F.col("__before") + F.col("__row")).drop("__file", "__row", "__before")
+    out = rows.join(F.broadcast(before), "__file").withColumn(name, F.col("__before") + F.col("__row")).drop("__file", "__row", "__before")
+    out.reads = (written,)
+    return out
 
 
 def grid(n: int) -> tuple[int, int]:
