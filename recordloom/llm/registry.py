@@ -1,6 +1,6 @@
-"""The ten operators' queries over the standard tables, and SQL for those that SQL can express."""
+"""The operators' queries over the standard tables, and SQL for those that SQL can express."""
 
-from . import decontaminate, neardup, ogg, packing, preferences, quality, sharding, substrings, suffixes, urlrules
+from . import decontaminate, neardup, ogg, packing, personal, preferences, quality, repair, search, sharding, substrings, suffixes, urlrules
 
 QUERIES = {
     "op1_minhash_dedup": neardup.op1_minhash_dedup,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_url_filter": urlrules.op8_url_filter,
     "op9_packing": packing.op9_packing,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
+    "op11_personal_data": personal.op11_personal_data,
+    "op12_lexical_search": search.op12_lexical_search,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
 ORACLES = {
     "op1_minhash_dedup": neardup.OP1_SQL,
@@ -22,4 +25,6 @@ ORACLES = {
     "op7_decontamination": decontaminate.OP7_SQL,
     "op8_url_filter": urlrules.OP8_SQL,
     "op10_suffix_dedup": suffixes.OP10_SQL,
+    "op12_lexical_search": search.OP12_SQL,
+    "op13_conversation_repair": repair.OP13_SQL,
 }
