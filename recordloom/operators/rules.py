@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, kleene
 from ..functions.text import first_class, first_listed
+from . import logic
 
 #: Rules in one broadcast table.
 MOST_RULES = 10_000
@@ -103,28 +104,9 @@ def resolved(evidence: DataFrame, keys: list[str], value: str, confirmed: str, e
     return g.select(*keys, status.alias("status"))
 
 
-def tree_levels(nodes: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
-    """tree, node, level of every node of boolean trees, from the leaves up through `depth` storeys.
-
-    nodes: tree, node, parent (null at the root), operator (AND, OR, NOT, LEAF);
-    leaves: tree, node, level.  Missing leaves are UNKNOWN.  A tree is small, so
-    its nodes meet in one row and are folded there.
-    """
-    at_leaf = F.when(F.col("operator") == "LEAF", F.coalesce("level", F.lit(kleene.UNKNOWN)))
-    rows = nodes.select("tree", "node", "parent", "operator").join(leaves.select("tree", "node", F.col("level").cast("int").alias("level")), ["tree", "node"], "left")
-    whole = rows.groupBy("tree").agg(F.collect_list(F.struct("node", "parent", "operator", at_leaf.alias("level"))).alias("all"))
-
-    def storey(known: Column) -> Column:
-        def one(n: Column) -> Column:
-            below = F.transform(F.filter(known, lambda c: c["parent"] == n["node"]), lambda c: c["level"])
-            ready = (F.size(below) > 0) & ~F.exists(below, lambda v: v.isNull())
-            made = F.when(n["operator"] == "AND", F.array_min(below)).when(n["operator"] == "OR", F.array_max(below)).otherwise(kleene.negated(F.array_min(below)))
-            return F.struct(n["node"].alias("node"), n["parent"].alias("parent"), n["operator"].alias("operator"), F.coalesce(n["level"], F.when(ready, made)).alias("level"))
-
-        return F.transform(known, one)
-
-    folded = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.col("all"), lambda known, _: storey(known))
-    return whole.select("tree", F.inline(folded)).where("level IS NOT NULL").select("tree", "node", "level")
+def tree_levels(nodes: DataFrame, leaves: DataFrame, *_) -> DataFrame:
+    """`logic.levels` by its former name; a number of storeys that former callers give is not needed and changes nothing."""
+    return logic.levels(nodes, leaves)
 
 
 def connector(token: Column, context: Column, table: list[tuple[str, str, str]], otherwise: str = "UNRESOLVED") -> Column:

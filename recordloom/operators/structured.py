@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import requirements
+from . import logic, requirements
 
 # How a fact's scope selects credentials.
 SCOPE_MODES = {"CANDIDATE": "CANDIDATE_WIDE", "BACHELOR": "SPECIFIC_DEGREE", "MASTER": "SPECIFIC_DEGREE", "DOCTOR": "SPECIFIC_DEGREE", "GRADUATE": "GRADUATE", "ANY_EDUCATION": "ANY_DEGREE"}
@@ -29,7 +29,7 @@ def conditions(found: DataFrame) -> DataFrame:
 def trees(conditions_: DataFrame) -> DataFrame:
     """tree, node, parent, operator: each set's root joins its clauses by AND, each clause its conditions by their own operator (K8).
 
-    Nodes are text: r, then place, then place/condition; `rules.tree_levels` evaluates them.
+    Nodes are text: r, then place, then place/condition; `logic.levels` evaluates them.
     """
     rows = conditions_.select(F.col("set").alias("tree"), F.col("place").cast("string").alias("place"), "condition", F.col("fact.logic").alias("logic"))
     groups = rows.groupBy("tree", "place").agg(F.max(F.when(F.col("logic") == "OR", "OR").otherwise("AND")).alias("operator"))
@@ -38,15 +38,15 @@ def trees(conditions_: DataFrame) -> DataFrame:
     return roots.unionByName(groups.select("tree", F.col("place").alias("node"), F.lit("r").alias("parent"), "operator")).unionByName(leaves)
 
 
-def set_faults(nodes: DataFrame, registered: DataFrame, depth: int = 8) -> DataFrame:
+def set_faults(nodes: DataFrame, registered: DataFrame) -> DataFrame:
     """tree, node, fault of sets of trees (K7).
 
     nodes: tree, node, parent, operator, owner, position; registered: node,
     owner of the conditions that leaves may name.  Faults: DUPLICATE_NODE,
     DANGLING_PARENT, DANGLING_LEAF, FOREIGN_OWNER (a leaf of another owner),
     NO_CHILDREN, NOT_ARITY (a NOT of several), ORDER (a child before its
-    parent), and CYCLE_OR_DEPTH for nodes from which no root is reached within
-    `depth` steps.
+    parent), and CYCLE_OR_DEPTH (its name; no depth is too great) for nodes on a
+    cycle or behind one.  Trees may have any depth and size.
     """
     n = nodes.groupBy("tree", "node").agg(F.count("*").alias("n"), F.min("parent").alias("parent"), F.min("operator").alias("operator"), F.min("owner").alias("owner"), F.min("position").alias("position"))
     up = n.select("tree", F.col("node").alias("parent"), F.col("position").alias("__before"), F.lit(True).alias("__up"))
@@ -59,11 +59,8 @@ def set_faults(nodes: DataFrame, registered: DataFrame, depth: int = 8) -> DataF
         (leaf & (F.col("owner") != F.col("__owner")), "FOREIGN_OWNER"), (~leaf & (c == 0), "NO_CHILDREN"), ((F.col("operator") == "NOT") & (c > 1), "NOT_ARITY"), (F.col("position") < F.col("__before"), "ORDER"),
     ]
     plain = rows.select("tree", "node", F.explode(F.filter(F.array(*[F.when(t, F.lit(f)) for t, f in tests]), lambda f: f.isNotNull())).alias("fault"))
-    # a tree is small: its nodes meet in one row, and each walks up
-    parents = n.groupBy("tree").agg(F.map_from_entries(F.collect_list(F.struct("node", F.coalesce("parent", F.lit(""))))).alias("up"))
-    walk = lambda start, up_: F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, lambda at, _: F.when(at == "", at).otherwise(F.coalesce(F.try_element_at(up_, at), F.lit(""))))
-    ends = parents.select("tree", F.explode(F.transform(F.map_keys("up"), lambda k: F.struct(k.alias("node"), walk(k, F.col("up")).alias("end")))).alias("w"))
-    return plain.unionByName(ends.where("w.end <> ''").select("tree", "w.node", F.lit("CYCLE_OR_DEPTH").alias("fault")))
+    lost = logic.endless(nodes).select("tree", "node", F.lit("CYCLE_OR_DEPTH").alias("fault"))
+    return plain.unionByName(lost)
 
 
 def projected(surfaces: DataFrame, bindings: DataFrame, owner: str, surface: str, material: str, text: str) -> DataFrame:

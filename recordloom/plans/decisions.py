@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import kleene
 from ..functions import text as tx
 from ..operators import query as q
-from ..operators import resolve, rules, summary
+from ..operators import logic, resolve, rules, summary
 from .tables import query, table
 
 #: The finding rules of the query: category, name, pattern. Made for the invented prose of the documents.
@@ -176,7 +176,7 @@ def q_logic_tree(spark, d):
     shape = [("root", None, "OR"), ("both", "root", "AND"), ("not", "root", "NOT"), ("F", "both", "LEAF"), ("O", "both", "LEAF"), ("P", "not", "LEAF")]
     one = F.array(*[F.struct(F.lit(n).alias("node"), F.lit(p).cast("string").alias("parent"), F.lit(o).alias("operator")) for n, p, o in shape])
     nodes = leaves.select("tree").distinct().select("tree", F.inline(one))
-    return rules.tree_levels(nodes, leaves, 2).where("node = 'root'").select("tree", "level")
+    return logic.levels(nodes, leaves).where("node = 'root'").select("tree", "level")
 
 
 @query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import capture, clauses, expressions, gates, rules
+from ..operators import capture, clauses, expressions, gates, logic
 from .tables import query, table
 
 
@@ -127,4 +127,4 @@ def q_expression(spark, d):
     known = nodes.where("operator = 'LEAF'").join(docs, F.col("tree") == F.col("doc_id"))
     true = (F.col("leaf") == F.col("lang")) | (F.col("leaf") == F.col("source")) | ((F.col("leaf") == "long") & (F.col("n_chars") > 4000))
     leaves = known.select("tree", "node", F.when(true, 2).otherwise(0).alias("level"))
-    return rules.tree_levels(nodes, leaves, 3).where("node = 0").select(F.col("tree").alias("doc_id"), "level")
+    return logic.levels(nodes, leaves).where("node = 0").select(F.col("tree").alias("doc_id"), "level")

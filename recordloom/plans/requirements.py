@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators import evidence, predicates, requirements, rules, structured
+from ..operators import evidence, logic, predicates, requirements, rules, structured
 from ..sources.stored import stored
 from .tables import query, table
 
@@ -123,7 +123,7 @@ def q_structured_conditions(spark, d):
     level = F.when(F.col("fact.dimension") == "GENDER", F.when(F.col("fact.operator") == "UNRESTRICTED", 2).otherwise(0)).when(F.col("fact.operator") == "UNRESTRICTED", 2).when(F.col("set") % 40 == 0, F.lit(None)).when((F.col("o_totalprice") > 250000) & (F.col("condition") == 1), 2).otherwise(0)
     level = F.when((F.col("fact.dimension") == "MAJOR") & (F.col("fact.operator") != "UNRESTRICTED") & (F.col("set") % 40 == 0), F.lit(None)).otherwise(level)
     leaves = known.select(F.col("set").alias("tree"), F.concat_ws("/", "place", "condition").alias("node"), level.alias("level"))
-    levels = rules.tree_levels(structured.trees(conditions), leaves, 3).where("node = 'r'").select("tree", "level")
+    levels = logic.levels(structured.trees(conditions), leaves).where("node = 'r'").select("tree", "level")
     major = conditions.where("fact.dimension = 'MAJOR'").groupBy(F.col("set").alias("tree")).agg(F.max(F.concat_ws("/", "applicability.credential", F.array_join("applicability.degrees", "+"), "applicability.state")).alias("major"))
     # "限女" is met by none here, "性别不限" by all
     return levels.join(major, "tree").select("tree", "level", "major")
