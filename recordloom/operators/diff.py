@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canon import canonical_json, sha256
+from .prefix import last_before, pieced, scanned, since
 
 
 def record_diff(previous: DataFrame, current: DataFrame, pair: list[str], identity: str, content: str, failed: DataFrame | None = None) -> DataFrame:
@@ -45,11 +46,11 @@ def record_diff(previous: DataFrame, current: DataFrame, pair: list[str], identi
 
 
 def page_diff(pages: DataFrame, keys: list[str], order: list[str], hash_col: str, failed: Column) -> DataFrame:
-    """pages with change: CURRENT_UNAVAILABLE, NO_PREVIOUS, UNCHANGED or CHANGED against the last page that was there."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = F.last(F.when(~failed, F.col(hash_col)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    change = F.when(failed, "CURRENT_UNAVAILABLE").when(before.isNull(), "NO_PREVIOUS").when(before == F.col(hash_col), "UNCHANGED").otherwise("CHANGED")
-    return pages.withColumn("change", change)
+    """pages with change: CURRENT_UNAVAILABLE, NO_PREVIOUS, UNCHANGED or CHANGED against the last page that was there; a key's pages are read by many tasks."""
+    rows = pages.withColumns({"__failed": failed, "__there": F.when(~failed, F.col(hash_col))})
+    out = scanned(pieced(rows, keys, order), keys, [last_before("__before", F.col("__there"))])
+    change = F.when(F.col("__failed"), "CURRENT_UNAVAILABLE").when(F.col("__before").isNull(), "NO_PREVIOUS").when(F.col("__before") == F.col(hash_col), "UNCHANGED").otherwise("CHANGED")
+    return out.select(*[c for c in pages.columns if c != "change"], change.alias("change"))
 
 
 def empty_reasons(v: str) -> Column:
@@ -98,13 +99,12 @@ def missing_streaks(grid: DataFrame, keys: list[str], order: list[str], counts:
     """grid (a row for each key and run) with streak and missing_event.
 
     Only runs that count move a streak: seen resets it to 0, not seen adds one
-    and is an event.  Other runs leave it as it was.
+    and is an event.  Other runs leave it as it was.  A key's runs are read by
+    many tasks (see operators.prefix).
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    seen, missed = (counts & observed).cast("int"), (counts & ~observed).cast("int")
-    out = grid.withColumn("__seen", F.sum(seen).over(w)).withColumn("__missed", missed)
-    island = Window.partitionBy(*keys, "__seen").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("streak", F.sum("__missed").over(island).cast("int")).withColumn("missing_event", F.col("__missed") == 1).drop("__seen", "__missed")
+    rows = grid.withColumns({"__seen": (counts & observed).cast("int"), "__missed": (counts & ~observed).cast("int")})
+    out = scanned(pieced(rows, keys, order), keys, [since("streak", F.col("__missed"), F.col("__seen"))])
+    return out.select(*[c for c in grid.columns if c not in ("streak", "missing_event")], F.col("streak").cast("int").alias("streak"), (F.col("__missed") == 1).alias("missing_event"))
 
 
 def missing_event(run: Column, occurrence: Column, status: Column) -> Column:

@@ -4,28 +4,27 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import first_value, last_value, pieced, running_sum, scanned, since, value_before
+
 
 def source_health(runs: DataFrame, keys: list[str], order: list[str], success: Column, hash_col: str, risk: Column, fails: int = 2) -> DataFrame:
     """runs with consecutive_success, consecutive_failure, last_hash and status after each run.
 
     The last hash of a successful run carries over failures.  A risk asks for
     review whatever the outcome; else success is HEALTHY, `fails` failures on
-    end are FAILED, fewer DEGRADED.
+    end are FAILED, fewer DEGRADED.  A key's runs are read by many tasks (see
+    operators.prefix); order must tell them apart.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ok = F.coalesce(success, F.lit(False))
-    out = runs.withColumn("__ok", ok.cast("int")).withColumn("__bad", 1 - F.col("__ok")).withColumn("__risk", F.coalesce(risk, F.lit(False)))
-    out = out.withColumn("__good_runs", F.sum("__ok").over(w)).withColumn("__bad_runs", F.sum("__bad").over(w))
-    since_bad = Window.partitionBy(*keys, "__bad_runs").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    since_good = Window.partitionBy(*keys, "__good_runs").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("consecutive_success", F.when(F.col("__ok") == 1, F.sum("__ok").over(since_bad)).otherwise(0).cast("int"))
-    out = out.withColumn("consecutive_failure", F.when(F.col("__ok") == 0, F.sum("__bad").over(since_good)).otherwise(0).cast("int"))
-    out = out.withColumn("last_hash", F.last(F.when(F.col("__ok") == 1, F.col(hash_col)), ignorenulls=True).over(w))
-    status = F.when(F.col("__risk"), "REVIEW_REQUIRED").when(F.col("__ok") == 1, "HEALTHY").when(F.col("consecutive_failure") >= fails, "FAILED").otherwise("DEGRADED")
-    return out.withColumn("status", status).drop("__ok", "__bad", "__risk", "__good_runs", "__bad_runs")
+    rows = runs.withColumns({"__ok": ok.cast("int"), "__bad": (~ok).cast("int"), "__risk": F.coalesce(risk, F.lit(False)), "__hash": F.when(ok, F.col(hash_col))})
+    good, bad = F.col("__ok"), F.col("__bad")
+    out = scanned(pieced(rows, keys, order), keys, [since("consecutive_success", good, bad), since("consecutive_failure", bad, good), last_value("last_hash", F.col("__hash"))])
+    out = out.withColumns({"consecutive_success": F.col("consecutive_success").cast("int"), "consecutive_failure": F.col("consecutive_failure").cast("int")})
+    status = F.when(F.col("__risk"), "REVIEW_REQUIRED").when(good == 1, "HEALTHY").when(F.col("consecutive_failure") >= fails, "FAILED").otherwise("DEGRADED")
+    return out.withColumn("status", status).select(*runs.columns, "consecutive_success", "consecutive_failure", "last_hash", "status")
 
 
 def cadence_gate(events: DataFrame, key: str, at: str, order: str, gap_s: int) -> DataFrame:
@@ -65,20 +64,22 @@ def cadence_gate(events: DataFrame, key: str, at: str, order: str, gap_s: int) -
 
 def chained(df: DataFrame, keys: list[str], order: list[str], payload: Column) -> DataFrame:
     """df with sequence, record_hash and previous_hash (64 zeros at first); a record's hash covers its own payload."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = df.withColumn("record_hash", F.sha2(payload, 256)).withColumn("sequence", F.row_number().over(w))
-    return out.withColumn("previous_hash", F.coalesce(F.lag("record_hash").over(w), F.lit("0" * 64)))
+    rows = pieced(df.withColumn("record_hash", F.sha2(payload, 256)), keys, order)
+    out = scanned(rows, keys, [running_sum("sequence", F.lit(1)), value_before("previous_hash", F.col("record_hash"))])
+    out = out.withColumns({"sequence": F.col("sequence").cast("int"), "previous_hash": F.coalesce(F.col("previous_hash.value"), F.lit("0" * 64))})
+    return out.select(*[c for c in df.columns if c not in ("record_hash", "sequence", "previous_hash")], "record_hash", "sequence", "previous_hash")
 
 
 def chain_faults(df: DataFrame, keys: list[str], sequence: str, record: str, previous: str, payload: Column | None = None, scope: str | None = None) -> DataFrame:
-    """Rows that break a hash chain, with fault: SEQUENCE, LINK, PAYLOAD or SCOPE."""
-    w = Window.partitionBy(*keys).orderBy(sequence, record)
-    fault = F.when(F.col(sequence) != F.row_number().over(w), "SEQUENCE").when(F.col(previous) != F.coalesce(F.lag(record).over(w), F.lit("0" * 64)), "LINK")
+    """Rows that break a hash chain, with fault: SEQUENCE, LINK, PAYLOAD or SCOPE; a key's rows are read by many tasks."""
+    steps = [running_sum("__number", F.lit(1)), value_before("__link", F.col(record))]
+    rows = scanned(pieced(df, keys, [sequence, record]), keys, steps + ([first_value("__scope", F.col(scope))] if scope is not None else []))
+    fault = F.when(F.col(sequence) != F.col("__number"), "SEQUENCE").when(F.col(previous) != F.coalesce(F.col("__link.value"), F.lit("0" * 64)), "LINK")
     if payload is not None:
         fault = fault.when(F.col(record) != F.sha2(payload, 256), "PAYLOAD")
     if scope is not None:
-        fault = fault.when(~F.col(scope).eqNullSafe(F.first(scope).over(w)), "SCOPE")
-    return df.withColumn("fault", fault).where("fault IS NOT NULL")
+        fault = fault.when(~F.col(scope).eqNullSafe(F.col("__scope.value")), "SCOPE")
+    return rows.withColumn("fault", fault).where("fault IS NOT NULL").select(*df.columns, "fault")
 
 
 def batch_status(statuses: DataFrame, batch: str, status: str, deferred: str) -> DataFrame:

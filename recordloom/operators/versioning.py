@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canon import canonical_json, sha256
+from .prefix import pieced, running_sum, scanned, value_before
 
 
 def _w(keys: list[str], order: list) -> Window:
@@ -47,11 +48,11 @@ def versions_any(df: DataFrame, keys: list[str], content: str, order: list[str])
 
 
 def versions_latest(df: DataFrame, keys: list[str], content: str, order: list[str]) -> DataFrame:
-    """df with revision: only the row before counts (A, B, A: 1, 2, 3)."""
-    w = _w(keys, order)
-    changed = F.row_number().over(w).eqNullSafe(1) | ~F.col(content).eqNullSafe(F.lag(content).over(w))
-    out = df.withColumn("__new", changed.cast("int"))
-    return out.withColumn("revision", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__new")
+    """df with revision: only the row before counts (A, B, A: 1, 2, 3).  A key's rows are read by many tasks (see operators.prefix)."""
+    rows = scanned(pieced(df, keys, order), keys, [value_before("__before", F.col(content))])
+    changed = F.col("__before").isNull() | ~F.col(content).eqNullSafe(F.col("__before.value"))
+    out = scanned(rows.withColumn("__new", changed.cast("int")), keys, [running_sum("revision", F.col("__new"))])
+    return out.select(*[c for c in df.columns if c != "revision"], F.col("revision").cast("int").alias("revision"))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "n") -> DataFrame:

@@ -252,3 +252,35 @@ def q_budget(spark, d):
     """Use beyond a cap."""
     use = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("requests"), F.countDistinct("event_type").alias("types"), F.sum(F.floor("value")).alias("bytes"))
     return ledger.budget_faults(use, "user_id", {"requests": 70, "types": 4, "bytes": 3000})
+
+
+#: Events of which one key has half.
+HOT = "CASE WHEN event_id % 2 = 0 THEN -1 ELSE user_id END"
+
+
+@query(f"""
+WITH b AS (SELECT {HOT} AS source, event_id, ts, props, CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS ok, value FROM events),
+g AS (SELECT *, sum(ok) OVER w AS good, sum(1 - ok) OVER w AS bad FROM b WINDOW w AS (PARTITION BY source ORDER BY ts, event_id)),
+h AS (SELECT *, CASE WHEN ok = 1 THEN sum(ok) OVER (PARTITION BY source, bad ORDER BY ts, event_id) ELSE 0 END AS cs, CASE WHEN ok = 0 THEN sum(1 - ok) OVER (PARTITION BY source, good ORDER BY ts, event_id) ELSE 0 END AS cf,
+  last_value(CASE WHEN ok = 1 THEN props END IGNORE NULLS) OVER (PARTITION BY source ORDER BY ts, event_id) AS lh FROM g)
+SELECT source, event_id, cs::INTEGER AS consecutive_success, cf::INTEGER AS consecutive_failure, lh AS last_hash, CASE WHEN value > 200 THEN 'REVIEW_REQUIRED' WHEN ok = 1 THEN 'HEALTHY' WHEN cf >= 2 THEN 'FAILED' ELSE 'DEGRADED' END AS status FROM h
+""")
+def q_hot_health(spark, d):
+    """Health where one source has half of all runs (M1)."""
+    runs = table(spark, d, "events").withColumn("source", F.expr(HOT))
+    out = ledger.source_health(runs, ["source"], ["ts", "event_id"], F.col("event_type") != "error", "props", F.col("value") > 200)
+    return out.select("source", "event_id", "consecutive_success", "consecutive_failure", "last_hash", "status")
+
+
+@query(f"""
+WITH e AS (SELECT {HOT} AS record, event_id, ts, event_type, value > 20 AS counts FROM events),
+i AS (SELECT *, sum(CASE WHEN counts AND event_type = 'view' THEN 1 ELSE 0 END) OVER w AS isl, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS c FROM e WINDOW w AS (PARTITION BY record ORDER BY ts, event_id))
+SELECT record, event_id, (sum(CASE WHEN counts AND event_type <> 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY record, isl ORDER BY ts, event_id))::INTEGER AS streak, counts AND event_type <> 'view' AS missing_event,
+  (sum(c) OVER (PARTITION BY record ORDER BY ts, event_id))::INTEGER AS revision FROM i
+""")
+def q_hot_streaks(spark, d):
+    """Missing streaks and revisions where one record has half of all runs."""
+    runs = table(spark, d, "events").select(F.expr(HOT).alias("record"), "event_id", "ts", "event_type", "value")
+    out = diff.missing_streaks(runs, ["record"], ["ts", "event_id"], F.col("value") > 20, F.col("event_type") == "view")
+    out = versioning.versions_latest(out, ["record"], "event_type", ["ts", "event_id"])
+    return out.select("record", "event_id", "streak", "missing_event", "revision")
