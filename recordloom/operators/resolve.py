@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import forget, stored
 
-#: Rows of a block, or of a component, that are compared each with each.
+#: Rows of a block that are compared each with each.
 MOST_ROWS = 5000
+#: Rounds after which their results are put together in one table.
+GATHER = 16
 
 
 def _bounded(rows: DataFrame, block: list[str], what: str) -> None:
@@ -50,29 +52,61 @@ def conflicts(tests: list[tuple[Column, str]]) -> Column:
 def complete_link(rows: DataFrame, merges: DataFrame, id_col: str, component: str) -> DataFrame:
     """id, group_id: in id order, each row joins the first group all of whose members it merges with.
 
-    merges: l, r pairs that may merge.  Whether a row may join depends on who
-    joined before, so a component (of merge pairs) is decided in one task; one
-    of more than MOST_ROWS rows is an error.  group_id is the group's least id.
+    merges: component, l, r, pairs that may merge.  group_id is the group's
+    least id.  Whether a row may join depends on smaller ones, so rows decide in
+    rounds, over edges only and in all components at once: a row whose smaller
+    partners are all settled knows the groups that it could still join, those
+    of which it merges with every member, and founds its own if there are none.
+    It joins the first of them as soon as no smaller row that is open merges
+    with that group's first member, for such a row might still join and shut it
+    out.  The least open row of a component can always decide.  Rounds are as
+    many as the longest chain of rows that wait for each other; a component may
+    have any size.  Ids are unique in a component and not null.
     """
-    _bounded(rows, [component], "component")
-
-    def decide(ids: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        friends: dict = {}
-        for a, b in zip(pairs["l"], pairs["r"]):
-            friends.setdefault(a, set()).add(b)
-            friends.setdefault(b, set()).add(a)
-        groups: list[list] = []
-        for i in sorted(ids["id"]):
-            mine = friends.get(i, set())
-            home = next((g for g in groups if mine.issuperset(g)), None)
-            if home is None:
-                groups.append(home := [])
-            home.append(i)
-        return pd.DataFrame([(i, g[0]) for g in groups for i in g], columns=["id", "group_id"])
-
-    left = rows.select(F.col(component).alias("component"), F.col(id_col).cast("long").alias("id")).groupBy("component")
-    right = merges.select("component", "l", "r").groupBy("component")
-    return left.cogroup(right).applyInPandas(decide, "id long, group_id long")
+    comp = F.coalesce(F.col(component).cast("string"), F.lit("\0"))
+    own = F.coalesce(F.col("component").cast("string"), F.lit("\0"))
+    ids = stored(rows.select(comp.alias("c"), F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").distinct(), "members")
+    known = ids.select("c", F.col("id").alias("s"))
+    pairs = merges.select(own.alias("c"), F.least("l", "r").cast("long").alias("s"), F.greatest("l", "r").cast("long").alias("b")).where("s < b").distinct()
+    pairs = pairs.join(known, ["c", "s"], "left_semi").join(known.withColumnRenamed("s", "b"), ["c", "b"], "left_semi")
+    # first, rows without smaller partners found groups
+    waiting = pairs.select("c", F.col("b").alias("id")).distinct()
+    settled = [stored(ids.join(waiting, ["c", "id"], "left_anti").select("c", "id", F.col("id").alias("group")), "settled")]
+    edges = _told(pairs.withColumn("group", F.lit(None).cast("long")), settled[0])
+    sizes = stored(settled[0].select("c", "group", F.lit(1).cast("long").alias("size")), "sizes")
+    while not edges.isEmpty():
+        # of open rows, with how many members of which group they merge
+        ready = edges.groupBy("c", "b").agg(F.count("*").alias("n"), F.count("group").alias("known")).where("n = known").select("c", "b")
+        met = edges.join(ready, ["c", "b"], "left_semi").groupBy("c", "b", "group").agg(F.count("*").alias("met"))
+        fits = met.join(sizes, ["c", "group"]).where("met = size").groupBy("c", "b").agg(F.min("group").alias("group"))
+        first = edges.where("s = group").groupBy("c", "group").agg(F.min("b").alias("next"))
+        choice = ready.join(fits, ["c", "b"], "left").join(first, ["c", "group"], "left").where("group IS NULL OR next = b")
+        new = stored(choice.select("c", F.col("b").alias("id"), F.coalesce("group", "b").alias("group")), "settled")
+        gone, old = new.select("c", F.col("id").alias("b")), edges
+        edges = _told(edges.join(gone, ["c", "b"], "left_anti"), new)
+        grown = sizes.unionAll(new.groupBy("c", "group").agg(F.count("*").alias("size"))).groupBy("c", "group").agg(F.sum("size").alias("size"))
+        before, sizes = sizes, stored(grown, "sizes")
+        forget(old, before)
+        settled.append(new)
+        if len(settled) == GATHER:
+            whole = stored(_union(settled), "settled")
+            forget(*settled)
+            settled = [whole]
+    forget(edges, sizes, ids)
+    return _union(settled).select("id", F.col("group").alias("group_id"))
+
+
+def _told(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """edges with the groups of smaller rows that have just settled."""
+    said = new.select("c", F.col("id").alias("s"), F.col("group").alias("__group"))
+    return stored(edges.join(said, ["c", "s"], "left").select("c", "s", "b", F.coalesce("group", "__group").alias("group")), "edges")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionAll(t)
+    return out
 
 
 def best_by_authority(rows: DataFrame, group: str, authority: str, id_col: str, ranks: list[str]) -> DataFrame:

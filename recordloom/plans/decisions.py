@@ -193,9 +193,19 @@ def q_pair_resolve(spark, d):
     return pairs.select(F.col("l_c_custkey").alias("l"), F.col("r_c_custkey").alias("r"), decided.alias("decision"), reason.alias("reason"))
 
 
-@query()
+@query("""
+WITH RECURSIVE m AS (SELECT c_custkey AS id, c_nationkey || '/' || (c_custkey // 50) AS c, c_acctbal AS v FROM customer),
+r AS (SELECT m.id, m.c, row_number() OVER (PARTITION BY m.c ORDER BY m.id) AS n, (SELECT list(o.id) FROM m o WHERE o.c = m.c AND o.id < m.id AND abs(o.v - m.v) <= 2000) AS near FROM m),
+step(c, n, groups) AS (
+  SELECT DISTINCT c, 0::BIGINT, []::BIGINT[][] FROM m
+  UNION ALL
+  SELECT c, n, CASE WHEN k IS NULL OR k = 0 THEN list_append(groups, [id]) ELSE list_transform(groups, lambda g, i: CASE WHEN i = k THEN list_append(g, id) ELSE g END) END
+  FROM (SELECT r.c, r.n, r.id, s.groups, list_position(list_transform(s.groups, lambda g: list_has_all(coalesce(r.near, []), g)), true) AS k FROM step s JOIN r ON r.c = s.c AND r.n = s.n + 1)),
+whole AS (SELECT c, unnest(groups) AS g FROM step QUALIFY n = max(n) OVER (PARTITION BY c))
+SELECT unnest(g) AS id, g[1] AS group_id FROM whole
+""")
 def q_complete_link(spark, d):
-    """Complete-link groups of those pairs whose balances lie within 2000 (J4); greedy in id order, so not SQL."""
+    """Complete-link groups of those pairs whose balances lie within 2000, greedy in id order."""
     rows = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal", F.floor(F.col("c_custkey") / 50).alias("fifty"))
     rows = rows.withColumn("component", F.concat_ws("/", "c_nationkey", "fifty"))
     pairs = resolve.blocked_pairs(rows, "c_custkey", ["component"]).where(F.abs(F.col("l_c_acctbal") - F.col("r_c_acctbal")) <= 2000)
