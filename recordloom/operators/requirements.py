@@ -197,11 +197,17 @@ def parsed(fragments: DataFrame, id_col: str, text_col: str, directory: str | No
     rows = rows.withColumn("__whole", F.regexp_replace("__bare", w.LIST_MARK, ""))
     cohort = _mapped(F.regexp_extract("__whole", w.FOR_COHORT, 1), w.COHORT_CODES)
     rows = rows.withColumns({"__cohorts": F.when(cohort.isNotNull(), F.array(cohort)), "__body": F.when(cohort.isNotNull(), F.regexp_extract("__whole", w.FOR_COHORT, 2)).otherwise(F.col("__whole"))})
-    found = rows.withColumn("__r", clause_rules(F.col("__whole"), F.col("__body"), F.col("__bare"), F.col("__d")))
-    found = found.withColumn("__f", F.from_json(F.concat(F.lit("["), F.array_join("__r.facts", ","), F.lit("]")), f"array<{FACT}>"))
-    seen, meant = F.col("clause").isNotNull(), F.col("__cohorts").isNotNull() & F.col("__r.for_cohort")
-    facts = F.when(~seen, F.array().cast(f"array<{FACT}>")).when(meant, F.transform("__f", lambda f: f.withField("cohorts", F.col("__cohorts")))).otherwise(F.col("__f"))
-    return found.select("id", "place", "clause", "start", "end", F.when(seen, F.col("__r.rule")).alias("rule"), F.when(seen, F.col("__r.status")).otherwise("NOT_OBSERVED").alias("status"), facts.alias("facts"))
+    seen = F.col("clause").isNotNull()
+
+    def told(r: Column) -> Column:
+        made = F.from_json(F.concat(F.lit("["), F.array_join(r["facts"], ","), F.lit("]")), f"array<{FACT}>")
+        meant = F.col("__cohorts").isNotNull() & r["for_cohort"]
+        facts = F.when(~seen, F.array().cast(f"array<{FACT}>")).when(meant, F.transform(made, lambda f: f.withField("cohorts", F.col("__cohorts")))).otherwise(made)
+        return F.struct(F.when(seen, r["rule"]).alias("rule"), F.when(seen, r["status"]).otherwise("NOT_OBSERVED").alias("status"), facts.alias("facts"))
+
+    # bound to a name in a lambda: the optimiser would put the whole cascade in place of each use of a column
+    found = rows.withColumn("__r", F.transform(F.array(clause_rules(F.col("__whole"), F.col("__body"), F.col("__bare"), F.col("__d"))), told)[0])
+    return found.select("id", "place", "clause", "start", "end", "__r.rule", "__r.status", "__r.facts")
 
 
 def completeness(found: DataFrame) -> DataFrame:

@@ -22,7 +22,8 @@ def applicability(scope: Column, cohorts: Column) -> Column:
 
 def conditions(found: DataFrame) -> DataFrame:
     """set, place, condition, fact, applicability: a condition for each fact of each clause; found is what requirements.parsed gives."""
-    rows = found.select(F.col("id").alias("set"), "place", F.posexplode("facts").alias("condition", "fact"))
+    # the outer form: for the other one the optimiser puts the whole parse into a filter as well
+    rows = found.select(F.col("id").alias("set"), "place", F.posexplode_outer("facts").alias("condition", "fact")).where("condition IS NOT NULL")
     return rows.withColumn("applicability", applicability(F.col("fact.scope"), F.col("fact.cohorts")))
 
 
