@@ -2,9 +2,15 @@
 
 What an event does depends on the outcome of earlier ones, so no window
 function gives it.  `folded` reads sorted partitions front to back and keeps
-one key's state at a time; the state is a few fields (for budgets, as many
-requests as their cap allows), so a key of any length takes no memory.  A key's
-events are one sequence by definition and pass one task.
+one key's state at a time.  A key's events are one sequence by definition and
+pass one task.  Its state is a few fields, for grants those of each
+authorization and target of the key, for budgets as many requests as their cap
+allows, and the ids of runs and attempts that occur more than once (counted
+beforehand; an id that occurs once can't have been used before).  So memory
+grows with a key's authorizations, targets and repeated ids, not with its events.
+
+The steps know their state by item access alone, so that `streaming.ledgers`
+can run the same ones over state that lies on disk.
 """
 
 from __future__ import annotations
@@ -17,17 +23,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def folded(events: DataFrame, key: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, dict], dict], added: str) -> DataFrame:
-    """events in order by key, each with the columns `added` (a DDL) that `step` returns for it after it has changed the state."""
+#: Whether an event's id occurs in another event of its key and kind: only then has it to be remembered.
+AGAIN = "__again"
+
+
+def _with_repeats(events: DataFrame, key: str, id_col: str, kind: str) -> DataFrame:
+    """events with AGAIN, for events of this kind (a null id is always remembered); counts are combined before the shuffle and only repeated ids are joined back."""
+    of = (F.col("kind") == kind) & F.col(id_col).isNotNull()
+    repeated = events.where(of).groupBy(F.col(key).alias("__key"), F.col(id_col).alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__key", "__id", F.lit(True).alias(AGAIN))
+    joined = events.join(repeated, events[key].eqNullSafe(repeated["__key"]) & (events[id_col] == repeated["__id"]), "left")
+    return joined.select(*events.columns, F.coalesce(AGAIN, F.col(id_col).isNull()).alias(AGAIN))
+
+
+def folded(events: DataFrame, key: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, dict], dict], added: str, reads: list[str]) -> DataFrame:
+    """events in order by key, each with the columns `added` (a DDL) that `step` returns for it after it has changed the state.
+
+    `reads` names the columns that step looks at; only these become Python values.
+    """
     names = [c.split()[0] for c in added.split(", ")]
     kept = [f for f in events.schema if f.name not in names]
     rows = events.select(*[F.col(f"`{f.name}`") for f in kept]).repartition(key).sortWithinPartitions(key, *order)
+    seen = [f.name for f in kept if f.name in {key, *reads}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, first = None, None, True
         for batch in batches:
             out: dict[str, list] = {n: [] for n in names}
-            for row in batch.to_pylist():
+            for row in batch.select(seen).to_pylist():
                 if first or row[key] != now:
                     now, state, first = row[key], start(), False
                 result = step(state, row)
@@ -55,7 +77,19 @@ def schedules(events: DataFrame, key: str, order: list[str], interval_s: int) ->
     completed run puts it off by the interval, a failed one counts, and a risk
     asks for review.  Null success counts as failed, null eligible as not.
     """
+    events = _with_repeats(events, key, "run", "CLAIM")
+    out = folded(events, key, order, schedule_start, schedule_step(interval_s), SCHEDULE, ["kind", "at", "run", "success", "risk", "eligible", AGAIN])
+    return out.drop(AGAIN)
+
 
+SCHEDULE = "fault string, status string, next_run long, failures int"
+
+
+def schedule_start() -> dict:
+    return {"status": None, "open": None, "next": None, "failures": None, "used": set()}
+
+
+def schedule_step(interval_s: int) -> Callable[[Any, dict], dict]:
     def step(s: dict, e: dict) -> dict:
         kind, fault = e["kind"], None
         if kind == "REGISTER":
@@ -69,7 +103,8 @@ def schedules(events: DataFrame, key: str, order: list[str], interval_s: int) ->
             fault = next((name for holds, name in tests if holds), None)
             if not fault:
                 s["open"] = e["run"]
-                s["used"].add(e["run"])
+                if e.get(AGAIN, True):
+                    s["used"].add(e["run"])
         elif kind == "COMPLETE":
             fault = None if s["open"] is not None and s["open"] == e["run"] else "RUN_NOT_ISSUED"
             if not fault:
@@ -83,7 +118,7 @@ def schedules(events: DataFrame, key: str, order: list[str], interval_s: int) ->
             fault = "KIND"
         return {"fault": fault, "status": s["status"], "next_run": s["next"], "failures": s["failures"]}
 
-    return folded(events, key, order, lambda: {"status": None, "open": None, "next": None, "failures": None, "used": set()}, step, "fault string, status string, next_run long, failures int")
+    return step
 
 
 def grant_ledger(records: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -94,50 +129,59 @@ def grant_ledger(records: DataFrame, key: str, order: list[str]) -> DataFrame:
     attempt, holder, target, at, outcome.  A refused record changes nothing.
     The same grant again is a repeat of the old record, not a new version.
     """
+    records = _with_repeats(records, key, "attempt", "RESERVE")
+    out = folded(records, key, order, grant_start, grant_step, GRANTS, ["kind", "authorization", "content", "effective", "interval_s", "attempt", "holder", "target", "at", "outcome", AGAIN])
+    return out.drop(AGAIN)
 
-    def step(s: dict, r: dict) -> dict:
-        kind, fault = r["kind"], None
-        grant = s["grants"].get(r["authorization"])
-        if kind == "GRANT":
-            if r["authorization"] in s["revoked"]:
-                fault = "AUTHORIZATION_REVOKED"
-            elif grant and grant["content"] == r["content"]:
-                fault = "COLLISION"
-            elif s["open"]:
-                fault = "PENDING_GATE_DENIED"
-            else:
-                s["grants"][r["authorization"]] = {"content": r["content"], "effective": r["effective"], "interval": r["interval_s"], "version": (grant["version"] if grant else 0) + 1}
-        elif kind == "REVOKE":
-            fault = "COLLISION" if r["authorization"] in s["revoked"] else "AUTHORIZATION_MISSING" if not grant else "PENDING_GATE_DENIED" if s["open"] else None
-            if not fault:
-                s["revoked"].add(r["authorization"])
-                s["last"] = r["at"]
-        elif kind == "RESERVE":
-            closed = s["closed"].get(r["target"])
-            tests = [
-                (not grant, "AUTHORIZATION_MISSING"), (r["authorization"] in s["revoked"], "AUTHORIZATION_REVOKED"), (s["last"] is not None and r["at"] < s["last"], "CLOCK_INVALID"),
-                (grant and r["at"] < grant["effective"], "AUTHORIZATION_NOT_EFFECTIVE"), (s["open"], "PENDING_GATE_DENIED"), (r["attempt"] in s["attempts"], "ATTEMPT_ALREADY_USED"),
-                (grant and closed and r["at"] < closed[0] + max(grant["interval"], closed[1]), "CADENCE_EXCEEDED"),
-            ]
-            fault = next((name for holds, name in tests if holds), None)
-            if not fault:
-                s["open"] = {"attempt": r["attempt"], "holder": r["holder"], "target": r["target"], "at": r["at"], "interval": grant["interval"]}
-                s["attempts"].add(r["attempt"])
-                s["last"] = r["at"]
-        elif kind in ("COMPLETE", "RECOVER"):
-            o = s["open"]
-            bad = r["outcome"] not in (("SUCCESS", "FAILED") if kind == "COMPLETE" else ("FENCED_UNKNOWN",))
-            fault = "ATTEMPT_OUTCOME_INVALID" if bad else "GATE_HOLDER_MISMATCH" if not o or (o["attempt"], o["holder"]) != (r["attempt"], r["holder"]) else "CLOCK_INVALID" if r["at"] < o["at"] else None
-            if not fault:
-                s["closed"][o["target"]] = (r["at"], o["interval"])
-                s.update(open=None, last=r["at"])
-        else:
-            fault = "RECORD_KIND_INVALID"
-        held = s["grants"].get(r["authorization"])
-        return {"fault": fault, "version": held["version"] if held else None}
 
-    start = lambda: {"grants": {}, "revoked": set(), "open": None, "attempts": set(), "closed": {}, "last": None}
-    return folded(records, key, order, start, step, "fault string, version int")
+GRANTS = "fault string, version int"
+
+
+def grant_start() -> dict:
+    return {"grants": {}, "revoked": set(), "open": None, "attempts": set(), "closed": {}, "last": None}
+
+
+def grant_step(s: Any, r: dict) -> dict:
+    kind, fault = r["kind"], None
+    grant = s["grants"].get(r["authorization"])
+    if kind == "GRANT":
+        if r["authorization"] in s["revoked"]:
+            fault = "AUTHORIZATION_REVOKED"
+        elif grant and grant["content"] == r["content"]:
+            fault = "COLLISION"
+        elif s["open"]:
+            fault = "PENDING_GATE_DENIED"
+        else:
+            s["grants"][r["authorization"]] = {"content": r["content"], "effective": r["effective"], "interval": r["interval_s"], "version": (grant["version"] if grant else 0) + 1}
+    elif kind == "REVOKE":
+        fault = "COLLISION" if r["authorization"] in s["revoked"] else "AUTHORIZATION_MISSING" if not grant else "PENDING_GATE_DENIED" if s["open"] else None
+        if not fault:
+            s["revoked"].add(r["authorization"])
+            s["last"] = r["at"]
+    elif kind == "RESERVE":
+        closed = s["closed"].get(r["target"])
+        tests = [
+            (not grant, "AUTHORIZATION_MISSING"), (r["authorization"] in s["revoked"], "AUTHORIZATION_REVOKED"), (s["last"] is not None and r["at"] < s["last"], "CLOCK_INVALID"),
+            (grant and r["at"] < grant["effective"], "AUTHORIZATION_NOT_EFFECTIVE"), (s["open"], "PENDING_GATE_DENIED"), (r["attempt"] in s["attempts"], "ATTEMPT_ALREADY_USED"),
+            (grant and closed and r["at"] < closed[0] + max(grant["interval"], closed[1]), "CADENCE_EXCEEDED"),
+        ]
+        fault = next((name for holds, name in tests if holds), None)
+        if not fault:
+            s["open"] = {"attempt": r["attempt"], "holder": r["holder"], "target": r["target"], "at": r["at"], "interval": grant["interval"]}
+            if r.get(AGAIN, True):
+                s["attempts"].add(r["attempt"])
+            s["last"] = r["at"]
+    elif kind in ("COMPLETE", "RECOVER"):
+        o = s["open"]
+        bad = r["outcome"] not in (("SUCCESS", "FAILED") if kind == "COMPLETE" else ("FENCED_UNKNOWN",))
+        fault = "ATTEMPT_OUTCOME_INVALID" if bad else "GATE_HOLDER_MISMATCH" if not o or (o["attempt"], o["holder"]) != (r["attempt"], r["holder"]) else "CLOCK_INVALID" if r["at"] < o["at"] else None
+        if not fault:
+            s["closed"][o["target"]] = (r["at"], o["interval"])
+            s.update(open=None, last=r["at"])
+    else:
+        fault = "RECORD_KIND_INVALID"
+    held = s["grants"].get(r["authorization"])
+    return {"fault": fault, "version": held["version"] if held else None}
 
 
 def request_budget(events: DataFrame, key: str, order: list[str], most_requests: int, most_organizations: int, most_targets: int, most_bytes: int, response_bytes: int, retries: int, cooldown_s: int, failed_cooldown_s: int = 86400) -> DataFrame:
@@ -147,7 +191,18 @@ def request_budget(events: DataFrame, key: str, order: list[str], most_requests:
     (seconds), status, bytes.  Faults: INTENT_USED, UNRESOLVED_RESERVATION,
     COOLDOWN, BUDGET_EXHAUSTED, SEND_INVALID, OBSERVATION_DENIED.  A refused event changes nothing.
     """
+    step = budget_step(most_requests, most_organizations, most_targets, most_bytes, response_bytes, retries, cooldown_s, failed_cooldown_s)
+    return folded(events, key, order, budget_start, step, BUDGET, ["kind", "intent", "organization", "target", "at", "status", "bytes"])
+
+
+BUDGET = "fault string, used_bytes long"
+
+
+def budget_start() -> dict:
+    return {"requests": {}, "bytes": 0}
+
 
+def budget_step(most_requests: int, most_organizations: int, most_targets: int, most_bytes: int, response_bytes: int, retries: int, cooldown_s: int, failed_cooldown_s: int) -> Callable[[Any, dict], dict]:
     def step(s: dict, e: dict) -> dict:
         known, fault = s["requests"].get(e["intent"]), None
         if e["kind"] == "RESERVE":
@@ -167,17 +222,17 @@ def request_budget(events: DataFrame, key: str, order: list[str], most_requests:
         elif e["kind"] == "SENT":
             fault = "SEND_INVALID" if known is None or known["sent"] or known["done"] is not None or e["at"] < known["at"] else None
             if not fault:
-                known["sent"] = True
+                s["requests"][e["intent"]] = {**known, "sent": True}
         else:
             size = -1 if e["bytes"] is None else e["bytes"]
             bad = known is None or known["done"] is not None or e["at"] < known["at"] or (not known["sent"] and e["status"] != "POLICY_DENIED")
             fault = "OBSERVATION_DENIED" if bad or not 0 <= size <= response_bytes or s["bytes"] + size > most_bytes else None
             if not fault:
-                known.update(done=e["at"], status=e["status"])
+                s["requests"][e["intent"]] = {**known, "done": e["at"], "status": e["status"]}
                 s["bytes"] += size
         return {"fault": fault, "used_bytes": s["bytes"]}
 
-    return folded(events, key, order, lambda: {"requests": {}, "bytes": 0}, step, "fault string, used_bytes long")
+    return step
 
 
 def enumerated(grants: DataFrame, revoked: DataFrame, open_attempts: DataFrame, closed: DataFrame, at: int, scope: str) -> DataFrame:

@@ -31,13 +31,16 @@ SELECT k, id, fault, status, nxt AS next_run, failures::INTEGER AS failures FROM
 """)
 def q_schedules(spark, d):
     """Schedules by replay of their events (M2)."""
+    return folds.schedules(schedule_events(spark, d), "k", ["n"], 7200).select("k", "id", "fault", "status", "next_run", "failures")
+
+
+def schedule_events(spark, d):
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     e = table(spark, d, "events").withColumn("n", n)
     kind = F.when(F.col("n") == 1, "REGISTER").when(F.col("event_type") == "signup", "PAUSE").when(F.col("event_type") == "purchase", "COMPLETE").when(F.col("event_type") == "error", "RECONCILE").when(F.col("n") % 11 == 0, "REGISTER").otherwise("CLAIM")
-    events = e.select(
+    return e.select(
         F.col("user_id").alias("k"), F.col("event_id").alias("id"), "n", kind.alias("kind"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.concat(F.lit("r"), F.floor(F.col("n") / 3)).alias("run"),
         (F.col("value") > 40).alias("success"), (F.col("value") > 90).alias("risk"), (F.col("value") > 5).alias("eligible"))
-    return folds.schedules(events, "k", ["n"], 7200).select("k", "id", "fault", "status", "next_run", "failures")
 
 
 @query(f"""
@@ -59,27 +62,60 @@ SELECT k, id, fault, version::INTEGER AS version FROM s
 """)
 def q_grant_ledger(spark, d):
     """A ledger of grants by replay (M4)."""
+    return folds.grant_ledger(grant_records(spark, d), "k", ["n"]).select("k", "id", "fault", "version")
+
+
+def grant_records(spark, d):
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     e = table(spark, d, "events").withColumn("n", n)
     kind = F.when((F.col("n") == 1) | (F.col("event_type") == "signup"), "GRANT").when(F.col("event_type") == "error", "COMPLETE").when(F.col("n") % 37 == 0, "REVOKE").otherwise("RESERVE")
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    records = e.select(
+    return e.select(
         F.col("user_id").alias("k"), F.col("event_id").alias("id"), "n", kind.alias("kind"), F.lit("one").alias("authorization"), F.concat(F.lit("h"), F.floor(F.col("n") / 20)).alias("content"), (at + 60).alias("effective"), F.lit(3600).alias("interval_s"),
         F.concat(F.lit("a"), F.floor(F.col("n") / 6)).alias("attempt"), F.when(F.col("value") > 80, "other").otherwise("me").alias("holder"), F.lit("t").alias("target"), at.alias("at"), F.lit("SUCCESS").alias("outcome"))
-    return folds.grant_ledger(records, "k", ["n"]).select("k", "id", "fault", "version")
 
 
-@query()
+BUDGET_SQL = f"""
+WITH RECURSIVE {_STEPS},
+ev AS (SELECT k, id, n, sec, CASE (n - 1) % 4 WHEN 1 THEN 'SENT' WHEN 2 THEN 'OBSERVE' ELSE 'RESERVE' END AS kind, CASE WHEN (n - 1) % 4 = 3 THEN 'x' || (n - 1) ELSE 'i' || ((n - 1) // 4) END AS intent, 'o' || ((n - 1) // 4) % 3 AS org, 'u' || ((n - 1) // 4) % 5 AS target,
+  CASE WHEN t = 'error' THEN 'NETWORK_FAILURE' ELSE 'SUCCESS' END AS status, (v * 10)::DECIMAL(38, 6) AS raw FROM e),
+s(k, id, n, fault, used, req) AS (
+  SELECT DISTINCT k, NULL::BIGINT, 0::BIGINT, NULL::VARCHAR, 0::BIGINT, []::STRUCT(i VARCHAR, o VARCHAR, t VARCHAR, w BIGINT, sent BOOLEAN, done BIGINT, st VARCHAR)[] FROM ev
+  UNION ALL
+  SELECT k, id, n, fault, CASE WHEN fault IS NULL AND kind = 'OBSERVE' THEN used + size ELSE used END,
+    CASE WHEN fault IS NOT NULL THEN req WHEN kind = 'RESERVE' THEN list_append(req, {{'i': intent, 'o': org, 't': target, 'w': sec, 'sent': false, 'done': NULL, 'st': NULL}})
+      WHEN kind = 'SENT' THEN list_transform(req, lambda r: CASE WHEN r.i = intent THEN {{'i': r.i, 'o': r.o, 't': r.t, 'w': r.w, 'sent': true, 'done': r.done, 'st': r.st}} ELSE r END)
+      ELSE list_transform(req, lambda r: CASE WHEN r.i = intent THEN {{'i': r.i, 'o': r.o, 't': r.t, 'w': r.w, 'sent': r.sent, 'done': sec, 'st': status}} ELSE r END) END
+  FROM (SELECT *, CASE kind WHEN 'RESERVE' THEN CASE WHEN known IS NOT NULL THEN 'INTENT_USED' WHEN len(list_filter(req, lambda r: r.done IS NULL)) > 0 THEN 'UNRESOLVED_RESERVATION'
+      WHEN last IS NOT NULL AND sec - last.done < CASE WHEN last.st = 'NETWORK_FAILURE' THEN 86400 ELSE 3600 END THEN 'COOLDOWN'
+      WHEN len(req) >= 8 OR len(list_distinct(list_append(list_transform(req, lambda r: r.o), org))) > 3 OR len(list_distinct(list_append(list_transform(list_filter(req, lambda r: r.o = org), lambda r: r.t), target))) > 4 OR len(list_filter(req, lambda r: r.t = target)) > 2 THEN 'BUDGET_EXHAUSTED' END
+    WHEN 'SENT' THEN CASE WHEN known IS NULL OR known.sent OR known.done IS NOT NULL OR sec < known.w THEN 'SEND_INVALID' END
+    ELSE CASE WHEN known IS NULL OR known.done IS NOT NULL OR sec < known.w OR NOT known.sent OR size NOT BETWEEN 0 AND 900 OR used + size > 4000 THEN 'OBSERVATION_DENIED' END END AS fault
+    FROM (SELECT ev.k, ev.id, ev.n, ev.sec, ev.kind, ev.intent, ev.org, ev.target, ev.status, trunc(ev.raw)::BIGINT AS size, s.used, s.req, list_filter(s.req, lambda r: r.i = ev.intent)[1] AS known,
+      list_reverse_sort(list_filter(list_transform(s.req, lambda r: CASE WHEN r.o = ev.org AND r.t = ev.target AND r.done IS NOT NULL THEN {{'done': r.done, 'st': r.st}} END), lambda r: r IS NOT NULL))[1] AS last
+      FROM s JOIN ev ON ev.k = s.k AND ev.n = s.n + 1)))
+SELECT k, id, fault, used AS used_bytes FROM s WHERE n > 0
+"""
+
+
+@query(BUDGET_SQL)
 def q_request_budget(spark, d):
-    """Requests against the caps of a budget, event by event (M10); tested against a plain loop."""
+    """Requests against the caps of a budget, event by event."""
+    return folds.request_budget(budget_events(spark, d), "k", ["n"], *CAPS).select("k", "id", "fault", "used_bytes")
+
+
+#: Requests, organizations, targets of one, bytes, bytes of a response, tries of a target, seconds between two of them and after a failure.
+CAPS = (8, 3, 4, 4000, 900, 2, 3600, 86400)
+
+
+def budget_events(spark, d):
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     e = table(spark, d, "events").withColumn("n", n - 1)
     kind = F.element_at(F.array(F.lit("RESERVE"), F.lit("SENT"), F.lit("OBSERVE"), F.lit("RESERVE")), (F.col("n") % 4 + 1).cast("int"))
     intent = F.when(F.col("n") % 4 == 3, F.concat(F.lit("x"), "n")).otherwise(F.concat(F.lit("i"), F.floor(F.col("n") / 4)))
-    events = e.select(
+    return e.select(
         F.col("user_id").alias("k"), F.col("event_id").alias("id"), "n", kind.alias("kind"), intent.alias("intent"), F.concat(F.lit("o"), F.floor(F.col("n") / 4) % 3).alias("organization"), F.concat(F.lit("u"), F.floor(F.col("n") / 4) % 5).alias("target"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.when(F.col("event_type") == "error", "NETWORK_FAILURE").otherwise("SUCCESS").alias("status"), (F.col("value") * 10).cast("long").alias("bytes"))
-    return folds.request_budget(events, "k", ["n"], 8, 3, 4, 4000, 900, 2, 3600).select("k", "id", "fault", "used_bytes")
 
 
 @query("""
