@@ -235,6 +235,25 @@ def budget_step(most_requests: int, most_organizations: int, most_targets: int,
     return step
 
 
+def expected_heads(commands: DataFrame, key: str, order: list[str], expected: str, content: str) -> DataFrame:
+    """commands with outcome, revision and head after each (H10): many writers' decisions against the head that each has seen.
+
+    In order of arrival, a command that names no expected head (null) is LACKS_HEAD,
+    one that names another than the current one is STALE, and both change
+    nothing; the expected head of a key's first decision is 0.  One of the head's
+    own content is SAME; any other wins: ISSUED, and its revision is the head of
+    those behind it.  The state of a key is its head's revision and content.
+    """
+
+    def step(s: dict, c: dict) -> dict:
+        outcome = "LACKS_HEAD" if c[expected] is None else "STALE" if c[expected] != s["head"] else "SAME" if s["head"] and c[content] == s["content"] else "ISSUED"
+        if outcome == "ISSUED":
+            s.update(head=s["head"] + 1, content=c[content])
+        return {"outcome": outcome, "revision": s["head"] if outcome in ("ISSUED", "SAME") else None, "head": s["head"]}
+
+    return folded(commands, key, order, lambda: {"head": 0, "content": None}, step, "outcome string, revision int, head int", [expected, content])
+
+
 def enumerated(grants: DataFrame, revoked: DataFrame, open_attempts: DataFrame, closed: DataFrame, at: int, scope: str) -> DataFrame:
     """authorization, eligible, reason of the latest grant of each authorization (M5).
 

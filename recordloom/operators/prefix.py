@@ -107,8 +107,8 @@ def scanned(rows: DataFrame, keys: list[str], steps: list[Step]) -> DataFrame:
             sums = sums.withColumn(f"__e{i}", s.composed(F.col(f"__end.__h{i}"), before, own))
         else:
             sums = sums.withColumn(f"__e{i}", s.composed(F.col(f"__end.__h{i}"), order.rowsBetween(Window.unboundedPreceding, 0), before))
-    coming = sums.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)], F.col(PIECE).alias("__at"), *[F.lag(f"__e{i}").over(order).alias(f"__c{i}") for i in range(len(steps))], "__n").where("__n > 1").drop("__n")
-    match = out[PIECE] == coming["__at"]
+    coming = sums.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)], F.col(PIECE).alias("__piece_at"), *[F.lag(f"__e{i}").over(order).alias(f"__c{i}") for i in range(len(steps))], "__n").where("__n > 1").drop("__n")
+    match = out[PIECE] == coming["__piece_at"]
     for j, k in enumerate(keys):
         match = match & out[k].eqNullSafe(coming[f"__k{j}"])
     # only the first key of a piece has something coming in

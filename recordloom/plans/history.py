@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import canon
-from ..operators import diff, ledger, versioning
+from ..operators import diff, folds, journal, ledger, versioning
 from .tables import query, table
 
 
@@ -284,3 +284,58 @@ def q_hot_streaks(spark, d):
     out = diff.missing_streaks(runs, ["record"], ["ts", "event_id"], F.col("value") > 20, F.col("event_type") == "view")
     out = versioning.versions_latest(out, ["record"], "event_type", ["ts", "event_id"])
     return out.select("record", "event_id", "streak", "missing_event", "revision")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id AS k, event_id AS id, event_type AS content, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CASE WHEN event_id % 13 = 0 THEN NULL ELSE (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 4 // 10 - event_id % 2 * (event_id % 3) // 2 END AS seen FROM events),
+s(k, id, n, outcome, head, content) AS (
+  SELECT DISTINCT k, NULL::BIGINT, 0::BIGINT, NULL::VARCHAR, 0::BIGINT, NULL::VARCHAR FROM e
+  UNION ALL
+  SELECT k, id, n, outcome, CASE WHEN outcome = 'ISSUED' THEN head + 1 ELSE head END, CASE WHEN outcome = 'ISSUED' THEN new ELSE content END
+  FROM (SELECT e.k, e.id, e.n, e.content AS new, s.head, s.content, CASE WHEN e.seen IS NULL THEN 'LACKS_HEAD' WHEN greatest(e.seen, 0) <> s.head THEN 'STALE' WHEN s.head > 0 AND e.content = s.content THEN 'SAME' ELSE 'ISSUED' END AS outcome FROM s JOIN e ON e.k = s.k AND e.n = s.n + 1))
+SELECT k, id, outcome, CASE WHEN outcome IN ('ISSUED', 'SAME') THEN head END::INTEGER AS revision, head::INTEGER AS head FROM s WHERE n > 0
+""")
+def q_expected_heads(spark, d):
+    """Decisions of many writers, each against the head that it has seen: won, lost and repeated ones."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("id"), F.col("event_type").alias("content"), n.alias("n"))
+    seen = F.expr("CASE WHEN id % 13 <> 0 THEN CAST(greatest((n - 1) * 4 div 10 - (id % 2) * (id % 3) div 2, 0) AS INT) END")
+    return folds.expected_heads(e.withColumn("seen", seen), "k", ["n"], "seen", "content").select("k", "id", "outcome", "revision", "head")
+
+
+_JOURNAL = """
+j AS (SELECT (o_custkey % 5)::VARCHAR AS stream, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS sequence, sha256(o_orderkey::VARCHAR) AS record_hash, o_orderkey, o_orderpriority FROM orders),
+a AS (SELECT stream, sequence AS first_sequence, '{"artifact_id":"' || o_orderkey || '","artifact_type":"' || o_orderpriority || '","seal":"' || sha256('s' || o_orderkey) || '"}' AS entry FROM j),
+c AS (SELECT stream, sequence, lag(sequence) OVER (PARTITION BY stream ORDER BY sequence) AS before FROM (SELECT DISTINCT stream, 0 AS sequence FROM j WHERE stream <> '4' UNION ALL SELECT stream, sequence FROM j WHERE sequence % 90 = 0 OR sequence % 411 = 0))"""
+
+
+@query(f"""
+WITH {_JOURNAL},
+r AS (SELECT c.stream, c.sequence, count(entry) AS n, sha256('[' || coalesce(string_agg(entry, ',' ORDER BY entry), '') || ']') AS h FROM c LEFT JOIN a ON a.stream = c.stream AND a.first_sequence <= c.sequence AND a.first_sequence > coalesce(c.before, -1) GROUP BY ALL)
+SELECT c.stream, c.sequence, r.n AS artifacts, r.h AS set_hash, concat_ws(',', CASE WHEN c.before IS NULL AND c.sequence <> 0 THEN 'GENESIS' END, CASE WHEN c.before IS NOT NULL AND c.sequence % 7 = 1 THEN 'CHAIN' END,
+  CASE WHEN c.before IS NOT NULL AND c.sequence % 7 = 2 THEN 'HEAD' END, CASE WHEN c.before IS NOT NULL AND c.sequence % 7 = 3 THEN 'ARTIFACT_SET' END) AS faults
+FROM c JOIN r ON r.stream = c.stream AND r.sequence = c.sequence
+""")
+def q_checkpoint_faults(spark, d):
+    """Checkpoints against the journal rows and artifacts that they cover, some of them damaged (M7)."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("stream").orderBy("o_orderkey"))
+    j = table(spark, d, "orders").withColumn("stream", (F.col("o_custkey") % 5).cast("string")).withColumn("sequence", n)
+    rows = j.select("stream", "sequence", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("record_hash"))
+    artifacts = j.select("stream", F.col("sequence").alias("first_sequence"), F.col("o_orderpriority").alias("artifact_type"), F.col("o_orderkey").cast("string").alias("artifact_id"), F.sha2(F.concat(F.lit("s"), "o_orderkey"), 256).alias("seal"))
+    marks = rows.where("sequence % 90 = 0 OR sequence % 411 = 0").select("stream", "sequence", F.col("record_hash").alias("head_hash"))
+    marks = marks.unionByName(rows.where("stream <> '4'").select("stream").distinct().select("stream", F.lit(0).alias("sequence"), F.lit(journal.ZEROS).alias("head_hash")))
+    # what a signer would have written, then the damage
+    w = Window.partitionBy("stream").orderBy("sequence")
+    marks = marks.withColumn("checkpoint_hash", F.sha2(F.concat_ws(":", "stream", "sequence"), 256)).withColumns({"previous_checkpoint_hash": F.lag("checkpoint_hash").over(w), "before": F.lag("sequence").over(w)})
+    inside = (artifacts["stream"] == marks["stream"]) & (artifacts["first_sequence"] <= marks["sequence"]) & (artifacts["first_sequence"] > F.coalesce(marks["before"], F.lit(-1)))
+    entry = F.to_json(F.struct("artifact_id", "artifact_type", "seal"))
+    signed = marks.join(artifacts.withColumn("entry", entry), inside, "left").groupBy(marks["stream"], "sequence").agg(F.sha2(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("entry")), ","), F.lit("]")), 256).alias("artifact_set_hash"))
+    marks = marks.join(signed, ["stream", "sequence"])
+    bad = lambda c, k: F.when((F.col("sequence") % 7 == k) & (F.col("sequence") > 0), "damaged").otherwise(F.col(c)).alias(c)
+    marks = marks.select("stream", "sequence", bad("head_hash", 2), bad("artifact_set_hash", 3), "checkpoint_hash", bad("previous_checkpoint_hash", 1))
+    out = journal.checkpoint_faults(marks, rows, artifacts)
+    return out.select("stream", F.col("sequence").cast("long").alias("sequence"), "artifacts", "set_hash", F.array_join("faults", ",").alias("faults"))

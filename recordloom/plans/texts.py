@@ -118,3 +118,17 @@ def q_semantic_hash(spark, d):
     lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("p"))
     fields = {"owner": F.col("o_custkey"), "keys": F.col("p"), "spare": F.lit(None).cast("string")}
     return lists.select("o_custkey", canon.semantic_hash(fields, sets=("keys",)).alias("content_hash"))
+
+
+@query("""
+SELECT event_id, sha256('{"a":{"x":true,"y":null},"n":' || CASE WHEN event_id % 2 = 0 THEN event_id * 100 ELSE -event_id END || ',"p":' || replace(props, ' ', '') || ',"z":[{"a":"' || event_type || '","b":1.5},[],{}]}') AS hash FROM events
+""")
+def q_canonical_json(spark, d):
+    """Nested JSON of shuffled keys, white space and number forms hashes alike."""
+    e = table(spark, d, "events").select("event_id", "event_type", "props")
+    n = F.when(F.col("event_id") % 2 == 0, F.concat(F.col("event_id").cast("string"), F.lit("e2"))).otherwise(F.concat(F.lit("-"), F.col("event_id").cast("string"), F.lit(".0")))
+    deep = F.concat(F.lit('"z" : [{"b":1.50,"a":"'), "event_type", F.lit('"}, [ ], {}]'))
+    parts = [F.concat(F.lit('"n":'), n), deep, F.lit('"a":{"y":null, "x":true}'), F.concat(F.lit('"p":'), "props")]
+    turned = [F.concat_ws(", ", *parts[k:], *parts[:k]) for k in range(4)]
+    text = F.concat(F.lit("{"), F.element_at(F.array(*turned), (F.col("event_id") % 4 + 1).cast("int")), F.lit("}"))
+    return e.select("event_id", canon.canonical_hash(text).alias("hash"))

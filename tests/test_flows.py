@@ -31,7 +31,7 @@ def run(spark, parts, schema, follow):
 
 
 def test_schedules_across_restarts(spark):
-    rows = events(1, 240)
+    rows = events(1, 240) + [(9, 240 + i, kind, 5000 + i * 10, run, True, False, True) for i, (kind, run) in enumerate([("REGISTER", None), ("CLAIM", "x"), ("COMPLETE", "x"), ("CLAIM", "x")])]
     batch = folds.schedules(spark.createDataFrame(rows, EVENTS), "k", ["n"], 5)
     found = run(spark, [rows[:100], rows[100:]], EVENTS, lambda e: ledgers.stream_schedules(e, "k", ["n"], 5))
     pick = lambda df: sorted(map(tuple, df.select("n", "fault", "status", "next_run", "failures").collect()), key=str)
