@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.stored import stored
+from ..sources.stored import forget, stored
 
 #: Presentation statuses that can be read, and the others.
 READABLE = ("DISPLAY", "DISPLAY_WITH_REVIEW", "EVIDENCE_BLOCKED")
@@ -51,13 +51,60 @@ def page_parameter(text: str | None, default: int, low: int, high: int) -> int:
     return int(text)
 
 
+class RankIndex:
+    """The rows of a total order, dealt out by range, sorted and written once, so that any page is read from where it lies.
+
+    A page's files follow from their numbers of rows, of which there are as many
+    as ranges, and its rows from their places in them: nothing is sorted or
+    skipped row by row again, whatever the offset.
+    """
+
+    def __init__(self, df: DataFrame, order: list, ranges: int | None = None):
+        spark = df.sparkSession
+        self.order, self.columns = order, df.columns
+        dealt = df.repartitionByRange(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+        self.table = stored(dealt, "ranks")
+        rows = self.table.select(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("file"))
+        counts = sorted((r.file, r["count"]) for r in rows.groupBy("file").count().collect())
+        self.starts, self.total = [], 0
+        for file, n in counts:
+            self.starts.append((file, self.total, n))
+            self.total += n
+
+    def page(self, offset: int, limit: int) -> DataFrame:
+        """Rows offset to offset + limit, each with `total`."""
+        place = F.col("_metadata.row_index")
+        file = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
+        wanted, files = F.lit(False), []
+        for number, start, n in self.starts:
+            low, high = max(offset, start), min(offset + limit, start + n)
+            if low < high:
+                wanted = wanted | ((file == number) & place.between(low - start, high - start - 1))
+                files.append(number)
+        # said once more for files alone, so that the others are not opened
+        wanted = wanted & (file.isin(files) if files else F.lit(False))
+        names = [F.col(f"`{c}`") for c in self.columns]
+        return self.table.where(wanted).select(*names, F.lit(self.total).cast("long").alias("total")).orderBy(*self.order)
+
+    def close(self) -> None:
+        forget(self.table)
+
+
+#: Rows up to which a page is taken from the first rows of the whole, and not from an index of ranks.
+FIRST_ROWS = 10_000
+
+
 def page(df: DataFrame, order: list, offset: int = 0, limit: int = 20, most: int = 100) -> DataFrame:
     """Rows offset to offset + limit in a total order, each with `total`, the number of rows before the cut.
 
-    The rows are written once, and counted and cut from there.
+    The rows are written once, and counted and cut from there; beyond
+    FIRST_ROWS by their ranks, so that no task and no driver holds what lies
+    before a page.
     """
     if not 1 <= limit <= most or offset < 0:
         raise ValueError(f"limit must be 1 to {most}, offset 0 or more")
+    if offset + limit > FIRST_ROWS:
+        return RankIndex(df, order).page(offset, limit)
     df = stored(df, "page")
     total = df.agg(F.count("*").alias("total")).scalar()
     return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)

@@ -226,3 +226,13 @@ def q_deadline_tone(spark, d):
     """How near a deadline is, by local days."""
     now = F.lit("1998-06-15 12:00:00").cast("timestamp")
     return table(spark, d, "orders").select("o_orderkey", q.deadline_tone(F.to_date("o_orderdate"), now).alias("tone"))
+
+
+@query("""
+WITH t AS (SELECT l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) OVER () AS total FROM lineitem)
+SELECT l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey, total FROM t ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 100 OFFSET 45000
+""")
+def q_deep_page(spark, d):
+    """A page far behind the first rows, found by ranks."""
+    lines = table(spark, d, "lineitem").select("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return q.page(lines, [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 45000, 100)
