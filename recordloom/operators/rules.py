@@ -9,17 +9,21 @@ from ..functions import fixed, kleene
 from ..functions.text import first_class, first_listed
 from . import logic
 
-#: Rules in one broadcast table.
-MOST_RULES = 10_000
+#: Rules in one expression.
+MOST_RULES = 1_000
 
 
 def findings(texts: DataFrame, id_col: str, text_col: str, rules: list[tuple[str, str, str]]) -> DataFrame:
     """id, category, rule: every rule (category, name, pattern) that a text matches, once for each row.
 
-    The rules are literals of one expression, so each text is read once and nothing is shuffled.
+    The rules are literals of one expression, so each text is read once and
+    nothing is shuffled; more than MOST_RULES of them go through
+    `patterns.many_findings`, which takes any number.
     """
     if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules: deal them out")
+        from .patterns import many_findings
+
+        return many_findings(texts, id_col, text_col, texts.sparkSession.createDataFrame(rules, "category string, rule string, pattern string"))
     hits = F.array(*[F.when(F.col(text_col).rlike(p), F.struct(F.lit(c).alias("category"), F.lit(n).alias("rule"))) for c, n, p in rules])
     found = F.array_distinct(F.filter(hits, lambda h: h.isNotNull()))
     return texts.select(id_col, F.inline(found))

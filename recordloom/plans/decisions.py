@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import kleene
 from ..functions import text as tx
 from ..operators import query as q
-from ..operators import logic, resolve, rules, summary
+from ..operators import logic, patterns, resolve, rules, summary
 from .tables import query, table
 
 #: The finding rules of the query: category, name, pattern. Made for the invented prose of the documents.
@@ -229,3 +229,15 @@ def q_alias(spark, d):
     organisations = table(spark, d, "supplier").select(F.col("s_suppkey").alias("organization_id"), F.col("s_name").alias("name"), F.array(F.concat(F.lit("N"), "s_nationkey")).alias("aliases"))
     names = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("N"), "c_nationkey").alias("asked"))
     return q.by_name_or_alias(names, organisations, "asked").select("c_custkey", "organization_id")
+
+
+@query("""
+WITH r AS (SELECT role AS category, conv_id || '/' || turn AS rule, regexp_replace(substr(text, 3 + conv_id % 20, 7), '[^a-z]', '.', 'g') || '[a-z]*(ed|ly|en)[ .,]' AS pattern FROM conversations)
+SELECT DISTINCT doc_id, category, rule FROM documents, r WHERE regexp_matches(text, pattern, 's')
+""")
+def q_many_rules(spark, d):
+    """Texts against a table of patterns, those first whose literals occur."""
+    turns = table(spark, d, "conversations")
+    part = F.substr("text", (3 + F.col("conv_id") % 20).cast("int"), F.lit(7))
+    made = turns.select(F.col("role").alias("category"), F.concat_ws("/", "conv_id", "turn").alias("rule"), F.concat(F.regexp_replace(part, "[^a-z]", "(?s:.)"), F.lit("[a-z]*(ed|ly|en)[ .,]")).alias("pattern"))
+    return patterns.many_findings(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", made)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,25 +14,61 @@ WAREHOUSE_DIR = "spark.sql.warehouse.dir"
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_writing, _lock = 0, threading.Lock()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the checkpoint folder, or the warehouse where the session names none."""
-    return (spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get(WAREHOUSE_DIR)).rstrip("/")
+    """The folder that driver and executors share: the checkpoint folder, or the warehouse where the session names none.
+
+    On a cluster a warehouse on a local disk is not shared, so that is an error there.
+    """
+    if named := spark.conf.get(CHECKPOINT_DIR, None):
+        return named.rstrip("/")
+    path, master = spark.conf.get(WAREHOUSE_DIR), spark.sparkContext.master
+    local = master == "local" or master.startswith("local[")
+    if not local and (path.startswith("file:") or "://" not in path):
+        raise ValueError(f"{path} is a local folder of the driver: set {CHECKPOINT_DIR} to one that all executors share")
+    return path.rstrip("/")
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession):
+    """Within, a query's shuffle files go when it ends; the session's own setting is back when the last of several threads is done."""
+    global _writing
+    with _lock:
+        if not _writing:
+            _cleaning.before = spark.conf.get(CLEAN_UP)
+            spark.conf.set(CLEAN_UP, "true")
+        _writing += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing -= 1
+            if not _writing:
+                spark.conf.set(CLEAN_UP, _cleaning.before)
+
+
+def _file_system(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), there
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of `df`, written once as Parquet in the shared folder and read back.
 
     This cuts the lineage and survives the loss of any executor.  The table
-    stays until `forget` is called for it.  A file holds a whole partition.
+    stays until `forget` is called for it, or else until the driver ends, also
+    where its query has failed.  A file holds a whole partition.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recordloom/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP)
-    spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
+        with _cleaning(spark):
+            df.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        files, there = _file_system(spark, path)
+        files.deleteOnExit(there)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -39,6 +77,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def forget(*tables: DataFrame) -> None:
     """Deletes tables that `stored` has written and that nothing reads any more."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        files, there = _file_system(table.sparkSession, table.stored_at)
+        files.delete(there, True)
+        files.cancelDeleteOnExit(there)
