@@ -20,8 +20,13 @@ START_LABELS = ["发布时间", "发布日期", "开始时间", "报名时间",
 LABEL_REACH = 28
 
 # Paths of list pages, of single postings, and query names that mark a posting.
-LIST_PATHS = [r"(^|/)(index|list|recruiting)\.html?$", r"/(campus|recruit|jobs?)/?$"]
-DETAIL_PATHS = [r"/(detail|jobdetail|post|positions?|jobs?|vacancy)(/|$)", r"/job(_z)?-?\d[\d-]*\.html?$", r"/(news|content)/\d+(\.html?)?$", r"/content/id/\d+"]
+LIST_PATHS = [r"(?:^|/)(?:index|list|recruiting)\.html?$", r"/(?:campus|recruit|jobs?)/?$"]
+DETAIL_PATHS = [
+    r"/(?:detail|jobdetail|post|position|positions|job|jobs|vacancy)(?:/|$)",
+    r"/job(?:_z)?-?\d[\d-]*\.html?$",
+    r"/(?:news|content)/\d+(?:\.html?)?$",
+    r"/content/id/\d+",
+]
 DETAIL_NAMES = ["jobadid", "jobid", "positionid", "position_id"]
 
 # Education classes by wording.
@@ -59,22 +64,22 @@ REJECTING, ACCEPTING = ["不接受", "要求本科法学", "要求本硕均法
 
 # Findings of legal work: category, name, pattern.
 RELEVANCE_RULES = [
-    ("direct", "LEGAL_ROLE_TITLE", "法务岗|法律岗|法律事务岗|法律合规岗|合规法务岗"),
-    ("direct", "LEGAL_REVIEW", "法律审查|合同法律审查|交易法律审查"),
-    ("direct", "LEGAL_DOCUMENT_DRAFTING", "法律文书|合同起草"),
-    ("direct", "DISPUTE_RESOLUTION", "诉讼|仲裁|合同纠纷"),
+    ("direct", "LEGAL_ROLE_TITLE", "(?:法务岗|法律岗|法律事务岗|法律合规岗|合规法务岗)"),
+    ("direct", "LEGAL_REVIEW", "(?:法律审查|合同法律审查|交易法律审查)"),
+    ("direct", "LEGAL_DOCUMENT_DRAFTING", "(?:法律文书|合同起草)"),
+    ("direct", "DISPUTE_RESOLUTION", "(?:诉讼|仲裁|合同纠纷)"),
     ("direct", "LEGAL_RISK", "法律风险"),
-    ("direct", "COMPLIANCE_SYSTEM", "法律合规|监管合规|合规体系|用工合规|销售合规|数据合规|隐私合规|产品法规合规"),
+    ("direct", "COMPLIANCE_SYSTEM", "(?:法律合规|监管合规|合规体系|用工合规|销售合规|数据合规|隐私合规|产品法规合规)"),
     ("direct", "LEGAL_ADVICE", "法律咨询"),
     ("direct", "INTELLECTUAL_PROPERTY_LEGAL", "知识产权法律事务"),
-    ("direct", "LABOR_LAW", "劳动法|劳动争议"),
+    ("direct", "LABOR_LAW", "(?:劳动法|劳动争议)"),
     ("direct", "LEGAL_DUE_DILIGENCE", "法律尽调"),
-    ("direct", "LEGAL_APPLICATION", "纪律执法|法律适用"),
+    ("direct", "LEGAL_APPLICATION", "(?:纪律执法|法律适用)"),
     ("direct", "LEGAL_TECHNOLOGY", "法律科技"),
     ("direct", "TAX_LAW", "税法"),
-    ("major", "LAW_MAJOR", "法学类|法学专业|法律专业"),
-    ("major", "LAW_DIRECTORY_0301", r"法学\s*[（(]?0301[）)]?|0301\s*法学"),
-    ("major", "LAW_DIRECTORY_0351", r"法律\s*[（(]?0351[）)]?|0351\s*法律"),
+    ("major", "LAW_MAJOR", "(?:法学类|法学专业|法律专业)"),
+    ("major", "LAW_DIRECTORY_0301", r"(?:法学\s*[（(]?0301[）)]?|0301\s*法学)"),
+    ("major", "LAW_DIRECTORY_0351", r"(?:法律\s*[（(]?0351[）)]?|0351\s*法律)"),
     ("qualification", "LEGAL_PROFESSIONAL_QUALIFICATION", "法律职业资格"),
     ("adjacent", "CONTRACT_MANAGEMENT", "合同管理"),
     ("adjacent", "RISK_MANAGEMENT", "风险管理"),
@@ -85,17 +90,17 @@ RELEVANCE_RULES = [
     ("adjacent", "DUE_DILIGENCE", "尽调"),
     ("adjacent", "INTERNAL_CONTROL", "内控"),
     ("adjacent", "EMPLOYEE_RELATIONS", "员工关系"),
-    ("adjacent", "PRIVACY_OR_SECURITY_GOVERNANCE", "隐私治理|安全治理"),
-    ("adjacent", "STANDARD_OR_CERTIFICATION", "标准|认证"),
+    ("adjacent", "PRIVACY_OR_SECURITY_GOVERNANCE", "(?:隐私治理|安全治理)"),
+    ("adjacent", "STANDARD_OR_CERTIFICATION", "(?:标准|认证)"),
     ("adjacent", "INSTITUTIONAL_GOVERNANCE", "制度建设"),
-    ("negative", "MECHANICAL_ENGINEERING", "机械设计|机械制造|工艺设计|产品研发"),
-    ("negative", "SOFTWARE_ENGINEERING", "软件开发|系统开发|程序开发|软件测试|系统架构|代码开发"),
-    ("negative", "FINANCIAL_ACCOUNTING", "会计核算|财务报表|资金管理|账务处理"),
-    ("negative", "SALES_EXECUTION", "销售执行|客户开发|销售指标|市场拓展"),
-    ("negative", "ADMINISTRATION", "行政事务|会议组织|会务工作|后勤保障|人事行政"),
-    ("negative", "TECHNICAL_QUALITY_COMPLIANCE", "技术质量合规|质量标准执行"),
-    ("negative", "MARKET_OR_CREDIT_RISK", "市场风险|信用风险|生产风险|量化风险"),
-    ("negative", "FINANCIAL_OR_TECHNICAL_AUDIT", "财务审计|IT审计|工程审计"),
-    ("negative", "INVESTMENT_ANALYSIS", "估值模型|行业研究|投后运营"),
-    ("negative", "HUMAN_RESOURCES_OPERATIONS", "招聘管理|培训管理|薪酬管理"),
+    ("negative", "MECHANICAL_ENGINEERING", "(?:机械设计|机械制造|工艺设计|产品研发)"),
+    ("negative", "SOFTWARE_ENGINEERING", "(?:软件开发|系统开发|程序开发|软件测试|系统架构|代码开发)"),
+    ("negative", "FINANCIAL_ACCOUNTING", "(?:会计核算|财务报表|资金管理|账务处理)"),
+    ("negative", "SALES_EXECUTION", "(?:销售执行|客户开发|销售指标|市场拓展)"),
+    ("negative", "ADMINISTRATION", "(?:行政事务|会议组织|会务工作|后勤保障|人事行政)"),
+    ("negative", "TECHNICAL_QUALITY_COMPLIANCE", "(?:技术质量合规|质量标准执行)"),
+    ("negative", "MARKET_OR_CREDIT_RISK", "(?:市场风险|信用风险|生产风险|量化风险)"),
+    ("negative", "FINANCIAL_OR_TECHNICAL_AUDIT", "(?:财务审计|IT审计|工程审计)"),
+    ("negative", "INVESTMENT_ANALYSIS", "(?:估值模型|行业研究|投后运营)"),
+    ("negative", "HUMAN_RESOURCES_OPERATIONS", "(?:招聘管理|培训管理|薪酬管理)"),
 ]
