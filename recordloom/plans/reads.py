@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import ledger, query as q, summary, versioning
+from ..sources import sinks
+from ..sources.stored import shared_dir
 from .tables import query, table
 
 
@@ -138,26 +142,26 @@ def q_upsert(spark, d):
 
 
 @query("""
-WITH t AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity > 49), r AS (SELECT l_suppkey AS k, l_partkey AS v, l_orderkey AS o, l_linenumber AS n FROM lineitem WHERE l_tax = 0.0)
+WITH t AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 49), r AS (SELECT l_partkey AS k, l_suppkey AS v, l_orderkey AS o, l_linenumber AS n FROM lineitem WHERE l_tax < 0.02)
 SELECT k, v, o FROM r WHERE k NOT IN (SELECT k FROM t) QUALIFY row_number() OVER (PARTITION BY k ORDER BY o, n, v) = 1
 """)
 def q_insert_ignore(spark, d):
     """Rows to append where the first write of a key wins."""
     lines = table(spark, d, "lineitem")
-    held = lines.where("l_quantity > 49").select(F.col("l_suppkey").alias("k")).distinct()
-    rows = lines.where("l_tax = 0.0").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("v"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"))
+    held = lines.where("l_quantity > 49").select(F.col("l_partkey").alias("k")).distinct()
+    rows = lines.where("l_tax < 0.02").select(F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("v"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"))
     return q.insert_ignored(held, rows, ["k"], ["o", "n", "v"]).select("k", "v", "o")
 
 
 @query("""
-WITH t AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), a AS (SELECT source, max(n) AS n FROM t GROUP BY source), b AS (SELECT source, sum(n)::BIGINT AS n FROM t WHERE lang = 'en' GROUP BY source)
+WITH a AS (SELECT source, count(*) AS n FROM documents GROUP BY source), b AS (SELECT source, count(*) AS n FROM documents WHERE n_chars > 600 OR source = 'src3' GROUP BY source)
 SELECT b.source, b.n AS incoming, a.n AS held FROM a JOIN b USING (source) WHERE a.n <> b.n
 """)
 def q_append_only(spark, d):
     """Collisions of an append-only sink: one id, other content."""
-    counts = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
-    held = counts.groupBy("source").agg(F.max("n").alias("n"))
-    incoming = counts.where("lang = 'en'").select("source", "n")
+    docs = table(spark, d, "documents")
+    held = docs.groupBy("source").agg(F.count("*").alias("n"))
+    incoming = docs.where("n_chars > 600 OR source = 'src3'").groupBy("source").agg(F.count("*").alias("n"))
     return versioning.conflicting_history(held, incoming, ["source"], "n").select("source", F.col("incoming_content").alias("incoming"), F.col("n").alias("held"))
 
 
@@ -236,3 +240,17 @@ def q_deep_page(spark, d):
     """A page far behind the first rows, found by ranks."""
     lines = table(spark, d, "lineitem").select("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return q.page(lines, [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 45000, 100)
+
+
+@query("""
+WITH h AS (SELECT sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS h FROM orders),
+l AS (SELECT count(*) AS n, sum(('0x' || substr(h, 1, 8))::BIGINT) AS a, sum(('0x' || substr(h, 9, 8))::BIGINT) AS b, sum(('0x' || substr(h, 17, 8))::BIGINT) AS c, sum(('0x' || substr(h, 25, 8))::BIGINT) AS d FROM h)
+SELECT o_custkey, count(*) AS entries, max(o_orderkey) AS last, (SELECT sha256(n || '|' || a || '|' || b || '|' || c || '|' || d) FROM l) AS content FROM orders GROUP BY o_custkey
+""")
+def q_index_rebuild(spark, d):
+    """An index written anew by key, read back, and the hash of all that it holds."""
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    path = f"{shared_dir(spark)}/recordloom/index-{uuid.uuid4().hex}"
+    content = sinks.index_rebuild(rows, ["o_custkey", "o_orderkey"], path)
+    index = spark.read.schema(rows.schema).parquet(path)
+    return index.groupBy("o_custkey").agg(F.count("*").alias("entries"), F.max("o_orderkey").alias("last")).withColumn("content", F.lit(content))
