@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pyarrow as pa
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import canon
 from ..functions import text as tx
 from ..operators import capture, gates, query as q, versioning
-from ..sources import records
+from ..sources import records, workbooks
+from ..sources.stored import shared_dir
 from .tables import query, table
 
 
@@ -100,11 +102,11 @@ def _workbooks(batches):
 
 @query("""
 SELECT 'w' || c_nationkey AS id, (3 + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey))::INTEGER AS "row", c_name AS name, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS segment, CASE WHEN c_acctbal >= 0 THEN '' ELSE 'segment' END AS missing,
-  CASE WHEN c_acctbal >= 0 THEN 'PRESENT' ELSE 'MISSING' END || ':C' || (3 + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)) AS evidence FROM customer WHERE c_custkey % 40 < 5
+  CASE WHEN c_acctbal >= 0 THEN 'PRESENT' ELSE 'MISSING' END || ':C' || (3 + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)) AS evidence FROM customer
 """)
 def q_workbook_records(spark, d):
     """Workbooks to records below the one header row, with the cell that each value is from."""
-    people = table(spark, d, "customer").where("c_custkey % 40 < 5")
+    people = table(spark, d, "customer")
     row = F.struct("c_custkey", F.array(F.lit("x"), "c_name", F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment"))).alias("cells"))
     books = people.groupBy(F.concat(F.lit("w"), "c_nationkey").alias("path")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["cells"]).alias("rows"))
     head = F.array(F.array(F.lit("Title")), F.array(F.lit(" name"), F.lit("other")), F.array(F.lit("no"), F.lit("name"), F.lit("segment")))
@@ -265,3 +267,42 @@ def q_charsets(spark, d):
     url = tx.url_canonical(F.concat(F.lit("HTTP://H.example//"), F.col("page_id"), F.lit("/#x")), keep_slash=True)
     parts = tx.split_outside(F.concat(F.lit("a"), F.col("page_id"), F.lit("，(b, c)/ d、e")), ("d、e",))
     return pages.select("page_id", tx.decoded(data, charset).alias("text"), url.alias("slashed"), F.array_join(parts, "|").alias("parts"))
+
+
+def _written(batches):
+    """Workbooks of several sheets (path, sheets: name and rows of texts) as files; their paths."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for path, sheets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                listed = "".join(f'<sheet name="{s["name"]}" sheetId="{k}" r:id="r{k}"/>' for k, s in enumerate(sheets, 1))
+                z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_OFFICE}"><sheets>{listed}</sheets></workbook>')
+                links = "".join(f'<Relationship Id="r{k}" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(sheets) + 1))
+                z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+                for k, s in enumerate(sheets, 1):
+                    body = "".join(f'<row r="{r}">' + "".join(f'<c r="{chr(64 + c)}{r}" t="inlineStr"><is><t>{v}</t></is></c>' for c, v in enumerate(row, 1)) + "</row>" for r, row in enumerate(s["rows"], 1))
+                    z.writestr(f"xl/worksheets/sheet{k}.xml", f'<worksheet xmlns="{_MAIN}"><sheetData>{body}</sheetData></worksheet>')
+            store, inner = fs.FileSystem.from_uri(path)
+            store.create_dir(inner.rsplit("/", 1)[0])
+            with store.open_output_stream(inner) as f:
+                f.write(out.getvalue())
+        yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+
+@query("""
+WITH r AS (SELECT c_nationkey, c_mktsegment, c_name, c_custkey, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS n FROM customer)
+SELECT 'w' || c_nationkey || '.xlsx' AS book, c_mktsegment AS sheet, n::INTEGER AS "row", c_name AS name, c_custkey::VARCHAR AS key FROM r WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND n > 3
+""")
+def q_workbook_source(spark, d):
+    """Workbooks read sheet by sheet, two sheets of each from their fourth row on (A4)."""
+    base = f"{shared_dir(spark)}/recordloom/books-{uuid.uuid4().hex}"
+    base = base if "://" in base else base.replace("file:", "file://", 1)
+    people = table(spark, d, "customer").select("c_nationkey", "c_mktsegment", "c_custkey", F.array("c_name", F.col("c_custkey").cast("string")).alias("cells"))
+    sheets = people.groupBy("c_nationkey", "c_mktsegment").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "cells"))), lambda x: x["cells"]).alias("rows"))
+    books = sheets.groupBy("c_nationkey").agg(F.collect_list(F.struct(F.col("c_mktsegment").alias("name"), "rows")).alias("sheets"))
+    books.select(F.concat(F.lit(f"{base}/w"), "c_nationkey", F.lit(".xlsx")).alias("path"), "sheets").mapInArrow(_written, "path string").count()
+    cells = workbooks.read_workbooks(spark, base).where(F.col("sheet").isin("BUILDING", "MACHINERY") & (F.col("row") > 3))
+    out = cells.groupBy("id", "sheet", "row").agg(F.max(F.when(F.col("column") == 1, F.col("value"))).alias("name"), F.max(F.when(F.col("column") == 2, F.col("value"))).alias("key"))
+    return out.select(F.element_at(F.split("id", "/"), -1).alias("book"), "sheet", "row", "name", "key")

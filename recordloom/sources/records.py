@@ -263,6 +263,12 @@ def cell_evidence(cells: DataFrame, records: DataFrame, facts: dict[str, str]) -
     dimension = F.coalesce(*[F.when(F.col("name") == n, F.lit(d)) for n, d in facts.items()], F.lit(None).cast("string"))
     heads = cells.where(F.trim("value").isin(names)).groupBy("id", "sheet", "row").agg(F.map_from_entries(F.collect_set(F.struct(F.trim("value"), "column"))).alias("at")).where(F.size("at") == len(names)).select("id", "sheet", "at")
     fields = records.select("id", "sheet", "row", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("value")) for n in names])).alias("f")).select("id", "sheet", "row", "f.*")
-    letter = F.when(F.col("column") <= 26, F.char(F.col("column") + 64)).otherwise(F.concat(F.char(F.floor((F.col("column") - 1) / 26) + 64), F.char((F.col("column") - 1) % 26 + 65)))
+    n = F.col("column")
+    last, over = F.char((n - 1) % 26 + 65), n - 703
+    letter = (
+        F.when(n <= 26, last)
+        .when(n <= 702, F.concat(F.char(F.floor((n - 1) / 26) + 64), last))
+        .otherwise(F.concat(F.char(F.floor(over / 676) + 65), F.char(F.floor(over % 676 / 26) + 65), last))
+    )
     placed = fields.join(heads, ["id", "sheet"]).withColumn("column", F.col("at")[F.col("name")])
     return placed.select("id", "sheet", "row", "name", F.when(F.col("value").isNull(), "MISSING").otherwise("PRESENT").alias("state"), F.concat(letter, "row").alias("cell"), dimension.alias("dimension"))
