@@ -87,8 +87,10 @@ class WorkbookReader(DataSourceReader):
                     out += [Sheet(path, name, part, self.low, self.high) for name, part in _sheets(z) if self._wanted("sheet", name)]
         return out
 
-    def read(self, partition: Sheet) -> Iterator[tuple]:
-        """A sheet's cells, row by row as they are parsed; a row is forgotten when it has been read."""
+    def read(self, partition: Sheet | None) -> Iterator[tuple]:
+        """A sheet's cells, row by row as they are parsed; a row is forgotten when it has been read.  Without partitions Spark asks for None."""
+        if partition is None:
+            return
         store, inner = _opened(partition.path)
         with store.open_input_file(inner) as f, zipfile.ZipFile(f) as z:
             shared = []
