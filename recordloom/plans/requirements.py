@@ -236,7 +236,7 @@ def q_predicates(spark, d):
 
 def _evidence() -> Column:
     k, n = F.col("c_custkey"), F.col("c_nationkey")
-    names = [x.split(":")[0] for x in "kind status observed begins ends level completeness codes background program programs identity provenance year birth gender type class held".split()]
+    names = ["kind", "status", "observed", "begins", "ends", "level", "completeness", "codes", "background", "program", "programs", "identity", "provenance", "year", "birth", "gender", "type", "class", "held"]
 
     def one(**v) -> Column:
         v = {"status": F.when(k % 10 == 9, "PENDING").otherwise("CONFIRMED"), "observed": F.lit("2026-01-10").cast("timestamp_ntz"), **v}

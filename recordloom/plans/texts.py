@@ -15,7 +15,7 @@ h AS (SELECT id, kind, sha256(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x
 SELECT content_hash, arg_min(kind, (CASE kind WHEN 'benchmark' THEN 0 ELSE 1 END, id)) AS kind, arg_min(id, (CASE kind WHEN 'benchmark' THEN 0 ELSE 1 END, id)) AS id, count(*) AS copies FROM h GROUP BY content_hash
 """)
 def q_content_dedupe(spark, d):
-    """Blobs by content, each stored once."""
+    """Texts by content, each once."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("kind"), "text")
     rows = rows.unionAll(table(spark, d, "benchmark").select("item_id", F.lit("benchmark"), "text"))
     hashed = rows.select("id", "kind", canon.sha256(F.lower(F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " ")))).alias("content_hash"))
@@ -49,7 +49,7 @@ e AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(x, '[ \
 SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, length(x) AS text_length, sha256(x) AS text_hash FROM e
 """)
 def q_html_fields(spark, d):
-    """Title and text of pages."""
+    """Title and text of pages."""
     pages = table(spark, d, "pages").select("page_id", "html", tx.html_text(F.col("html")).alias("x"))
     return pages.select("page_id", F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), F.length("x").cast("long").alias("text_length"), F.sha2("x", 256).alias("text_hash"))
 
