@@ -149,7 +149,12 @@ def payload_of(streams: dict[int, Stream]) -> bytes:
 
 
 def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes and media: the text's UTF-8 (null: empty), filled with zero bytes to a positive multiple of 64, as an Ogg file."""
+    """id, n_bytes and media: the text's UTF-8 (null: empty), filled with zero bytes to a positive multiple of 64, as an Ogg file.
+
+    A row for each row, in no order: repeated rows and null ids stay as they
+    are, equal texts give equal media, an empty table stays empty.  No other
+    columns come out, so none can clash.
+    """
 
     def run(batches):
         for batch, data, at in slices(batches, "text"):

@@ -68,7 +68,12 @@ def coder(vocabulary: str | None = None, ranks: str | None = None):
 
 
 def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
-    """id, piece, start, length, ids_crc32: each text's ids and an id 0, whole, or cut into full pieces behind a shorter first one."""
+    """id, piece, start, length, ids_crc32: each text's ids and an id 0, whole, or cut into full pieces behind a shorter first one.
+
+    A null text counts as empty, which is one piece of the id 0; repeated rows
+    are cut as often as they come, a null id stays null, an empty table stays
+    empty.  No other columns come out, so none can clash.
+    """
 
     def run(batches):
         encode = coder(vocabulary, ranks)

@@ -36,6 +36,8 @@ def pairs_of(conversations: DataFrame) -> DataFrame:
     Conversations are numbered in the order of their first turn and id, over
     ranges that may split a very common first turn, and meet their neighbours
     by number; so pairs are fewer than conversations, whatever the turns.
+    Rows without a conversation count for nothing, null roles and texts as
+    empty, repeated rows as turns of their own; no conversations, no pairs.
     """
     return _neighbours(_turns(conversations))
 
@@ -55,7 +57,8 @@ def preference_segments(conversations: DataFrame, pairs: DataFrame) -> DataFrame
     order.  The prefix ends before the first turn that the two don't share.
     Conversations that are equal have a prompt only.  Null turn numbers come
     first, null roles and texts count as empty, rows without a conversation
-    and pairs with an unknown or null side add nothing of that side.
+    and pairs with an unknown or null side add nothing of that side.  A pair
+    that comes twice comes out twice; no pairs or no turns, no rows.
     """
     return _segments(stored(_turns(conversations), "turns"), pairs)
 

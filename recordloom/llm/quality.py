@@ -166,6 +166,9 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """A network fitted to `sample` rows of each class outside the held-out fifth; the classes' weights are those of all labelled rows.
 
     Without labelled rows the score is one half, with one class only its prior.
+    Labels that are null or not 0 or 1 and rows without an id don't count;
+    a label that is given twice counts once, and repeated rows of a text are
+    learned from as often as they come.
     """
     known = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
@@ -195,7 +198,10 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def scored(docs: DataFrame, network: Network, text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1); a null text is scored as an empty one; a column named score is replaced."""
+    """docs with score (0 to 1); a null text is scored as an empty one; a column named score is replaced.
+
+    Rows stay as they are, repeated ones too; equal texts have equal scores; an empty table stays empty.
+    """
     names = [f for f in docs.schema if f.name != "score"]
 
     def run(batches):
