@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir).  All but the last return the columns of
 `documents`; the last returns the packed pieces.
+
+In every stage a null text counts as empty, other columns may be null and stay
+so, further columns of docs are left out, and an empty table stays empty.
+Repeated rows are rows of their own, but for near-duplicate removal, which
+keeps all rows of the id that it keeps.  A null id is a document of its own in
+each stage; texts that share an id are scored, searched, cut and packed each by
+itself, and kept or dropped together as near duplicates.
 """
 
 from __future__ import annotations
