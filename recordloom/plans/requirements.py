@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators import evidence, logic, predicates, requirements, rules, structured
+from ..operators import evidence, logic, predicates, requirements, rules, structured, tracing
 from ..sources.stored import stored
 from .tables import query, table
 
@@ -348,3 +348,40 @@ def q_clause_connectors(spark, d):
     token = F.element_at(F.array(*[F.lit(c[0]) for c in CONNECTORS]), (F.col("c_custkey") % 7 + 1).cast("int"))
     found = rules.clause_connector(token, F.when(F.col("c_nationkey") % 2 == 0, rules.MAJOR_LIST).otherwise("REQUIREMENT"), F.col("c_nationkey") % 5 == 4)
     return table(spark, d, "customer").select("c_custkey", F.concat_ws("/", found["status"], found["kind"]).alias("meaning"))
+
+
+#: Texts by remainder, and what their clauses come to: status, facts as canonical JSON; of one clause each but the first.
+_GENDER = '{"codes":["%s"],"dimension":"GENDER","kind":"CODE","logic":"AND","operator":"%s","scope":"CANDIDATE"}'
+_TRACED = f"""
+t(k, place, a, b, observed, warning, facts) AS (VALUES (0, 1, 0, 4, 'CONFIRMED', NULL, ['{_GENDER % ("ANY", "UNRESTRICTED")}']), (0, 2, 5, 7, 'CONFIRMED', NULL, ['{_GENDER % ("FEMALE", "EQUALS")}']),
+  (1, 1, 1, 5, 'CONFIRMED', NULL, ['{_GENDER % ("ANY", "UNRESTRICTED")}']), (1, 2, 6, 12, 'UNPARSED_CLAUSE', 'UNPARSED_CLAUSE', []), (2, NULL, NULL, NULL, 'NOT_OBSERVED', 'EMPTY_EVIDENCE_FRAGMENT', [])),
+r AS (SELECT o_orderkey AS id, 'v' || o_custkey AS v, t.* FROM orders JOIN t ON t.k = o_orderkey % 3),
+f AS (SELECT id, v, place, a, b, 'requirement-fact:' || sha256('{{"clause_index":' || (place - 1) || ',"draft":' || facts[1] || ',"draft_index":0,"evidence_fragment_id":"' || id || '","opportunity_version_id":"' || v || '"}}') AS fact_id FROM r WHERE len(facts) > 0)"""
+
+
+def _traced(spark, d):
+    k = F.col("o_orderkey") % 3
+    texts = table(spark, d, "orders").select("o_orderkey", F.when(k == 0, "性别不限；限女").when(k == 1, " 性别不限；会飞的人优先").alias("t"))
+    versions = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("v"), "o_custkey").alias("v"))
+    return requirements.parsed(texts, "o_orderkey", "t").join(versions, F.col("id") == F.col("o_orderkey"))
+
+
+@query(f"""
+WITH {_TRACED}
+SELECT id, place, fact_id, 'requirement-evidence:' || sha256('{{"end_offset":' || b || ',"evidence_fragment_id":"' || id || '","requirement_fact_id":"' || fact_id || '","start_offset":' || a || '}}') AS evidence_id FROM f
+""")
+def q_fact_evidence(spark, d):
+    """Facts and the evidence that leads from each to its place in the text, by id (K1)."""
+    return tracing.facts_with_evidence(_traced(spark, d), F.col("v")).select("id", "place", "fact_id", "evidence_id")
+
+
+@query(f"""
+WITH {_TRACED}
+SELECT r.id, r.place, observed, warning, 'requirement-observation:' || sha256('{{"clause_index":' || coalesce(r.place - 1, 0) || ',"evidence_fragment_id":"' || r.id || '","fact_ids":[' || coalesce('"' || fact_id || '"', '') || '],"opportunity_version_id":"' || r.v || '","status":"' || observed || '"}}') AS observation_id
+FROM r LEFT JOIN f ON f.id = r.id AND f.place = r.place
+""")
+def q_requirement_observations(spark, d):
+    """What was seen of every clause, with the ids of its facts, and warnings (K1)."""
+    found = _traced(spark, d)
+    facts = tracing.facts_with_evidence(found, F.col("v"))
+    return tracing.observations(found, facts, F.col("v")).select("id", "place", "observed", "warning", "observation_id")
