@@ -27,6 +27,6 @@ def test_stages_take_effect(spark):
 
 
 def test_registry_names():
-    names = ["op1_minhash_dedup", "op2_sharding", "op3_ogg_media", "op4_quality", "op5_preference_format", "op6_substring_dedup", "op7_decontamination", "op8_url_filter", "op9_packing", "op10_suffix_dedup"]
+    names = ["op1_minhash_dedup", "op2_sharding", "op3_ogg_media", "op4_quality", "op5_preference_format", "op6_substring_dedup", "op7_decontamination", "op8_url_filter", "op9_packing", "op10_suffix_dedup", "op11_personal_data", "op12_lexical_search", "op13_conversation_repair"]
     assert sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == names
     assert set(registry.ORACLES) <= set(registry.QUERIES)
