@@ -20,12 +20,13 @@ _writing, _lock = 0, threading.Lock()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the checkpoint folder, or the warehouse where the session names none.
 
-    On a cluster a warehouse on a local disk is not shared, so that is an error there.
+    On a cluster a warehouse on a local disk is not shared, so that is an error
+    there; a session that doesn't show its context can't be judged.
     """
     if named := spark.conf.get(CHECKPOINT_DIR, None):
         return named.rstrip("/")
-    path, master = spark.conf.get(WAREHOUSE_DIR), spark.sparkContext.master
-    local = master == "local" or master.startswith("local[")
+    path, context = spark.conf.get(WAREHOUSE_DIR), getattr(spark, "sparkContext", None)
+    local = context is None or context.master == "local" or context.master.startswith("local[")
     if not local and (path.startswith("file:") or "://" not in path):
         raise ValueError(f"{path} is a local folder of the driver: set {CHECKPOINT_DIR} to one that all executors share")
     return path.rstrip("/")
