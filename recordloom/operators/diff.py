@@ -45,10 +45,10 @@ def record_diff(previous: DataFrame, current: DataFrame, pair: list[str], identi
     return known.unionByName(nameless)
 
 
-def page_diff(pages: DataFrame, keys: list[str], order: list[str], hash_col: str, failed: Column) -> DataFrame:
-    """pages with change: CURRENT_UNAVAILABLE, NO_PREVIOUS, UNCHANGED or CHANGED against the last page that was there; a key's pages are read by many tasks."""
+def page_diff(pages: DataFrame, keys: list[str], order: list[str], hash_col: str, failed: Column, pieces: int | None = None) -> DataFrame:
+    """pages with change: CURRENT_UNAVAILABLE, NO_PREVIOUS, UNCHANGED or CHANGED against the last page that was there; a key of very many pages is read by many tasks."""
     rows = pages.withColumns({"__failed": failed, "__there": F.when(~failed, F.col(hash_col))})
-    out = scanned(pieced(rows, keys, order), keys, [last_before("__before", F.col("__there"))])
+    out = scanned(pieced(rows, keys, order, pieces), keys, [last_before("__before", F.col("__there"))])
     change = F.when(F.col("__failed"), "CURRENT_UNAVAILABLE").when(F.col("__before").isNull(), "NO_PREVIOUS").when(F.col("__before") == F.col(hash_col), "UNCHANGED").otherwise("CHANGED")
     return out.select(*[c for c in pages.columns if c != "change"], change.alias("change"))
 
@@ -95,15 +95,15 @@ def run_status(snapshots: Column, failed: Column, completeness: Column, not_modi
     )
 
 
-def missing_streaks(grid: DataFrame, keys: list[str], order: list[str], counts: Column, observed: Column) -> DataFrame:
+def missing_streaks(grid: DataFrame, keys: list[str], order: list[str], counts: Column, observed: Column, pieces: int | None = None) -> DataFrame:
     """grid (a row for each key and run) with streak and missing_event.
 
     Only runs that count move a streak: seen resets it to 0, not seen adds one
-    and is an event.  Other runs leave it as it was.  A key's runs are read by
+    and is an event.  Other runs leave it as it was.  A key of very many runs is read by
     many tasks (see operators.prefix).
     """
     rows = grid.withColumns({"__seen": (counts & observed).cast("int"), "__missed": (counts & ~observed).cast("int")})
-    out = scanned(pieced(rows, keys, order), keys, [since("streak", F.col("__missed"), F.col("__seen"))])
+    out = scanned(pieced(rows, keys, order, pieces), keys, [since("streak", F.col("__missed"), F.col("__seen"))])
     return out.select(*[c for c in grid.columns if c not in ("streak", "missing_event")], F.col("streak").cast("int").alias("streak"), (F.col("__missed") == 1).alias("missing_event"))
 
 

@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 from .prefix import first_value, last_value, pieced, running_sum, scanned, since, value_before
 
 
-def source_health(runs: DataFrame, keys: list[str], order: list[str], success: Column, hash_col: str, risk: Column, fails: int = 2) -> DataFrame:
+def source_health(runs: DataFrame, keys: list[str], order: list[str], success: Column, hash_col: str, risk: Column, fails: int = 2, pieces: int | None = None) -> DataFrame:
     """runs with consecutive_success, consecutive_failure, last_hash and status after each run.
 
     The last hash of a successful run carries over failures.  A risk asks for
     review whatever the outcome; else success is HEALTHY, `fails` failures on
-    end are FAILED, fewer DEGRADED.  A key's runs are read by many tasks (see
-    operators.prefix); order must tell them apart.
+    end are FAILED, fewer DEGRADED.  A key of very many runs is read by many
+    tasks (see operators.prefix; pieces: how many, whatever their number);
+    order must tell them apart.
     """
     ok = F.coalesce(success, F.lit(False))
     rows = runs.withColumns({"__ok": ok.cast("int"), "__bad": (~ok).cast("int"), "__risk": F.coalesce(risk, F.lit(False)), "__hash": F.when(ok, F.col(hash_col))})
     good, bad = F.col("__ok"), F.col("__bad")
-    out = scanned(pieced(rows, keys, order), keys, [since("consecutive_success", good, bad), since("consecutive_failure", bad, good), last_value("last_hash", F.col("__hash"))])
+    out = scanned(pieced(rows, keys, order, pieces), keys, [since("consecutive_success", good, bad), since("consecutive_failure", bad, good), last_value("last_hash", F.col("__hash"))])
     out = out.withColumns({"consecutive_success": F.col("consecutive_success").cast("int"), "consecutive_failure": F.col("consecutive_failure").cast("int")})
     status = F.when(F.col("__risk"), "REVIEW_REQUIRED").when(good == 1, "HEALTHY").when(F.col("consecutive_failure") >= fails, "FAILED").otherwise("DEGRADED")
     return out.withColumn("status", status).select(*runs.columns, "consecutive_success", "consecutive_failure", "last_hash", "status")
@@ -62,18 +63,18 @@ def cadence_gate(events: DataFrame, key: str, at: str, order: str, gap_s: int) -
     return out.select(F.col("key").alias(key), F.timestamp_micros("at").alias(at), F.col("order").alias(order))
 
 
-def chained(df: DataFrame, keys: list[str], order: list[str], payload: Column) -> DataFrame:
+def chained(df: DataFrame, keys: list[str], order: list[str], payload: Column, pieces: int | None = None) -> DataFrame:
     """df with sequence, record_hash and previous_hash (64 zeros at first); a record's hash covers its own payload."""
-    rows = pieced(df.withColumn("record_hash", F.sha2(payload, 256)), keys, order)
+    rows = pieced(df.withColumn("record_hash", F.sha2(payload, 256)), keys, order, pieces)
     out = scanned(rows, keys, [running_sum("sequence", F.lit(1)), value_before("previous_hash", F.col("record_hash"))])
     out = out.withColumns({"sequence": F.col("sequence").cast("int"), "previous_hash": F.coalesce(F.col("previous_hash.value"), F.lit("0" * 64))})
     return out.select(*[c for c in df.columns if c not in ("record_hash", "sequence", "previous_hash")], "record_hash", "sequence", "previous_hash")
 
 
-def chain_faults(df: DataFrame, keys: list[str], sequence: str, record: str, previous: str, payload: Column | None = None, scope: str | None = None) -> DataFrame:
-    """Rows that break a hash chain, with fault: SEQUENCE, LINK, PAYLOAD or SCOPE; a key's rows are read by many tasks."""
+def chain_faults(df: DataFrame, keys: list[str], sequence: str, record: str, previous: str, payload: Column | None = None, scope: str | None = None, pieces: int | None = None) -> DataFrame:
+    """Rows that break a hash chain, with fault: SEQUENCE, LINK, PAYLOAD or SCOPE; a key of very many rows is read by many tasks."""
     steps = [running_sum("__number", F.lit(1)), value_before("__link", F.col(record))]
-    rows = scanned(pieced(df, keys, [sequence, record]), keys, steps + ([first_value("__scope", F.col(scope))] if scope is not None else []))
+    rows = scanned(pieced(df, keys, [sequence, record], pieces), keys, steps + ([first_value("__scope", F.col(scope))] if scope is not None else []))
     fault = F.when(F.col(sequence) != F.col("__number"), "SEQUENCE").when(F.col(previous) != F.coalesce(F.col("__link.value"), F.lit("0" * 64)), "LINK")
     if payload is not None:
         fault = fault.when(F.col(record) != F.sha2(payload, 256), "PAYLOAD")

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ..sources.stored import stored
 
 PIECE, ROW = "__piece", "__row"
+#: Rows of a key up to which its history is left whole: one task sorts that many at once, and pieces cost a second shuffle.
+MOST_WHOLE = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -77,7 +79,14 @@ def value_before(name: str, column: Column) -> Step:
 
 
 def pieced(df: DataFrame, keys: list[str], order: list[str], pieces: int | None = None) -> DataFrame:
-    """df, dealt out by ranges of keys and order (nulls first), with the piece and the place of each row in it."""
+    """df, dealt out by ranges of keys and order (nulls first), with the piece and the place of each row in it.
+
+    Rows are counted by key first.  Where no key has more than MOST_WHOLE each
+    history is one piece as it is, and nothing is written; values are the same
+    either way.  A number of pieces that is asked for is always made.
+    """
+    if pieces is None and (df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= MOST_WHOLE:
+        return df.select("*", F.lit(0).alias(PIECE, metadata={"whole": True}), F.struct(*order).alias(ROW))
     n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
     written = stored(df.repartitionByRange(n, *by).sortWithinPartitions(*by), "history")
@@ -92,7 +101,12 @@ def scanned(rows: DataFrame, keys: list[str], steps: list[Step]) -> DataFrame:
     inside = lambda i: Window.partitionBy(*keys, PIECE, f"__m{i}").orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0) if steps[i].mark else up
     for i, s in enumerate(steps):
         out = out.withColumn(f"__l{i}", s.local(inside(i)))
-    handed = [F.struct(F.col(f"__l{i}").alias("local"), (F.col(f"__m{i}") if s.mark else F.lit(0)).alias("mark")).alias(f"__h{i}") for i, s in enumerate(steps)]
+    made = {s.name: i for i, s in enumerate(steps)}
+    names = [c for c in rows.columns if c not in made]
+    mark = lambda i: F.col(f"__m{i}") if steps[i].mark else F.lit(0)
+    if rows.schema[PIECE].metadata.get("whole"):
+        return out.select(*names, *[steps[i].final(F.col(f"__l{i}"), mark(i), F.lit(None)).alias(n) for n, i in made.items()])
+    handed = [F.struct(F.col(f"__l{i}").alias("local"), mark(i).alias("mark")).alias(f"__h{i}") for i in range(len(steps))]
     ends = out.groupBy(*keys, PIECE).agg(F.max_by(F.struct(*handed), ROW).alias("__end"))
     order = Window.partitionBy(*keys).orderBy(PIECE)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -113,6 +127,4 @@ def scanned(rows: DataFrame, keys: list[str], steps: list[Step]) -> DataFrame:
         match = match & out[k].eqNullSafe(coming[f"__k{j}"])
     # only the first key of a piece has something coming in
     joined = out.join(F.broadcast(coming), match, "left")
-    values = {s.name: s.final(F.col(f"__l{i}"), F.col(f"__m{i}") if s.mark else F.lit(0), F.col(f"__c{i}")) for i, s in enumerate(steps)}
-    names = [c for c in rows.columns if c not in values]
-    return joined.select(*names, *[v.alias(n) for n, v in values.items()])
+    return joined.select(*names, *[steps[i].final(F.col(f"__l{i}"), mark(i), F.col(f"__c{i}")).alias(n) for n, i in made.items()])

@@ -47,9 +47,9 @@ def versions_any(df: DataFrame, keys: list[str], content: str, order: list[str])
     return joined.select(*df.columns, "revision")
 
 
-def versions_latest(df: DataFrame, keys: list[str], content: str, order: list[str]) -> DataFrame:
-    """df with revision: only the row before counts (A, B, A: 1, 2, 3).  A key's rows are read by many tasks (see operators.prefix)."""
-    rows = scanned(pieced(df, keys, order), keys, [value_before("__before", F.col(content))])
+def versions_latest(df: DataFrame, keys: list[str], content: str, order: list[str], pieces: int | None = None) -> DataFrame:
+    """df with revision: only the row before counts (A, B, A: 1, 2, 3).  A key of very many rows is read by many tasks (see operators.prefix)."""
+    rows = scanned(pieced(df, keys, order, pieces), keys, [value_before("__before", F.col(content))])
     changed = F.col("__before").isNull() | ~F.col(content).eqNullSafe(F.col("__before.value"))
     out = scanned(rows.withColumn("__new", changed.cast("int")), keys, [running_sum("revision", F.col("__new"))])
     return out.select(*[c for c in df.columns if c != "revision"], F.col("revision").cast("int").alias("revision"))

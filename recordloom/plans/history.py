@@ -268,7 +268,7 @@ SELECT source, event_id, cs::INTEGER AS consecutive_success, cf::INTEGER AS cons
 def q_hot_health(spark, d):
     """Health where one source has half of all runs (M1)."""
     runs = table(spark, d, "events").withColumn("source", F.expr(HOT))
-    out = ledger.source_health(runs, ["source"], ["ts", "event_id"], F.col("event_type") != "error", "props", F.col("value") > 200)
+    out = ledger.source_health(runs, ["source"], ["ts", "event_id"], F.col("event_type") != "error", "props", F.col("value") > 200, pieces=12)
     return out.select("source", "event_id", "consecutive_success", "consecutive_failure", "last_hash", "status")
 
 
@@ -281,8 +281,8 @@ SELECT record, event_id, (sum(CASE WHEN counts AND event_type <> 'view' THEN 1 E
 def q_hot_streaks(spark, d):
     """Missing streaks and revisions where one record has half of all runs."""
     runs = table(spark, d, "events").select(F.expr(HOT).alias("record"), "event_id", "ts", "event_type", "value")
-    out = diff.missing_streaks(runs, ["record"], ["ts", "event_id"], F.col("value") > 20, F.col("event_type") == "view")
-    out = versioning.versions_latest(out, ["record"], "event_type", ["ts", "event_id"])
+    out = diff.missing_streaks(runs, ["record"], ["ts", "event_id"], F.col("value") > 20, F.col("event_type") == "view", pieces=12)
+    out = versioning.versions_latest(out, ["record"], "event_type", ["ts", "event_id"], pieces=12)
     return out.select("record", "event_id", "streak", "missing_event", "revision")
 
 
