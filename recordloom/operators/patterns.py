@@ -2,8 +2,8 @@
 
 Most patterns can match only where some literal stands.  Those literals go into
 one automaton, which reads every text once and names the rules that may match;
-only these are run as regular expressions, as many as occur.  Rules that need
-no literal are run on every text, as `rules.findings` does.
+only these are run as regular expressions, as many as occur: plain ones a pattern at a
+time over its texts by Arrow, others by Spark.  Rules that need no literal are run on every text, as `rules.findings` does.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ import math
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,10 @@ except ImportError:  # before Python 3.11
     import sre_constants as codes
     import sre_parse as parser
 
-#: Bytes of literals in one automaton; more of them are dealt into several, one after the other.
+#: Bytes of patterns and their literals in one automaton; more of them are dealt into several, one after the other.
 BLOCK_BYTES = 4 << 20
+#: Patterns that one copy of a text carries; characters of text, and patterns, in one batch.
+MOST_TRIED, BATCH_BYTES, BATCH_TRIED = 1000, 4 << 20, 50000
 #: Patterns without a literal in one expression.
 RULES = 500
 #: Alternatives of one pattern, one of which must occur.
@@ -84,67 +88,156 @@ def _best(nodes: list) -> list[str]:
     return best
 
 
+def plain(pattern: str) -> bool:
+    """Whether a pattern has only what Java, Python and RE2 read alike: literals, classes of them, any character (?s:.), choices and repeats.
+
+    Such a pattern describes one set of strings, so any engine tells whether a text holds one.
+    """
+    if re.search(r"\\(?![^\w\s])|\[\^?\]|\[[^\]]*\[|&&|\{(?!\d+(,\d*)?\})|\(\?(?!s?:)|\0", pattern):
+        return False
+
+    def known(nodes, dotall: bool) -> bool:
+        for op, arg in nodes:
+            if op in (codes.LITERAL, codes.NOT_LITERAL) or (op is codes.ANY and dotall):
+                continue
+            if op is codes.IN and all(o in (codes.LITERAL, codes.RANGE, codes.NEGATE) for o, _ in arg):
+                continue
+            if op is codes.SUBPATTERN and not arg[2] and known(arg[3], dotall or bool(arg[1] & re.DOTALL)):
+                continue
+            if op in (codes.MAX_REPEAT, codes.MIN_REPEAT) and known(arg[2], dotall):
+                continue
+            if op is codes.BRANCH and all(known(side, dotall) for side in arg[1]):
+                continue
+            return False
+        return True
+
+    try:
+        return known(parser.parse(pattern), False)
+    except (re.error, OverflowError, RecursionError):
+        return False
+
+
 def _automaton(shared):
-    """Built once in each worker."""
+    """The automaton, what owns each literal, the patterns, and which are plain; built once in each worker."""
     key = shared.value["digest"]
     if key not in _automata:
         _automata.clear()
         found = ahocorasick.Automaton()
-        for literal, owners in shared.value["literals"]:
-            found.add_word(literal, owners)
+        owners: dict[str, list[int]] = {}
+        for n, (_, _, needs) in enumerate(shared.value["patterns"]):
+            for literal in needs:
+                owners.setdefault(literal, []).append(n)
+        for k, literal in enumerate(owners):
+            found.add_word(literal, k)
         found.make_automaton()
-        _automata[key] = found
+        rules, texts, _ = zip(*shared.value["patterns"])
+        made = pa.StructArray.from_arrays([pa.array(rules, pa.int64()), pa.array(texts, pa.string())], names=["rule", "pattern"])
+        _automata[key] = found, [np.array(o) for o in owners.values()], made, [plain(t) for t in texts]
     return _automata[key]
 
 
 def _candidates(shared):
+    """Rows with __may: the patterns that may match the text, and without text and pattern those that do.
+
+    A text is repeated once for each MOST_TRIED patterns, and a batch ends after
+    BATCH_BYTES of text or BATCH_TRIED patterns, so that neither grows with the
+    number of patterns.
+    """
+
+    def flushed(batch, at, parts, made, texts):
+        may = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), made.take(pa.array(np.concatenate(parts))))
+        columns = [texts.take(at) if name == "__text" else batch.column(name).take(at) for name in batch.schema.names]
+        return pa.RecordBatch.from_arrays([*columns, may], names=[*batch.schema.names, "__may"])
+
     def run(batches):
-        automaton = _automaton(shared)
-        for batch in batches:
-            at, rules = [], []
-            for i, text in enumerate(batch.column(batch.schema.get_field_index("__text")).to_pylist()):
-                hit = {n for _, owners in automaton.iter(text) for n in owners} if text else set()
-                at += [i] * len(hit)
-                rules += sorted(hit)
-            taken = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(rules, pa.int64())], names=[*batch.schema.names, "__rule"])
+        automaton, owners, made, shared_syntax = _automaton(shared)
+        told = pa.StructArray.from_arrays([made.field("rule"), pa.nulls(len(made), pa.string())], names=["rule", "pattern"])
+        for batch in _sliced(batches):
+            texts = batch.column("__text")
+            mays = []
+            for i in range(len(batch)):
+                text = texts[i].as_py()
+                hit = {k for _, k in automaton.iter(text)} if text else ()
+                mays.append(np.unique(np.concatenate([owners[k] for k in hit])) if hit else np.empty(0, np.int64))
+            # by pattern: those of a syntax that all read alike are settled here, a pattern at a time over its texts
+            at, may = np.repeat(np.arange(len(mays)), [len(m) for m in mays]), np.concatenate([*mays, np.empty(0, np.int64)])
+            order = np.argsort(may, kind="stable")
+            at, may = at[order], may[order]
+            found, left = [], []
+            for own in np.split(np.arange(len(may)), np.flatnonzero(np.diff(may)) + 1) if len(may) else ():
+                n = may[own[0]]
+                if not shared_syntax[n]:
+                    left.append(own)
+                    continue
+                try:
+                    yes = pc.match_substring_regex(texts.take(pa.array(at[own])), made.field("pattern")[n].as_py())
+                except pa.ArrowInvalid:  # too large for that engine
+                    left.append(own)
+                    continue
+                found.append(own[yes.to_numpy(zero_copy_only=False)])
+            for some, names, shown in ((found, told, pa.nulls(len(texts), texts.type)), (left, made, texts)):
+                if not some:
+                    continue
+                some = np.sort(np.concatenate(some))
+                some = some[np.argsort(at[some], kind="stable")]
+                rows, parts, size, tried = [], [], 0, 0
+                for own in np.split(some, np.flatnonzero(np.diff(at[some])) + 1) if len(some) else ():
+                    for start in range(0, len(own), MOST_TRIED):
+                        part = may[own[start : start + MOST_TRIED]]
+                        rows.append(at[own[0]])
+                        parts.append(part)
+                        size, tried = size + len(shown[rows[-1]].as_py() or ""), tried + len(part)
+                        if size >= BATCH_BYTES or tried >= BATCH_TRIED:
+                            yield flushed(batch, pa.array(rows), parts, names, shown)
+                            rows, parts, size, tried = [], [], 0, 0
+                if rows:
+                    yield flushed(batch, pa.array(rows), parts, names, shown)
 
     return run
 
 
+def _sliced(batches):
+    """Batches of about BATCH_BYTES of text at most, and a row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("__text")), 0).to_numpy(zero_copy_only=False).astype("int64")
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH_BYTES)) + 1
+        for start, end in zip([0, *cuts], [*cuts, len(batch)]):
+            if end > start:
+                yield batch.slice(start, end - start)
+
+
 def many_findings(texts: DataFrame, id_col: str, text_col: str, rules: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, category, rule: every rule that a text matches, once for each row of texts, as `rlike` says.
 
-    rules: category, rule, pattern, as many as there are; they are collected
-    in blocks of about block_bytes of literals, one automaton each, or of RULES
-    patterns without any.  A null text
+    rules: category, rule, pattern, as many as there are; a pattern that several
+    share is tried once.  Patterns are collected in blocks of about block_bytes,
+    one automaton each, or of RULES patterns without a literal.  A null text
     matches nothing; a null pattern is no rule.
     """
     spark = texts.sparkSession
     known = rules.where("pattern IS NOT NULL").select("category", "rule", "pattern")
     needs = F.pandas_udf(lambda p: p.map(literals), "array<string>")
-    told = stored(known.withColumns({"__rule": F.monotonically_increasing_id(), "__needs": needs("pattern")}), "rules")
+    told = stored(known.select("pattern").distinct().withColumns({"__rule": F.monotonically_increasing_id(), "__needs": needs("pattern")}), "rules")
     rows = texts.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("__row"))
     # those without a literal are asked of every text, RULES of them in one expression
-    bare = told.where("__needs IS NULL").select("category", "rule", "pattern").toLocalIterator()
+    bare = told.where("__needs IS NULL").select("__rule", "pattern").toLocalIterator()
     found = []
     while some := list(itertools.islice(bare, RULES)):
-        hits = F.array(*[F.when(F.col("__text").rlike(r.pattern), F.struct(F.lit(r.category).alias("category"), F.lit(r.rule).alias("rule"))) for r in some])
-        found.append(rows.select("__id", "__row", F.inline(F.filter(hits, lambda h: h.isNotNull()))))
-    pairs = told.where("__needs IS NOT NULL").select("__rule", F.explode("__needs").alias("literal")).groupBy("literal").agg(F.array_sort(F.collect_set("__rule")).alias("owners"))
-    total = pairs.agg(F.sum(F.octet_length("literal") + 48 + 16 * F.size("owners"))).first()[0] or 0
-    blocks = math.ceil(total / block_bytes)
+        hits = F.array(*[F.when(F.col("__text").rlike(r.pattern), F.lit(r["__rule"]).cast("long")) for r in some])
+        found.append(rows.select("__id", "__row", F.explode(F.array_compact(hits)).alias("__rule")))
+    needing = told.where("__needs IS NOT NULL")
+    weight = F.octet_length("pattern") + 64 + F.aggregate("__needs", F.lit(0), lambda n, x: n + F.octet_length(x) + 64)
+    blocks = math.ceil((needing.agg(F.sum(weight)).first()[0] or 0) / block_bytes)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    patterns = told.select("__rule", "category", "rule", "pattern")
     for block in range(blocks):
-        own = [(r.literal, r.owners) for r in pairs.where(F.pmod(F.xxhash64("literal"), F.lit(blocks)) == block).collect()]
+        own = sorted(tuple(r) for r in needing.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block).select("__rule", "pattern", "__needs").collect())
         if not own:
             continue
-        own.sort()
         digest = hashlib.sha256(repr(own).encode()).hexdigest()
-        shared = spark.sparkContext.broadcast({"digest": digest, "literals": own})
-        may = rows.where("__text IS NOT NULL").mapInArrow(_candidates(shared), f"{schema}, __rule long")
-        hit = stored(may.join(patterns, "__rule").where(F.expr("__text rlike pattern")).select("__id", "__row", "category", "rule"), "findings")
+        shared = spark.sparkContext.broadcast({"digest": digest, "patterns": own})
+        may = rows.where("__text IS NOT NULL").mapInArrow(_candidates(shared), f"{schema}, __may array<struct<rule: bigint, pattern: string>>")
+        tried = may.select("__id", "__row", "__text", F.explode("__may").alias("__one")).where(F.expr("__one.pattern IS NULL OR __text rlike __one.pattern"))
+        hit = stored(tried.select("__id", "__row", F.col("__one.rule").alias("__rule")), "findings")
         shared.destroy()
         found.append(hit)
     if not found:
@@ -152,4 +245,5 @@ def many_findings(texts: DataFrame, id_col: str, text_col: str, rules: DataFrame
     out = found[0]
     for more in found[1:]:
         out = out.unionAll(more)
-    return out.dropDuplicates(["__row", "category", "rule"]).select(F.col("__id").alias(id_col), "category", "rule")
+    names = known.join(told.select("pattern", "__rule"), "pattern").select("__rule", "category", "rule")
+    return out.join(names, "__rule").dropDuplicates(["__row", "category", "rule"]).select(F.col("__id").alias(id_col), "category", "rule")

@@ -34,6 +34,29 @@ def test_many_rules_equal_each_on_its_own(spark, monkeypatch):
     assert patterns.many_findings(docs, "id", "text", table.where("false")).count() == 0
 
 
+def test_texts_are_not_repeated_for_each_pattern():
+    """Ten texts of 100,000 characters that may match 3000 patterns: batches stay small, and each text comes three times."""
+    import pyarrow as pa
+
+    class Shared:
+        value = {"digest": "texts", "patterns": [(n, f"{n}.*ed", ["ed"]) for n in range(3000)] + [(3000, "d[a-e]d", ["d"])]}
+
+    texts = ["ed" * 50000] * 10
+    batch = pa.RecordBatch.from_pydict({"__id": list(range(10)), "__text": texts, "__row": list(range(10))})
+    made = list(patterns._candidates(Shared)([batch]))
+    tried = [b for b in made if b.column("__text").null_count == 0]
+    assert sum(map(len, tried)) == 30 and sum(len(m) for b in tried for m in b.column("__may")) == 30000
+    assert max(b.nbytes for b in made) < 6 << 20
+    assert [m.as_py() for b in made if b not in tried for m in b.column("__may")] == [[{"rule": 3000, "pattern": None}]] * 10
+
+
+@pytest.mark.parametrize("pattern,want", [
+    ("ab(?s:.)c[a-z]*(ed|ly)[ .,]", True), ("a.c", False), ("a(?s:.(?:.b|[^x])+?)", True), (r"a\.b", True), (r"a\sb", False), ("^ab", False), ("ab$", False), (r"\bab", False), ("(?i)ab", False), ("(a)\\1", False),
+    ("a{2,3}", True), ("a{,3}", False), ("[]a]b", False), ("[a&&b]c", False), ("(?=a)a", False), ("a++b", False), ("本(?:科|é)", True), ("(", False)])
+def test_plain(pattern, want):
+    assert patterns.plain(pattern) == want
+
+
 def test_fifty_thousand_rules(spark):
     asked = [("c", f"n{i}", f"key{i:05d}[a-z]+z") for i in range(50000)]
     texts = [(1, "key00007abcz key49999z"), (2, "key12345xz, key123"), (3, "nothing"), (1, None)]
