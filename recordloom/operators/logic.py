@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kleene
-from ..sources.stored import forget, stored
+from ..sources.stored import forget, merged, stored
 
 #: Rounds after which the settled nodes of the rounds before are put together in one table.
 GATHER = 16
@@ -31,7 +31,7 @@ def levels(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     known = leaves.select("tree", "node", F.col("level").cast("int").alias("level"))
     leaf, none = F.col("operator") == "LEAF", F.coalesce("wait", F.lit(0)) == 0
     level = F.when(leaf, F.coalesce("level", F.lit(kleene.UNKNOWN))).when(none, F.lit(kleene.UNKNOWN))
-    rows = spare.join(known, ["tree", "node"], "left").join(below, ["tree", "node"], "left")
+    rows = spare.join(merged(known), ["tree", "node"], "left").join(merged(below), ["tree", "node"], "left")
     state = stored(rows.select("tree", "node", "parent", "operator", F.coalesce("wait", F.lit(0)).alias("wait"), F.lit(kleene.TRUE).alias("least"), F.lit(kleene.FALSE).alias("most"), level.alias("level")), "storey")
     settled: list[DataFrame] = []
     while True:
@@ -41,7 +41,7 @@ def levels(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
         settled.append(state)
         told = state.where("level IS NOT NULL AND parent IS NOT NULL").groupBy("tree", F.col("parent").alias("node"))
         told = told.agg(F.min("level").alias("__least"), F.max("level").alias("__most"), F.count("*").alias("__n"))
-        rows = state.where("level IS NULL").drop("level").join(told, ["tree", "node"], "left")
+        rows = state.where("level IS NULL").drop("level").join(merged(told), ["tree", "node"], "left")
         rows = rows.withColumns({"wait": F.col("wait") - F.coalesce("__n", F.lit(0)), "least": F.least("least", "__least"), "most": F.greatest("most", "__most")})
         made = F.when(F.col("operator") == "AND", F.col("least")).when(F.col("operator") == "OR", F.col("most")).otherwise(kleene.negated(F.col("least")))
         state = stored(rows.select("tree", "node", "parent", "operator", "wait", "least", "most", F.when(F.col("wait") == 0, made).alias("level")), "storey")
@@ -82,13 +82,13 @@ def endless(nodes: DataFrame) -> DataFrame:
     """
     n = nodes.where("tree IS NOT NULL AND node IS NOT NULL").groupBy("tree", "node").agg(F.min("parent").alias("to"))
     there = n.select("tree", F.col("node").alias("to"), F.lit(True).alias("__there"))
-    state = stored(n.join(there, ["tree", "to"], "left").select("tree", "node", F.when(F.col("__there"), F.col("to")).alias("to")), "pointers")
+    state = stored(n.join(merged(there), ["tree", "to"], "left").select("tree", "node", F.when(F.col("__there"), F.col("to")).alias("to")), "pointers")
     largest = state.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     steps = 1
     while steps < largest and not state.where("to IS NOT NULL").isEmpty():
         further = state.select("tree", F.col("node").alias("to"), F.col("to").alias("__further"))
         done = state
-        state = stored(state.join(further, ["tree", "to"], "left").select("tree", "node", F.col("__further").alias("to")), "pointers")
+        state = stored(state.join(merged(further), ["tree", "to"], "left").select("tree", "node", F.col("__further").alias("to")), "pointers")
         forget(done)
         steps *= 2
     lost = state.where("to IS NOT NULL")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import evidence, logic, predicates, requirements, rules, structured, tracing
-from ..sources.stored import stored
+from ..sources.stored import merged, stored
 from .tables import query, table
 
 #: Clauses by number ({n}: a number of two digits that the row gives) and what each one is: rule, status, facts as dimension:operator:scope:value.
@@ -119,14 +119,14 @@ def q_structured_conditions(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", text.alias("t"))
     # written once: trees, leaves and majors all read it
     conditions = stored(structured.conditions(requirements.parsed(orders, "o_orderkey", "t")), "conditions")
-    known = conditions.join(orders.select(F.col("o_orderkey").alias("set"), "o_totalprice"), "set")
+    known = conditions.join(merged(orders.select(F.col("o_orderkey").alias("set"), "o_totalprice")), "set")
     level = F.when(F.col("fact.dimension") == "GENDER", F.when(F.col("fact.operator") == "UNRESTRICTED", 2).otherwise(0)).when(F.col("fact.operator") == "UNRESTRICTED", 2).when(F.col("set") % 40 == 0, F.lit(None)).when((F.col("o_totalprice") > 250000) & (F.col("condition") == 1), 2).otherwise(0)
     level = F.when((F.col("fact.dimension") == "MAJOR") & (F.col("fact.operator") != "UNRESTRICTED") & (F.col("set") % 40 == 0), F.lit(None)).otherwise(level)
     leaves = known.select(F.col("set").alias("tree"), F.concat_ws("/", "place", "condition").alias("node"), level.alias("level"))
     levels = logic.levels(structured.trees(conditions), leaves).where("node = 'r'").select("tree", "level")
     major = conditions.where("fact.dimension = 'MAJOR'").groupBy(F.col("set").alias("tree")).agg(F.max(F.concat_ws("/", "applicability.credential", F.array_join("applicability.degrees", "+"), "applicability.state")).alias("major"))
     # "限女" is met by none here, "性别不限" by all
-    return levels.join(major, "tree").select("tree", "level", "major")
+    return levels.join(merged(major), "tree").select("tree", "level", "major")
 
 
 @query("""

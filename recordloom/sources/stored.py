@@ -75,6 +75,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """`df` for a join that grows with the input: never broadcast.
+
+    A table's size is known only as its files', and repetitive rows take a
+    hundredth of their memory there, so the planner would send millions of rows
+    through the driver.
+    """
+    return df.hint("merge")
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables that `stored` has written and that nothing reads any more."""
     for table in tables:

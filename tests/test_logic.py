@@ -120,3 +120,18 @@ def test_branches_and_modality(spark, seed):
     for owner in range(31):
         own = [plain(row) for row in rows if row[0] == owner]
         assert results[owner] == ("INSUFFICIENT" if 1 in own else "NOT_MATCH" if 0 in own else "MATCH")
+
+
+def test_rounds_broadcast_nothing(spark, monkeypatch):
+    """Joins of rounds grow with the trees, whatever few bytes their files take."""
+    plans, write = [], logic.stored
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(logic, "stored", seen)
+    nodes = spark.createDataFrame([(1, "r", None, "AND"), (1, "a", "r", "OR"), (1, "b", "a", "LEAF")], "tree int, node string, parent string, operator string")
+    assert logic.levels(nodes, spark.createDataFrame([(1, "b", 2)], "tree int, node string, level int")).count() == 3
+    assert logic.endless(nodes).count() == 0
+    assert len(plans) == 6 and not any("Broadcast" in p for p in plans)
