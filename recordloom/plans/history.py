@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import canon
 from ..operators import diff, folds, journal, ledger, versioning
+from ..operators.prefix import pieced, running_sum, scanned
+from ..sources.stored import merged, stored
 from .tables import query, table
 
 
@@ -322,19 +324,20 @@ def q_checkpoint_faults(spark, d):
     """Checkpoints against the journal rows and artifacts that they cover, some of them damaged (M7)."""
     from pyspark.sql import Window
 
-    n = F.row_number().over(Window.partitionBy("stream").orderBy("o_orderkey"))
-    j = table(spark, d, "orders").withColumn("stream", (F.col("o_custkey") % 5).cast("string")).withColumn("sequence", n)
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_custkey") % 5).cast("string").alias("stream"))
+    # numbered by pieces and written once: streams are few, and rows, artifacts and checkpoints all read it
+    j = stored(scanned(pieced(orders, ["stream"], ["o_orderkey"]), ["stream"], [running_sum("sequence", F.lit(1))]), "journal")
     rows = j.select("stream", "sequence", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("record_hash"))
     artifacts = j.select("stream", F.col("sequence").alias("first_sequence"), F.col("o_orderpriority").alias("artifact_type"), F.col("o_orderkey").cast("string").alias("artifact_id"), F.sha2(F.concat(F.lit("s"), "o_orderkey"), 256).alias("seal"))
     marks = rows.where("sequence % 90 = 0 OR sequence % 411 = 0").select("stream", "sequence", F.col("record_hash").alias("head_hash"))
-    marks = marks.unionByName(rows.where("stream <> '4'").select("stream").distinct().select("stream", F.lit(0).alias("sequence"), F.lit(journal.ZEROS).alias("head_hash")))
+    marks = marks.unionByName(rows.where("stream <> '4'").select("stream").distinct().select("stream", F.lit(0).cast("long").alias("sequence"), F.lit(journal.ZEROS).alias("head_hash")))
     # what a signer would have written, then the damage
     w = Window.partitionBy("stream").orderBy("sequence")
-    marks = marks.withColumn("checkpoint_hash", F.sha2(F.concat_ws(":", "stream", "sequence"), 256)).withColumns({"previous_checkpoint_hash": F.lag("checkpoint_hash").over(w), "before": F.lag("sequence").over(w)})
-    inside = (artifacts["stream"] == marks["stream"]) & (artifacts["first_sequence"] <= marks["sequence"]) & (artifacts["first_sequence"] > F.coalesce(marks["before"], F.lit(-1)))
+    marks = marks.withColumn("checkpoint_hash", F.sha2(F.concat_ws(":", "stream", "sequence"), 256)).withColumn("previous_checkpoint_hash", F.lag("checkpoint_hash").over(w))
     entry = F.to_json(F.struct("artifact_id", "artifact_type", "seal"))
-    signed = marks.join(artifacts.withColumn("entry", entry), inside, "left").groupBy(marks["stream"], "sequence").agg(F.sha2(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("entry")), ","), F.lit("]")), 256).alias("artifact_set_hash"))
-    marks = marks.join(signed, ["stream", "sequence"])
+    entries = F.array_join(F.array_sort(F.collect_list(entry)), ",")
+    signed = journal.covered(artifacts, marks).where("covers IS NOT NULL").groupBy("stream", F.col("covers").alias("sequence")).agg(F.sha2(F.concat(F.lit("["), entries, F.lit("]")), 256).alias("artifact_set_hash"))
+    marks = stored(marks.join(merged(signed), ["stream", "sequence"], "left").withColumn("artifact_set_hash", F.coalesce("artifact_set_hash", F.lit(journal.EMPTY))), "checkpoints")
     bad = lambda c, k: F.when((F.col("sequence") % 7 == k) & (F.col("sequence") > 0), "damaged").otherwise(F.col(c)).alias(c)
     marks = marks.select("stream", "sequence", bad("head_hash", 2), bad("artifact_set_hash", 3), "checkpoint_hash", bad("previous_checkpoint_hash", 1))
     out = journal.checkpoint_faults(marks, rows, artifacts)
