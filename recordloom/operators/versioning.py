@@ -89,8 +89,11 @@ def superseding(df: DataFrame, keys: list[str], id_col: str, order: list[str]) -
 
 
 def chain_breaks(df: DataFrame, keys: list[str], revision: str, content: str, supersedes: str, id_col: str) -> DataFrame:
-    """Rows that break a revision chain, with reason: GAP, SUPERSEDES, NO_OP or DUPLICATE; an intact chain gives none."""
-    w = _w(keys, [revision, id_col])
+    """Rows that break a revision chain, with reason: GAP, SUPERSEDES, NO_OP or DUPLICATE; an intact chain gives none.
+
+    Rows stand in order of revision, id and content (nulls first).
+    """
+    w = _w(keys, [revision, id_col, content])
     before = F.lag(revision).over(w)
     reason = (
         F.when(before.isNull() & (F.col(revision) != 1), "GAP")

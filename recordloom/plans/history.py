@@ -86,14 +86,14 @@ def q_supersedes(spark, d):
 
 
 @query("""
-WITH w AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, lag(l_linenumber) OVER x AS b, lag(l_returnflag) OVER x AS f FROM lineitem WINDOW x AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey))
+WITH w AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, lag(l_linenumber) OVER x AS b, lag(l_returnflag) OVER x AS f FROM lineitem WINDOW x AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag NULLS FIRST))
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN b IS NULL THEN 'GAP' WHEN b = l_linenumber THEN 'DUPLICATE' WHEN l_linenumber <> b + 1 THEN 'GAP' ELSE 'NO_OP' END AS reason
 FROM w WHERE (b IS NULL AND l_linenumber <> 1) OR b = l_linenumber OR l_linenumber <> b + 1 OR (b IS NOT NULL AND f = l_returnflag)
 """)
 def q_chain_breaks(spark, d):
     """Rows that break a chain of revisions."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
-    lines = versioning.superseding(lines, ["l_orderkey"], "l_partkey", ["l_linenumber", "l_partkey"])
+    lines = versioning.superseding(lines, ["l_orderkey"], "l_partkey", ["l_linenumber", "l_partkey", "l_returnflag"])
     return versioning.chain_breaks(lines, ["l_orderkey"], "l_linenumber", "l_returnflag", "supersedes", "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "reason")
 
 

@@ -4,7 +4,9 @@ import hashlib
 import json
 import random
 
-from recordloom.operators import folds, journal
+from pyspark.sql import functions as F
+
+from recordloom.operators import folds, journal, versioning
 
 
 def sha(text):
@@ -61,3 +63,11 @@ def test_checkpoints_are_signed_without_comparing_ranges(spark, monkeypatch):
     found = history.q_checkpoint_faults(spark, "/root/testdata/sf0.001")
     plans.append(found._jdf.queryExecution().optimizedPlan().toString())
     assert len(plans) == 3 and not any("Join" in line and "=" in line and "<" in line for p in plans for line in p.splitlines())
+
+
+def test_rows_of_one_revision_and_id_stand_by_content(spark):
+    rows = [(1, 1, 7, "B"), (1, 1, 7, "A"), (1, 2, 7, "B"), (2, 1, 7, "A"), (2, 1, 7, "B"), (2, 2, 7, "B")]
+    for some in (rows, rows[::-1]):
+        lines = spark.createDataFrame(some, "k int, n int, id int, c string").coalesce(1).withColumn("before", F.when((F.col("n") > 1) | (F.col("c") == "B"), F.col("id")))
+        found = versioning.chain_breaks(lines, ["k"], "n", "c", "before", "id").select("k", "n", "c", "reason").collect()
+        assert sorted(map(tuple, found)) == [(k, n, "B", r) for k in (1, 2) for n, r in ((1, "DUPLICATE"), (2, "NO_OP"))]
