@@ -3,9 +3,10 @@
 A key's few fields are a value state, its grants, closed targets and requests
 are map states, and ids that were used are a map state that may have a time to
 live.  They lie in the state store (RocksDB, on the executors' disks, with its
-changes in the checkpoint folder), and a step reads and writes only the entries
-that its event names, so a key's state may be larger than memory and a restart
-goes on where the last batch ended.
+changes in the checkpoint folder).  A key's events of one micro-batch read and
+write each entry that they name once (budgets all of the key's requests, as
+many as their cap allows), so a key's state may be larger than memory and a
+restart goes on where the last batch ended.
 """
 
 from __future__ import annotations
@@ -29,29 +30,49 @@ _JSON = "json string"
 
 
 class _Entries:
-    """A map state by item access; values travel as JSON."""
+    """A map state by item access; values travel as JSON.
+
+    The store is another process, so within a batch an entry is read once, and
+    what has changed is written once, by `flush`.
+    """
 
     def __init__(self, state):
-        self.state = state
+        self.state, self.read, self.changed, self.whole = state, {}, set(), False
 
     def get(self, name: Any) -> Any:
-        key = (json.dumps(name),)
-        return json.loads(self.state.getValue(key)[0]) if self.state.containsKey(key) else None
+        if name not in self.read and not self.whole:
+            key = (json.dumps(name),)
+            self.read[name] = (json.loads(self.state.getValue(key)[0]),) if self.state.containsKey(key) else ()
+        return next(iter(self.read.get(name, ())), None)
 
     def __contains__(self, name: Any) -> bool:
-        return self.state.containsKey((json.dumps(name),))
+        self.get(name)
+        return bool(self.read.get(name))
 
     def __setitem__(self, name: Any, value: Any) -> None:
-        self.state.updateValue((json.dumps(name),), (json.dumps(value),))
+        self.read[name] = (value,)
+        self.changed.add(name)
 
     def add(self, name: Any) -> None:
-        self[name] = True
+        if name not in self.changed:
+            self[name] = True
+
+    def _all(self) -> list:
+        if not self.whole:
+            stored = {json.loads(k[0]): (json.loads(v[0]),) for k, v in self.state.iterator()}
+            self.read, self.whole = {**stored, **self.read}, True
+        return [v[0] for v in self.read.values() if v]
 
     def __len__(self) -> int:
-        return sum(1 for _ in self.state.keys())
+        return len(self._all())
 
     def values(self) -> list:
-        return [json.loads(v[0]) for v in self.state.values()]
+        return self._all()
+
+    def flush(self) -> None:
+        for name in self.changed:
+            self.state.updateValue((json.dumps(name),), (json.dumps(self.read[name][0]),))
+        self.changed = set()
 
 
 class Replay(StatefulProcessor):
@@ -71,13 +92,16 @@ class Replay(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         state = dict(self.start)
-        if self.value.exists():
-            state |= json.loads(self.value.get()[0])
-        whole = {**state, **{name: _Entries(m) for name, m in self.maps.items()}}
+        if held := self.value.get():
+            state |= json.loads(held[0])
+        entries = {name: _Entries(m) for name, m in self.maps.items()}
+        whole = {**state, **entries}
         frame = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         events = frame.astype(object).where(frame.notna(), None).to_dict("records")
         made = [self.step(whole, e) for e in events]
         self.value.update((json.dumps({k: whole[k] for k in state}),))
+        for e in entries.values():
+            e.flush()
         for n in self.names:
             frame[n] = pd.array([m.get(n) for m in made], dtype=object)
         yield frame

@@ -114,3 +114,38 @@ def test_budget_across_a_restart(spark):
     found = run(spark, [rows[:70], rows[70:]], schema, lambda e: ledgers.stream_budget(e, "k", ["n"], *caps))
     pick = lambda df: sorted(map(tuple, df.select("n", "fault", "used_bytes").collect()), key=str)
     assert pick(found) == pick(batch)
+
+
+def test_a_batch_asks_the_store_once_for_an_entry():
+    """A key's events of one batch read its requests once and write each once."""
+    import pandas as pd
+
+    calls = []
+
+    class Counted(Map):
+        def containsKey(self, key):
+            calls.append("contains")
+            return key in self
+
+        def updateValue(self, key, value):
+            calls.append("update")
+            self[key] = value
+
+        def iterator(self):
+            calls.append("iterator")
+            return iter(list(self.items()))
+
+    class CountedHandle(Handle):
+        def getMapState(self, name, key, value, ttl):
+            return Counted()
+
+    step = folds.budget_step(100, 9, 9, 10**9, 450, 100, 0, 0)
+    kinds = ["RESERVE", "SENT", "OBSERVE"]
+    rows = [(n, kinds[n % 3], f"i{n // 3}", "o", "t", n, "SUCCESS", 10) for n in range(60)]
+    names = ["n", "kind", "intent", "organization", "target", "at", "status", "bytes"]
+    flow, whole, found = ledgers.Replay(step, folds.budget_start(), {"requests": None}, ["n"], ["fault", "used_bytes"]), folds.budget_start(), []
+    flow.init(CountedHandle())
+    for part in (rows[:31], rows[31:]):
+        found += [r for f in flow.handleInputRows((1,), iter([pd.DataFrame(part, columns=names)]), None) for r in zip(f.fault, f.used_bytes)]
+    assert found == [tuple(step(whole, dict(zip(names, r))).values()) for r in rows]
+    assert calls.count("iterator") == 2 and calls.count("update") == 21 and calls.count("contains") <= 21
