@@ -81,19 +81,19 @@ def endless(nodes: DataFrame) -> DataFrame:
     walk as a root does.
     """
     n = nodes.where("tree IS NOT NULL AND node IS NOT NULL").groupBy("tree", "node").agg(F.min("parent").alias("to"))
-    there = n.select("tree", F.col("node").alias("to"), F.lit(True).alias("__there"))
-    state = stored(n.join(merged(there), ["tree", "to"], "left").select("tree", "node", F.when(F.col("__there"), F.col("to")).alias("to")), "pointers")
-    largest = state.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    # rows whose walk has ended are left out: what points to one finds nothing, so its own walk ends
+    there = n.select("tree", F.col("node").alias("to"))
+    state = stored(n.where("to IS NOT NULL").join(merged(there), ["tree", "to"], "left_semi").select("tree", "node", "to"), "pointers")
+    largest = (state.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) + 1
     steps = 1
-    while steps < largest and not state.where("to IS NOT NULL").isEmpty():
+    while steps < largest and not state.isEmpty():
         further = state.select("tree", F.col("node").alias("to"), F.col("to").alias("__further"))
         done = state
-        state = stored(state.join(merged(further), ["tree", "to"], "left").select("tree", "node", F.col("__further").alias("to")), "pointers")
+        state = stored(state.join(merged(further), ["tree", "to"]).select("tree", "node", F.col("__further").alias("to")), "pointers")
         forget(done)
         steps *= 2
-    lost = state.where("to IS NOT NULL")
-    on = lost.select("tree", F.col("to").alias("node"), F.lit(True).alias("__on")).distinct()
-    return lost.select("tree", "node").join(on, ["tree", "node"], "left").select("tree", "node", F.coalesce("__on", F.lit(False)).alias("on_cycle"))
+    on = state.select("tree", F.col("to").alias("node"), F.lit(True).alias("__on")).distinct()
+    return state.select("tree", "node").join(on, ["tree", "node"], "left").select("tree", "node", F.coalesce("__on", F.lit(False)).alias("on_cycle"))
 
 
 def condition_outcomes(conditions: DataFrame, roots: DataFrame, branches: DataFrame) -> DataFrame:

@@ -135,3 +135,19 @@ def test_rounds_broadcast_nothing(spark, monkeypatch):
     assert logic.levels(nodes, spark.createDataFrame([(1, "b", 2)], "tree int, node string, level int")).count() == 3
     assert logic.endless(nodes).count() == 0
     assert len(plans) == 6 and not any("Broadcast" in p for p in plans)
+
+
+def test_walks_that_have_ended_are_not_written_again(spark, monkeypatch):
+    """A star of 1000 leaves, a chain of five and a cycle: rounds hold what still points anywhere."""
+    sizes, write = [], logic.stored
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(logic, "stored", counted)
+    rows = [(1, "r", None), *[(1, f"n{i}", "r") for i in range(1000)], (2, "a", None), (2, "b", "a"), (2, "c", "b"), (2, "d", "c"), (2, "e", "d"), (3, "x", "y"), (3, "y", "x"), (3, "z", "x"), (4, "q", "gone")]
+    found = logic.endless(spark.createDataFrame(rows, "tree int, node string, parent string")).collect()
+    assert sorted(map(tuple, found)) == [(3, "x", True), (3, "y", True), (3, "z", False)]
+    assert sizes[:4] == [1007, 6, 4, 3]
