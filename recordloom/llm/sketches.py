@@ -102,15 +102,17 @@ def merged(parts: DataFrame, rows: int, log2_width: int, least: int = 2) -> "Ske
 
 
 class Sketch:
-    """The merged sketch on the executors: blocks that hold a bit, compressed, opened once in each worker."""
+    """The merged sketch on the executors: blocks that hold a bit, compressed, opened once in each task.
+
+    A task closes what it has opened: a worker that waits for its next task
+    would else hold the bits through stages that don't read them.
+    """
 
     def __init__(self, blocks, rows: int, log2_width: int):
         self.blocks, self.rows, self.log2_width, self.name = blocks, rows, log2_width, uuid.uuid4().hex
 
     def bits(self) -> np.ndarray:
         if self.name not in _opened:
-            while len(_opened) > 1:
-                del _opened[next(iter(_opened))]
             # pages without a bit are never touched, so they take no memory
             bits, step = np.zeros((self.rows << self.log2_width) >> 3, np.uint8), (1 << _BLOCK) >> 3
             for block, data in self.blocks.value:
@@ -118,6 +120,10 @@ class Sketch:
             _opened[self.name] = bits
         return _opened[self.name]
 
+    def close(self) -> None:
+        """Gives up the bits that this worker has opened."""
+        _opened.pop(self.name, None)
+
     def reaches(self, keys: np.ndarray) -> np.ndarray:
         """Where the estimated count reaches the limit that the sketch was merged with."""
         bits, out = self.bits(), np.ones(len(keys), bool)

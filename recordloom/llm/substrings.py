@@ -13,6 +13,7 @@ by two 64-bit hashes of the words.
 from __future__ import annotations
 
 import hashlib
+from contextlib import closing
 
 import numpy as np
 import pyarrow as pa
@@ -64,22 +65,23 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sketch = merged(rows.mapInArrow(count, "block long, cells binary"), ROWS, log2_width)
 
     def find(batches):
-        for batch, data, at in slices(batches):
-            a, begins = _anchors(data, at, window, gram)
-            hit = np.flatnonzero(sketch.reaches(a.key))
-            if not len(hit):
-                continue
-            # the places of one string in one text go together, so that text which runs in a circle makes no hot key
-            hit = hit[np.lexsort((a.first[hit], a.whole[hit], a.key[hit], a.row[hit]))]
-            heads = np.flatnonzero(new_groups(a.row[hit], a.key[hit], a.whole[hit]))
-            firsts = pa.ListArray.from_arrays(pa.array(np.append(heads, len(hit)).astype(np.int32)), pa.array((a.first[hit] - begins[a.row[hit]]).astype(np.int32)))
-            one = hit[heads]
-            n = a.count[one]
-            ends = np.cumsum(n)
-            start = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(a.first[one], n)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(signed(a.runs.of(start, start + window))))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).take(pa.array(a.row[one])) for i in (0, 1)), pa.array(signed(a.key[one])), pa.array(signed(a.whole[one])), firsts, pa.array(n.astype(np.int32)), lists], schema=_FOUND)
+        with closing(sketch):
+            for batch, data, at in slices(batches):
+                a, begins = _anchors(data, at, window, gram)
+                hit = np.flatnonzero(sketch.reaches(a.key))
+                if not len(hit):
+                    continue
+                # the places of one string in one text go together, so that text which runs in a circle makes no hot key
+                hit = hit[np.lexsort((a.first[hit], a.whole[hit], a.key[hit], a.row[hit]))]
+                heads = np.flatnonzero(new_groups(a.row[hit], a.key[hit], a.whole[hit]))
+                firsts = pa.ListArray.from_arrays(pa.array(np.append(heads, len(hit)).astype(np.int32)), pa.array((a.first[hit] - begins[a.row[hit]]).astype(np.int32)))
+                one = hit[heads]
+                n = a.count[one]
+                ends = np.cumsum(n)
+                start = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(a.first[one], n)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(signed(a.runs.of(start, start + window))))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).take(pa.array(a.row[one])) for i in (0, 1)), pa.array(signed(a.key[one])), pa.array(signed(a.whole[one])), firsts, pa.array(n.astype(np.int32)), lists], schema=_FOUND)
 
     written = stored(rows.mapInArrow(find, "id long, bare long, key long, whole long, firsts array<int>, count int, windows array<long>"), "windows")
     sketch.free()

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.llm import hashing, sharding, sketches, stages
+from recordloom.llm import hashing, sharding, sketches, stages, substrings, suffixes
 
 
 class Session:  # stands for one that names no checkpoint folder
@@ -84,6 +84,19 @@ def test_estimates_are_never_below_counts(spark):
     assert found.reaches(keys[700:3000].view(np.uint64)).mean() < 0.01
 
 
+@pytest.mark.parametrize("job", [lambda d: suffixes.earlier_strings(d, log2_width=18), lambda d: substrings.repeated_windows(d, window=12, gram=6, log2_width=18)])
+def test_workers_hold_no_sketch_after_their_task(spark, job):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i % 5) * 100 + j}" for j in range(60))) for i in range(200)], "doc_id long, text string").repartition(8)
+    assert job(docs).count()
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(sketches._opened)], pa.int64())], names=["n"])
+
+    # as many tasks as workers may wait, a few times over
+    assert {r.n for r in spark.range(32, numPartitions=32).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_squeezed_texts_come_back(spark):
     rows = [(1, "é" * 5000), (2, None), (3, ""), (4, "x")]
     df = spark.createDataFrame(rows, "i long, t string")
