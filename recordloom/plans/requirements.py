@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import evidence, logic, predicates, requirements, rules, structured, tracing
-from ..sources.stored import merged, stored
+from ..sources.stored import dealt, merged, stored
 from .tables import query, table
 
 #: Clauses by number ({n}: a number of two digits that the row gives) and what each one is: rule, status, facts as dimension:operator:scope:value.
@@ -282,7 +282,7 @@ SELECT k AS c_custkey, i::INTEGER AS fact, CASE x WHEN 'T' THEN 'RESOLVED_MATCH:
 def q_evidence(spark, d):
     """Facts against dated evidence, each dimension with its own deviations from the one template."""
     k = F.col("c_custkey") % 19
-    rows = table(spark, d, "customer").select("c_custkey", _evidence().alias("e"), F.posexplode(_asked()).alias("fact", "f"))
+    rows = dealt(table(spark, d, "customer"), "c_custkey").select("c_custkey", _evidence().alias("e"), F.posexplode(_asked()).alias("fact", "f"))
     found = evidence.resolution(F.col("f"), F.col("e"), F.lit("2026-02-15").cast("timestamp_ntz"), F.when(k == 1, 1).when(k == 2, 0).otherwise(2), k != 0)
     return rows.withColumn("r", found).select("c_custkey", "fact", F.concat(F.col("r.status"), F.lit(":"), F.coalesce("r.reason", F.lit(""))).alias("resolution"))
 

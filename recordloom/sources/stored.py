@@ -13,6 +13,8 @@ WAREHOUSE_DIR = "spark.sql.warehouse.dir"
 #: Spark removes a query's shuffle files when it ends; what is stored is not read through them again.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Parts for each of the session's shuffle partitions where rows are dealt out finer than by default.
+FINER = 4
 
 _writing, _lock = 0, threading.Lock()
 
@@ -85,6 +87,16 @@ def merged(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt out by keys into FINER times as many parts as the session shuffles into.
+
+    For steps that work long on a row, since a small file is one task however
+    long its rows take, and for those that hold a part in memory to sort it.
+    Small parts are not put together again.
+    """
+    return df.repartition(FINER * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables that `stored` has written and that nothing reads any more."""
     for table in tables:
