@@ -229,7 +229,7 @@ SELECT k AS c_custkey, i::INTEGER AS fact, CASE WHEN k % 17 = 0 AND level <> 1 T
 def q_predicates(spark, d):
     """Facts of all dimensions against candidates' profiles (L2); every seventeenth candidate is asked the opposite."""
     proofs = F.array(F.struct(*[F.lit(v).alias(n) for n, v in zip(("namespace", "version", "from_code", "from_type", "to_code", "to_type", "status"), ("d", "1", "P1", "UNSPECIFIED", "P2", "UNSPECIFIED", "EXPLICIT_EQUIVALENT"))]))
-    rows = table(spark, d, "customer").select("c_custkey", _profile().alias("c"), F.posexplode(_facts()).alias("fact", "f"))
+    rows = dealt(table(spark, d, "customer"), "c_custkey").select("c_custkey", _profile().alias("c"), F.posexplode(_facts()).alias("fact", "f"))
     level = predicates.outcome(F.col("f"), F.col("c"), F.when(F.col("c_custkey") % 17 == 0, "NEGATIVE").otherwise("POSITIVE"), proofs)
     return rows.select("c_custkey", "fact", level.alias("level"))
 

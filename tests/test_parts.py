@@ -8,6 +8,6 @@ from recordloom.sources.stored import FINER
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["q_evidence"])
+@pytest.mark.parametrize("name", ["q_evidence", "q_predicates"])
 def test_a_small_file_is_many_tasks(spark, name):
     assert catalog.QUERIES[name](spark, SF).rdd.getNumPartitions() == 4 * FINER
