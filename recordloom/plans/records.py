@@ -13,7 +13,7 @@ from ..functions import canon
 from ..functions import text as tx
 from ..operators import capture, gates, query as q, versioning
 from ..sources import records, workbooks
-from ..sources.stored import shared_dir
+from ..sources.stored import dealt, shared_dir
 from .tables import query, table
 
 
@@ -76,7 +76,7 @@ SELECT id, place::INTEGER AS place, 'part' AS name, p::VARCHAR AS value FROM s U
 def q_block_records(spark, d):
     """Blocks of `name: value` lines behind a marker (A3)."""
     lines = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_returnflag").alias("l"))
-    blocks = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l")).alias("l"))
+    blocks = dealt(lines, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l")).alias("l"))
     block = lambda x: F.concat(F.lit("[RECORD]\nnote without a value\npart : "), x["l_partkey"], F.lit("\n flag： "), x["l_returnflag"])
     docs = blocks.select("l_orderkey", F.concat(F.lit("a: head line\n"), F.array_join(F.transform("l", block), "\n")).alias("t"))
     return records.block_fields(docs, "l_orderkey", "t", r"^\[RECORD\]$").select("id", "place", "name", "value")

@@ -11,3 +11,9 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", ["q_evidence", "q_predicates"])
 def test_a_small_file_is_many_tasks(spark, name):
     assert catalog.QUERIES[name](spark, SF).rdd.getNumPartitions() == 4 * FINER
+
+
+@pytest.mark.parametrize("name", ["q_block_records"])
+def test_rows_that_are_sorted_in_memory_are_dealt_out_finer(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert f", {4 * FINER}), REPARTITION_BY_NUM" in plan
