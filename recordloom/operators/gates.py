@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canon import canonical_json, sha256, unique_sorted
+from ..sources.stored import dealt
 
 
 def reasons(tests: list[tuple[Column, str]]) -> Column:
@@ -118,7 +119,8 @@ def registry_faults(sources: DataFrame, publishers: DataFrame, id_col: str, revi
     """
     w = Window.partitionBy(id_col).orderBy(revision, *(ties or []))
     known = publishers.select(F.col(publisher)).distinct().withColumn("__known", F.lit(True))
-    df = sources.withColumn("__n", F.count("*").over(Window.partitionBy(id_col, revision))).withColumn("__first", F.first(publisher).over(w)).join(known, publisher, "left")
+    # the wider window first: its shuffle and its sort serve the other, too
+    df = dealt(sources, id_col).withColumn("__first", F.first(publisher).over(w)).withColumn("__n", F.count("*").over(Window.partitionBy(id_col, revision))).join(known, publisher, "left")
     faults = reasons([(F.col("__n") > 1, "DUPLICATE"), (F.col("__known").isNull(), "PUBLISHER_UNKNOWN"), (~F.col(publisher).eqNullSafe(F.col("__first")), "PUBLISHER_CHANGED"), (~F.col(kind).isin(kinds), "KIND_UNSUPPORTED")])
     return df.select(id_col, revision, F.explode(faults).alias("fault")).distinct()
 
