@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kleene
-from ..sources.stored import forget, merged, stored
+from ..sources.stored import dealt, forget, merged, stored
 
 #: Rounds after which the settled nodes of the rounds before are put together in one table.
 GATHER = 16
@@ -200,7 +200,7 @@ def root_faults(roots: DataFrame, conditions: DataFrame) -> DataFrame:
     condition, modality, resolved.  MANDATORY_ROOT_MISMATCH, DANGLING_REFERENCE
     and INVALID_UNARY_GROUP (an AND of fewer than two).
     """
-    named = roots.where("condition IS NOT NULL").groupBy("owner", "condition").agg(F.count("*").alias("n"))
+    named = dealt(roots.where("condition IS NOT NULL"), "owner", "condition").groupBy("owner", "condition").agg(F.count("*").alias("n"))
     due = F.coalesce((F.col("modality") == "MANDATORY") & F.col("resolved"), F.lit(False))
     known = conditions.select("owner", "condition", due.alias("due"))
     both = named.join(known, ["owner", "condition"], "full")

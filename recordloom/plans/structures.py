@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import logic
+from ..sources.stored import dealt
 from .tables import query, table
 
 
@@ -132,7 +133,7 @@ SELECT o AS owner, fault FROM f
 def q_mandatory_roots(spark, d):
     """Whether mandatory roots name every resolved mandatory condition once (K7)."""
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("owner"), "l_linenumber")
-    conditions = lines.distinct().select("owner", F.col("l_linenumber").alias("condition"), F.when(F.col("owner") % 3 > 0, "MANDATORY").otherwise("PREFERRED").alias("modality"), (F.col("l_linenumber") != 3).alias("resolved"))
+    conditions = dealt(lines, "owner", "l_linenumber").distinct().select("owner", F.col("l_linenumber").alias("condition"), F.when(F.col("owner") % 3 > 0, "MANDATORY").otherwise("PREFERRED").alias("modality"), (F.col("l_linenumber") != 3).alias("resolved"))
     named = F.when(F.col("l_linenumber") == 5, 9).when(F.col("l_linenumber") == 4, 2).otherwise(F.col("l_linenumber"))
     roots = lines.where("owner % 3 > 0 OR l_linenumber > 3").select("owner", F.lit("AND").alias("kind"), named.alias("condition"))
     return logic.root_faults(roots, conditions)
