@@ -13,7 +13,7 @@ from ..functions import canon
 from ..functions import text as tx
 from ..operators import capture, gates, query as q, versioning
 from ..sources import records, workbooks
-from ..sources.stored import dealt, shared_dir
+from ..sources.stored import dealt, shared_dir, stored
 from .tables import query, table
 
 
@@ -41,7 +41,8 @@ def q_page_shapes(spark, d):
     """Pages that don't have the shape that their site is known for."""
     html = F.concat(F.lit('<div data-record><b data-field="title">t'), "o_custkey", F.lit("</b>"), F.when(F.col("o_orderkey") % 6 != 0, F.lit('<i data-field="state">open</i>')).otherwise('<i data-field="state"> </i>'), F.lit("</div>"))
     pages = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, html).alias("html"))
-    found = records.records_of(records.html_fields(pages, "o_orderkey", "html"), ["title", "state"])
+    # written once: both kinds of fault read it, and pages are parsed for the one table
+    found = stored(records.records_of(records.html_fields(dealt(pages, "o_orderkey"), "o_orderkey", "html"), ["title", "state"]), "records")
     return records.shape_faults(pages, found, "o_orderkey", ["title", "state"])
 
 
