@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import logic
-from ..sources.stored import dealt
+from ..sources.stored import dealt, stored
 from .tables import query, table
 
 
@@ -64,7 +64,8 @@ SELECT t AS owner, CASE WHEN max(level = 1) THEN 'INSUFFICIENT' WHEN min(level)
 """)
 def q_branch_outcomes(spark, d):
     """Requirement sets with a plain condition and a WHEN/THEN/ELSE one each, over trees of many storeys."""
-    roots = logic.levels(*_deep(spark, d)).where("node = 1").select("tree", "level")
+    # written once: what follows reads it nine times, and each time else every storey's table
+    roots = stored(logic.levels(*_deep(spark, d)).where("node = 1").select("tree", "level"), "roots")
     t, none = F.col("tree"), F.lit(None).cast("long")
     plain = roots.select(t.alias("owner"), F.lit(1).alias("condition"), (t % 11 != 0).alias("resolved"), F.when(t % 5 != 0, "MANDATORY").otherwise("PREFERRED").alias("modality"), F.when(t % 3 == 0, t + 1).alias("applies"), "tree", none.alias("branch"))
     split = roots.select(t.alias("owner"), F.lit(2).alias("condition"), F.lit(True).alias("resolved"), F.lit("MANDATORY").alias("modality"), none.alias("applies"), none.alias("tree"), t.alias("branch"))
