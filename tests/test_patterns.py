@@ -62,3 +62,71 @@ def test_fifty_thousand_rules(spark):
     texts = [(1, "key00007abcz key49999z"), (2, "key12345xz, key123"), (3, "nothing"), (1, None)]
     found = rules.findings(spark.createDataFrame(texts, "id int, text string"), "id", "text", asked)
     assert sorted(map(tuple, found.collect())) == [(1, "c", "n7"), (2, "c", "n12345")]
+
+
+def test_heads_before_shared_tails_equal_each_on_its_own(spark, monkeypatch):
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdé😀\0 .") for _ in range(n))
+    texts = [(i % 40, r.choice([None, "", "ab", "".join(word(1) for _ in range(r.randint(1, 80)))])) for i in range(90)]
+    tails = ["[a-c]*(d|ab)[ .]", "(?s:.)?[^a ]{2,3}", "(?:ab){0,2}c", "[a-b]+", "(a|(b|cd)(?s:.))[^b]"]
+    head = lambda: "".join(r.choice([re.escape(word(1)).replace("\0", "a").replace("\\ ", " "), "(?s:.)"]) for _ in range(r.randint(0, 3)))
+    asked = [(r.choice("xy"), f"r{i % 700}", head() + r.choice(tails)) for i in range(900)] + [("x", None, "ab[a-b]+"), (None, None, "[a-b]+")]
+    assert sum(patterns.shaped(p) is not None for _, _, p in asked) == len(asked)
+    want = sorted({(k, i, str(c), str(n)) for k, (i, t) in enumerate(texts) if t is not None for c, n, p in asked if re.search(p, t)})
+    docs = spark.createDataFrame(texts, "id int, text string").repartition(3)
+    table = spark.createDataFrame(asked, "category string, rule string, pattern string")
+    monkeypatch.setattr(patterns, "SHARED", 2)
+    for block in (4 << 20, 2000):
+        found = patterns.many_findings(docs, "id", "text", table, block).collect()
+        assert sorted((i, str(c), str(n)) for i, c, n in found) == sorted((i, c, n) for _, i, c, n in want)
+
+
+def test_few_findings_at_a_time(monkeypatch):
+    """However small the parts: the same pairs, no text in two parts."""
+    import numpy as np
+    import pyarrow as pa
+
+    heads = [[97], [98], [97, -1], [-1], []]
+    rules = pa.table({"__rule": pa.array(range(5), pa.int64()), "__head": pa.array(heads, pa.list_(pa.int32())), "__tail": [patterns.shaped("[b-c]+")[1]] * 5, "category": ["c"] * 5, "rule": list("vwxyz")})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rules.schema) as out:
+        out.write_table(rules)
+
+    class Shared:
+        value = {"digest": "few", "rules": sink.getvalue().to_pybytes()}
+
+    texts = ["abc", "", "ba", "c", "aab", "xxb", "aa"] * 3
+    batch = pa.RecordBatch.from_pydict({"__id": list(range(len(texts))), "__text": texts, "__row": list(range(len(texts)))})
+    want = {(i, r) for i, t in enumerate(texts) for r, p in zip("vwxyz", ["a[bc]+", "b[bc]+", "a.[bc]+", ".[bc]+", "[bc]+"]) if re.search(p, t)}
+    for most, size in ((1 << 20, 1 << 20), (1, 1 << 20), (3, 4), (1, 1)):
+        monkeypatch.setattr(patterns, "MOST_MADE", most)
+        monkeypatch.setattr(patterns, "SLICE_BYTES", size)
+        made = list(patterns._named(Shared)([batch]))
+        got = [x for b in made for x in zip(b.column("__id").to_pylist(), b.column("rule").to_pylist())]
+        assert sorted(got) == sorted(want)
+        assert sum(len(np.unique(b.column("__id"))) for b in made) == len({i for i, _ in want})
+
+
+def test_long_runs_take_a_few_passes():
+    """A text of one character, from each place of which the tail could read to the end."""
+    import numpy as np
+
+    chars = np.append(np.full(1000000, 97, np.uint32), patterns._END)
+    steps = [("run", 0, None, ("in", False, ((97, 97),))), ("run", 2, None, ("in", False, ((97, 98),))), ("in", False, ((98, 98),))]
+    assert not patterns._places(steps, chars, np.ones(len(chars), bool), {}).any()
+    chars[-2] = 98
+    assert patterns._places(steps, chars, np.ones(len(chars), bool), {}).sum() == 1000000 - 2
+
+
+def test_findings_of_rules_with_one_pattern_are_not_shuffled(spark):
+    """The result of the query grows with texts times rules: only texts are dealt out."""
+    from recordloom.plans import catalog
+
+    plan = catalog.QUERIES["q_many_rules"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("pattern,want", [
+    ("ab(?s:.)c[a-z]*(ed|ly)[ .,]", [97, 98, -1, 99]), ("[a-z]*b", []), ("abc", None), ("a(?:bc)*", None), ("a(?:bc){2}", [97]), ("a.b", None), ("a((?:b{9}){8})", [97]), ("a((?:(?:bc|cd|db){9}){8})", None)])
+def test_shaped(pattern, want):
+    assert (patterns.shaped(pattern) or [None])[0] == want
