@@ -140,8 +140,9 @@ class Anchors:
     window have different places of its anchor, so a window occurs no more
     often than its anchor does.  All windows of one anchor start side by side.
     Attributes, one entry for each anchor: row, first (of its windows' starts,
-    in symbols of the slice), count (of windows), key (hash of the k-gram) and
-    whole (hash of the symbols that its windows cover, and of their number).
+    in symbols of the slice), count (of windows), place (of the k-gram), key
+    (its hash) and whole (hash of the symbols that its windows cover, and of
+    their number).
     """
 
     def __init__(self, values: np.ndarray, begins: np.ndarray, length: int, k: int):
@@ -149,7 +150,7 @@ class Anchors:
         grams = self.runs.sliding(k)
         n = len(values) - length + 1
         empty = np.zeros(0, np.int64)
-        self.row = self.first = self.count = empty
+        self.row = self.first = self.count = self.place = empty
         self.key = self.whole = empty.astype(np.uint64)
         if n <= 0:
             return
@@ -166,7 +167,7 @@ class Anchors:
         new = np.ones(len(start), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
         head = np.flatnonzero(new)
-        self.row, self.first = row[head], start[head]
+        self.row, self.first, self.place = row[head], start[head], anchor[head]
         self.count = np.diff(np.append(head, len(start)))
         self.key = grams[anchor[head]]
         self.whole = self.runs.of(self.first, self.first + self.count - 1 + length)

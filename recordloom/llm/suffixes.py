@@ -20,8 +20,9 @@ be ranked:
   count-min sketch counts once are unique.
 * Spark sorts what is left by anchor and by the name of the bytes that all
   windows of an anchor cover.  Where these are equal, all windows repeat: one
-  place is enough for the rest.  Where all of an anchor's are equal, nothing is
-  left to rank.
+  place is enough for the rest, also of those in its own text.  Where all of an
+  anchor's are equal, nothing is left to rank.  Where no other text has the same
+  bytes before or behind the anchor, no other holds the windows that reach so far.
 
 The sketch has a fixed width.  On a corpus with far more anchors than cells it
 lets all of them through, and the sort by anchor takes about three times the
@@ -43,14 +44,16 @@ from .sketches import PartSketch, merged
 from .stages import forget, new_groups, partitions, squeezed, stored, unsqueezed
 
 LENGTH = 50
-GRAM = 32
+GRAM = 18
 #: Bytes that the first ranks stand for.
 START = 25
-LOG2_WIDTH = 28
-ROWS = 2
+LOG2_WIDTH = 30
+ROWS = 1
+#: Bytes of text that are hashed at once: their 64-bit hashes stay in a core's own cache.
+SLICE_BYTES = 1 << 17
 
-_RANK = pa.schema([("key", pa.int64()), ("whole", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32()), ("more", pa.list_(pa.int32()))])
-_MARK = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32())])
+_RANK = pa.schema([("key", pa.int64()), ("whole", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32()), ("more", pa.list_(pa.int32())), ("lead", pa.int32()), ("near", pa.int64())])
+_MARK = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("first", pa.int32()), ("count", pa.int32()), ("source", pa.int32())])
 _STRING = pa.schema([("id", pa.int64()), ("first", pa.int32()), ("string", pa.binary())])
 _NAME = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("name", pa.int64())])
 _CUT = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
@@ -60,21 +63,83 @@ def _anchors(data, at, length, gram):
     return Anchors(symbols(3)[data], at, length, gram)
 
 
-def _marks(batch: pa.RecordBatch, rows: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
-    """All places of the given rows."""
-    ids, first, count = (batch.column(i).to_numpy() for i in (2, 3, 4))
+def _levels(span: int) -> list[int]:
+    """Numbers of bytes beside an anchor that tell its places apart: the farther one is half of what its windows cover there."""
+    return sorted({d for d in (span // 4 + 1, span // 2) if d})
+
+
+def _near(a: Anchors, hit: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """A hash of 16 bits for each level of bytes before and behind the anchor."""
+    place, lead = a.place[hit], a.place[hit] - a.first[hit]
+    behind = a.first[hit] + a.count[hit] - 1 + length - place - gram
+    out, at = np.zeros(len(hit), np.uint64), 0
+    for far, start, end in ((lead, -1, 0), (behind, 0, 1)):
+        origin = place if start else place + gram
+        for d in _levels(length - gram):
+            some = np.flatnonzero(far >= d)
+            out[some] |= (a.runs.of(origin[some] + start * d, origin[some] + end * d) >> np.uint64(48)) << np.uint64(at)
+            at += 16
+    return out
+
+
+def _shared(group: np.ndarray, ids: np.ndarray, before: np.ndarray, near: np.ndarray, count: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of places of different wholes by group: how many first windows to skip, and how many then another text of the group may hold.
+
+    A window that reaches d bytes before the anchor, where no other text of the
+    group has the same d bytes, is in no other text; so too behind it.
+    """
+    levels = _levels(span)
+    least = before - count + 1  # bytes before the anchor in the last window
+    reach = []
+    for side, far in enumerate((before, span - least)):
+        upto = np.full(len(group), span, np.int64)  # the most bytes on this side in a window that may be shared
+        for n, d in reversed(list(enumerate(levels))):
+            some = np.flatnonzero(far >= d)
+            named = group[some] << 16 | near[some] >> 16 * (side * len(levels) + n) & 0xFFFF
+            order = np.lexsort((ids[some], named))
+            heads = np.flatnonzero(new_groups(named[order]))
+            sizes = np.diff(np.append(heads, len(order)))
+            own = ids[some][order]
+            upto[some[order[np.repeat(own[heads] == own[heads + sizes - 1], sizes)]]] = d - 1
+        reach.append(upto)
+    most, least = np.minimum(before, reach[0]), np.maximum(least, span - reach[1])
+    return before - most, np.maximum(most - least + 1, 0)
+
+
+def _marked(kinds, ids, first, count, source) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip((kinds, ids, first, count, source), _MARK.types)], schema=_MARK)
+
+
+def _further(batch: pa.RecordBatch, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The further places of the given rows, and which of them each belongs to."""
     more = batch.column(5).take(pa.array(rows))
-    again = np.repeat(np.arange(len(rows)), more.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-    first = np.concatenate([first[rows], more.flatten().to_numpy()])
-    rows, kinds = np.concatenate([rows, rows[again]]), np.concatenate([kinds, kinds[again]])
-    return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(ids[rows]), pa.array(first, pa.int32()), pa.array(count[rows])], schema=_MARK)
+    return more.flatten().to_numpy(), np.repeat(np.arange(len(rows)), more.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+
+
+def _repeated(batch: pa.RecordBatch, rows: np.ndarray) -> pa.RecordBatch:
+    """All places of the given rows, to be removed."""
+    ids, first, count = (batch.column(i).to_numpy() for i in (2, 3, 4))
+    further, of = _further(batch, rows)
+    first, rows = np.concatenate([first[rows], further]), np.concatenate([rows, rows[of]])
+    return _marked(np.zeros(len(rows), np.int32), ids[rows], first, count[rows], np.full(len(rows), -1, np.int32))
+
+
+def _opened(batch: pa.RecordBatch, rows: np.ndarray, skip: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """The first place of each of the given rows, to be opened without its first `skip` windows and for `counts` of them; of its further places, what they are copies of."""
+    ids, first = batch.column(2).to_numpy()[rows], batch.column(3).to_numpy()[rows] + skip
+    further, of = _further(batch, rows)
+    kinds = np.repeat(np.array([1, 2], np.int32), [len(rows), len(of)])
+    source = np.concatenate([np.full(len(rows), -1, np.int32), first[of]])
+    return _marked(kinds, np.concatenate([ids, ids[of]]), np.concatenate([first, further + skip[of]]), np.concatenate([counts, counts[of]]), source)
 
 
-def _compare(batches):
-    """Of rows sorted by key, whole and id: repeats (kind 0) and, where a key has more than one whole, places to open (kind 1).
+def _compare(batches, span: int = LENGTH - GRAM):
+    """Of rows sorted by key, whole and id: repeats (kind 0) and, where a key has more than one whole, places to open (kind 1) and their copies (kind 2).
 
-    A whole's places to open are those in the text of the least id.  `more`
-    holds a row's further places in the same text, null for none.
+    A whole's place to open is the first in the text of the least id.  `more`
+    holds a row's further places in the same text, null for none: what is found
+    at the first holds for them.  Of a key whose rows all are in one batch, only
+    windows that another text may hold are opened.
     """
     seen = False
     key0 = whole0 = id0 = 0  # the row before
@@ -101,15 +166,21 @@ def _compare(batches):
         shared = starts[np.unique(owner[owner >= 0])] if len(starts) else starts
         opened = np.concatenate([later, shared])
         if lead is not None and len(later) and (owner < 0).any() and lead_key == key[later[0]]:
-            yield _marks(lead, np.zeros(1, int), np.ones(1, np.int32))
+            yield _opened(lead, np.zeros(1, int), np.zeros(1, np.int32), lead.column(4).to_numpy())
             lead = None
         if len(starts):
             s = int(starts[-1])
             lead = None if s in shared else batch.slice(s, 1)
             lead_key = key[s]
-        rows = np.concatenate([np.flatnonzero(again), opened])
-        kinds = np.concatenate([np.zeros(int(again.sum()), np.int32), np.ones(len(opened), np.int32)])
-        yield _marks(batch, rows, kinds)
+        yield _repeated(batch, np.flatnonzero(again))
+        skip, counts = np.zeros(len(opened), np.int32), batch.column(4).to_numpy()[opened]
+        group = np.searchsorted(starts, opened, "right") - 1
+        inside = np.flatnonzero((group >= 0) & (group < len(starts) - 1))
+        if len(inside):
+            before, near = (batch.column(i).to_numpy()[opened[inside]].astype(np.int64) for i in (6, 7))
+            skip[inside], counts[inside] = _shared(group[inside], ids[opened[inside]], before, near, counts[inside].astype(np.int64), span)
+        some = np.flatnonzero(counts)
+        yield _opened(batch, opened[some], skip[some], counts[some])
         seen, key0, whole0, least = True, key[-1], whole[-1], leasts[-1]
 
 
@@ -170,7 +241,7 @@ def earlier_strings(
 
     def count(batches):
         sketch = PartSketch(ROWS, log2_width)
-        for _, data, at in slices(batches):
+        for _, data, at in slices(batches, limit=SLICE_BYTES):
             sketch.add(_anchors(data, at, length, gram).key)
             if sketch.size > 4 << 20:
                 yield from sketch.batches()
@@ -180,7 +251,7 @@ def earlier_strings(
 
     def sample(batches):
         with closing(sketch):
-            for batch, data, at in slices(batches):
+            for batch, data, at in slices(batches, limit=SLICE_BYTES):
                 a = _anchors(data, at, length, gram)
                 hit = np.flatnonzero(sketch.reaches(a.key))
                 # the places of one string in one text go together, so that text which runs in a circle makes no hot key
@@ -192,11 +263,11 @@ def earlier_strings(
                 rest[heads] = False
                 more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes - 1)), pa.int32(), mask=np.append(sizes == 1, False)), pa.array(first[rest]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(key[heads])), pa.array(signed(whole[heads])), batch.column(0).take(pa.array(row[heads])), pa.array(first[heads]), pa.array(a.count[hit[heads]].astype(np.int32)), more], schema=_RANK)
+                    [pa.array(signed(key[heads])), pa.array(signed(whole[heads])), batch.column(0).take(pa.array(row[heads])), pa.array(first[heads]), pa.array(a.count[hit[heads]].astype(np.int32)), more, pa.array((a.place[hit] - a.first[hit])[heads].astype(np.int32)), pa.array(signed(_near(a, hit[heads], length, gram)))], schema=_RANK)
 
-    sampled = rows.mapInArrow(sample, "key long, whole long, id long, first int, count int, more array<int>")
+    sampled = rows.mapInArrow(sample, "key long, whole long, id long, first int, count int, more array<int>, lead int, near long")
     sampled = sampled.repartition(p, "key").sortWithinPartitions("key", "whole", "id")
-    marks = stored(sampled.mapInArrow(_compare, "kind int, id long, first int, count int"), "marks")
+    marks = stored(sampled.mapInArrow(lambda batches: _compare(batches, length - gram), "kind int, id long, first int, count int, source int"), "marks")
     sketch.free()
 
     begin = min(start, length)
@@ -210,8 +281,12 @@ def earlier_strings(
             ids, begins, strings = [], [], []
             for i, id_ in enumerate(batch.column(batch.schema.get_field_index("id")).to_pylist()):
                 text = data[at[i] : at[i + 1]]
-                f = first[i].values.to_numpy()
-                e = np.minimum(f + count[i].values.to_numpy() + (length - begin), max(len(text) - begin + 1, 0))
+                f, n = first[i].values.to_numpy(), count[i].values.to_numpy()
+                if 2 * begin < length:  # several doublings: all positions up to the last one's
+                    e = f + n + (length - begin)
+                else:  # the windows' own and those that the only one pairs them with
+                    f, e = np.concatenate([f, f + (length - begin)]), np.concatenate([f + n, f + n + (length - begin)])
+                e = np.minimum(e, max(len(text) - begin + 1, 0))
                 edge = np.zeros(len(text) + 2, np.int32)
                 np.add.at(edge, f[f < e] + 1, 1)
                 np.add.at(edge, e[f < e] + 1, -1)
@@ -225,7 +300,7 @@ def earlier_strings(
     covered = stored(texts.mapInArrow(cover, "id long, first int, string binary"), "covered")
 
     def name(batches):
-        for batch, data, at in slices(batches, "string"):
+        for batch, data, at in slices(batches, "string", SLICE_BYTES):
             n = np.maximum(np.diff(at) - begin + 1, 0)
             ends = np.cumsum(n)
             place = np.arange(ends[-1]) - np.repeat(ends - n, n)
@@ -235,7 +310,24 @@ def earlier_strings(
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array((batch.column(1).to_numpy()[row] + place).astype(np.int32)), pa.array(signed(names))], schema=_NAME)
 
     found = doubled(covered.mapInArrow(name, "id long, pos int, name long"), begin, length)
-    spans = stored(marks.where("kind = 0").select("id", "first", "count").unionAll(found.select("id", F.col("pos").alias("first"), F.lit(1).alias("count"))), "spans")
+    # the places that hold the same string as an opened one in the same text
+    copies = marks.where("kind = 2").groupBy("id").agg(*[F.collect_list(n).alias(n) for n in ("first", "count", "source")])
+    places = found.groupBy("id").agg(F.collect_list("pos").alias("pos"))
+
+    def copied(batches):
+        for batch in batches:
+            for row in range(len(batch)):
+                first, count, source, pos = (batch.column(i)[row].values.to_numpy() for i in (1, 2, 3, 4))
+                pos = np.sort(pos)
+                low = np.searchsorted(pos, source, "left")
+                n = np.searchsorted(pos, source + count, "left") - low
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                first = pos[at] - np.repeat(source, n) + np.repeat(first, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(first), row))), pa.array(first, pa.int32())], names=["id", "first"])
+
+    again = copies.join(places, "id").select("id", "first", "count", "source", "pos").mapInArrow(copied, "id long, first int")
+    single = found.select("id", F.col("pos").alias("first")).unionAll(again).withColumn("count", F.lit(1))
+    spans = stored(marks.where("kind = 0").select("id", "first", "count").unionAll(single), "spans")
     forget(marks, covered)
     return spans
 

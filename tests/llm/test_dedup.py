@@ -241,6 +241,57 @@ def test_prefix_doubling_of_every_position(spark, start):
     assert found == {(i, p) for places in seen.values() for i, p in places if i > places[0][0]}
 
 
+@pytest.mark.parametrize("batch", [1, 7, 10000])
+def test_earlier_strings_of_lines_that_come_again_in_one_text(spark, batch):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    lines = [" ".join(word() for _ in range(6)) for _ in range(8)]
+    cut = lambda: (x := r.choice(lines))[r.randint(0, 12) : len(x) - r.randint(0, 12)]
+    rows = [(i, "\n".join(r.choice([r.choice(lines), cut(), word()]) for _ in range(r.randint(1, 12)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        spans = suffixes.earlier_strings(docs, length=20, gram=8, start=10)
+        found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.without(docs, spans, length=20).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found == strings_by_hand(rows, 20)
+
+
+def ranked(monkeypatch, docs, **how):
+    """How many positions are ranked."""
+    counts, real = [], suffixes.doubled
+    monkeypatch.setattr(suffixes, "doubled", lambda names, *rest: (counts.append(names.count()), real(names, *rest))[1])
+    suffixes.earlier_strings(docs, **how)
+    return counts[0]
+
+
+def test_strings_told_apart_beside_their_anchor_are_not_ranked(spark, monkeypatch):
+    """Phrases that many texts hold, shorter than a string, each time with other bytes around them."""
+    r = random.Random(5)
+    other = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    phrases = [other(34) for _ in range(60)]
+    docs = spark.createDataFrame([(i, other(60) + phrases[i % 60] + other(60)) for i in range(600)], "doc_id long, text string").coalesce(1)
+    assert ranked(monkeypatch, docs, gram=32) < 2000
+
+
+def test_a_line_that_one_text_repeats_is_ranked_once(spark, monkeypatch):
+    r = random.Random(6)
+    other = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    line = other(200)
+    docs = spark.createDataFrame([(1, "\n".join(line for _ in range(100))), (2, line[:120] + other(50)), (3, other(50) + line[60:])], "doc_id long, text string").coalesce(1)
+    assert 0 < ranked(monkeypatch, docs) < 3000
+
+
+def test_only_positions_that_windows_are_paired_with_are_ranked(spark, monkeypatch):
+    """Texts that share 52 bytes with one other: three windows, and the positions half a string further."""
+    r = random.Random(7)
+    other = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    docs = spark.createDataFrame([(i, other(60) + line + other(60)) for k in range(40) for line in [other(52)] for i in (2 * k, 2 * k + 1)], "doc_id long, text string").coalesce(1)
+    assert 2 * 3 * 80 <= ranked(monkeypatch, docs) < 80 * 40
+
+
 def test_earlier_strings_of_one_id_and_clashing_names(spark):
     text = "".join(f"{i}," for i in range(40))
     rows = [(1, text, 7), (2, text, 8), (2, "short", 9), (None, None, None)]
