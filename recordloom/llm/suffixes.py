@@ -47,7 +47,7 @@ LENGTH = 50
 GRAM = 18
 #: Bytes that the first ranks stand for.
 START = 25
-LOG2_WIDTH = 30
+LOG2_WIDTH = 28
 ROWS = 1
 #: Bytes of text that are hashed at once: their 64-bit hashes stay in a core's own cache.
 SLICE_BYTES = 1 << 17
@@ -271,9 +271,10 @@ def earlier_strings(
     sketch.free()
 
     begin = min(start, length)
-    # where nothing is settled, runs of the positions whose ranks the open windows take part with; the texts' rows meet them by id
+    # where nothing is settled, runs of the positions whose ranks the open windows take part with; the texts' rows meet them by id,
+    # never by broadcast: texts would be opened in the task that has packed them, with two workers for each core
     open_ = marks.where("kind = 1").groupBy("id").agg(F.collect_list("first").alias("__first"), F.collect_list("count").alias("__count"))
-    texts = squeezed(rows, "text").join(open_, "id")
+    texts = squeezed(rows, "text").join(open_.hint("merge"), "id")
 
     def cover(batches):
         for batch, data, at in slices(unsqueezed(batches, "text")):
@@ -325,7 +326,7 @@ def earlier_strings(
                 first = pos[at] - np.repeat(source, n) + np.repeat(first, n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(first), row))), pa.array(first, pa.int32())], names=["id", "first"])
 
-    again = copies.join(places, "id").select("id", "first", "count", "source", "pos").mapInArrow(copied, "id long, first int")
+    again = copies.join(places.hint("merge"), "id").select("id", "first", "count", "source", "pos").mapInArrow(copied, "id long, first int")
     single = found.select("id", F.col("pos").alias("first")).unionAll(again).withColumn("count", F.lit(1))
     spans = stored(marks.where("kind = 0").select("id", "first", "count").unionAll(single), "spans")
     forget(marks, covered)
@@ -336,7 +337,7 @@ def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     """docs with n_bytes, n_removed, n_spans, kept (binary) and kept_sha256; columns of these names are replaced."""
     names = [f.name for f in docs.schema if f.name not in _CUT]
     packed = spans.groupBy(F.col("id").alias("__id")).agg(F.collect_list("first").alias("__first"), F.collect_list("count").alias("__count"))
-    work = squeezed(docs.select(*[F.col(f"`{n}`") for n in names]), text_col).join(packed, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    work = squeezed(docs.select(*[F.col(f"`{n}`") for n in names]), text_col).join(packed.hint("merge"), F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
 
     def cut(batches):
         for batch, data, at in slices(unsqueezed(batches, text_col), text_col):
